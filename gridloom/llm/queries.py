@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate, packing, pii, quality
 from .near_dedup import near_duplicates
 
 
@@ -19,8 +20,29 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.byte_tokens(_table(spark, sf_dir, "documents")))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_pii": op3_pii,
+    "op5_quality": op5_quality,
+    "op8_packing": op8_packing,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: DuckDB.  Words are split on the six ASCII space characters.
@@ -47,4 +69,28 @@ FROM documents d LEFT JOIN sizes USING (doc_id)
 LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL}
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(
+      range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS s
+  FROM b WHERE len(w) > 0),
+places AS (SELECT doc_id, w, l.n, unnest(range(1, len(w) - l.n + 2)) AS i
+  FROM d, (SELECT DISTINCT n FROM windows) l WHERE len(w) >= l.n),
+hits AS (SELECT doc_id, i, p.n, item_id FROM places p
+  JOIN windows x ON x.n = p.n AND x.s = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
+marked AS (SELECT doc_id, count(*) AS n_hit FROM (
+  SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM hits) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (
+  SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN names USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op10_decontaminate": OP10_SQL}
