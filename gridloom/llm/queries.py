@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, packing, pii, quality
+from .licenses import TEMPLATES, licenses
 from .near_dedup import near_duplicates
+from .sharding import sharded
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
@@ -33,15 +39,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.byte_tokens(_table(spark, sf_dir, "documents")))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_licenses": op2_licenses,
     "op3_pii": op3_pii,
     "op5_quality": op5_quality,
     "op8_packing": op8_packing,
+    "op9_sharding": op9_sharding,
     "op10_decontaminate": op10_decontaminate,
 }
 
@@ -93,4 +105,30 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op10_decontaminate": OP10_SQL}
+
+def _licence_sql() -> str:
+    """Every unit with every template, without the bounds that prune."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(TEMPLATES))
+    longest = 12 * max(len(text) for _, text in TEMPLATES)
+    grams = r"""list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"""
+    words = r"""list_filter(string_split_regex(lower({t}), '[^a-z0-9]+'), lambda w: w <> '')"""
+    return f"""
+WITH t AS (SELECT k, name, {words.format(t="text")} AS w FROM (VALUES {values}) v(k, name, text)),
+tg AS (SELECT k, name, {grams.format(w="w")} AS g FROM t),
+split AS (SELECT doc_id, md5(coalesce(text, '')) AS h, string_split(coalesce(text, ''), chr(10)) AS lines, coalesce(text, '') AS text FROM documents),
+units AS (SELECT doc_id, h, unnest(range(len(u))) AS i, unnest(u) AS line FROM (SELECT doc_id, h,
+  CASE WHEN len(lines) > 1 AND length(text) <= {longest} THEN list_append(lines, text) ELSE lines END AS u FROM split)),
+w AS (SELECT doc_id, h, i, {words.format(t="line")} AS w FROM units),
+g AS (SELECT doc_id, h, i, {grams.format(w="w")} AS g FROM w),
+common AS (SELECT doc_id, h, i, name, len(tg.g) AS m, len(g.g) AS n, len(list_intersect(g.g, tg.g)) AS c FROM g, tg WHERE len(g.g) > 0),
+near AS (SELECT DISTINCT *, round(2.0::DOUBLE * c / (n + m), 6) AS dice FROM common WHERE 200 * c >= 75 * (n + m)),
+best AS (SELECT doc_id, h, i, name, m, dice, row_number() OVER (PARTITION BY doc_id, h, i ORDER BY dice DESC, m DESC, name) AS r FROM near),
+one AS (SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM best WHERE r = 1 GROUP BY doc_id),
+top AS (SELECT doc_id, name, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, m DESC, name) AS r FROM best WHERE r = 1)
+SELECT d.doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, top.name AS license, coalesce(dice, 0.0)::DOUBLE AS dice, coalesce(names, '') AS licenses
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN one USING (doc_id) LEFT JOIN top ON top.doc_id = d.doc_id AND top.r = 1
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_licenses": _licence_sql(), "op10_decontaminate": OP10_SQL}
