@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality
+from . import decontaminate, packing, pii, quality, secrets, warc
 from .licenses import TEMPLATES, licenses
 from .near_dedup import near_duplicates
 from .sharding import sharded
@@ -35,6 +35,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.byte_tokens(_table(spark, sf_dir, "documents")))
 
@@ -52,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_pii": op3_pii,
     "op5_quality": op5_quality,
+    "op6_warc": op6_warc,
+    "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_decontaminate": op10_decontaminate,
@@ -131,4 +141,13 @@ FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN one USING (doc_id) LEFT
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_licenses": _licence_sql(), "op10_decontaminate": OP10_SQL}
+OP6_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NOT DISTINCT FROM page_id THEN NULL ELSE first END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_licenses": _licence_sql(), "op6_warc": OP6_SQL, "op10_decontaminate": OP10_SQL}
