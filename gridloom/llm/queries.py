@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, secrets, warc
+from . import decontaminate, packing, pii, quality, secrets, tokens, warc
 from .licenses import TEMPLATES, licenses
 from .near_dedup import near_duplicates
 from .sharding import sharded
@@ -30,6 +30,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_licenses": op2_licenses,
     "op3_pii": op3_pii,
+    "op4_tokens": op4_tokens,
     "op5_quality": op5_quality,
     "op6_warc": op6_warc,
     "op7_secrets": op7_secrets,
