@@ -1,10 +1,507 @@
-"""The registered queries over the driver's tables and their DuckDB SQL."""
+"""The registered queries over the driver's tables and their DuckDB SQL.
+
+Points are ``events`` (x = value, y = user_id) or ``lineitem``; rasters are
+``embeddings`` (4 bands of 4 x 4 pixels); polygons are generated cells.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..enums import AdjacencyType, AggregationType, GeoRelationship
+from ..functions import bands as B
+from ..functions import geometry as G
+from ..functions import indices as I
+from ..functions import temporal as T
+from ..functions import texture
+from ..operators import adapter, adjacency, datasets, grid, spatial_join, tensor
+from ..sources import tiff
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    """Rounded so that the order of summation doesn't show."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
+# ----------------------------------------------------------------- temporal
+
+query("date_reformat", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders")(
+    lambda s, d: T.convert_date_format(table(s, d, "orders"), "o_orderdate", "dd/MM/yyyy", "day").select("o_orderkey", "day")
+)
+query("unix_time", "SELECT event_id, floor(epoch(ts))::BIGINT AS unix_ts FROM events")(lambda s, d: T.get_unix_timestamp(table(s, d, "events"), "ts").select("event_id", "unix_ts"))
+query("unix_time_text", "SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS seconds FROM orders")(
+    lambda s, d: T.get_unix_timestamp(table(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").alias("day")), "day", "yyyyMMdd", "seconds").select("o_orderkey", "seconds")
+)
+query("trim_timestamp", "SELECT event_id, value FROM events WHERE value BETWEEN 10.5 AND 50.25")(lambda s, d: T.trim_on_timestamp(table(s, d, "events"), "value", 50.25, 10.5).select("event_id", "value"))
+query("trim_datetime", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:01'")(
+    lambda s, d: T.trim_on_datetime(table(s, d, "events"), "ts", "2024-01-20 12:00:00", "2024-01-05 00:00:00").select("event_id")
+)
+query("temporal_steps", "SELECT event_id, (floor(epoch(ts))::BIGINT - min(floor(epoch(ts))::BIGINT) OVER ()) // 21600 AS step FROM events")(
+    lambda s, d: T.add_temporal_steps(T.get_unix_timestamp(table(s, d, "events"), "ts", alias="u"), "u", 21600, "step").select("event_id", "step")
+)
+query("temporal_steps_count", "SELECT (max(floor(epoch(ts))::BIGINT) - min(floor(epoch(ts))::BIGINT)) // 21600 + 1 AS steps FROM events")(
+    lambda s, d: T.add_temporal_steps(T.get_unix_timestamp(table(s, d, "events"), "ts", alias="u"), "u", 21600, "step").agg((F.max("step") + 1).alias("steps"))
+)
+
+# --------------------------------------------------------------------- grids
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.add_spatial_points(table(spark, sf_dir, "events"), "user_id", "value", "geometry")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.add_spatial_points(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "geometry")
+
+
+def _grid_sql(source: str, x: str, y: str, px: int, py: int) -> str:
+    """CTEs: p (points), b (bounds), c (points with their cell)."""
+    return f"""WITH p AS (SELECT *, ({x})::DOUBLE AS x, ({y})::DOUBLE AS y FROM {source}),
+b AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM p),
+i AS (SELECT *, (x1 - x0 + pow(10.0, -length(split_part(x0::VARCHAR, '.', 2)))) / {px} AS ix,
+  (y1 - y0 + pow(10.0, -length(split_part(y0::VARCHAR, '.', 2)))) / {py} AS iy FROM b),
+c AS (SELECT p.*, (floor((y - y0) / iy) * {px} + floor((x - x0) / ix))::INTEGER AS cell_id FROM p, i)"""
+
+
+_EVENTS = _grid_sql("events", "value", "user_id", 8, 8)
+_STEPS = ", t AS (SELECT *, floor(epoch(ts))::BIGINT - (SELECT min(floor(epoch(ts))::BIGINT) FROM events) AS s FROM c)"
+_ROUND = "floor({} * 1e6 + 0.5) / 1e6"
+_ALL = list(AggregationType)
+
+query("st_grid_count", f"{_EVENTS}{_STEPS} SELECT cell_id, s // 21600 AS _id_timestep, count(*) AS aggregated_feature FROM t GROUP BY ALL")(
+    lambda s, d: grid.get_st_grid_dataframe(events(s, d), "geometry", 8, 8, "ts", 21600)
+)
+
+
+@query(
+    "st_grid_multi_agg",
+    f"{_EVENTS}{_STEPS} SELECT cell_id, s // 21600 AS _id_timestep, count(value) AS n, {_ROUND.format('sum(value)')} AS total, {_ROUND.format('avg(value)')} AS mean, min(value) AS low, max(value) AS high FROM t GROUP BY cell_id, s // 21600",
+)
+def st_grid_multi_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = grid.get_st_grid_dataframe(events(spark, sf_dir), "geometry", 8, 8, "ts", 21600, columns_to_aggregate=["value"] * 5, column_aggregation_types=_ALL, column_alias_list=["n", "total", "mean", "low", "high"])
+    return out.withColumns({"total": r6("total"), "mean": r6("mean")})
+
+
+_ITEMS = _grid_sql("lineitem", "l_extendedprice", "l_quantity", 16, 10)
+query("spatial_grid_count", f"{_ITEMS} SELECT cell_id, count(*) AS aggregated_feature FROM c GROUP BY ALL")(lambda s, d: grid.get_spatial_grid_dataframe(items(s, d), "geometry", 16, 10))
+
+
+@query(
+    "spatial_grid_multi_agg",
+    f"{_ITEMS} SELECT cell_id, count(l_tax) AS n, {_ROUND.format('sum(l_discount)')} AS total, {_ROUND.format('avg(l_tax)')} AS mean, min(l_discount) AS low, max(l_tax) AS high FROM c GROUP BY cell_id",
+)
+def spatial_grid_multi_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    A = AggregationType
+    out = grid.get_spatial_grid_dataframe(items(spark, sf_dir), "geometry", 16, 10, ["l_tax", "l_discount", "l_tax", "l_discount", "l_tax"], [A.COUNT, A.SUM, A.AVG, A.MIN, A.MAX], ["n", "total", "mean", "low", "high"])
+    return out.withColumns({"total": r6("total"), "mean": r6("mean")})
+
+
+def _corners(cells: DataFrame) -> DataFrame:
+    e = G.envelope(F.col("geometry"))
+    return cells.select("cell_id", e["xmin"].alias("xmin"), e["ymin"].alias("ymin"), e["xmax"].alias("xmax"), e["ymax"].alias("ymax"))
+
+
+def _cells_sql(box: str, px: int, py: int) -> str:
+    """Cells of a box; ``box`` is a relation with x0, y0, x1, y1."""
+    return f"""SELECT k::INTEGER AS cell_id, x0 + (x1 - x0) / {px} * (k % {px}) AS xmin, y0 + (y1 - y0) / {py} * (k // {px}) AS ymin,
+  x0 + (x1 - x0) / {px} * (k % {px} + 1) AS xmax, y0 + (y1 - y0) / {py} * (k // {px} + 1) AS ymax FROM range({px * py}) r(k), {box}"""
+
+
+def _box(x0: float, y0: float, x1: float, y1: float) -> str:
+    return f"(SELECT {x0}::DOUBLE AS x0, {y0}::DOUBLE AS y0, {x1}::DOUBLE AS x1, {y1}::DOUBLE AS y1)"
+
+
+_EVENT_BOX = "(SELECT min(value)::DOUBLE AS x0, min(user_id)::DOUBLE AS y0, max(value)::DOUBLE AS x1, max(user_id)::DOUBLE AS y1 FROM events)"
+query("grid_cells_df", _cells_sql(_EVENT_BOX, 8, 6))(lambda s, d: _corners(grid.generate_grid_cells(events(s, d), 8, 6)))
+query("grid_cells_boundary", _cells_sql(_box(-3, 2, 5, 9), 7, 3))(lambda s, d: _corners(grid.generate_grid_cells([[-3, 2], [5, 9]], 7, 3, spark=s)))
+query("grid_cells_square", _cells_sql(_box(0, 0, 2, 2), 2, 2))(lambda s, d: _corners(grid.generate_grid_cells([[0, 0], [2, 2]], 2, spark=s)))
+query("spatial_points", "SELECT event_id, value AS x, user_id::DOUBLE AS y FROM events")(lambda s, d: events(s, d).select("event_id", G.x_of(F.col("geometry")).alias("x"), G.y_of(F.col("geometry")).alias("y")))
+
+# --------------------------------------------------------------- spatial joins
+
+_INSIDE = "x > xmin AND x < xmax AND y > ymin AND y < ymax"
+_EVENT_CELLS = f"p AS (SELECT *, value AS x, user_id::DOUBLE AS y, floor(epoch(ts))::BIGINT // 86400 AS day FROM events), g AS ({_cells_sql(_EVENT_BOX, 8, 8)})"
+
+
+def _event_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = events(spark, sf_dir)
+    cells = grid.generate_grid_cells(own, 8).withColumnRenamed("geometry", "cell")
+    return cells, own.withColumn("day", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).cast("long"))
+
+
+query("st_join_count", f"WITH {_EVENT_CELLS} SELECT day, cell_id, count(value) AS n FROM p JOIN g ON {_INSIDE} GROUP BY ALL")(
+    lambda s, d: spatial_join.aggregate_st_dfs(*_event_cells(s, d), "cell", "geometry", "cell_id", "day", GeoRelationship.CONTAINS, ["value"], [AggregationType.COUNT], ["n"])
+)
+
+
+@query(
+    "st_join_agg_all",
+    f"WITH {_EVENT_CELLS} SELECT day, cell_id, count(value) AS n, {_ROUND.format('sum(value)')} AS total, {_ROUND.format('avg(value)')} AS mean, min(value) AS low, max(value) AS high FROM p JOIN g ON {_INSIDE} GROUP BY day, cell_id",
+)
+def st_join_agg_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spatial_join.aggregate_st_dfs(*_event_cells(spark, sf_dir), "cell", "geometry", "cell_id", "day", GeoRelationship.CONTAINS, ["value"] * 5, _ALL, ["n", "total", "mean", "low", "high"])
+    return out.withColumns({"total": r6("total"), "mean": r6("mean")})
+
+
+query("spatial_join_agg", f"WITH {_EVENT_CELLS} SELECT cell_id, {_ROUND.format('avg(value)')} AS mean FROM p JOIN g ON {_INSIDE} GROUP BY cell_id")(
+    lambda s, d: spatial_join.aggregate_spatial_dfs(*_event_cells(s, d), "cell", "geometry", "cell_id", GeoRelationship.CONTAINS, ["value"], [AggregationType.AVG], ["mean"]).withColumn("mean", r6("mean"))
+)
+query("points_in_grid", f"WITH p AS (SELECT event_id, value AS x, user_id::DOUBLE AS y FROM events), g AS ({_cells_sql(_box(0, 0, 100, 400), 10, 16)}) SELECT event_id, cell_id FROM p JOIN g ON {_INSIDE}")(
+    lambda s, d: spatial_join.points_in_grid(events(s, d), "geometry", (0, 0, 100, 400), 10, 16).select("event_id", "cell_id")
+)
+
+_TWO = f"WITH a AS ({_cells_sql(_box(0, 0, 8, 8), 8, 8)}), b AS ({_cells_sql(_box(1, 1, 5, 3), 8, 8)}) SELECT a.cell_id AS id1, b.cell_id AS id2 FROM a, b WHERE "
+_CLOSED = "a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax"
+_OPEN = "a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax"
+
+
+def _relation(kind: GeoRelationship) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        a = grid.generate_grid_cells([[0, 0], [8, 8]], 8, spark=spark).toDF("id1", "g1")
+        b = grid.generate_grid_cells([[1, 1], [5, 3]], 8, spark=spark).toDF("id2", "g2")
+        if kind is GeoRelationship.WITHIN:
+            return spatial_join.spatial_join(b, a, "g2", "g1", kind).select("id1", "id2")
+        return spatial_join.spatial_join(a, b, "g1", "g2", kind).select("id1", "id2")
+
+    return run
+
+
+_HOLDS = "a.xmin <= b.xmin AND b.xmax <= a.xmax AND a.ymin <= b.ymin AND b.ymax <= a.ymax"
+for _kind, _where in ((GeoRelationship.CONTAINS, _HOLDS), (GeoRelationship.WITHIN, _HOLDS), (GeoRelationship.INTERSECTS, _CLOSED), (GeoRelationship.TOUCHES, f"{_CLOSED} AND NOT ({_OPEN})")):
+    query(f"rel_{_kind.value}", _TWO + _where)(_relation(_kind))
+
+# ------------------------------------------------------------------- adjacency
+
+_ADJ = f"WITH a AS ({_cells_sql(_box(0, 0, 4, 8), 4, 4)}), b AS (SELECT * FROM a) SELECT a.cell_id AS id, b.cell_id AS nbr_id, "
+_CD = "sqrt(pow((a.xmin + a.xmax - b.xmin - b.xmax) / 2, 2) + pow((a.ymin + a.ymax - b.ymin - b.ymax) / 2, 2))"
+_RD = "sqrt(pow(greatest(0, a.xmin - b.xmax, b.xmin - a.xmax), 2) + pow(greatest(0, a.ymin - b.ymax, b.ymin - a.ymax), 2))"
+_SIDE = "CASE WHEN {c} THEN (CASE WHEN a.xmax = b.xmin OR b.xmax = a.xmin THEN greatest(0, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) ELSE 0 END + CASE WHEN a.ymax = b.ymin OR b.ymax = a.ymin THEN greatest(0, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) ELSE 0 END) ELSE 0 END".format(c=_CLOSED)
+
+
+def _adjacent(kind: AdjacencyType) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells = grid.generate_grid_cells([[0, 0], [4, 8]], 4, spark=spark)
+        out = adjacency.polygon_weights(cells, "cell_id", "geometry", kind)
+        return out if kind is AdjacencyType.BINARY else out.withColumn("weight", r6("weight"))
+
+    return run
+
+
+_DECAY = "FROM (SELECT id, nbr_id, floor(exp(-d * d / (max(d) OVER () * max(d) OVER ())) * 1e6 + 0.5) / 1e6 AS weight"
+query("adj_binary", f"{_ADJ} (a.cell_id <> b.cell_id AND {_CLOSED})::BIGINT AS weight FROM a, b")(_adjacent(AdjacencyType.BINARY))
+query("adj_exp_centroid", f"SELECT * {_DECAY} FROM ({_ADJ} {_CD} AS d FROM a, b))")(_adjacent(AdjacencyType.EXPONENTIAL_CENTROID_DISTANCE))
+query("adj_exp_dist", f"SELECT * {_DECAY} FROM ({_ADJ} {_RD} AS d FROM a, b))")(_adjacent(AdjacencyType.EXPONENTIAL_DISTANCE))
+query("adj_border_ratio", f"{_ADJ} CASE WHEN a.cell_id = b.cell_id THEN 1.0::DOUBLE ELSE floor(({_SIDE}) / 6.0::DOUBLE * 1e6 + 0.5) / 1e6 END AS weight FROM a, b")(_adjacent(AdjacencyType.COMMON_BORDER_RATIO))
+query("adj_neighbours", f"{_ADJ[:-2]} FROM a, b WHERE a.cell_id <> b.cell_id AND {_CLOSED}")(lambda s, d: adjacency.polygon_neighbours(grid.generate_grid_cells([[0, 0], [4, 8]], 4, spark=s), "cell_id", "geometry"))
+query(
+    "adj_points",
+    "SELECT id, nbr_id, floor(exp(-d * d / (bw * bw)) * 1e6 + 0.5) / 1e6 AS weight FROM (SELECT *, max(d) OVER () AS bw FROM (SELECT a.s_suppkey AS id, b.s_suppkey AS nbr_id, sqrt(pow(a.s_acctbal - b.s_acctbal, 2) + pow(a.s_nationkey - b.s_nationkey, 2)) AS d FROM supplier a, supplier b))",
+)(lambda s, d: adjacency.point_weights(grid.add_spatial_points(table(s, d, "supplier"), "s_nationkey", "s_acctbal", "geometry"), "s_suppkey", "geometry").withColumn("weight", r6("weight")))
+
+# --------------------------------------------------------------- raster bands
+
+_R = "WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS d FROM embeddings), q AS (SELECT vec_id, list_transform(d, lambda x: floor(x * 200)) AS d FROM r) "
+
+
+def rasters(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """``vec_id, data, nBands``; ``whole``: as small whole numbers."""
+    value = (lambda x: F.floor(x.cast("double") * 200).cast("double")) if whole else (lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", value).alias("data"), F.lit(4).alias("nBands"), "label")
+
+
+def _long(df: DataFrame, value: str) -> DataFrame:
+    return df.select("vec_id", F.posexplode(value).alias("pos", "value"))
+
+
+def _long_sql(expression: str, source: str = "r") -> str:
+    return f"{_R} SELECT vec_id, unnest(range(len(v)))::INTEGER AS pos, unnest(v) AS value FROM (SELECT vec_id, {expression} AS v FROM {source})"
+
+
+def _b(i: int) -> str:
+    return f"d[{16 * i + 1}:{16 * i + 16}]"
+
+
+def _zip(f: str, i: int = 0, j: int = 1) -> str:
+    """``f`` of x (band i) and y (band j), pixel by pixel."""
+    return f"list_transform(range(1, 17), lambda k: {f.replace('x', f'd[{16 * i} + k]').replace('y', f'd[{16 * j} + k]')})"
+
+
+def _bands(name: str, sql: str, op: Callable[..., DataFrame], *args, whole: bool = False) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _long(op(rasters(spark, sf_dir, whole), *args, name="v"), "v")
+
+    query(name, _long_sql(sql, "q" if whole else "r"))(run)
+
+
+_R2 = "floor(({}) * 100 + 0.5) / 100"
+_bands("band_get", _b(2), B.get_band_from_array_data, 2)
+_bands("band_normalize", f"list_transform({_b(1)}, lambda v: floor(v / nullif(list_max({_b(1)}) / 255, 0)))", B.get_normalized_band, 1)
+_bands("band_ndi", _zip(_R2.format("(y - x) / nullif(y + x, 0)")), B.get_normalized_difference_index, 0, 1)
+_bands("band_mode", f"list_sort(list_filter(list_distinct({_b(0)}), lambda v: len(list_filter({_b(0)}, lambda w: w = v)) = list_max(list_transform(list_distinct({_b(0)}), lambda u: len(list_filter({_b(0)}, lambda w: w = u))))))", B.get_band_mode, 0, whole=True)
+for _name, _op, _run in (("gt", ">", B.mask_band_on_greater_than), ("ge", ">=", B.mask_band_on_greater_than_equal), ("lt", "<", B.mask_band_on_less_than), ("le", "<=", B.mask_band_on_less_than_equal)):
+    _bands(f"band_mask_{_name}", f"list_transform({_b(3)}, lambda v: (v {_op} 4)::INTEGER::DOUBLE)", _run, 3, 4.0, whole=True)
+_bands("band_add", _zip("x + y"), B.add_bands, 0, 1)
+_bands("band_sub", _zip("x - y"), B.subtract_bands, 0, 1)
+_bands("band_mul", _zip("x * y"), B.multiply_bands, 0, 1)
+_bands("band_div", _zip(_R2.format("x / nullif(y, 0)")), B.divide_bands, 0, 1)
+_bands("band_factor", f"list_transform({_b(1)}, lambda v: v * 2.5::DOUBLE)", B.multiply_band_by_factor, 1, 2.5)
+_bands("band_and", _zip("(x::INTEGER & y::INTEGER)::DOUBLE"), B.bitwise_and_of_bands, 0, 1, whole=True)
+_bands("band_or", _zip("(x::INTEGER | y::INTEGER)::DOUBLE"), B.bitwise_or_of_bands, 0, 1, whole=True)
+_bands("band_mod", f"list_transform({_b(1)}, lambda v: v % 7.0::DOUBLE)", B.get_modulas, 1, 7, whole=True)
+_bands("band_sqrt", f"list_transform(list_transform({_b(1)}, lambda v: abs(v)), lambda v: {_R2.format('sqrt(v)')})", lambda df, i, name: B.get_square_root(df.withColumn("data", F.transform("data", lambda v: F.abs(v))), i, name=name), 1)
+_bands("band_logical_diff", _zip("CASE WHEN x <> y THEN x ELSE 0.0::DOUBLE END"), B.logical_difference_of_bands, 0, 1, whole=True)
+_bands("band_logical_over", _zip("CASE WHEN x <> 0 THEN x ELSE y END"), B.logical_over_of_bands, 0, 1, whole=True)
+query("band_count", f"{_R} SELECT vec_id, len(list_filter({_b(0)}, lambda v: v = 3))::INTEGER AS n FROM q")(lambda s, d: B.get_occurrence_count(rasters(s, d, True), 0, 3, name="n").select("vec_id", "n"))
+query("band_mean", f"{_R} SELECT vec_id, {_R2.format(f'list_sum({_b(1)}) / 16')} AS mean FROM q")(lambda s, d: B.get_band_mean(rasters(s, d, True), 1, name="mean").select("vec_id", "mean"))
+query("band_append_ndi", _long_sql(f"list_concat(d, {_zip(_R2.format('(y - x) / nullif(y + x, 0)'))})"))(lambda s, d: _long(B.append_normalized_difference_index(rasters(s, d), 0, 1), "data"))
+
+
+@query(
+    "array_zscore",
+    f"""{_R}, e AS (SELECT vec_id, unnest(range(64))::INTEGER AS pos, unnest(d) AS v FROM q),
+m AS (SELECT vec_id, pos // 16 AS band, avg(v) AS mean, stddev_pop(v) AS std FROM e GROUP BY ALL)
+SELECT e.vec_id, pos, floor((v - mean) / nullif(std, 0) * 1e6 + 0.5) / 1e6 AS value FROM e JOIN m ON e.vec_id = m.vec_id AND pos // 16 = band""",
+)
+def array_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(B.get_normalized_array_data(rasters(spark, sf_dir, True), name="v"), "v").withColumn("value", r6("value"))
+
+
+# ---------------------------------------------------------- rasters as files
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    four = F.lit(4)
+    return rasters(spark, sf_dir).select("vec_id", tiff.raster(four, four, four, F.col("data")).alias("r"))
+
+
+query("raster_decode", _long_sql("d"))(lambda s, d: _long(_images(s, d).select("vec_id", tiff.decoded(tiff.encoded(F.col("r")))["data"].alias("v")), "v"))
+query("raster_encode", "SELECT vec_id, 706::INTEGER AS bytes FROM embeddings")(lambda s, d: _images(s, d).select("vec_id", F.length(tiff.encoded(F.col("r"))).alias("bytes")))
+query("raster_num_bands", "SELECT vec_id, 4::INTEGER AS n_bands FROM embeddings")(lambda s, d: _images(s, d).select("vec_id", tiff.decoded(tiff.encoded(F.col("r")))["nBands"].alias("n_bands")))
+query("raster_band", _long_sql(_b(2)))(lambda s, d: _long(_images(s, d).select("vec_id", tiff.band_of(F.col("r"), 2).alias("v")), "v"))
+query("raster_add_band", _long_sql(f"list_concat({_b(0)}, {_b(3)}, d[17:64])"))(
+    lambda s, d: _long(_images(s, d).select("vec_id", tiff.with_band(F.col("r"), tiff.band_of(F.col("r"), 3), 1)["data"].alias("v")), "v")
+)
+query("raster_bands_selected", _long_sql(f"list_concat({_b(3)}, {_b(1)})"))(lambda s, d: _long(_images(s, d).select("vec_id", tiff.array_from_binary(tiff.encoded(F.col("r")), [3, 1]).alias("v")), "v"))
+
+# ------------------------------------------------------ dense tables, samples
+
+_STEPS_T, _SIDE_N = 120, 8
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.get_st_grid_dataframe(events(spark, sf_dir), "geometry", _SIDE_N, _SIDE_N, "ts", 21600)
+
+
+_SPARSE = f"{_EVENTS}{_STEPS}, sparse AS (SELECT cell_id, s // 21600 AS t, count(*)::DOUBLE AS f FROM t GROUP BY ALL), dense AS (SELECT k // 64 AS t, k % 64 AS c, coalesce(f, 0.0) AS f FROM range({_STEPS_T * 64}) r(k) LEFT JOIN sparse ON sparse.t = k // 64 AND cell_id = k % 64)"
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor.get_st_grid_array(_sparse(spark, sf_dir), "_id_timestep", "cell_id", ["aggregated_feature"], _STEPS_T, _SIDE_N, _SIDE_N, 0)
+
+
+query("dense_st_grid", f"{_SPARSE} SELECT t AS _id_timestep, c // 8 AS h, c % 8 AS w, f AS aggregated_feature FROM dense")(lambda s, d: _dense(s, d).select("_id_timestep", "h", "w", "aggregated_feature"))
+query("dense_st", f"{_SPARSE} SELECT t AS _id_timestep, c AS cell_id, f AS aggregated_feature FROM dense")(
+    lambda s, d: tensor.get_st_array(_sparse(s, d), "_id_timestep", "cell_id", ["aggregated_feature"], _STEPS_T, 64, 0)
+)
+_SPATIAL = f"{_EVENTS} SELECT k AS cell_id, coalesce(n, -1.0) AS aggregated_feature FROM range(64) r(k) LEFT JOIN (SELECT cell_id, count(*)::DOUBLE AS n FROM c GROUP BY ALL) ON cell_id = k"
+query("dense_spatial", _SPATIAL)(lambda s, d: tensor.get_spatial_array(grid.get_spatial_grid_dataframe(events(s, d), "geometry", 8, 8), "cell_id", ["aggregated_feature"], 64, -1))
+query("dense_spatial_grid", f"SELECT cell_id // 8 AS h, cell_id % 8 AS w, aggregated_feature FROM ({_SPATIAL})")(
+    lambda s, d: tensor.get_spatial_grid_array(grid.get_spatial_grid_dataframe(events(s, d), "geometry", 8, 8), "cell_id", ["aggregated_feature"], 8, 8, -1).select("h", "w", "aggregated_feature")
+)
+query("min_max_info", f"{_SPARSE} SELECT max(f) - min(f) AS max_minus_min, max(f) + min(f) AS max_plus_min FROM dense")(lambda s, d: tensor.min_max(_dense(s, d), ["aggregated_feature"]))
+query("norm_minmax", f"{_SPARSE}, m AS (SELECT min(f) AS lo, max(f) AS hi FROM dense) SELECT t AS _id_timestep, c AS cell_id, (2 * f - (hi + lo)) / (hi - lo) AS f FROM dense, m")(
+    lambda s, d: tensor.normalized(_dense(s, d), ["aggregated_feature"]).select("_id_timestep", "cell_id", F.col("aggregated_feature").alias("f"))
+)
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor.frames(_dense(spark, sf_dir), "_id_timestep", "cell_id", ["aggregated_feature"])
+
+
+@query("lead_time_pairs", f"{_SPARSE} SELECT a.t, a.c::INTEGER AS pos, a.f AS x, b.f AS y FROM dense a JOIN dense b ON b.t = a.t + 4 AND a.c = b.c")
+def lead_time_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = tensor.lead_time_pairs(_frames(spark, sf_dir), 4)
+    return pairs.select("t", F.posexplode(F.arrays_zip("x_data", "y_data")).alias("pos", "z")).select("t", "pos", F.col("z.x_data").alias("x"), F.col("z.y_data").alias("y"))
+
+
+def _parts(samples: DataFrame, names: list[str]) -> DataFrame:
+    parts = F.array(*(F.struct(F.lit(n).alias("part"), F.col(n).alias("frames")) for n in names))
+    each = samples.select("t", F.explode(parts).alias("p")).select("t", "p.part", F.posexplode("p.frames").alias("i", "frame"))
+    return each.select("t", "part", "i", F.posexplode("frame").alias("pos", "value"))
+
+
+@query(
+    "sequential_windows",
+    f"{_SPARSE}, o AS (SELECT 'x_data' AS part, i, i AS o FROM range(6) r(i) UNION ALL SELECT 'y_data', i, i + 6 FROM range(3) r(i)) SELECT s.t, part, o.i::INTEGER AS i, c::INTEGER AS pos, f AS value FROM range({_STEPS_T - 9}) s(t), o JOIN dense d ON d.t = s.t + o.o",
+)
+def sequential_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(tensor.sequential_windows(_frames(spark, sf_dir), 6, 3, _STEPS_T), ["x_data", "y_data"])
+
+
+@query(
+    "periodical_features",
+    f"""{_SPARSE}, o AS (SELECT 'x_closeness' AS part, i, -(i + 1) AS o FROM range(3) r(i) UNION ALL SELECT 'x_period', i, -4 * (i + 1) FROM range(3) r(i) UNION ALL SELECT 'x_trend', i, -28 * (i + 1) FROM range(2) r(i))
+SELECT s.t, part, o.i::INTEGER AS i, c::INTEGER AS pos, f AS value FROM range(56, {_STEPS_T}) s(t), o JOIN dense d ON d.t = s.t + o.o""",
+)
+def periodical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tensor.periodical_features(_frames(spark, sf_dir), 3, 3, 2, 1, 4, 28)
+    return _parts(got, ["x_closeness", "x_period", "x_trend"])
+
+
+@query("time_one_hot", f"SELECT t, p::INTEGER AS pos, (CASE WHEN p < 24 THEN p = t % 24 ELSE p - 24 = (t // 24) % 7 END)::INTEGER::DOUBLE AS value FROM range({_STEPS_T}) s(t), range(31) r(p)")
+def time_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(_STEPS_T).select(F.col("id").alias("t"), F.posexplode(tensor.time_one_hot(F.col("id"))).alias("pos", "value"))
+
+
+@query(
+    "neighbourhoods",
+    f"{_SPARSE} SELECT a.t, a.c // 8 AS h, a.c % 8 AS w, p::INTEGER AS pos, coalesce(b.f, 0.0) AS value FROM dense a, range(9) r(p) LEFT JOIN dense b ON b.t = a.t AND b.c // 8 = a.c // 8 + p // 3 - 1 AND b.c % 8 = a.c % 8 + p % 3 - 1",
+)
+def neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tensor.neighbourhoods(_dense(spark, sf_dir), "_id_timestep", ["aggregated_feature"], 8, 8, 1)
+    return got.select("t", "h", "w", F.posexplode("aggregated_feature").alias("pos", "value"))
+
+
+# ------------------------------------------------- labels, masks, metrics
+
+query("class_labels", "SELECT event_type AS label, (row_number() OVER (ORDER BY event_type) - 1)::INTEGER AS label_id FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)")(
+    lambda s, d: datasets.class_labels(table(s, d, "events"), "event_type")
+)
+query("label_encode", "SELECT event_id AS image_data, (dense_rank() OVER (ORDER BY event_type) - 1)::INTEGER AS label, value FROM events")(
+    lambda s, d: datasets.classification_frame(table(s, d, "events"), "event_id", "event_type", "value")
+)
+query("mask_threshold", f"{_R} SELECT vec_id, unnest(range(64))::INTEGER AS pos, unnest(list_transform(d, lambda v: (v >= 4)::INTEGER)) AS value FROM q")(
+    lambda s, d: _long(datasets.segmentation_frame(rasters(s, d, True).select(F.col("vec_id").alias("k"), "data"), "k", "data", False, 4).toDF("vec_id", "v"), "v")
+)
+query("split_index", "SELECT o_orderkey, CASE WHEN i < floor(0.7 * n) THEN 'train' WHEN i < floor(0.9 * n) THEN 'validation' ELSE 'test' END AS split FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)")(
+    lambda s, d: datasets.split_train_validation_test(adapter.add_row_id(table(s, d, "orders").select("o_orderkey"), "i", ["o_orderkey"]), "i", 0.2, 0.1).select("o_orderkey", "split")
+)
+query("forecast_errors", f"SELECT {_ROUND.format('avg(pow(l_extendedprice - l_quantity * 1000, 2))')} AS mse, {_ROUND.format('avg(abs(l_extendedprice - l_quantity * 1000))')} AS mae, {_ROUND.format('sqrt(avg(pow(l_extendedprice - l_quantity * 1000, 2)))')} AS rmse FROM lineitem")(
+    lambda s, d: datasets.forecast_errors(table(s, d, "lineitem").withColumn("p", F.col("l_quantity") * 1000), "p", "l_extendedprice").select(r6("mse").alias("mse"), r6("mae").alias("mae"), r6("rmse").alias("rmse"))
+)
+query("accuracy", f"{_R} SELECT {_ROUND.format('avg(CASE WHEN list_position(d[1:10], list_max(d[1:10])) - 1 = label THEN 100.0::DOUBLE ELSE 0.0 END)')} AS accuracy FROM r JOIN embeddings USING (vec_id)")(
+    lambda s, d: datasets.accuracy(rasters(s, d).withColumn("p", datasets.arg_max(F.slice("data", 1, 10))), "p", "label").select(r6("accuracy").alias("accuracy"))
+)
+query("channel_stats", f"{_R} SELECT (pos // 16)::INTEGER AS band, {_ROUND.format('avg(v)')} AS mean, {_ROUND.format('stddev_pop(v)')} AS std FROM (SELECT unnest(range(64)) AS pos, unnest(d) AS v FROM q) GROUP BY pos // 16")(
+    lambda s, d: datasets.channel_stats(rasters(s, d, True), "data", 4).withColumns({"mean": r6("mean"), "std": r6("std")})
+)
+query("channels_first", _long_sql("list_transform(range(64), lambda i: d[(i % 16) * 4 + i // 16 + 1])"))(lambda s, d: _long(rasters(s, d).withColumn("v", datasets.channels_first(F.col("data"), 4, 4, 4)), "v"))
+query("mean_index_features", f"{_R} SELECT vec_id, floor(list_sum({_zip('(x - y) / (CASE WHEN x + y = 0 THEN 1e-12 ELSE x + y END)', 3, 2)}) / 16 * 1e6 + 0.5) / 1e6 AS ndvi FROM q")(
+    lambda s, d: rasters(s, d, True).select("vec_id", r6(I.mean_index(I.spectral_index("ndvi", F.col("data"), 4, {"nir": 3, "red": 2}))).alias("ndvi"))
+)
+
+# ------------------------------------------------------- indices and textures
+
+_PLACES = {"green": 0, "red": 1, "nir": 2, "swir1": 3, "swir2": 1}
+_OVER = "({}) / (CASE WHEN {} = 0 THEN 1e-12 ELSE {} END)"
+
+
+def _ndi_sql(i: int, j: int) -> str:
+    return _zip(_OVER.format("x - y", "x + y", "x + y"), i, j)
+
+
+def _index(name: str) -> Query:
+    return lambda s, d: _long(rasters(s, d, True).select("vec_id", I.spectral_index(name, F.col("data"), 4, _PLACES).alias("v")), "v")
+
+
+_AWEI = "list_transform(range(1, 17), lambda k: 4 * (d[k] - d[48 + k]) - (0.25::DOUBLE * d[32 + k] + 2.75::DOUBLE * d[16 + k]))"
+for _name, _names in I.INDEX_BANDS.items():
+    _i, _j = (_PLACES[b] for b in _names[:2])
+    _sql = _AWEI if _name == "awei" else _zip(_OVER.format("x", "y", "y"), _i, _j) if _name == "rvi" else _ndi_sql(_i, _j)
+    query(f"idx_{_name}", _long_sql(_sql, "q"))(_index(_name))
+
+
+def _appended(value: Callable[[Column], Column]) -> Query:
+    return lambda s, d: _long(rasters(s, d, True).select("vec_id", I.appended(F.col("data"), value(F.col("data"))).alias("v")), "v")
+
+
+_one = lambda d, i: B.band(d, 4, i)
+query("tf_append_ndi", _long_sql(f"list_concat(d, {_ndi_sql(0, 1)})", "q"))(_appended(lambda d: I.difference_index(_one(d, 0), _one(d, 1))))
+query("tf_append_ratio", _long_sql(f"list_concat(d, {_zip(_OVER.format('x', 'y', 'y'), 0, 1)})", "q"))(_appended(lambda d: I.ratio_index(_one(d, 0), _one(d, 1))))
+query("tf_append_awei", _long_sql(f"list_concat(d, {_AWEI})", "q"))(_appended(lambda d: I.awei(_one(d, 0), _one(d, 2), _one(d, 3), _one(d, 1))))
+
+_GREY = "list_transform(range(1, 17), lambda k: floor(((128 + d[k]) * 299 + (128 + d[16 + k]) * 587 + (128 + d[32 + k]) * 114) / 1000 / 32)::INTEGER)"
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 200).cast("double")).alias("d"))
+    shifted = F.transform("d", lambda v: (v + 128))
+    mixed = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: (F.element_at(shifted, k) * 299 + F.element_at(shifted, k + 16) * 587 + F.element_at(shifted, k + 32) * 114) / 1000)
+    return whole.select("vec_id", I.digitized(mixed).alias("levels"))
+
+
+query("digitize", _long_sql(_GREY, "q"))(lambda s, d: _long(_levels(s, d), "levels"))
+_LUMA = "list_transform(range(1, 17), lambda k: round_even((0.299::DOUBLE * d[k] + 0.587::DOUBLE * d[16 + k]) + 0.114::DOUBLE * d[32 + k], 0) + 0.0)"
+query("gray", _long_sql(_LUMA, "q"))(lambda s, d: _long(rasters(s, d, True).select("vec_id", I.gray(*(_one(F.col("data"), i) for i in range(3))).alias("v")), "v"))
+
+
+@query(
+    "glcm_features",
+    f"""{_R}, e AS (SELECT vec_id, unnest(range(16)) AS p, unnest(v) AS v FROM (SELECT vec_id, {_GREY} AS v FROM q)),
+g AS (SELECT a.vec_id, s.angle, a.v AS i, b.v AS j FROM e a JOIN (VALUES ('0', 0, 1), ('45', 1, 1), ('90', 1, 0)) s(angle, dr, dc) ON true
+  JOIN e b ON b.vec_id = a.vec_id AND b.p // 4 = a.p // 4 + dr AND b.p % 4 = a.p % 4 + dc),
+h AS (SELECT vec_id, angle, i, j FROM g UNION ALL SELECT vec_id, angle, j, i FROM g),
+m AS (SELECT vec_id, angle, i, j, count(*) AS c FROM h GROUP BY vec_id, angle, i, j),
+n AS (SELECT vec_id, angle, i, j, c / sum(c) OVER (PARTITION BY vec_id, angle) AS p FROM m),
+f AS (SELECT vec_id, angle, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity,
+  sum(p * p) AS asm, sum(p * i) AS m, sum(p * i * i) - sum(p * i) * sum(p * i) AS v, sum(p * i * j) AS c FROM n GROUP BY vec_id, angle)
+SELECT vec_id, {", ".join(_ROUND.format(x) + " AS " + y for x, y in (("avg(contrast)", "contrast"), ("avg(dissimilarity)", "dissimilarity"), ("avg(homogeneity)", "homogeneity"),
+  ("avg(asm) FILTER (angle <> '0')", "asm"), ("avg(sqrt(asm))", "energy"), ("avg(CASE WHEN v < 1e-15 THEN 1.0 ELSE (c - m * m) / v END)", "correlation")))} FROM f GROUP BY vec_id""",
+)
+def glcm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = texture.glcm_features(_levels(spark, sf_dir), "vec_id", "levels", 4, 4)
+    return got.withColumns({f: r6(f) for f in texture.FEATURES})
+
+
+# ------------------------------------------------------------ adapter helpers
+
+query("row_id", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer")(lambda s, d: adapter.add_row_id(table(s, d, "customer").select("c_custkey"), "id", ["c_custkey"]))
+query("top_rows", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")(lambda s, d: table(s, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(20))
+query("drop_columns", "SELECT r_regionkey FROM region")(lambda s, d: adapter.drop_columns(table(s, d, "region"), [c for c in table(s, d, "region").columns if c != "r_regionkey"]))
+query("sample_rows")(lambda s, d: table(s, d, "orders").sample(0.1, 42).select("o_orderkey"))
+query("cells_of_array", f"{_R} SELECT vec_id, unnest(range(64))::INTEGER AS cell, unnest(list_transform(d, lambda v: abs(v::INTEGER))) AS feature FROM q")(
+    lambda s, d: _long(rasters(s, d, True), "data").select("vec_id", F.col("pos").alias("cell"), F.abs(F.col("value").cast("int")).alias("feature"))
+)
+
+
+@query("map_layer", f"{_EVENTS}, n AS (SELECT cell_id, count(*)::DOUBLE AS f FROM c GROUP BY ALL) SELECT k::INTEGER AS cell_id, coalesce(f, 0.0) AS feature, coalesce(f, 0.0) / (SELECT greatest(1.0, max(f)) FROM n) AS height FROM range(64) r(k) LEFT JOIN n ON cell_id = k")
+def map_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir)
+    counts = grid.get_spatial_grid_dataframe(own, "geometry", 8, 8, ordered=False)
+    return adapter.map_layer(grid.generate_grid_cells(own, 8), counts, "cell_id", "aggregated_feature").drop("geojson")
+
+
+@query("crs_round_trip", "SELECT s_suppkey, floor(s_acctbal / 100 * 1e6 + 0.5) / 1e6 AS lon, floor(s_nationkey::DOUBLE * 1e6 + 0.5) / 1e6 AS lat FROM supplier")
+def crs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = G.to_web_mercator(G.vertex(F.col("s_acctbal") / 100, F.col("s_nationkey")))
+    back = G.from_web_mercator(F.col("m"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", there.alias("m")).select("s_suppkey", back.alias("v")).select("s_suppkey", r6("v.x").alias("lon"), r6("v.y").alias("lat"))
+
+
+@query("wkt_round_trip", "SELECT s_suppkey, s_acctbal AS x, s_nationkey::DOUBLE AS y FROM supplier")
+def wkt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = G.to_wkt(G.point(F.col("s_acctbal"), F.col("s_nationkey").cast("double")))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("wkt")).select("s_suppkey", G.from_wkt(F.col("wkt")).alias("g"))
+    return rows.select("s_suppkey", G.x_of(F.col("g")).alias("x"), G.y_of(F.col("g")).alias("y"))
