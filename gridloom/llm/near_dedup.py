@@ -15,21 +15,23 @@ How the lists stay short without losing a link
 
 How large groups of copies stay linear
     Equal sets are one node from the start.  Each list then links its members
-    to a hub, twice with different hubs; only members of one list that are
-    still in different components are then compared with each other.
+    to a hub, its most typical member, and what is left of the list to a second
+    one.  Documents of lists that still hold different components are compared
+    by their full sets, again in order of frequency: two similar sets first meet
+    at a position from which enough elements are left in both.  A document that
+    differs from its group's hub by more than a link allows has more elements
+    of its own than that, so it doesn't meet the group's common elements at all.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WordHash, mixed, ngram_hashes, saved, small
+from .shared import WordHash, ngram_hashes, saved, small
 
 SKETCH_SIZE = 64
 #: Least count of shared retained values of two similar sets over 48 shingles.
@@ -108,9 +110,11 @@ class _Links:
         """``(value, id, n)``: of each sketch the values that its list entries need."""
         entries = self.sketches.select("id", "n", F.explode("sketch").alias("value"))
         counts = entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-        shared = entries.join(counts, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
+        typical = (F.sum(F.log2("df")) / F.least("n", F.lit(self.k))).alias("typical")
+        shared = entries.join(counts, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"), typical)
         keep = shared.withColumn("keep", (F.size("vs") - self.least_shared("n") + 1).cast("int")).filter("keep > 0")
-        return saved(keep.select("id", "n", F.explode(F.slice("vs", F.lit(1), F.col("keep"))).alias("x")).select(F.col("x.value").alias("value"), "id", "n"), "index")
+        each = keep.select("id", "n", "typical", F.explode(F.slice("vs", F.lit(1), F.col("keep"))).alias("x"))
+        return saved(each.select(F.col("x.value").alias("value"), "id", "n", "typical"), "index")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The ``pairs(a, b)`` that are similar enough by their full sets."""
@@ -129,22 +133,44 @@ class _Links:
         both = members.join(hubs, "a").withColumn("i", F.size(F.array_intersect("fa", "fb")))
         return saved(both.filter(100 * F.col("i") >= self.percent * (F.size("fa") + F.size("fb") - F.col("i"))).select("a", "b"), "links")
 
+    def _open(self, index: DataFrame, roots: DataFrame) -> DataFrame:
+        """The entries of lists that hold several components, with ``root``."""
+        rows = index.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        lists = rows.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("value")
+        return saved(rows.join(lists, "value", "left_semi"), "open-lists")
+
+    def _by_full_sets(self, ids: DataFrame) -> DataFrame:
+        """Candidates ``(a, b)`` among ``ids(id, root)`` of different roots."""
+        full = self.texts.join(small(ids, self.limit), "id").select("id", "root", _full_sets(self.n)("text").alias("s"))
+        full = saved(full.withColumn("n", F.size("s")), "full-sets")
+        each = full.select("id", "root", "n", F.explode("s").alias("value"))
+        counts = each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+        own = Window.partitionBy("id", "n")
+        at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "value"))
+        entries = each.join(counts, "value").withColumn("at", at).filter(100 * (F.col("n") - F.col("at") + 1) >= self.percent * F.col("n"))
+        entries = saved(entries.select("value", "id", "root", "n", "at"), "full-index")
+        other = entries.select("value", *(F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "at")))
+        left = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1
+        enough = (100 + self.percent) * left >= self.percent * (F.col("n") + F.col("n2"))
+        met = entries.join(other, "value").filter((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & self.near("n", "n2") & enough)
+        return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
     def all(self, same: DataFrame) -> DataFrame:
         """``(node, root)`` of all representatives that have a link; ``same``
         holds pairs that are one document anyway."""
-        index, links, tested = self.index(), same, None
+        index, tested = self.index(), None
         roots = saved(components(same), "roots")
-        for hub in (F.col("id"), F.xxhash64("value", "id"), None):
-            rows = index.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            open_ = rows.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("value")
-            rows = saved(rows.join(open_, "value", "left_semi"), "open-lists")
-            if hub is None:
-                other = rows.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+        for last in (False, False, True):
+            rows = self._open(index, roots)
+            if last:
+                pairs = self._by_full_sets(saved(rows.select("id", "root").distinct(), "open-ids"))
             else:
-                other = rows.groupBy("value").agg(F.min(F.struct(hub.alias("by"), "id", "n", "root")).alias("h"))
-                other = other.select("value", F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.root").alias("root2"))
-            met = rows.join(other, "value").filter((F.col("root") != F.col("root2")) & self.near("n", "n2"))
-            pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+                hubs = rows.groupBy("value").agg(F.min(F.struct((-F.col("typical")).alias("by"), "id", "n", "root")).alias("h"))
+                hubs = saved(hubs.select("value", F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.root").alias("root2")), "hubs")
+                met = rows.join(hubs, "value").filter((F.col("root") != F.col("root2")) & self.near("n", "n2"))
+                pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+                # a hub has been compared with all of its list
+                index = rows.select("value", "id", "n", "typical").join(hubs.select("value", F.col("id2").alias("id")), ["value", "id"], "left_anti")
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = saved(pairs, "candidates")
