@@ -47,7 +47,7 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 class WordHash(dict):
     """64-bit hashes of words, remembered up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
