@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, near_dedup, packing, pii, quality
-from gridloom.llm.shared import saved
+from gridloom.llm.shared import saved, small
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the least id."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """Keeps one document of each group of near copies: the least id.  What has
+    no id can't be named, so it stays.  The ids that go are broadcast if there
+    are few of them; else the join shuffles."""
+    gone = near_dedup.near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone_id")).distinct()
+    gone = small(saved(gone, "near-copies"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
