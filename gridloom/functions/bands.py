@@ -27,6 +27,12 @@ def band(data: Column, n_bands: Column | int, index: int) -> Column:
     return F.slice(data, size * F.lit(index) + F.lit(1), size)
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` computed once: inside a lambda function it would be
+    computed again for every element."""
+    return F.transform(F.array(x), use)[0]
+
+
 def round2(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
@@ -37,8 +43,7 @@ def _mean(b: Column) -> Column:
 
 def normalized(b: Column) -> Column:
     """Scaled to 0 to 255: ``floor(v / (max / 255))``."""
-    unit = F.array_max(b) / 255
-    return F.transform(b, lambda v: F.floor(F.try_divide(v, unit)).cast("double"))
+    return bound(F.array_max(b) / 255, lambda unit: F.transform(b, lambda v: F.floor(F.try_divide(v, unit)).cast("double")))
 
 
 def normalized_difference(a: Column, b: Column) -> Column:
@@ -48,9 +53,10 @@ def normalized_difference(a: Column, b: Column) -> Column:
 
 def mode(b: Column) -> Column:
     """All most frequent values, in ascending order."""
-    counted = F.transform(F.array_sort(F.array_distinct(b)), lambda v: F.struct(F.size(F.filter(b, lambda w: w == v)).alias("n"), v.alias("v")))
-    most = F.array_max(F.transform(counted, lambda c: c["n"]))
-    return F.transform(F.filter(counted, lambda c: c["n"] == most), lambda c: c["v"])
+    count = lambda v: F.struct(F.size(F.filter(b, lambda w: w == v)).alias("n"), v.alias("v"))
+    most = lambda c: F.array_max(F.transform(c, lambda x: x["n"]))
+    best = lambda c: bound(most(c), lambda n: F.transform(F.filter(c, lambda x: x["n"] == n), lambda x: x["v"]))
+    return bound(F.transform(F.array_sort(F.array_distinct(b)), count), best)
 
 
 def masked(b: Column, test: Callable[[Column], Column]) -> Column:
@@ -61,17 +67,13 @@ def standardized(data: Column, n_bands: Column | int) -> Column:
     """Each band by its own mean and standard deviation (of the population)."""
     n = _int(n_bands)
     size = F.floor(F.size(data) / n).cast("int")
-    cut = lambda i: F.slice(data, i * size + 1, size)
 
-    def stats(i: Column) -> Column:
-        b = cut(i)
-        total = F.aggregate(b, F.lit(0.0), lambda s, v: s + v)
-        mean = F.try_divide(total, size)
+    def scaled(b: Column, mean: Column) -> Column:
         squares = F.aggregate(b, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-        return F.struct(mean.alias("mean"), F.sqrt(F.try_divide(squares, size)).alias("std"))
+        return bound(F.sqrt(F.try_divide(squares, F.size(b))), lambda std: F.transform(b, lambda v: F.try_divide(v - mean, std)))
 
-    per = F.transform(F.sequence(F.lit(0), n - 1), stats)
-    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(cut(i), lambda v: F.try_divide(v - per[i]["mean"], per[i]["std"]))))
+    one = lambda i: bound(F.slice(data, i * size + 1, size), lambda b: bound(_mean(b), lambda mean: scaled(b, mean)))
+    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), one))
 
 
 # ------------------------------------------------------- DataFrame operations
