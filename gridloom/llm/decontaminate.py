@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WordHash, ngram_hashes, saved
+from .shared import WordHash, in_small_batches, ngram_hashes, saved
 
 WINDOW, GRAM = 10, 5
 #: Words of all test items up to which they are sent to every task (8 bytes a
@@ -146,6 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     counted or listed.  Null or repeated document ids change nothing; further
     columns are not read.  An empty benchmark finds nothing.
     """
+    in_small_batches(docs.sparkSession)
     name = "_found"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
@@ -228,6 +229,7 @@ def _count(text: str) -> Column:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_words_limit: int = ITEM_WORDS) -> DataFrame:
     """The rows of ``docs`` without any window of ``benchmark``, with all their
     columns."""
+    in_small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").alias("item"), F.col("text").cast("string").alias("text"))
     if _fit_in_memory(items, item_words_limit):
         judge = _judge(Items(_hashed([(r.item, r.text) for r in items.collect()])))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WordHash, ngram_hashes, saved, small
+from .shared import WordHash, in_small_batches, ngram_hashes, saved, small
 
 SKETCH_SIZE = 64
 #: Least count of shared retained values of two similar sets over 48 shingles.
@@ -197,6 +197,7 @@ def near_duplicates(
     different texts each have that of their text.  Further columns of ``docs``
     are not read.  Empty input: no rows.
     """
+    in_small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = _sketches(shingle, k)
     rows = saved(base.select("id", sketch("text").alias("s")).select("id", "s.*"), "sketches")

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_small_batches
+
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
 WINDOW, STRIDE = 64, 32
@@ -397,6 +399,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text is empty: no spans.  Null or repeated ids change nothing; further
     columns are not read.
     """
+    in_small_batches(docs.sparkSession)
     model = model or trained()
 
     def find(texts: pd.Series) -> pd.DataFrame:

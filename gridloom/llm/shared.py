@@ -29,6 +29,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+#: Text that goes to a Python worker at once; with Python's own copies a worker
+#: stays near 150 MB.
+BATCH_BYTES = 8 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Lets the session send Python workers no more than ``BATCH_BYTES`` at once,
+    where it still has Spark's own bound of 64 MB: texts take several times
+    their size there."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == f"{64 << 20}b":
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later steps start
     from files that outlive any executor."""

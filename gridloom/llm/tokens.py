@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .files import opened, written_file
-from .shared import saved, shared_folder
+from .shared import in_small_batches, saved, shared_folder
 
 MAGIC = b"GLOOM8B1"
 BLOCK_IDS = 1 << 16
@@ -180,7 +180,7 @@ class CachedTokenizer:
 
     OTHER = re.compile(r" (?:\s|$)")
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -240,6 +240,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     Null text counts as empty.  Null ids come first.  Rows of one id go by
     their text's hash, then the text.  Further columns are not read.
     """
+    in_small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import opened, written_file
-from .shared import saved, shared_folder
+from .shared import in_small_batches, saved, shared_folder
 
 #: Equal payloads below this size are stored each time.
 REVISIT_BYTES = 1000
@@ -149,6 +149,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows where no id is set, are responses.  Null html is an empty payload, a
     null url ``urn:x-unknown``.  Further columns are not read.
     """
+    in_small_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumns({"size": F.length("payload").cast("long"), "sha1": F.sha1("payload")})
