@@ -180,7 +180,7 @@ class CachedTokenizer:
 
     OTHER = re.compile(r" (?:\s|$)")
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
