@@ -29,8 +29,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
-#: Text that goes to a Python worker at once; with Python's own copies a worker
-#: stays near 150 MB.
+#: Text that goes to a Python worker at once.
 BATCH_BYTES = 8 << 20
 
 
