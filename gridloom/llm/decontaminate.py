@@ -153,7 +153,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if _fit_in_memory(items, item_words_limit):
         judge = _judge(Items(_hashed([(r.item, r.text) for r in items.collect()])))
         return rows.select("doc_id", judge("text").alias(name)).select("doc_id", f"{name}.*")
-    return _joined(rows, items)
+    rows = saved(rows.select("doc_id", "text", F.expr("uuid()").alias("row")), "decontaminate-rows")
+    return _joined(rows, items).drop("row")
 
 
 def _fit_in_memory(items: DataFrame, limit: int) -> bool:
@@ -165,8 +166,8 @@ def _joined(rows: DataFrame, items: DataFrame, window: int = WINDOW, gram: int =
     """The same for a benchmark of any size: fingerprints meet in a shuffled
     join, then each document and item that met are compared.  A document that
     meets many items is dealt by (document, item), and only the marked
-    positions come together again, one row a run."""
-    rows = saved(rows.select("doc_id", "text", F.expr("uuid()").alias("row")), "decontaminate-rows")
+    positions come together again, one row a run.  ``rows`` are saved ones of
+    ``doc_id, text, row``; the key ``row`` of each is returned with it."""
     items = saved(items.select(F.expr("uuid()").alias("key"), "item", "text"), "decontaminate-items")
     lengths = [r.n for r in items.select(_count("text").alias("n")).filter(f"n > 0 AND n < {window}").distinct().collect()]  # below ``window`` different ones
 
@@ -209,7 +210,7 @@ def _joined(rows: DataFrame, items: DataFrame, window: int = WINDOW, gram: int =
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     empty = F.array().cast("array<string>")
     listed = F.coalesce("names", empty)
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def _udf(prints, whole: bool):
@@ -228,7 +229,7 @@ def _count(text: str) -> Column:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_words_limit: int = ITEM_WORDS) -> DataFrame:
     """The rows of ``docs`` without any window of ``benchmark``, with all their
-    columns."""
+    columns.  Each row is judged by its own text, whatever its id."""
     in_small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").alias("item"), F.col("text").cast("string").alias("text"))
     if _fit_in_memory(items, item_words_limit):
@@ -237,5 +238,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         while name in docs.columns:
             name += "_"
         return docs.withColumn(name, judge(F.col(text_col).cast("string"))).filter(~F.col(f"{name}.contaminated")).drop(name)
-    marked = contamination(docs, benchmark, id_col, text_col, item_words_limit=item_words_limit).filter("contaminated").select("doc_id").distinct()
-    return docs.join(marked, docs[id_col].eqNullSafe(marked["doc_id"]), "left_anti")
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    keyed = saved(docs.withColumn(key, F.expr("uuid()")), "decontaminate-rows")
+    rows = keyed.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(key).alias("row"))
+    marked = _joined(rows, items).filter("contaminated").select(F.col("row").alias(key))
+    return keyed.join(marked, key, "left_anti").select(docs.columns)

@@ -495,6 +495,14 @@ def test_decontamination_equals_brute_force(spark, limit):
     assert decontaminate.contamination(frame(spark, []), frame(spark, items, "item_id long, text string"), item_words_limit=limit).count() == 0
 
 
+def test_decontamination_judges_each_row_by_itself(spark):
+    docs = [(None, "p q r"), (None, "clean one"), (5, "p q r"), (5, "clean two"), (6, None)]
+    for limit in (decontaminate.ITEM_WORDS, 0):
+        clean = decontaminate.clean_documents(frame(spark, [(*d, "k") for d in docs], SCHEMA + ", _row string"), frame(spark, [(1, "p q r")], "item_id long, text string"), item_words_limit=limit)
+        assert clean.columns == ["doc_id", "text", "_row"]
+        assert rows_of(clean.drop("_row")) == sorted([docs[1], docs[3], docs[4]], key=repr)
+
+
 def test_winnowing_keeps_a_hash_of_every_window():
     rng = np.random.default_rng(1)
     grams = rng.integers(0, 20, 300).astype(np.uint64)
