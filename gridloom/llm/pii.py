@@ -3,9 +3,10 @@
 The base patterns find what is written as it should be.  A bidirectional LSTM
 over character classes with a linear-chain CRF on top, trained here from
 labelled spans, adds what is written otherwise.  A span that the model may add
-holds ``@`` or a digit, so only windows with such a character can hold one and
-the others need no decoding.  Windows overlap by half; spans that several
-windows propose are reconciled over the whole text by the set of
+holds ``@`` or a digit, so only the text around such characters is decoded, in
+windows that overlap by half.  A span that a window's edge cuts is read again in
+a wider window, until it is whole, so no length or position is lost; spans that
+several windows propose are reconciled over the whole text by the set of
 non-overlapping spans with the greatest total score.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,10 @@ from .shared import in_small_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
-WINDOW, STRIDE = 64, 32
+#: Of training: characters of a window, and from one to the next.
+WINDOW, STRIDE = 160, 80
+#: Of decoding: characters read on each side of a trigger, and of a window at most.
+REACH, PIECE = 128, 512
 #: Least score (log-odds against no span, summed over its characters) to add a span.
 LEAST_SCORE = 6.0
 
@@ -184,7 +188,7 @@ class Tagger:
             g |= {f"x{d}": dx, f"h{d}": dh, f"b{d}": db}
         return loss, g
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 96, rate: float = 0.015, seed: int = 3) -> list[float]:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 48, rate: float = 0.015, seed: int = 3) -> list[float]:
         """Adam over shuffled batches; the mean loss of each epoch."""
         rng, step, losses = np.random.default_rng(seed), 0, []
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -235,6 +239,9 @@ def _example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]
     word = lambda: "".join(pick("abcdefghijklmnoprstuvéü") for _ in range(rng.integers(1, 9)))
 
     def email() -> str:
+        if rng.random() < 0.3:  # a long one
+            name, host = [word() for _ in range(rng.integers(2, 11))], [word() for _ in range(rng.integers(1, 8))]
+            return pick([".", ".", "_", "-"]).join(name) + pick(["@", " @ ", " @ ", "(@)"]) + ".".join([*host, pick(["com", "org", "example.com", "net"])])
         name = word() + pick(["", ".", "_", "+", "."]) + pick([digits(2), word()])
         return name + pick(["@", "@", "@", " @ ", "(@)"]) + word() + pick(["", digits(1)]) + pick([".", ".", " . "]) + pick(["com", "org", "example.com", "net"])
 
@@ -301,44 +308,140 @@ def trained(texts: int = 800, epochs: int = 5) -> Tagger:
 _TRIGGER = re.compile("[@0-9]")
 
 
-def model_spans(texts: list[str], model: Tagger, batch: int = 512) -> list[list[tuple[int, int, int]]]:
+def _windows(text: str) -> list[tuple[int, int]]:
+    """What to decode: ``REACH`` around each trigger, long runs in windows of
+    ``PIECE`` that overlap by half."""
+    out = []
+    for a, b in _merged([(max(0, m.start() - REACH), min(len(text), m.end() + REACH)) for m in _TRIGGER.finditer(text)]):
+        out += [(c, min(b, c + PIECE)) for c in range(a, max(a + 1, b - PIECE // 2), PIECE // 2)]
+    return out
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Their union, as ranges that don't meet."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _batches(todo: list[tuple[int, int, int]], cells: int):
+    """``todo`` by length, in parts of ``cells`` characters, padding included."""
+    todo = sorted(todo, key=lambda w: w[2] - w[1])
+    while todo:
+        n = 1
+        while n < len(todo) and (n + 1) * (todo[n][2] - todo[n][1]) <= cells:
+            n += 1
+        yield todo[:n]
+        todo = todo[n:]
+
+
+def model_spans(texts: list[str], model: Tagger, cells: int = 1 << 15) -> list[list[tuple[int, int, int]]]:
     """The spans that the model proposes in each text, reconciled over it."""
-    todo, found = [], [[] for _ in texts]
-    for k, text in enumerate(texts):
-        starts: set[int] = set()
-        for m in _TRIGGER.finditer(text):
-            w = m.start() // STRIDE
-            starts.update((w, w - 1) if w else (w,))
-        todo += [(k, w * STRIDE) for w in sorted(starts)]
-    for a in range(0, len(todo), batch):
-        part = todo[a : a + batch]
-        x = np.full((len(part), WINDOW), PAD)
-        for row, (k, start) in zip(x, part, strict=True):
-            own = classes(texts[k][start : start + WINDOW])
-            row[: len(own)] = own
-        tags, e = model.decode(x)
-        margin = e - e[:, :, :1]
-        for i in np.flatnonzero(tags.any(axis=1)):
-            k, start = part[i]
-            text, t = texts[k], 0
-            while t < WINDOW:
-                tag = tags[i, t]
-                if not tag:
-                    t += 1
-                    continue
-                kind, first = (tag - 1) // 2, t
-                t += 1
-                while t < WINDOW and tags[i, t] == 2 + 2 * kind:
-                    t += 1
-                if first == 0 and start or t == WINDOW and start + WINDOW < len(text):
-                    continue  # cut off here; the window half a stride on has it whole
-                score = float(margin[i, np.arange(first, t), tags[i, first:t]].sum())
-                span = start + first, start + t
-                if score >= LEAST_SCORE and span[1] <= len(text) and _plausible(text[span[0] : span[1]], kind):
-                    found[k].append((*span, int(kind), score))
+    todo = [(k, a, b) for k, text in enumerate(texts) for a, b in _windows(text)]
+    found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    sought: dict[int, list[tuple[int, int]]] = {}  # what the windows of ``todo`` shall have whole
+    reach = REACH
+    while todo:
+        whole: dict[int, list[tuple[int, int]]] = {}
+        cut: dict[int, list[tuple[int, int]]] = {}
+        for part in _batches(todo, cells):
+            x = np.full((len(part), part[-1][2] - part[-1][1]), PAD)
+            for row, (k, a, b) in zip(x, part, strict=True):
+                row[: b - a] = classes(texts[k][a:b])
+            tags, e = model.decode(x)
+            margin = e - e[:, :, :1]
+            for i in np.flatnonzero(tags.any(axis=1)):
+                k, start, stop = part[i]
+                for first, end, kind in _tagged(tags[i].tolist()):
+                    a, b = start + first, min(start + end, stop)
+                    if a >= stop:
+                        continue
+                    if a == start > 0 or b == stop < len(texts[k]):
+                        cut.setdefault(k, []).append((a, b))
+                        continue
+                    whole.setdefault(k, []).append((a, b))
+                    for c, d in _values(texts[k], a, b, kind):
+                        score = float(margin[i, np.arange(c - start, d - start), tags[i, c - start : d - start]].sum())
+                        if score >= LEAST_SCORE:
+                            found[k].append((c, d, kind, score))
+        # what no window had whole is read again with more on both sides, twice
+        # as much each time; then other spans at the new edges don't matter
+        todo, first_time, before, sought = [], reach == REACH, sought, {}
+        for k, spans in cut.items():
+            have = _furthest(whole.get(k, []))
+            touched = _touching(before.get(k, []))
+            sought[k] = [s for s in _merged(spans) if not have(*s) and (first_time or touched(*s))]
+            wide = [(max(0, a - reach), min(len(texts[k]), b + reach)) for a, b in sought[k]]
+            todo += [(k, a, b) for a, b in (_merged(wide) if reach >= 8 * REACH else wide)]
+        reach *= 2
     return [_best(spans) for spans in found]
 
 
+def _touching(ranges: list[tuple[int, int]]):
+    """Whether one of ``ranges``, which don't meet, has a part in another range."""
+    return lambda a, b: (i := bisect_left(ranges, (b,))) > 0 and ranges[i - 1][1] > a
+
+
+def _tagged(tags: list[int]):
+    """``(start, end, kind)`` of each run of one span's tags."""
+    t = 0
+    while t < len(tags):
+        tag, first = tags[t], t
+        t += 1
+        if tag:
+            kind = (tag - 1) // 2
+            while t < len(tags) and tags[t] == 2 + 2 * kind:
+                t += 1
+            yield first, t, kind
+
+
+def _furthest(spans: list[tuple[int, int]]):
+    """Whether one of ``spans`` covers a range."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        starts.append(a)
+        ends.append(max(b, ends[-1]) if ends else b)
+    return lambda a, b: (i := bisect_right(starts, a)) > 0 and ends[i - 1] >= b
+
+
+_WORD = re.compile(r"\S+")
+
+
+def _address(text: str, start: int, end: int) -> tuple[int, int]:
+    """An e-mail span less the words before and after that nothing joins to its
+    first ``@``: spaces stand only around ``@`` and dots."""
+    words = [m.span() for m in _WORD.finditer(text, start, end)]
+    i = j = next((n for n, (a, b) in enumerate(words) if "@" in text[a:b]), -1)
+    if i < 0:
+        return start, end
+    while i and (text[words[i][0]] in "@(." or text[slice(*words[i - 1])] == "."):
+        i -= 1
+    while j + 1 < len(words) and (text[words[j][1] - 1] in "@)" or text[slice(*words[j])] == "." or text[words[j + 1][0]] == "."):
+        j += 1
+    return words[i][0], words[j][1]
+
+
+def _values(text: str, start: int, end: int, kind: int) -> list[tuple[int, int]]:
+    """The plausible values in a span: an address less what isn't joined to it,
+    the span itself, or those of several numbers that the model ran together."""
+    if kind == 0:
+        start, end = _address(text, start, end)
+    if kind == 0 or _plausible(text[start:end], kind):
+        return [(start, end)] if _plausible(text[start:end], kind) else []
+    words, out, i = [m.span() for m in _WORD.finditer(text, start, end)], [], 0
+    while i < len(words):
+        # no value has more words than it has digits
+        j = next((j for j in range(i, min(i + 24, len(words))) if _plausible(text[words[i][0] : words[j][1]], kind)), None)
+        if j is not None:
+            out.append((words[i][0], words[j][1]))
+        i = i + 1 if j is None else j + 1
+    return out
+
+
 def _plausible(value: str, kind: int) -> bool:
     """Holds what no value of its kind lacks."""
     if kind == 0:

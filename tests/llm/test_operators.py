@@ -192,6 +192,24 @@ def test_pii_model_adds_and_leaves_clean_text_alone(model):
     assert pii.all_spans(["The year 2021 had 365 days, 12.5 % of them wet.\n" * 20, ""], model) == [([], []), ([], [])]
 
 
+@pytest.mark.parametrize("value", ["an.example.name @ mail.example.com", "firstname.lastname @ mail.department.example.com", "the.first.and.the.last.name.of.all @ mail.of.a.department.in.some.example.com", "firstname.lastname.of.the.long.department.name.and.more.of.it @ mail.department.of.something.else.example.longer.ex.com"])
+def test_pii_long_spans_at_every_offset(model, value):
+    assert 32 <= len(value) <= 120
+    texts = ["word " * 20 + "q" * (o % 9) + " ab" * (o // 9) + " " + value + " today " + "word " * 60 for o in range(64)]
+    for text, spans in zip(texts, pii.model_spans(texts, model), strict=True):
+        assert [text[a:b] for a, _, b in spans] == [value]
+
+
+def test_pii_splits_numbers_that_run_together(model):
+    spans = pii.model_spans(["word and so on, 4465758382889437 4465758382889437 some words after"], model)[0]
+    assert spans == [(16, 2, 32), (33, 2, 49)]
+
+
+def test_pii_reads_dense_text_once_or_a_few_times(model):
+    text = "".join(random.Random(1).choices("0123456789. -abc@", k=6000))
+    assert all(0 <= a < b <= len(text) for a, _, b in pii.model_spans([text, "", "@"], model)[0])
+
+
 def test_redaction(spark, model):
     got = frame(spark, [(1, "a me@x.org b 10.1.2.3"), (2, None)]).withColumn("text", pii.redacted(F.col("text"), model))
     assert dict(tuple(r) for r in got.collect()) == {1: "a [EMAIL] b [IP]", 2: None}
