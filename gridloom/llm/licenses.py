@@ -5,15 +5,21 @@ a-z and 0-9 and compared with templates of licence notices by the distinct
 bigrams of both: ``2 |common| / (|line| + |template|)``.  A line whose count of
 bigrams leaves no template within reach is dropped unread; the others meet the
 templates by an equi-join on bigrams with the size bounds of each template.
+Over what no matched line covers, windows of words as long as each template
+slide without regard to line breaks, so a notice that is wrapped, or stands
+within a long line or text, is found too.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 # Notices as their licences word them.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -50,11 +56,63 @@ def template_rows(templates: list[tuple[str, str]], percent: int) -> list[tuple[
     return rows
 
 
-def bigrams(text: Column) -> Column:
-    """The distinct pairs of neighbouring words."""
+def telling_words(templates: list[tuple[str, str]], percent: int) -> list[str]:
+    """Words of which all that reaches ``percent`` of a template holds one:
+    bigrams without them are fewer in each template than must be common."""
+    left: dict[int, tuple[int, list[str]]] = {}
+    for _, k, _, least, _, gram in template_rows(templates, percent):
+        left.setdefault(k, (least, []))[1].append(gram)
+    chosen: list[str] = []
+    while left := {k: (least, grams) for k, (least, grams) in left.items() if len(grams) >= least}:
+        counts = Counter(w for _, grams in left.values() for g in grams for w in set(g.split()))
+        word = max(counts, key=lambda w: (min(len(w), 7), counts[w], w))  # long words are rare in other texts
+        chosen.append(word)
+        left = {k: (least, [g for g in grams if word not in g.split()]) for k, (least, grams) in left.items()}
+    return chosen
+
+
+def pairs(text: Column) -> Column:
+    """The pairs of neighbouring words."""
     words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
     n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def bigrams(text: Column) -> Column:
+    """The distinct pairs of neighbouring words."""
+    return F.array_distinct(pairs(text))
+
+
+#: Stands for a line that has matched; in no template.
+MATCHED = "0matched0"
+
+
+def windows(rest: DataFrame, templates: list[tuple[str, str]], percent: int) -> DataFrame:
+    """``(doc_id, of, rank)`` of the windows of ``rest`` (``doc_id, of, text``)
+    that reach ``percent`` with the template that they are as long as; of
+    windows that overlap, the best."""
+    spark = rest.sparkSession
+    grams: dict[int, list[str]] = {}
+    for _, k, _, _, _, gram in template_rows(templates, percent):
+        grams.setdefault(k, []).append(gram)
+    long = {k: len(re.findall("[a-z0-9]+", templates[k][1].lower())) - 1 for k in grams}
+    most = max(long.values())
+    every = sorted({g for own in grams.values() for g in own})
+    known = spark.createDataFrame([(g, templates[k][0], long[k], len(own), own) for k, own in grams.items() for g in own], "bigram string, name string, long int, size int, grams array<string>")
+
+    words = rest.select("doc_id", "of", pairs(F.col("text")).alias("all"))
+    starts = F.transform("all", lambda g, i: F.when(g.isin(every), F.struct(i.alias("start"), F.slice("all", i + 1, F.lit(most)).alias("next"))))
+    at = words.select("doc_id", "of", F.explode(F.filter(starts, lambda x: x.isNotNull())).alias("x")).select("doc_id", "of", "x.start", "x.next")
+    met = at.join(F.broadcast(known), at["next"][0] == known["bigram"]).withColumn("own", F.slice("next", F.lit(1), F.col("long")))
+    met = met.withColumn("n", F.size(F.array_distinct("own"))).withColumn("common", F.size(F.array_intersect("own", "grams")))
+    dice = F.round(2 * F.col("common") / (F.col("n") + F.col("size")), 6)
+    near = met.filter(200 * F.col("common") >= percent * (F.col("n") + F.col("size")))
+    near = near.select("doc_id", "of", "start", (F.col("start") + F.size("own")).alias("end"), F.struct((-dice).alias("far"), (-F.col("size")).alias("less"), "name").alias("rank"), "long")
+    near = near.withColumn("order", F.struct("rank", "start")).distinct()
+    around = Window.partitionBy("doc_id", "of").orderBy("start").rangeBetween(-most, most)
+    beside = near.withColumn("others", F.collect_list(F.struct("start", "end", "order")).over(around))
+    better = F.exists("others", lambda x: (x["start"] < F.col("end")) & (F.col("start") < x["end"]) & (x["order"] < F.col("order")))
+    return beside.filter(~better).select("doc_id", "of", "start", "rank").distinct()
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, percent: int = 75) -> DataFrame:
@@ -63,8 +121,9 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     then the first name; null and 0 without a match) and ``licenses`` (all
     names found, sorted, comma-joined).
 
-    Units are the lines of a text and, if it has several and isn't longer than
-    any template could match, the text as a whole.  Null or empty text: no
+    Units are the lines of a text, a short text of several lines as a whole,
+    and the windows of ``windows`` in what no matched unit covers, in a text of
+    any length.  Null or empty text: no
     match.  Rows of one id are one document; null ids are one document too.
     Further columns are not read.  Empty input: no rows.
     """
@@ -75,11 +134,13 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     longest = 12 * max(len(t) for _, t in templates)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    telling = f"(?<![a-z0-9])(?:{'|'.join(telling_words(templates, percent))})(?![a-z0-9])"
+    likely = rows.filter(F.lower("text").rlike(telling))
     lines = F.split("text", "\n")
     whole = F.when((F.size(lines) > 1) & (F.length("text") <= longest), F.array("text")).otherwise(F.array().cast("array<string>"))
     # a unit has fewer bigrams than characters, so very short ones can go unread
-    units = rows.select("doc_id", F.posexplode(F.concat(lines, whole)).alias("unit", "line"), F.xxhash64("text").alias("of"))
-    units = units.filter(F.length("line") >= 2 * lowest).select("doc_id", "unit", "of", bigrams(F.col("line")).alias("grams"))
+    units = likely.select("doc_id", F.posexplode(F.concat(lines, whole)).alias("unit", "line"), F.xxhash64("text").alias("of"))
+    units = units.filter((F.length("line") >= 2 * lowest) & F.lower("line").rlike(telling)).select("doc_id", "unit", "of", bigrams(F.col("line")).alias("grams"))
     units = units.select("doc_id", "unit", "of", F.size("grams").alias("n"), "grams").filter(F.col("n").between(lowest, highest))
     each = units.select("doc_id", "unit", "of", "n", F.explode("grams").alias("bigram"))
     met = each.join(F.broadcast(known), "bigram").filter("n BETWEEN least AND most")
@@ -89,6 +150,13 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     # the greatest of (dice, size), then the least name
     found = near.select("doc_id", "of", "unit", "name", F.struct((-dice).alias("far"), (-F.col("size")).alias("less"), "name").alias("rank"))
     best = found.groupBy("doc_id", "of", "unit").agg(F.min("rank").alias("rank"))
+    best = saved(best, "licence-units")
+    done = best.groupBy("doc_id", "of").agg(F.collect_set("unit").alias("done"))
+    each = likely.select("doc_id", "text", F.xxhash64("text").alias("of")).distinct().alias("a")
+    each = each.join(done.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.of") == F.col("b.of")), "left").select("a.doc_id", "a.of", "text", F.coalesce("done", F.array().cast("array<int>")).alias("done"))
+    open_ = F.transform(lines, lambda line, i: F.when(F.array_contains("done", i), F.lit(MATCHED)).otherwise(line))
+    rest = each.filter(~F.array_contains("done", F.size(lines))).select("doc_id", "of", F.array_join(open_, " ").alias("text")).filter(F.lower("text").rlike(telling))
+    best = best.select("doc_id", "rank").union(windows(rest, templates, percent).select("doc_id", "rank"))
     told = best.select("doc_id", "rank", F.lit(1).alias("one")).union(rows.select("doc_id", F.lit(None), F.lit(0)).distinct())
     out = told.groupBy("doc_id").agg(F.sum("one").alias("n_matches"), F.min("rank").alias("r"), F.array_join(F.sort_array(F.collect_set("rank.name")), ",").alias("licenses"))
     return out.select("doc_id", "n_matches", F.col("r.name").alias("license"), F.coalesce(-F.col("r.far"), F.lit(0.0)).alias("dice"), "licenses")

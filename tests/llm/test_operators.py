@@ -136,6 +136,17 @@ def test_licence_bounds_lose_nothing():
 # ------------------------------------------------------------------------- PII
 
 
+def test_licences_wrapped_or_within_text(spark):
+    prose = " ".join(f"w{i}" for i in range(3000))
+    notices = {name: text for name, text in licenses.TEMPLATES if name in ("MIT", "GPL-3.0", "BSD-3-Clause", "LGPL-2.1") and len(text) > 100}
+    wrapped = {name: re.sub(r"((?:\S+ ){7}\S+) ", r"\1\n * ", text) for name, text in notices.items()}
+    rows, want = [(0, prose), (None, prose + "\n" + wrapped["MIT"])], {0: (0, ""), None: (1, "MIT")}
+    for i, (name, text) in enumerate(sorted(notices.items())):
+        rows += [(10 * i + 1, f"{prose}\n{wrapped[name]}\n{prose}"), (10 * i + 2, f"{prose} {text} {prose}"), (10 * i + 3, f"{prose} {text} {prose}\n{wrapped[name]}\n{prose}\n{text}\n")]
+        want |= {10 * i + 1: (1, name), 10 * i + 2: (1, name), 10 * i + 3: (3, name)}
+    assert {r.doc_id: (r.n_matches, r.licenses) for r in licenses.licenses(frame(spark, rows)).collect()} == want
+
+
 @pytest.fixture(scope="module")
 def model():
     return pii.trained()
