@@ -22,7 +22,6 @@ from .shared import in_small_batches
 KINDS = ["assign", "access", "hex", "guess"]
 #: Guesses, as a power of two, above which a value is no password that one makes up.
 LEAST_BITS = 45.0
-LONGEST = 256
 
 # Base patterns: fixed values.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -38,6 +37,12 @@ CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 
+#: Separators with a value, and names of any length that stand before them.
+SEPARATOR = re.compile("=>|:=|[:=]")
+VALUE = re.compile(r"""\x20*["']?([^\s"'`,;<>(){}\[\]]{8,})""", re.ASCII)
+NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+NAME = re.compile(r"_(?:pwd|passphrase|credentials?|auth|authorization|bearer|private_?key|access_?key|signature|session_?(?:id|key)|pin|pass|password|passwd|secret|token|api_?key)_")
+
 #: Words by rank: the more common, the sooner guessed.
 WORDS = (
     "password letmein welcome admin login master dragon monkey shadow sunshine princess football baseball secret token key test demo user root example default changeme hello "
@@ -66,10 +71,8 @@ def guess_bits(value: str) -> float:
     """Log2 of the guesses for the cheapest cut of ``value`` into spans.
 
     One pass over its ends: ``best[j]`` is the least cost of the first ``j``
-    characters.  Beyond ``LONGEST`` characters what follows adds nothing, as
-    the cost can only grow.
+    characters.
     """
-    value = value[:LONGEST]
     n, lower = len(value), value.lower()
     plain = lower.translate(LEET)
     per = _alphabet(value)
@@ -121,14 +124,40 @@ def all_spans(text: str) -> tuple[list, list]:
     if not any(map(lower.__contains__, CONTEXT_NAMES)):
         return base, base
     more = []
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
+    values = {m.span(1) for m in CONTEXT.finditer(text)}
+    taken = {a for a, _ in values}
+    values |= {span for span in _set_values(text) if span[0] not in taken}
+    for a, b in sorted(values):
         b -= len(text[a:b]) - len(text[a:b].rstrip(".:!?"))
         if b - a >= 8 and not any(s < b and a < e for s, _, e in base) and guess_bits(text[a:b]) >= LEAST_BITS and _mixed(text[a:b]):
             more.append((a, 3, b))
     return base, sorted(base + more)
 
 
+def _set_values(text: str):
+    """Values after a separator whose name has a credential's among its parts,
+    which ``_``, ``-`` or an inner capital divide.  From the separator to the
+    left, so names don't overlap and the whole is linear."""
+    at = 0
+    while m := SEPARATOR.search(text, at):
+        b = m.start()
+        while b > at and text[b - 1] == " ":
+            b -= 1
+        b -= b > at and text[b - 1] in "\"'"
+        a = b
+        while a > at and text[a - 1] in _IN_NAME:
+            a -= 1
+        name, at = text[a:b], m.end()
+        parts = "_".join(NAME_PART.findall(name)).lower()
+        if NAME.search(f"_{parts}_") or NAME.search("_" + name.lower().replace("-", "_") + "_"):
+            if v := VALUE.match(text, at):
+                yield v.span(1)
+                at = v.end()
+
+
+_IN_NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-")
+
+
 def _mixed(value: str) -> bool:
     """Not a plain word of some language: has a digit or an inner capital."""
     return any(map(str.isdigit, value)) or any(map(str.isupper, value[1:])) and any(map(str.islower, value))

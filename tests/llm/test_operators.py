@@ -399,6 +399,17 @@ def test_guessed_values_in_context():
     assert [text[a:b] for a, k, b in secrets.all_spans(text)[1]] == ["xK9mQ2v7Lp0wZ4", "q8Zt5Lw2Xc9Vb1Nm"]
 
 
+@pytest.mark.parametrize("setting", ["db_pwd            =      {}", "token_for_the_new_billing_service_of_all = {}", "dbPwd = {}", "userPassphrase: {}", "signature_" + "of_" * 50 + "x={}"])
+def test_guessed_values_after_any_name(setting):
+    value = "xK9mQ2v7Lp0wZ4"
+    text = "so " + setting.format(value) + " and tokenizer = qK9mQ2v7Lp0wZ4."
+    assert [text[a:b] for a, k, b in secrets.all_spans(text)[1] if k == 3] == [value]
+
+
+def test_guess_costs_count_all_of_a_value():
+    assert secrets.guess_bits("a" * 300 + "xK9mQ2v7Lp0wZ4") > secrets.guess_bits("a" * 300) + 40
+
+
 # --------------------------------------------------------------------- packing
 
 
