@@ -6,21 +6,38 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..scratch import saved
 
 
 def add_row_id(df: DataFrame, column_name: str, order_by: list[str]) -> DataFrame:
     """``df`` with ids from 0 without gaps, in the order of ``order_by``.
 
-    Rows are sorted by range over the cluster and numbered within their ranges;
-    the counts of the ranges, one row each, make the offsets.  Ties make the
-    order within equal rows open, so name a key.
+    Rows are sorted by range over the cluster, numbered within their ranges and
+    written once; ids and the counts of the ranges, one row each, come from
+    those files, so both sides see the same ranges.  Equal keys are ordered,
+    and spread over ranges, by a hash of the row.
     """
-    ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    rows = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(offsets), "_part").withColumn(column_name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    names = _unused(df, "_part", "_at", "_tie", "_n", "_before")
+    part, at, tie, n, before = names
+    hashable = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    order = [*order_by, tie]
+    rows = df.withColumn(tie, F.xxhash64(*(F.col(f"`{c}`") for c in hashable))).repartitionByRange(*order).sortWithinPartitions(*order).drop(tie)
+    rows = rows.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    rows = saved(rows, "row-ids")
+    counts = rows.groupBy(part).agg(F.count("*").alias(n))
+    ahead = F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    offsets = counts.select(part, F.coalesce(ahead, F.lit(0)).alias(before))
+    return rows.join(F.broadcast(offsets), part).withColumn(column_name, F.col(before) + F.col(at)).drop(part, at, before)
+
+
+def _unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where ``df`` has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def print_schema(df: DataFrame) -> None:
@@ -83,10 +100,15 @@ def transform_crs(df: DataFrame, geometry: str, source: str, target: str) -> Dat
     return df.withColumn(geometry, G.transform_crs(F.col(geometry), source, target))
 
 
-def get_cells_df(df: DataFrame, col_data: str, col_id: str, col_feature: str) -> DataFrame:
+def rows_at(df: DataFrame, id_column: str, ids: list[int]) -> DataFrame:
+    """The rows with these ids (see ``add_row_id``); ids beyond the last have none."""
+    return df.filter(F.col(id_column).isin(ids))
+
+
+def get_cells_df(df: DataFrame, col_data: str, col_id: str, col_feature: str, keep: list[str] | None = None) -> DataFrame:
     """The values of a flat array by place, as whole numbers without sign."""
-    each = df.select(F.posexplode(col_data).alias(col_id, "v"))
-    return each.select(col_id, F.abs(F.col("v").cast("int")).alias(col_feature))
+    each = df.select(*(keep or []), F.posexplode(col_data).alias(col_id, "v"))
+    return each.select(*(keep or []), col_id, F.abs(F.col("v").cast("int")).alias(col_feature))
 
 
 def map_layer(polygons: DataFrame, cells: DataFrame, cell_id: str, feature: str, geometry: str = "geometry") -> DataFrame:

@@ -54,12 +54,22 @@ def decimals(x: Column) -> Column:
     return F.greatest(F.lit(1), F.length(digits))
 
 
-def cell_of(x: Column, y: Column, b: Column, px: int, py: int) -> Column:
-    """The cell of a point; the grid is wider than the points by one unit of
-    the last decimal of its lower bound, so the greatest point lies inside."""
-    ix = (b["xmax"] - b["xmin"] + F.pow(F.lit(10.0), -decimals(b["xmin"]))) / px
-    iy = (b["ymax"] - b["ymin"] + F.pow(F.lit(10.0), -decimals(b["ymin"]))) / py
-    return (F.floor((y - b["ymin"]) / iy) * px + F.floor((x - b["xmin"]) / ix)).cast("int")
+def layout(df: DataFrame, geometry: str, px: int, py: int) -> Column:
+    """``struct<x, y, ix, iy>`` of the grid over the points of ``df``: its lower
+    left corner and the size of a cell, as a scalar subquery of one row.
+
+    The grid is wider than the points by one unit of the last decimal of its
+    lower bound, so the greatest point lies inside.
+    """
+    x, y = G.x_of(F.col(geometry)), G.y_of(F.col(geometry))
+    b = df.agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"))
+    size = lambda lo, hi, n: (F.col(hi) - F.col(lo) + F.pow(F.lit(10.0), -decimals(F.col(lo)))) / n
+    return b.select(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), size("x0", "x1", px).alias("ix"), size("y0", "y1", py).alias("iy"))).scalar()
+
+
+def cell_of(x: Column, y: Column, at: Column, px: int) -> Column:
+    """The cell of a point in a grid of that ``layout``."""
+    return (F.floor((y - at["y"]) / at["iy"]) * px + F.floor((x - at["x"]) / at["ix"])).cast("int")
 
 
 def aggregates(columns: list[str] | None, types: list[AggregationType] | None, aliases: list[str] | None) -> list[Column]:
@@ -75,10 +85,9 @@ def aggregates(columns: list[str] | None, types: list[AggregationType] | None, a
 
 
 def _gridded(df: DataFrame, geometry: str, px: int, py: int) -> DataFrame:
-    b = bounds(df, geometry)
-    rows = df.filter(F.col(geometry).isNotNull()).withColumn("_bounds", b)
     g = F.col(geometry)
-    return rows.withColumn("cell_id", cell_of(G.x_of(g), G.y_of(g), F.col("_bounds"), px, py)).drop("_bounds")
+    rows = df.filter(g.isNotNull()).withColumn("_grid", layout(df, geometry, px, py))
+    return rows.withColumn("cell_id", cell_of(G.x_of(g), G.y_of(g), F.col("_grid"), px)).drop("_grid")
 
 
 def get_st_grid_dataframe(

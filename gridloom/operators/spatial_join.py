@@ -120,19 +120,24 @@ def aggregate_spatial_dfs(
     return out.orderBy(id1) if ordered else out
 
 
-def points_in_grid(points: DataFrame, geometry: str, box: tuple[float, float, float, float], partitions_x: int, partitions_y: int) -> DataFrame:
-    """The points that a cell of the grid over ``box`` (xmin, ymin, xmax, ymax)
-    contains, with their ``cell_id``: what ``spatial_join`` with CONTAINS gives
-    for generated cells, without any join.  Points on an edge are in no cell."""
-    xmin, ymin, xmax, ymax = map(float, box)
-    ix, iy = (xmax - xmin) / partitions_x, (ymax - ymin) / partitions_y
+def points_in_grid(points: DataFrame, geometry: str, box: tuple[float, float, float, float] | None, partitions_x: int, partitions_y: int) -> DataFrame:
+    """The points that a cell of the grid over ``box`` (xmin, ymin, xmax, ymax;
+    without one, the points' own) contains, with their ``cell_id``: what
+    ``spatial_join`` with CONTAINS gives for generated cells, without any join.
+    Points on an edge are in no cell."""
     x, y = G.x_of(F.col(geometry)), G.y_of(F.col(geometry))
+    if box is None:
+        b = points.agg(F.struct(F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax"))).scalar()
+    else:
+        b = F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("xmin", "ymin", "xmax", "ymax"), box, strict=True)))
+    rows = points.withColumn("_b", b)
 
-    def place(v: Column, low: float, step: float, n: int) -> Column:
+    def place(v: Column, axis: str, n: int) -> Column:
         # the division may be off by one at an edge, so its neighbours are tried
+        low, step = F.col(f"_b.{axis}min"), (F.col(f"_b.{axis}max") - F.col(f"_b.{axis}min")) / n
         guess = F.floor((v - low) / step)
-        inside = lambda k: (k >= 0) & (k < n) & (v > F.lit(low) + F.lit(step) * k) & (v < F.lit(low) + F.lit(step) * (k + 1))
+        inside = lambda k: (k >= 0) & (k < n) & (v > low + step * k) & (v < low + step * (k + 1))
         return F.coalesce(*(F.when(inside(guess + d), guess + d) for d in (0, -1, 1)))
 
-    rows = points.withColumns({"_i": place(x, xmin, ix, partitions_x), "_j": place(y, ymin, iy, partitions_y)}).filter("_i IS NOT NULL AND _j IS NOT NULL")
-    return rows.withColumn("cell_id", (F.col("_j") * partitions_x + F.col("_i")).cast("int")).drop("_i", "_j")
+    rows = rows.withColumns({"_i": place(x, "x", partitions_x), "_j": place(y, "y", partitions_y)}).filter("_i IS NOT NULL AND _j IS NOT NULL")
+    return rows.withColumn("cell_id", (F.col("_j") * partitions_x + F.col("_i")).cast("int")).drop("_b", "_i", "_j")

@@ -45,6 +45,25 @@ def r6(c: Column | str) -> Column:
     return F.floor(c * 1e6 + 0.5) / 1e6
 
 
+def exact(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with ``<column>_dec``: hundredths as decimals, whose sums and means
+    don't depend on the order of the rows."""
+    return df.withColumns({f"{c}_dec": F.col(c).cast("decimal(14,2)") for c in columns})
+
+
+def as_double(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
+def _exact_sum(c: str) -> str:
+    return f"(sum(round({c} * 100)::HUGEINT) / 100)::DOUBLE"
+
+
+def _exact_mean(c: str) -> str:
+    """The mean of hundredths to six places, halves up, in whole numbers."""
+    return f"((20000 * sum(round({c} * 100)::HUGEINT) + count({c})) // (2 * count({c})) / 1e6)::DOUBLE"
+
+
 # ----------------------------------------------------------------- temporal
 
 query("date_reformat", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders")(
@@ -89,6 +108,7 @@ _EVENTS = _grid_sql("events", "value", "user_id", 8, 8)
 _STEPS = ", t AS (SELECT *, floor(epoch(ts))::BIGINT - (SELECT min(floor(epoch(ts))::BIGINT) FROM events) AS s FROM c)"
 _ROUND = "floor({} * 1e6 + 0.5) / 1e6"
 _ALL = list(AggregationType)
+_VALUES, _NAMES = ["value", "value_dec", "value_dec", "value", "value"], ["n", "total", "mean", "low", "high"]
 
 query("st_grid_count", f"{_EVENTS}{_STEPS} SELECT cell_id, s // 21600 AS _id_timestep, count(*) AS aggregated_feature FROM t GROUP BY ALL")(
     lambda s, d: grid.get_st_grid_dataframe(events(s, d), "geometry", 8, 8, "ts", 21600)
@@ -97,11 +117,12 @@ query("st_grid_count", f"{_EVENTS}{_STEPS} SELECT cell_id, s // 21600 AS _id_tim
 
 @query(
     "st_grid_multi_agg",
-    f"{_EVENTS}{_STEPS} SELECT cell_id, s // 21600 AS _id_timestep, count(value) AS n, {_ROUND.format('sum(value)')} AS total, {_ROUND.format('avg(value)')} AS mean, min(value) AS low, max(value) AS high FROM t GROUP BY cell_id, s // 21600",
+    f"{_EVENTS}{_STEPS} SELECT cell_id, s // 21600 AS _id_timestep, count(value) AS n, {_exact_sum('value')} AS total, {_exact_mean('value')} AS mean, min(value) AS low, max(value) AS high FROM t GROUP BY cell_id, s // 21600",
 )
 def st_grid_multi_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = grid.get_st_grid_dataframe(events(spark, sf_dir), "geometry", 8, 8, "ts", 21600, columns_to_aggregate=["value"] * 5, column_aggregation_types=_ALL, column_alias_list=["n", "total", "mean", "low", "high"])
-    return out.withColumns({"total": r6("total"), "mean": r6("mean")})
+    own = exact(events(spark, sf_dir), "value")
+    out = grid.get_st_grid_dataframe(own, "geometry", 8, 8, "ts", 21600, columns_to_aggregate=_VALUES, column_aggregation_types=_ALL, column_alias_list=_NAMES)
+    return as_double(out, "total", "mean")
 
 
 _ITEMS = _grid_sql("lineitem", "l_extendedprice", "l_quantity", 16, 10)
@@ -110,12 +131,13 @@ query("spatial_grid_count", f"{_ITEMS} SELECT cell_id, count(*) AS aggregated_fe
 
 @query(
     "spatial_grid_multi_agg",
-    f"{_ITEMS} SELECT cell_id, count(l_tax) AS n, {_ROUND.format('sum(l_discount)')} AS total, {_ROUND.format('avg(l_tax)')} AS mean, min(l_discount) AS low, max(l_tax) AS high FROM c GROUP BY cell_id",
+    f"{_ITEMS} SELECT cell_id, count(l_tax) AS n, {_exact_sum('l_discount')} AS total, {_exact_mean('l_tax')} AS mean, min(l_discount) AS low, max(l_tax) AS high FROM c GROUP BY cell_id",
 )
 def spatial_grid_multi_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     A = AggregationType
-    out = grid.get_spatial_grid_dataframe(items(spark, sf_dir), "geometry", 16, 10, ["l_tax", "l_discount", "l_tax", "l_discount", "l_tax"], [A.COUNT, A.SUM, A.AVG, A.MIN, A.MAX], ["n", "total", "mean", "low", "high"])
-    return out.withColumns({"total": r6("total"), "mean": r6("mean")})
+    own = exact(items(spark, sf_dir), "l_discount", "l_tax")
+    out = grid.get_spatial_grid_dataframe(own, "geometry", 16, 10, ["l_tax", "l_discount_dec", "l_tax_dec", "l_discount", "l_tax"], [A.COUNT, A.SUM, A.AVG, A.MIN, A.MAX], _NAMES)
+    return as_double(out, "total", "mean")
 
 
 def _corners(cells: DataFrame) -> DataFrame:
@@ -146,7 +168,7 @@ _EVENT_CELLS = f"p AS (SELECT *, value AS x, user_id::DOUBLE AS y, floor(epoch(t
 
 
 def _event_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    own = events(spark, sf_dir)
+    own = exact(events(spark, sf_dir), "value")
     cells = grid.generate_grid_cells(own, 8).withColumnRenamed("geometry", "cell")
     return cells, own.withColumn("day", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).cast("long"))
 
@@ -158,18 +180,18 @@ query("st_join_count", f"WITH {_EVENT_CELLS} SELECT day, cell_id, count(value) A
 
 @query(
     "st_join_agg_all",
-    f"WITH {_EVENT_CELLS} SELECT day, cell_id, count(value) AS n, {_ROUND.format('sum(value)')} AS total, {_ROUND.format('avg(value)')} AS mean, min(value) AS low, max(value) AS high FROM p JOIN g ON {_INSIDE} GROUP BY day, cell_id",
+    f"WITH {_EVENT_CELLS} SELECT day, cell_id, count(value) AS n, {_exact_sum('value')} AS total, {_exact_mean('value')} AS mean, min(value) AS low, max(value) AS high FROM p JOIN g ON {_INSIDE} GROUP BY day, cell_id",
 )
 def st_join_agg_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spatial_join.aggregate_st_dfs(*_event_cells(spark, sf_dir), "cell", "geometry", "cell_id", "day", GeoRelationship.CONTAINS, ["value"] * 5, _ALL, ["n", "total", "mean", "low", "high"])
-    return out.withColumns({"total": r6("total"), "mean": r6("mean")})
+    out = spatial_join.aggregate_st_dfs(*_event_cells(spark, sf_dir), "cell", "geometry", "cell_id", "day", GeoRelationship.CONTAINS, _VALUES, _ALL, _NAMES)
+    return as_double(out, "total", "mean")
 
 
-query("spatial_join_agg", f"WITH {_EVENT_CELLS} SELECT cell_id, {_ROUND.format('avg(value)')} AS mean FROM p JOIN g ON {_INSIDE} GROUP BY cell_id")(
-    lambda s, d: spatial_join.aggregate_spatial_dfs(*_event_cells(s, d), "cell", "geometry", "cell_id", GeoRelationship.CONTAINS, ["value"], [AggregationType.AVG], ["mean"]).withColumn("mean", r6("mean"))
+query("spatial_join_agg", f"WITH {_EVENT_CELLS} SELECT cell_id, {_exact_mean('value')} AS mean FROM p JOIN g ON {_INSIDE} GROUP BY cell_id")(
+    lambda s, d: spatial_join.aggregate_spatial_dfs(*_event_cells(s, d), "cell", "geometry", "cell_id", GeoRelationship.CONTAINS, ["value_dec"], [AggregationType.AVG], ["mean"]).withColumn("mean", F.col("mean").cast("double"))
 )
-query("points_in_grid", f"WITH p AS (SELECT event_id, value AS x, user_id::DOUBLE AS y FROM events), g AS ({_cells_sql(_box(0, 0, 100, 400), 10, 16)}) SELECT event_id, cell_id FROM p JOIN g ON {_INSIDE}")(
-    lambda s, d: spatial_join.points_in_grid(events(s, d), "geometry", (0, 0, 100, 400), 10, 16).select("event_id", "cell_id")
+query("points_in_grid", f"WITH p AS (SELECT event_id, value AS x, user_id::DOUBLE AS y FROM events), g AS ({_cells_sql(_EVENT_BOX, 10, 16)}) SELECT event_id, cell_id FROM p JOIN g ON {_INSIDE}")(
+    lambda s, d: spatial_join.points_in_grid(events(s, d), "geometry", None, 10, 16).select("event_id", "cell_id")
 )
 
 _TWO = f"WITH a AS ({_cells_sql(_box(0, 0, 8, 8), 8, 8)}), b AS ({_cells_sql(_box(1, 1, 5, 3), 8, 8)}) SELECT a.cell_id AS id1, b.cell_id AS id2 FROM a, b WHERE "
@@ -395,8 +417,8 @@ query("label_encode", "SELECT event_id AS image_data, (dense_rank() OVER (ORDER
 query("mask_threshold", f"{_R} SELECT vec_id, unnest(range(64))::INTEGER AS pos, unnest(list_transform(d, lambda v: (v >= 4)::INTEGER)) AS value FROM q")(
     lambda s, d: _long(datasets.segmentation_frame(rasters(s, d, True).select(F.col("vec_id").alias("k"), "data"), "k", "data", False, 4).toDF("vec_id", "v"), "v")
 )
-query("split_index", "SELECT o_orderkey, CASE WHEN i < floor(0.7 * n) THEN 'train' WHEN i < floor(0.9 * n) THEN 'validation' ELSE 'test' END AS split FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)")(
-    lambda s, d: datasets.split_train_validation_test(adapter.add_row_id(table(s, d, "orders").select("o_orderkey"), "i", ["o_orderkey"]), "i", 0.2, 0.1).select("o_orderkey", "split")
+query("split_index", "SELECT o_orderkey, o_totalprice, CASE WHEN i < floor(0.7 * n) THEN 'train' WHEN i < floor(0.9 * n) THEN 'validation' ELSE 'test' END AS split FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)")(
+    lambda s, d: datasets.split_train_validation_test(adapter.add_row_id(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "i", ["o_orderkey"]), "i", 0.2, 0.1).drop("i")
 )
 query("forecast_errors", f"SELECT {_ROUND.format('avg(pow(l_extendedprice - l_quantity * 1000, 2))')} AS mse, {_ROUND.format('avg(abs(l_extendedprice - l_quantity * 1000))')} AS mae, {_ROUND.format('sqrt(avg(pow(l_extendedprice - l_quantity * 1000, 2)))')} AS rmse FROM lineitem")(
     lambda s, d: datasets.forecast_errors(table(s, d, "lineitem").withColumn("p", F.col("l_quantity") * 1000), "p", "l_extendedprice").select(r6("mse").alias("mse"), r6("mae").alias("mae"), r6("rmse").alias("rmse"))
@@ -477,12 +499,22 @@ def glcm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ adapter helpers
 
-query("row_id", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS id FROM customer")(lambda s, d: adapter.add_row_id(table(s, d, "customer").select("c_custkey"), "id", ["c_custkey"]))
-query("top_rows", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")(lambda s, d: table(s, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(20))
+query("row_id", "SELECT c_custkey, c_name, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS id FROM customer")(
+    lambda s, d: adapter.add_row_id(table(s, d, "customer").select("c_custkey", "c_name", "c_acctbal"), "id", ["c_acctbal", "c_custkey"])
+)
+query("row_id_items", "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity, l_shipdate) - 1 AS id FROM lineitem")(
+    lambda s, d: adapter.add_row_id(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate"), "id", ["l_orderkey", "l_linenumber", "l_quantity", "l_shipdate"])
+)
+query("item_by_index", "SELECT o_orderkey, o_totalprice, i AS id FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i IN (0, 17, 1000000)")(
+    lambda s, d: adapter.rows_at(adapter.add_row_id(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "id", ["o_orderkey"]), "id", [0, 17, 1000000])
+)
+query("top_rows", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")(
+    lambda s, d: s.createDataFrame(adapter.get_top_rows(table(s, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey"), 20), table(s, d, "customer").select("c_custkey", "c_acctbal").schema)
+)
 query("drop_columns", "SELECT r_regionkey FROM region")(lambda s, d: adapter.drop_columns(table(s, d, "region"), [c for c in table(s, d, "region").columns if c != "r_regionkey"]))
 query("sample_rows")(lambda s, d: table(s, d, "orders").sample(0.1, 42).select("o_orderkey"))
 query("cells_of_array", f"{_R} SELECT vec_id, unnest(range(64))::INTEGER AS cell, unnest(list_transform(d, lambda v: abs(v::INTEGER))) AS feature FROM q")(
-    lambda s, d: _long(rasters(s, d, True), "data").select("vec_id", F.col("pos").alias("cell"), F.abs(F.col("value").cast("int")).alias("feature"))
+    lambda s, d: adapter.get_cells_df(rasters(s, d, True), "data", "cell", "feature", keep=["vec_id"])
 )
 
 

@@ -194,6 +194,20 @@ def test_labels_splits_and_ids(spark):
     assert {r["split"]: r["count"] for r in split} == {"train": 700, "validation": 200, "test": 100}
 
 
+def test_row_ids_keep_every_row_and_its_payload(spark, tmp_path):
+    n = 2_000_000
+    rows = spark.range(n, numPartitions=7).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("k"), F.concat(F.lit("p"), "id").alias("payload"), (F.col("id") % 3).alias("_part"))
+    for key in ("k", "_part"):  # distinct keys, and three that hold a third of the rows each
+        path = str(tmp_path / key)
+        adapter.add_row_id(rows, "i", [key]).write.parquet(path)
+        got = spark.read.parquet(path)
+        assert got.columns == ["k", "payload", "_part", "i"]
+        assert got.agg(F.count("*"), F.countDistinct("i"), F.min("i"), F.max("i"), F.countDistinct("payload")).first() == (n, n, 0, n - 1, n)
+        before = got.alias("a").join(got.alias("b"), F.expr("b.i = a.i + 1")).filter(F.col(f"a.{key}") > F.col(f"b.{key}"))
+        assert before.count() == 0
+    assert adapter.add_row_id(rows.limit(0), "i", ["k"]).count() == 0
+
+
 def test_lambert_feet(spark):
     at = spark.range(1).select(geometry.from_new_york_feet(geometry.vertex(F.lit(984250.0), F.lit(0.0))).alias("v")).first().v
     assert abs(at.x + 74.0) < 1e-4 and abs(at.y - 40.1666667) < 1e-3
