@@ -10,10 +10,10 @@ from pyarrow import fs
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    if re.match(r"[a-z][a-z0-9+.-]*:", path):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    return fs.LocalFileSystem(), path
+    """The file system of a URI (see ``shared.qualified``), and the path in it."""
+    if not re.match(r"[a-z][a-z0-9+.-]*:", path):
+        raise ValueError(f"a URI is needed, so that all machines mean the same file: {path}")
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
 @contextmanager

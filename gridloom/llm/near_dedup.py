@@ -21,6 +21,12 @@ How large groups of copies stay linear
     at a position from which enough elements are left in both.  A document that
     differs from its group's hub by more than a link allows has more elements
     of its own than that, so it doesn't meet the group's common elements at all.
+
+How hot keys are split
+    A value, hub or digest that many documents have is dealt over salts before
+    a join.  Lists that are still compared pair by pair first lose each entry
+    whose size and position leave no partner in that list, and long ones are
+    compared block by block, one task a pair of blocks.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WordHash, in_small_batches, ngram_hashes, saved, small
+from .shared import WordHash, discard, hot_keys, in_small_batches, ngram_hashes, salted, saved, small
 
 SKETCH_SIZE = 64
 #: Least count of shared retained values of two similar sets over 48 shingles.
@@ -81,7 +87,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v")).distinct()
+            roots = saved(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v")).distinct(), "roots")
+            discard(e)
+            return roots
         before = state
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -89,7 +97,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = saved(large.filter("u <> v"), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         lower = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = saved(lower.union(least.select("u", "m")).distinct(), "small-star")
+        old, e = e, saved(lower.union(least.select("u", "m")).distinct(), "small-star")
+        discard(old, large)
 
 
 class _Links:
@@ -97,6 +106,13 @@ class _Links:
 
     def __init__(self, texts: DataFrame, sketches: DataFrame, n: int, k: int, percent: int, broadcast_rows: int):
         self.texts, self.sketches, self.n, self.k, self.percent, self.limit = texts, sketches, n, k, percent, broadcast_rows
+        self.hot: DataFrame | None = None  # retained values
+        self.scratch: list[DataFrame] = []
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written, to be discarded with this object's other tables."""
+        self.scratch.append(saved(df, name))
+        return self.scratch[-1]
 
     def near(self, a: str, b: str) -> Column:
         """Whether sets of these sizes can be similar enough."""
@@ -106,79 +122,112 @@ class _Links:
         exact = self.k * self.percent // 100
         return F.expr(f"CASE WHEN {n} <= {exact} THEN ceil({self.percent} * {n} / 100) ELSE {min(LEAST_SHARED, exact)} END")
 
+    def counted(self, counts: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+        """``counts`` (with ``value, c``) written, and its hot values."""
+        counts = self.saved(counts, name)
+        hot = hot_keys(counts, ["value"], counts.agg(F.sum("c")).first()[0] or 0)
+        return counts, hot
+
     def index(self) -> DataFrame:
         """``(value, id, n)``: of each sketch the values that its list entries need."""
         entries = self.sketches.select("id", "n", F.explode("sketch").alias("value"))
-        counts = entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-        typical = (F.sum(F.log2("df")) / F.least("n", F.lit(self.k))).alias("typical")
-        shared = entries.join(counts, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"), typical)
+        counts, self.hot = self.counted(entries.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1"), "value-counts")
+        typical = (F.sum(F.log2("c")) / F.least("n", F.lit(self.k))).alias("typical")
+        met = salted(entries, counts, ["value"], self.hot, "id")
+        shared = met.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("vs"), typical)
         keep = shared.withColumn("keep", (F.size("vs") - self.least_shared("n") + 1).cast("int")).filter("keep > 0")
         each = keep.select("id", "n", "typical", F.explode(F.slice("vs", F.lit(1), F.col("keep"))).alias("x"))
-        return saved(each.select(F.col("x.value").alias("value"), "id", "n", "typical"), "index")
+        return self.saved(each.select(F.col("x.value").alias("value"), "id", "n", "typical"), "index")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The ``pairs(a, b)`` that are similar enough by their full sets."""
-        ids = saved(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "ids")
+        """The ``pairs(a, b)`` that are similar enough by their full sets; ``a``
+        may be in very many of them."""
+        hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("c")), ["a"], pairs.count())
+        ids = self.saved(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "ids")
         sketches = self.sketches.join(small(ids, self.limit), "id", "left_semi").select("id", "sketch")
         side = lambda x: sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, self.k)
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", union.alias("u"), F.array_intersect("sa", "sb").alias("both"))
+        likely = salted(pairs.join(side("b"), "b"), side("a"), ["a"], hot, "b").select("a", "b", union.alias("u"), F.array_intersect("sa", "sb").alias("both"))
         enough = 100 * self.k * F.size(F.array_intersect("u", "both")) >= min(LEAST_SHARED, self.k) * 100 * F.size("u")
-        likely = saved(likely.filter(enough).select("a", "b").distinct(), "likely")
+        likely = self.saved(likely.filter(enough).select("a", "b").distinct(), "likely")
         few = likely.count() <= self.limit
         put = F.broadcast if few else (lambda x: x)
         full = _full_sets(self.n)
         members = self.texts.join(put(likely.withColumnRenamed("b", "id")), "id").select("a", F.col("id").alias("b"), full("text").alias("fb"))
         hubs = self.texts.join(put(likely.select(F.col("a").alias("id")).distinct()), "id").select(F.col("id").alias("a"), full("text").alias("fa"))
-        both = members.join(hubs, "a").withColumn("i", F.size(F.array_intersect("fa", "fb")))
-        return saved(both.filter(100 * F.col("i") >= self.percent * (F.size("fa") + F.size("fb") - F.col("i"))).select("a", "b"), "links")
+        both = salted(members, hubs, ["a"], hot, "b").withColumn("i", F.size(F.array_intersect("fa", "fb")))
+        links = self.saved(both.filter(100 * F.col("i") >= self.percent * (F.size("fa") + F.size("fb") - F.col("i"))).select("a", "b"), "links")
+        discard(ids, likely, hot)
+        return links
 
     def _open(self, index: DataFrame, roots: DataFrame) -> DataFrame:
         """The entries of lists that hold several components, with ``root``."""
         rows = index.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         lists = rows.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("value")
-        return saved(rows.join(lists, "value", "left_semi"), "open-lists")
+        return self.saved(salted(rows, lists, ["value"], self.hot, "id"), "open-lists")
 
     def _by_full_sets(self, ids: DataFrame) -> DataFrame:
-        """Candidates ``(a, b)`` among ``ids(id, root)`` of different roots."""
+        """Candidates ``(a, b)`` among ``ids(id, root)`` of different roots.
+
+        A value that one component alone holds is shared by no pair, so it comes
+        first in the order of each set, and in no list.
+        """
         full = self.texts.join(small(ids, self.limit), "id").select("id", "root", _full_sets(self.n)("text").alias("s"))
-        full = saved(full.withColumn("n", F.size("s")), "full-sets")
+        full = self.saved(full.withColumn("n", F.size("s")), "full-sets")
         each = full.select("id", "root", "n", F.explode("s").alias("value"))
-        counts = each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+        several = lambda df, *more: df.groupBy("value").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y"), *more).filter("x <> y").drop("x", "y")
+        counts, hot = self.counted(several(each), "full-counts")
         own = Window.partitionBy("id", "n")
-        at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "value"))
-        entries = each.join(counts, "value").withColumn("at", at).filter(100 * (F.col("n") - F.col("at") + 1) >= self.percent * F.col("n"))
-        entries = saved(entries.select("value", "id", "root", "n", "at"), "full-index")
-        other = entries.select("value", *(F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "at")))
-        left = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1
-        enough = (100 + self.percent) * left >= self.percent * (F.col("n") + F.col("n2"))
-        met = entries.join(other, "value").filter((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & self.near("n", "n2") & enough)
-        return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+        at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "value"))
+        entries = salted(each, counts, ["value"], hot, "id").withColumn("left", F.col("n") - at + 1)
+        entries = self.saved(entries.filter(100 * F.col("left") >= self.percent * F.col("n")).select("value", "id", "root", "n", "left"), "full-index")
+        # sets a and b have at most min(left a, left b) in common from here on
+        reach = lambda left, n: (100 + self.percent) * left >= self.percent * n
+        lists, hot = self.counted(several(entries, F.min("n").alias("shortest")), "full-lists")
+        rows = salted(entries, lists, ["value"], hot, "id").filter(reach(F.col("left"), F.col("n") + F.col("shortest")))
+        rows = self.saved(rows.drop("shortest", "c"), "full-rows")
+        counts, hot = self.counted(several(rows), "full-row-counts")
+        if hot is None:
+            left, right, one_way = rows, rows, F.col("id") < F.col("id2")
+            keys = ["value"]
+        else:
+            dealt = rows.join(F.broadcast(hot), "value", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+            dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+            left = dealt.withColumns({"low": F.col("block"), "high": F.explode(F.sequence(F.col("block"), F.col("salts") - 1))}).drop("block", "salts")
+            right = dealt.withColumns({"high": F.col("block"), "low": F.explode(F.sequence(F.lit(0), F.col("block")))}).drop("block", "salts")
+            keys, one_way = ["value", "low", "high"], (F.col("low") < F.col("high")) | (F.col("id") < F.col("id2"))
+        other = right.select(*keys, *(F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "left")))
+        enough = reach(F.least("left", "left2"), F.col("n") + F.col("n2"))
+        met = left.join(other, keys).filter(one_way & (F.col("root") != F.col("root2")) & self.near("n", "n2") & enough)
+        return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
     def all(self, same: DataFrame) -> DataFrame:
         """``(node, root)`` of all representatives that have a link; ``same``
         holds pairs that are one document anyway."""
         index, tested = self.index(), None
-        roots = saved(components(same), "roots")
+        roots = components(same)
         for last in (False, False, True):
             rows = self._open(index, roots)
             if last:
-                pairs = self._by_full_sets(saved(rows.select("id", "root").distinct(), "open-ids"))
+                pairs = self._by_full_sets(self.saved(rows.select("id", "root").distinct(), "open-ids"))
             else:
                 hubs = rows.groupBy("value").agg(F.min(F.struct((-F.col("typical")).alias("by"), "id", "n", "root")).alias("h"))
-                hubs = saved(hubs.select("value", F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.root").alias("root2")), "hubs")
-                met = rows.join(hubs, "value").filter((F.col("root") != F.col("root2")) & self.near("n", "n2"))
-                pairs = met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+                hubs = self.saved(hubs.select("value", F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.root").alias("root2")), "hubs")
+                met = salted(rows, hubs, ["value"], self.hot, "id").filter((F.col("root") != F.col("root2")) & self.near("n", "n2"))
+                pairs = met.select(F.col("id2").alias("a"), F.col("id").alias("b")).distinct()
                 # a hub has been compared with all of its list
                 index = rows.select("value", "id", "n", "typical").join(hubs.select("value", F.col("id2").alias("id")), ["value", "id"], "left_anti")
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = saved(pairs, "candidates")
+            pairs = self.saved(pairs, "candidates")
             if pairs.isEmpty():
                 continue
             links = self.confirmed(pairs)
-            tested = pairs if tested is None else tested.union(pairs)
-            roots = saved(components(links.union(roots.select("root", "node"))), "roots")
+            both_ways = pairs.union(pairs.select("b", "a"))
+            tested = both_ways if tested is None else tested.union(both_ways)
+            old, roots = roots, components(links.union(roots.select("root", "node")))
+            discard(old)
+        discard(*self.scratch, self.hot)
         return roots
 
 
@@ -191,26 +240,32 @@ def near_duplicates(
 
     Words are runs of anything but the six ASCII space characters, with A-Z in
     lower case; a link is a similarity of ``percent`` / 100 or more.  Null or
-    empty text: no shingles, linked with nothing.  Null id: takes part with its
-    text, is never a component's id, and is kept only if its component has no
-    id.  Rows of one id and text share their verdict; rows of one id and
-    different texts each have that of their text.  Further columns of ``docs``
-    are not read.  Empty input: no rows.
+    empty text: no shingles, linked with nothing.  A very long text is one set
+    as any other, as large as its distinct shingles.  Null id: takes part with
+    its text, is never a component's id, and is kept only if its component has
+    no id.  Rows of one id and text share their verdict, so if one is kept all
+    are; rows of one id and different texts each have that of their text.
+    Further columns of ``docs`` are not read.  Empty input: no rows.
     """
     in_small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = _sketches(shingle, k)
     rows = saved(base.select("id", sketch("text").alias("s")).select("id", "s.*"), "sketches")
-    filled = rows.filter("n > 0")
-    sets = saved(filled.groupBy("d1", "d2").agg(F.min("id").alias("rep")).filter("rep IS NOT NULL"), "sets")
-    told = filled.join(sets, ["d1", "d2"])
-    reps = saved(told.filter("id = rep").select("id", "n", "d1", "d2", "sketch").dropDuplicates(["d1", "d2"]), "representatives")
+    filled, digest = rows.filter("n > 0"), ["d1", "d2"]
+    sets = saved(filled.groupBy(*digest).agg(F.min("id").alias("rep"), F.count("*").alias("c")), "sets")
+    hot = hot_keys(sets, digest, rows.count())
+    told = salted(filled.select("id", "n", *digest), sets.select(*digest, "rep"), digest, hot, "id")
+    told = saved(told.select("id", "n", "rep"), "representatives-of")
+    first = sets.filter("rep IS NOT NULL").select(*digest, F.col("rep").alias("id"))
+    reps = saved(filled.join(first, [*digest, "id"], "left_semi").dropDuplicates(digest).select("id", "n", "sketch"), "representatives")
     # an id with several texts makes their sets one document
-    least = told.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("id", "a")
-    same = saved(told.join(least, "id").select("a", F.col("rep").alias("b")), "same-id")
-    links = _Links(base.filter("id IS NOT NULL"), reps.select("id", "n", "sketch"), shingle, k, percent, broadcast_rows)
+    several = told.filter("id IS NOT NULL").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("id", "a")
+    same = saved(told.join(several, "id").select("a", F.col("rep").alias("b")).distinct(), "same-id")
+    links = _Links(base.filter("id IS NOT NULL"), reps, shingle, k, percent, broadcast_rows)
     roots = links.all(same)
-    verdict = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
-    out = rows.select("id", "n", "d1", "d2").join(verdict, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    hot_reps = None if hot is None else saved(sets.join(F.broadcast(hot), digest).filter("rep IS NOT NULL").select("rep", "salts"), "hot-representatives")
+    linked = salted(told, roots.select(F.col("node").alias("rep"), "root"), ["rep"], hot_reps, "id", "left")
+    out = linked.select("id", "n", F.coalesce("root", "rep").alias("component")).union(rows.filter("n = 0").select("id", "n", F.col("id").alias("component")))
+    discard(sets, reps, same, hot)
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

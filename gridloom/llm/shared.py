@@ -1,33 +1,22 @@
-"""What the operators of this subpackage share: the scratch folder that all
-machines see, tables written there to cut lineage, and word hashing."""
+"""What the operators of this subpackage share: joins whose frequent keys are
+dealt over several tasks, copies numbered in blocks, and word hashing."""
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of ids that may be broadcast (8 bytes each); above it joins shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder (not made yet) below ``spark.checkpoint.dir``.
+from ..scratch import discard, qualified, saved, shared_folder
 
-    Only where the session names no such folder, as in tests, one is set here.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-gridloom-"))
-        base = sc.getCheckpointDir()
-    return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
+__all__ = ["BROADCAST_ROWS", "WordHash", "copies_numbered", "discard", "hot_keys", "in_small_batches", "mixed", "ngram_hashes", "qualified", "salted", "saved", "shared_folder", "small"]
 
+#: Rows of ids that may be broadcast (8 bytes each); above it joins shuffle.
+BROADCAST_ROWS = 1_000_000
+#: A key is hot if more rows have it than both ``HOT_ROWS`` and one in
+#: ``HOT_SHARE`` of all rows, so there are at most ``HOT_SHARE`` hot keys.
+HOT_ROWS, HOT_SHARE = 1_000, 2_000
 
 #: Text that goes to a Python worker at once.
 BATCH_BYTES = 8 << 20
@@ -36,27 +25,55 @@ BATCH_BYTES = 8 << 20
 def in_small_batches(spark: SparkSession) -> None:
     """Lets the session send Python workers no more than ``BATCH_BYTES`` at once,
     where it still has Spark's own bound of 64 MB: texts take several times
-    their size there."""
+    their size there.  The setting stays, as plans run after they are made."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name) == f"{64 << 20}b":
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: later steps start
-    from files that outlive any executor."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (narrow, already saved), marked for broadcast if it has at most
     ``limit`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame | None:
+    """``keys, salts`` of the hot keys in ``counts`` (``keys, c``; ``total`` is
+    the sum of ``c``), or None if none is hot."""
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    hot = counts.filter(F.col("c") > most).select(*keys, F.ceil(F.col("c") / most).cast("int").alias("salts"))
+    hot = saved(hot, "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def salted(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has a row or a few for each key.  Rows
+    of ``many`` with a hot key are dealt over its salts by ``by``, and the rows
+    of ``one`` repeated for each salt, so no task gets all rows of a key."""
+    if hot is None:
+        return many.join(one, keys, how)
+    known = F.broadcast(hot)  # HOT_SHARE rows at most
+    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")), F.lit(0)).cast("int")
+    many = many.join(known, keys, "left").withColumn("salt", salt).drop("salts")
+    one = one.join(known, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return many.join(one, [*keys, "salt"], how).drop("salt")
+
+
+#: Rows that one row is made into at a time.
+BLOCK_COPIES = 1 << 16
+
+
+def copies_numbered(df: DataFrame, first: Column, end: Column, name: str) -> DataFrame:
+    """``df`` with a row for each number from ``first`` to ``end`` - 1 as
+    ``name``.  Ranges are cut into blocks that are dealt over the tasks before
+    they are counted out, so one row of many copies is no task's work alone."""
+    blocks = F.sequence(first.cast("long"), end.cast("long") - 1, F.lit(BLOCK_COPIES).cast("long"))
+    cut = df.withColumn("_end", end.cast("long")).withColumn("_block", F.explode(blocks))
+    cut = cut.repartition(*(c for c in df.columns), "_block")
+    each = F.explode(F.sequence(F.col("_block"), F.least(F.col("_end"), F.col("_block") + BLOCK_COPIES) - 1))
+    return cut.withColumn(name, each).drop("_block", "_end")
+
+
 class WordHash(dict):
     """64-bit hashes of words, remembered up to ``limit`` words."""
 
