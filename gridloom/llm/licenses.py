@@ -1,25 +1,25 @@
 """Licence scans: Dice coefficient over word bigrams, in native operations.
 
-Each line of a text, and each short text as a whole, is normalised to words of
-a-z and 0-9 and compared with templates of licence notices by the distinct
-bigrams of both: ``2 |common| / (|line| + |template|)``.  A line whose count of
-bigrams leaves no template within reach is dropped unread; the others meet the
-templates by an equi-join on bigrams with the size bounds of each template.
-Over what no matched line covers, windows of words as long as each template
-slide without regard to line breaks, so a notice that is wrapped, or stands
-within a long line or text, is found too.
+A text is normalised to words of a-z and 0-9, line breaks and marks being
+spaces, and its runs of neighbouring words are compared with templates of
+licence notices: ``2 common / (run + template)``, where ``common`` counts the
+template's distinct bigrams in the run, ``run`` the bigrams of the run and
+``template`` the template's distinct bigrams.  The best run of each template
+counts, wherever it stands and however the notice is wrapped.
+
+Bounds prune without loss: a run that reaches the threshold has between
+``least`` and ``most`` bigrams, and the best one begins and ends with bigrams
+of the template.  So of a text only the places of template bigrams go on, and
+of these only where ``least`` of one template stand close enough together.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
-
 # Notices as their licences word them.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -40,13 +40,19 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 ]
 
 
 def template_rows(templates: list[tuple[str, str]], percent: int) -> list[tuple[str, int, int, int, int, str]]:
     """``(licence, template, size, least, most, bigram)`` for every bigram of
-    every template; ``least`` and ``most`` bound the size of what can reach
-    ``percent``: the common part is as large as the smaller set at most."""
+    every template; ``least`` and ``most`` bound the size of a run that can reach
+    ``percent``: the common part is as large as the smaller of both at most."""
     rows = []
     for k, (name, text) in enumerate(templates):
         words = re.findall("[a-z0-9]+", text.lower())
@@ -56,107 +62,59 @@ def template_rows(templates: list[tuple[str, str]], percent: int) -> list[tuple[
     return rows
 
 
-def telling_words(templates: list[tuple[str, str]], percent: int) -> list[str]:
-    """Words of which all that reaches ``percent`` of a template holds one:
-    bigrams without them are fewer in each template than must be common."""
-    left: dict[int, tuple[int, list[str]]] = {}
-    for _, k, _, least, _, gram in template_rows(templates, percent):
-        left.setdefault(k, (least, []))[1].append(gram)
-    chosen: list[str] = []
-    while left := {k: (least, grams) for k, (least, grams) in left.items() if len(grams) >= least}:
-        counts = Counter(w for _, grams in left.values() for g in grams for w in set(g.split()))
-        word = max(counts, key=lambda w: (min(len(w), 7), counts[w], w))  # long words are rare in other texts
-        chosen.append(word)
-        left = {k: (least, [g for g in grams if word not in g.split()]) for k, (least, grams) in left.items()}
-    return chosen
-
-
-def pairs(text: Column) -> Column:
-    """The pairs of neighbouring words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-
-
-def bigrams(text: Column) -> Column:
-    """The distinct pairs of neighbouring words."""
-    return F.array_distinct(pairs(text))
-
-
-#: Stands for a line that has matched; in no template.
-MATCHED = "0matched0"
-
-
-def windows(rest: DataFrame, templates: list[tuple[str, str]], percent: int) -> DataFrame:
-    """``(doc_id, of, rank)`` of the windows of ``rest`` (``doc_id, of, text``)
-    that reach ``percent`` with the template that they are as long as; of
-    windows that overlap, the best."""
-    spark = rest.sparkSession
-    grams: dict[int, list[str]] = {}
-    for _, k, _, _, _, gram in template_rows(templates, percent):
-        grams.setdefault(k, []).append(gram)
-    long = {k: len(re.findall("[a-z0-9]+", templates[k][1].lower())) - 1 for k in grams}
-    most = max(long.values())
-    every = sorted({g for own in grams.values() for g in own})
-    known = spark.createDataFrame([(g, templates[k][0], long[k], len(own), own) for k, own in grams.items() for g in own], "bigram string, name string, long int, size int, grams array<string>")
-
-    words = rest.select("doc_id", "of", pairs(F.col("text")).alias("all"))
-    starts = F.transform("all", lambda g, i: F.when(g.isin(every), F.struct(i.alias("start"), F.slice("all", i + 1, F.lit(most)).alias("next"))))
-    at = words.select("doc_id", "of", F.explode(F.filter(starts, lambda x: x.isNotNull())).alias("x")).select("doc_id", "of", "x.start", "x.next")
-    met = at.join(F.broadcast(known), at["next"][0] == known["bigram"]).withColumn("own", F.slice("next", F.lit(1), F.col("long")))
-    met = met.withColumn("n", F.size(F.array_distinct("own"))).withColumn("common", F.size(F.array_intersect("own", "grams")))
-    dice = F.round(2 * F.col("common") / (F.col("n") + F.col("size")), 6)
-    near = met.filter(200 * F.col("common") >= percent * (F.col("n") + F.col("size")))
-    near = near.select("doc_id", "of", "start", (F.col("start") + F.size("own")).alias("end"), F.struct((-dice).alias("far"), (-F.col("size")).alias("less"), "name").alias("rank"), "long")
-    near = near.withColumn("order", F.struct("rank", "start")).distinct()
-    around = Window.partitionBy("doc_id", "of").orderBy("start").rangeBetween(-most, most)
-    beside = near.withColumn("others", F.collect_list(F.struct("start", "end", "order")).over(around))
-    better = F.exists("others", lambda x: (x["start"] < F.col("end")) & (F.col("start") < x["end"]) & (x["order"] < F.col("order")))
-    return beside.filter(~better).select("doc_id", "of", "start", "rank").distinct()
+def bigrams(words: Column, first_words: list[str]) -> Column:
+    """The pairs of neighbouring words in lower case, in order; null where the
+    first is none of ``first_words``."""
+    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.zip_with(words, after, lambda a, b: F.when(F.lower(a).isin(first_words), F.lower(F.concat(a, F.lit(" "), b))))
+
+
+def best_dice(places: Column, size: Column, least: Column, most: Column) -> Column:
+    """The greatest coefficient of a run.  ``places`` has ``struct<at, gram>`` of
+    the template's bigrams in a text, in order; linear in their count, as a run
+    has at most ``most`` bigrams."""
+
+    def of_start(i: Column) -> Column:
+        start = F.get(places, i)["at"]
+
+        def step(state: Column, x: Column) -> Column:
+            count = F.size(state["seen"]) + 1
+            dice = 2 * count / (x["at"] - start + 1 + size)
+            wider = F.struct(F.greatest(state["best"], dice).alias("best"), F.array_append(state["seen"], x["gram"]).alias("seen"))
+            return F.when((x["at"] - start >= most) | F.array_contains(state["seen"], x["gram"]), state).otherwise(wider)
+
+        empty = F.struct(F.lit(0.0).alias("best"), F.array().cast("array<string>").alias("seen"))
+        return F.aggregate(F.slice(places, i + 1, most), empty, step, lambda state: state["best"])
+
+    n = F.size(places)
+    starts = F.when(n >= least, F.sequence(F.lit(0), n - least)).otherwise(F.array().cast("array<int>"))
+    dense = F.filter(starts, lambda i: F.get(places, i + least - 1)["at"] - F.get(places, i)["at"] < most)
+    return F.coalesce(F.array_max(F.transform(dense, of_start)), F.lit(0.0))
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, percent: int = 75) -> DataFrame:
-    """One row for each id: ``n_matches`` (units that reach ``percent`` with a
-    template), ``license`` and ``dice`` of the best (then the larger template,
+    """One row for each id: ``n_matches`` (templates of which a run reaches
+    ``percent``), ``license`` and ``dice`` of the best (then the larger template,
     then the first name; null and 0 without a match) and ``licenses`` (all
     names found, sorted, comma-joined).
 
-    Units are the lines of a text, a short text of several lines as a whole,
-    and the windows of ``windows`` in what no matched unit covers, in a text of
-    any length.  Null or empty text: no
-    match.  Rows of one id are one document; null ids are one document too.
-    Further columns are not read.  Empty input: no rows.
+    Null or empty text: no match.  Texts of any length are read whole.  Rows of
+    one id are one document; null ids are one document too.  Further columns
+    are not read.  Empty input: no rows.
     """
-    spark = docs.sparkSession
-    known = spark.createDataFrame(template_rows(templates, percent), "name string, template int, size int, least int, most int, bigram string")
-    lowest = min(r[3] for r in template_rows(templates, percent))
-    highest = max(r[4] for r in template_rows(templates, percent))
-    longest = 12 * max(len(t) for _, t in templates)
-
+    rules = template_rows(templates, percent)
+    known = docs.sparkSession.createDataFrame(rules, "name string, template int, size int, least int, most int, gram string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    telling = f"(?<![a-z0-9])(?:{'|'.join(telling_words(templates, percent))})(?![a-z0-9])"
-    likely = rows.filter(F.lower("text").rlike(telling))
-    lines = F.split("text", "\n")
-    whole = F.when((F.size(lines) > 1) & (F.length("text") <= longest), F.array("text")).otherwise(F.array().cast("array<string>"))
-    # a unit has fewer bigrams than characters, so very short ones can go unread
-    units = likely.select("doc_id", F.posexplode(F.concat(lines, whole)).alias("unit", "line"), F.xxhash64("text").alias("of"))
-    units = units.filter((F.length("line") >= 2 * lowest) & F.lower("line").rlike(telling)).select("doc_id", "unit", "of", bigrams(F.col("line")).alias("grams"))
-    units = units.select("doc_id", "unit", "of", F.size("grams").alias("n"), "grams").filter(F.col("n").between(lowest, highest))
-    each = units.select("doc_id", "unit", "of", "n", F.explode("grams").alias("bigram"))
-    met = each.join(F.broadcast(known), "bigram").filter("n BETWEEN least AND most")
-    common = met.groupBy("doc_id", "of", "unit", "n", "template", "name", "size").agg(F.count_distinct("bigram").alias("common"))
-    near = common.filter(200 * F.col("common") >= percent * (F.col("n") + F.col("size")))
-    dice = F.round(2 * F.col("common") / (F.col("n") + F.col("size")), 6)
-    # the greatest of (dice, size), then the least name
-    found = near.select("doc_id", "of", "unit", "name", F.struct((-dice).alias("far"), (-F.col("size")).alias("less"), "name").alias("rank"))
-    best = found.groupBy("doc_id", "of", "unit").agg(F.min("rank").alias("rank"))
-    best = saved(best, "licence-units")
-    done = best.groupBy("doc_id", "of").agg(F.collect_set("unit").alias("done"))
-    each = likely.select("doc_id", "text", F.xxhash64("text").alias("of")).distinct().alias("a")
-    each = each.join(done.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.of") == F.col("b.of")), "left").select("a.doc_id", "a.of", "text", F.coalesce("done", F.array().cast("array<int>")).alias("done"))
-    open_ = F.transform(lines, lambda line, i: F.when(F.array_contains("done", i), F.lit(MATCHED)).otherwise(line))
-    rest = each.filter(~F.array_contains("done", F.size(lines))).select("doc_id", "of", F.array_join(open_, " ").alias("text")).filter(F.lower("text").rlike(telling))
-    best = best.select("doc_id", "rank").union(windows(rest, templates, percent).select("doc_id", "rank"))
-    told = best.select("doc_id", "rank", F.lit(1).alias("one")).union(rows.select("doc_id", F.lit(None), F.lit(0)).distinct())
-    out = told.groupBy("doc_id").agg(F.sum("one").alias("n_matches"), F.min("rank").alias("r"), F.array_join(F.sort_array(F.collect_set("rank.name")), ",").alias("licenses"))
+    every = sorted({r[-1] for r in rules})
+    words = rows.select("doc_id", F.sha2("text", 256).alias("of"), F.split("text", "[^A-Za-z0-9]+").alias("words"))
+    grams = bigrams(F.col("words"), sorted({g.split()[0] for g in every}))
+    each = words.select("doc_id", "of", F.posexplode(grams).alias("at", "gram")).filter(F.col("gram").isin(every)).distinct()
+    met = each.join(F.broadcast(known), "gram")  # as many rows as the templates have bigrams
+    lists = met.groupBy("doc_id", "of", "template", "name", "size", "least", "most").agg(F.sort_array(F.collect_list(F.struct("at", "gram"))).alias("places"))
+    dice = F.round(best_dice(F.col("places"), F.col("size"), F.col("least"), F.col("most")), 6)
+    # least far first: the greatest (dice, size), then the least name
+    found = lists.select("doc_id", "template", dice.alias("dice"), "size", "name").filter(F.col("dice") * 100 >= percent - 1e-4)
+    found = found.select("doc_id", "template", F.struct((-F.col("dice")).alias("far"), (-F.col("size")).alias("less"), "name").alias("rank"))
+    told = found.union(rows.select("doc_id", F.lit(None), F.lit(None)).distinct())
+    out = told.groupBy("doc_id").agg(F.count_distinct("template").alias("n_matches"), F.min("rank").alias("r"), F.array_join(F.sort_array(F.collect_set("rank.name")), ",").alias("licenses"))
     return out.select("doc_id", "n_matches", F.col("r.name").alias("license"), F.coalesce(-F.col("r.far"), F.lit(0.0)).alias("dice"), "licenses")

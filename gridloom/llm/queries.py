@@ -124,27 +124,28 @@ FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN names USING (doc_id)
 
 
 def _licence_sql() -> str:
-    """Every unit with every template, without the bounds that prune."""
+    """Every run between two bigrams of every template, without bounds that prune
+    but the greatest length that can match."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(TEMPLATES))
-    longest = 12 * max(len(text) for _, text in TEMPLATES)
-    grams = r"""list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"""
-    words = r"""list_filter(string_split_regex(lower({t}), '[^a-z0-9]+'), lambda w: w <> '')"""
+    words = "list_filter(string_split_regex(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '')"
+    grams = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
     return f"""
 WITH t AS (SELECT k, name, {words.format(t="text")} AS w FROM (VALUES {values}) v(k, name, text)),
-tg AS (SELECT k, name, {grams.format(w="w")} AS g FROM t),
-split AS (SELECT doc_id, md5(coalesce(text, '')) AS h, string_split(coalesce(text, ''), chr(10)) AS lines, coalesce(text, '') AS text FROM documents),
-units AS (SELECT doc_id, h, unnest(range(len(u))) AS i, unnest(u) AS line FROM (SELECT doc_id, h,
-  CASE WHEN len(lines) > 1 AND length(text) <= {longest} THEN list_append(lines, text) ELSE lines END AS u FROM split)),
-w AS (SELECT doc_id, h, i, {words.format(t="line")} AS w FROM units),
-g AS (SELECT doc_id, h, i, {grams.format(w="w")} AS g FROM w),
-common AS (SELECT doc_id, h, i, name, len(tg.g) AS m, len(g.g) AS n, len(list_intersect(g.g, tg.g)) AS c FROM g, tg WHERE len(g.g) > 0),
-near AS (SELECT DISTINCT *, round(2.0::DOUBLE * c / (n + m), 6) AS dice FROM common WHERE 200 * c >= 75 * (n + m)),
-best AS (SELECT doc_id, h, i, name, m, dice, row_number() OVER (PARTITION BY doc_id, h, i ORDER BY dice DESC, m DESC, name) AS r FROM near),
-one AS (SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM best WHERE r = 1 GROUP BY doc_id),
-top AS (SELECT doc_id, name, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, m DESC, name) AS r FROM best WHERE r = 1)
+tg AS (SELECT DISTINCT k, name, unnest({grams}) AS g FROM t),
+ts AS (SELECT k, name, count(*) AS m FROM tg GROUP BY k, name),
+d AS (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS h, {words.format(t="coalesce(text, '')")} AS w FROM documents),
+e AS (SELECT doc_id, h, unnest(range(len(w) - 1)) AS p, unnest({grams}) AS g FROM d WHERE len(w) > 1),
+hits AS (SELECT doc_id, h, k, p, g FROM e JOIN tg USING (g)),
+runs AS (SELECT a.doc_id, a.h, a.k, a.p AS s, b.p AS e, m, name FROM hits a JOIN ts ON ts.k = a.k
+  JOIN hits b ON b.doc_id IS NOT DISTINCT FROM a.doc_id AND b.h = a.h AND b.k = a.k AND b.p >= a.p AND 75 * (b.p - a.p + 1 + m) <= 200 * least(m, b.p - a.p + 1)),
+common AS (SELECT r.doc_id, r.h, r.k, r.name, r.m, r.s, r.e, count(DISTINCT c.g) AS c FROM runs r
+  JOIN hits c ON c.doc_id IS NOT DISTINCT FROM r.doc_id AND c.h = r.h AND c.k = r.k AND c.p BETWEEN r.s AND r.e GROUP BY ALL),
+near AS (SELECT doc_id, k, name, m, max(round(2.0::DOUBLE * c / (e - s + 1 + m), 6)) AS dice FROM common WHERE 200 * c >= 75 * (e - s + 1 + m) GROUP BY ALL),
+one AS (SELECT doc_id, count(DISTINCT k) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM near GROUP BY doc_id),
+top AS (SELECT doc_id, name, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, m DESC, name) AS r FROM near)
 SELECT d.doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, top.name AS license, coalesce(dice, 0.0)::DOUBLE AS dice, coalesce(names, '') AS licenses
-FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN one USING (doc_id) LEFT JOIN top ON top.doc_id = d.doc_id AND top.r = 1
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN one ON one.doc_id IS NOT DISTINCT FROM d.doc_id LEFT JOIN top ON top.doc_id IS NOT DISTINCT FROM d.doc_id AND top.r = 1
 """
 
 
