@@ -5,11 +5,13 @@ its cell, and the next virtual node clockwise is its home.  A full shard takes
 no more: what overflows goes on clockwise to the next shard with room.  The
 capacities add up to the number of rows, so counts are at most one apart.
 
-Documents are ranked within (cell, part) groups, where the part is a hash of
-the whole row, so one frequent id spreads over ``PARTS`` groups.  Only the
-counts of the groups, ``CELLS * PARTS`` at most whatever the input, reach the
-driver; there the walk along the ring turns them into ranges of ranks for each
-shard, and the documents meet those ranges in a broadcast join.
+Documents are ranked within groups of a cell.  A cell has one group, or as many
+as share its documents out so that none has much more than one in ``GROUPS`` of
+all, by a hash of the whole row; so one frequent id spreads over many groups.
+Only the counts of the cells and of the groups, ``CELLS`` and ``CELLS + GROUPS``
+at most whatever the input, reach the driver; there the walk along the ring
+turns them into ranges of ranks for each shard, and the documents meet those
+ranges in a broadcast join.
 """
 
 from __future__ import annotations
@@ -19,7 +21,11 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS, PARTS, VIRTUAL_NODES = 4096, 16, 64
+from .shared import copies_numbered, saved
+
+CELLS, GROUPS, VIRTUAL_NODES = 4096, 65_536, 64
+#: Documents of a group at least, before a cell is divided.
+GROUP_ROWS = 1_000
 
 
 def _cell(name: str) -> int:
@@ -87,23 +93,29 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     gaps in each shard) and ``grown_shard`` (null: under bounded loads the other
     rows decide too).
 
-    Null text counts as empty; null ids have one home.  Equal rows are counted
+    Null text counts as empty; very long texts are read whole; null ids have one
+    home.  Equal rows are counted
     before they are dealt and numbered after it.  Further columns are not read.
     Empty input: no rows.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
-    part = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(PARTS)).cast("int")
-    rows = rows.withColumns({"cell": cell_of(F.col("doc_id")), "part": part})
+    key = ["doc_id", "size", "text_crc32"]
+    rows = saved(rows.groupBy(*key).agg(F.count("*").alias("copies")).withColumn("cell", cell_of(F.col("doc_id"))), "shard-rows")
+    loads = [(r.cell, r.n) for r in rows.groupBy("cell").agg(F.sum("copies").alias("n")).collect()]
+    most = max(GROUP_ROWS, sum(n for _, n in loads) // GROUPS)
+    parts = spark.createDataFrame([(c, -(-n // most)) for c, n in loads], "cell int, parts long")
+    rows = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64(*key), F.col("parts")).cast("int")).drop("parts")
     counts = {(r.cell, r.part): r.n for r in rows.groupBy("cell", "part").agg(F.sum("copies").alias("n")).collect()}
-    plan = docs.sparkSession.createDataFrame(ranges(counts, shards), "cell int, part int, low long, high long, shard int, first_slot long")
+    plan = spark.createDataFrame(ranges(counts, shards), "cell int, part int, low long, high long, shard int, first_slot long")
 
-    order = Window.partitionBy("cell", "part").orderBy("doc_id", "size", "text_crc32")
+    order = Window.partitionBy("cell", "part").orderBy(*key)
     end = F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = rows.withColumn("end", end).withColumn("begin", F.col("end") - F.col("copies"))
     met = ranked.join(F.broadcast(plan), ["cell", "part"]).filter("begin < high AND low < end")
-    rank = F.explode(F.sequence(F.greatest("begin", "low"), F.least("end", "high") - 1)).alias("rank")
-    each = met.select("doc_id", "size", "text_crc32", "shard", "low", "first_slot", rank)
-    slot = (F.col("first_slot") + F.col("rank") - F.col("low")).alias("slot")
-    return each.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot, F.lit(None).cast("int").alias("grown_shard"))
+    # slots of the range's first rank and of the one after its last
+    first = F.col("first_slot") + F.greatest("begin", "low") - F.col("low")
+    n = F.least("end", "high") - F.greatest("begin", "low")
+    each = copies_numbered(met.select(*key, "shard", first.alias("first"), (first + n).alias("last")), F.col("first"), F.col("last"), "slot")
+    return each.select(*key, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
