@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .files import opened, written_file
-from .shared import in_small_batches, saved, shared_folder
+from .shared import in_small_batches, qualified, saved, shared_folder
 
 MAGIC = b"GLOOM8B1"
 BLOCK_IDS = 1 << 16
@@ -170,22 +170,27 @@ def read_documents(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         yield None if is_null else doc, parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+#: Memory of the pieces that a worker remembers, and the longest piece kept.
+CACHE_BYTES, PIECE_CHARS = 160 << 20, 64
+
+
 class CachedTokenizer:
     """The ids that a byte-level BPE tokenizer gives a text, piece by piece.
 
     Such a tokenizer cuts a text before each space that a visible character
-    follows, and codes the pieces by themselves; so pieces met before need no
-    coding again.  A text with other white space after a space is coded whole.
+    follows, and codes the pieces by themselves; so short pieces met before need
+    no coding again.  A text with other white space after a space, or with the
+    string of a special token, is coded whole.
     """
 
     OTHER = re.compile(r" (?:\s|$)")
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.limit, self.known = limit, {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.limit, self.known, self.held = limit, {}, 0
 
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of each token: one a character of its name
@@ -194,21 +199,31 @@ class CachedTokenizer:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _coded(self, pieces: list[str]) -> dict[str, bytes]:
         """Codes pieces in one go; their ids part where their bytes do."""
         ids = self._whole(" " + " ".join(pieces))
         ends = np.cumsum(self.bytes[ids])
         sizes = np.fromiter((len(p.encode("utf-8")) + 1 for p in pieces), np.int64, len(pieces))
         cuts = np.searchsorted(ends, np.cumsum(sizes), "left") + 1
-        raw, start = ids.tobytes(), 0
+        raw, start, out = ids.tobytes(), 0, {}
         for p, cut in zip(pieces, cuts.tolist(), strict=True):
-            self.known[p] = raw[4 * start : 4 * cut]
+            out[p] = raw[4 * start : 4 * cut]
             start = cut
+        return out
+
+    def _keep(self, coded: dict[str, bytes]) -> None:
+        if self.held > self.limit:
+            self.known.clear()
+            self.held = 0
+        for p, raw in coded.items():
+            if len(p) <= PIECE_CHARS:
+                self.known[p] = raw
+                self.held += 200 + 4 * len(p) + len(raw)  # both objects and their entry, at most
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if self.OTHER.search(text):
+        if self.OTHER.search(text) or any(map(text.__contains__, self.special)):
             return self._whole(text)
         first, _, rest = text.partition(" ")
         head = self._whole(first).tobytes() if first else b""
@@ -218,12 +233,12 @@ class CachedTokenizer:
             return np.frombuffer(head + b"".join(map(known.__getitem__, pieces)), np.uint32)
         except KeyError:
             pass
-        if len(known) > self.limit:
-            known.clear()
-        new = [p for p in {*pieces} if p not in known]
+        new, coded = [p for p in {*pieces} if p not in known], {}
         for a in range(0, len(new), 4096):
-            self._learn(new[a : a + 4096])
-        return np.frombuffer(head + b"".join(map(known.__getitem__, pieces)), np.uint32)
+            coded |= self._coded(new[a : a + 4096])
+        out = np.frombuffer(head + b"".join([known.get(p) or coded[p] for p in pieces]), np.uint32)
+        self._keep(coded)
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -232,42 +247,51 @@ def cached_tokenizer(path: str) -> CachedTokenizer:
     return CachedTokenizer(path)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Codes every text, with ``end_id`` after it, into files below ``folder``
-    in ascending order of id, and returns the files: ``part`` (their order),
-    ``path, n_docs, n_tokens``.
+#: Ids of a file, before the next one begins.
+FILE_IDS = 1 << 24
+FILES = "part long, file long, path string, n_docs long, n_tokens long"
+
 
-    Null text counts as empty.  Null ids come first.  Rows of one id go by
-    their text's hash, then the text.  Further columns are not read.
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Codes every text as the tokenizer does by itself, with ``end_id`` after
+    it, into files below ``folder`` in ascending order of id, and returns the
+    files: ``part, file`` (their order), ``path, n_docs, n_tokens``.  A task
+    begins a new file after ``FILE_IDS`` ids.
+
+    Null text counts as empty; a very long text is one document in one file.
+    Null ids come first.  Rows of one id go by their text's hash, then the text.
+    Further columns are not read.  Empty input: no files.
     """
     in_small_batches(docs.sparkSession)
+    folder = qualified(docs.sparkSession, folder)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
+    schema = pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = cached_tokenizer(tokenizer_path)
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        with written_file(folder, "tokens", ".s8b") as (stream, path):
-            writer = Writer(stream)
-            while first is not None:
-                for id_, t in zip(first.column(0).to_pylist(), first.column(1), strict=True):
-                    writer.add(id_, np.append(coder.ids(t.as_py()), np.uint32(end_id)))
-                first = next(batches, None)
-            writer.close()
-        out = {"part": [TaskContext.get().partitionId()], "path": [path], "n_docs": [len(writer.docs)], "n_tokens": [writer.total]}
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
-
-    return saved(rows.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "token-files")
+        each = ((id_, t) for b in batches for id_, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        row, file = next(each, None), 0
+        while row is not None:
+            with written_file(folder, "tokens", ".s8b") as (stream, path):
+                writer = Writer(stream)
+                while row is not None and writer.total < FILE_IDS:
+                    writer.add(row[0], np.append(coder.ids(row[1].as_py()), np.uint32(end_id)))
+                    row = next(each, None)
+                writer.close()
+            out = {"part": [TaskContext.get().partitionId()], "file": [file], "path": [path], "n_docs": [len(writer.docs)], "n_tokens": [writer.total]}
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+            file += 1
+
+    return saved(rows.mapInArrow(write, FILES), "token-files")
 
 
 def read_tokens(files: DataFrame, ids: bool = True) -> DataFrame:
     """The documents in ``files`` (of ``write_tokens``): ``doc_id, start`` (ids
     of all documents before it), ``n_tokens, ids_crc32`` and, if asked for,
     the ``ids``."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     placed = files.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("start"))
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))]
     schema = pa.schema(fields if ids else fields[:-1])
@@ -276,10 +300,10 @@ def read_tokens(files: DataFrame, ids: bool = True) -> DataFrame:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with opened(path) as stream:
-                    data = stream.read()
+                    data = stream.read()  # of FILE_IDS ids and one document at most
                 rows, held = [], 0
                 for doc, own in read_documents(data):
-                    rows.append((doc, start, len(own), zlib.crc32(own.astype("<u4").tobytes()), own.astype(np.int32) if ids else None)[: len(schema)])
+                    rows.append((doc, start, len(own), zlib.crc32(own.astype("<u4", copy=False).tobytes()), own.astype(np.int32) if ids else None)[: len(schema)])
                     start += len(own)
                     held += len(own) * ids + 8
                     if held > 4 << 20:
