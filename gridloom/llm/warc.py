@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import opened, written_file
-from .shared import in_small_batches, saved, shared_folder
+from .shared import in_small_batches, qualified, saved, shared_folder, small
 
 #: Equal payloads below this size are stored each time.
 REVISIT_BYTES = 1000
@@ -36,37 +37,36 @@ def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:x-page:{'null' if page_id is None else page_id}>"
-
-
-def page_of(uri: str) -> int | None:
-    name = uri.strip("<>").rpartition(":")[2]
-    return None if name == "null" else int(name)
-
-
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One record as a gzip member.  A revisit holds the HTTP header alone,
-    whose Content-Length and the payload digest are those of the full payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, first: tuple[int, str | None] | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One record as a gzip member; with ``first``, the id and the url of the
+    page that has the payload, a revisit of it.  A revisit holds the HTTP header
+    alone, whose Content-Length and the payload digest are those of the full
+    payload.  Record ids are unique; pages are named in fields of their own."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+    block = http + payload if first is None else http
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Type", "response" if first is None else "revisit"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
         ("WARC-Date", date),
-        ("WARC-Target-URI", quote(url or "urn:x-unknown", safe=":/?#[]@!$&'()*+,;=%~")),
+        ("WARC-Target-URI", _uri(url)),
         ("WARC-Payload-Digest", _sha1(payload)),
         ("WARC-Block-Digest", _sha1(block)),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
-    if revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to))]
+    if page_id is not None:
+        fields.append(("X-Page-ID", str(page_id)))
+    if first is not None:
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", _uri(first[1])), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-ID", str(first[0]))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(head.encode()) + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
 
 
+def _uri(url: str | None) -> str:
+    return quote(url or "urn:x-unknown", safe=":/?#[]@!$&'()*+,;=%~")
+
+
 @dataclass
 class Record:
     headers: dict[str, str]
@@ -147,17 +147,23 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     Of equal payloads of ``revisit_bytes`` or more the one with the largest id
     is the response and the others revisit it; rows that share that id, and all
     rows where no id is set, are responses.  Null html is an empty payload, a
-    null url ``urn:x-unknown``.  Further columns are not read.
+    null url ``urn:x-unknown``; a very long page is one record.  Repeated rows
+    are a record each.  Further columns are not read.  Empty input: no files.
+
+    Pages meet the table of repeated payloads by digest: digests, ids and urls
+    alone, broadcast while they are few; else pages are shuffled once.
     """
     in_small_batches(pages.sparkSession)
+    folder = qualified(pages.sparkSession, folder)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumns({"size": F.length("payload").cast("long"), "sha1": F.sha1("payload")})
-    twice = rows.filter(F.col("size") >= revisit_bytes).groupBy("sha1").agg(F.count("*").alias("c"), F.max("id").alias("first")).filter("c > 1 AND first IS NOT NULL").drop("c")
-    twice = saved(twice, "warc-payloads")
+    large = rows.filter(F.col("size") >= revisit_bytes).select("sha1", "id", "url")
+    twice = large.groupBy("sha1").agg(F.count("*").alias("c"), F.max(F.struct("id", "url")).alias("first")).filter("c > 1 AND first.id IS NOT NULL").drop("c")
+    twice = small(saved(twice, "warc-payloads"))
     rows = rows.join(twice, "sha1", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    rows = rows.select("id", "url", "payload", "first", revisit.alias("revisit"))
+    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
+    rows = rows.select("id", "url", "payload", F.when(revisit, F.col("first.id")).alias("to"), F.when(revisit, F.col("first.url")).alias("to_url"))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)
@@ -166,8 +172,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         n = 0
         with written_file(folder, "pages", ".warc.gz") as (stream, path):
             while first is not None:
-                for id_, url, payload, to, again in zip(*(c.to_pylist() for c in first.columns), strict=True):
-                    stream.write(record(id_, url, payload, to, again))
+                for id_, url, payload, to, to_url in zip(*(c.to_pylist() for c in first.columns), strict=True):
+                    stream.write(record(id_, url, payload, None if to is None else (to, to_url)))
                     n += 1
                 first = next(batches, None)
         yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [n]}, schema=pa.schema([("path", pa.string()), ("n_records", pa.int64())]))
@@ -193,9 +199,9 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
                     for r in records(stream):
                         kind = r.headers["warc-type"]
                         digest = base64.b32decode(r.headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        to = page_of(r.headers["warc-refers-to"]) if kind == "revisit" else None
+                        page, to = (None if v is None else int(v) for v in map(r.headers.get, ("x-page-id", "x-refers-to-page-id")))
                         size = int(r.http["content-length"]) if kind == "revisit" else len(r.payload)
-                        row = (page_of(r.headers["warc-record-id"]), r.headers["warc-target-uri"], size, digest, kind, to, r.payload if kind == "response" else None)
+                        row = (page, r.headers["warc-target-uri"], size, digest, kind, to, r.payload if kind == "response" else None)
                         rows.append(row[: len(schema)])
                         held += len(r.payload) * payloads + 200
                         if held > 16 << 20:
