@@ -4,27 +4,29 @@ Of every ``w`` consecutive k-gram hashes of a text the least is kept (the last
 one of equals), so two texts that share ``w + k - 1`` words in a row share a
 kept hash.  The fingerprints of the test items are joined with those of the
 documents, and each meeting point is extended in both directions over the
-words: a run of ``window`` words or more is contamination.  With k = 5 and
-w = 6 every window of 10 words is found.  Items shorter than the window count
-as one window; their lengths are few, so each is looked up at every position.
+windows that hold it: one that is equal to a window of an item is contamination.
+With k = 5 and w = 6 every window of 10 words is found.  Items shorter than the
+window count as one window; their lengths are few, so each is looked up at
+every position.
+
+Equal windows of different items are one class with a set of items, so a window
+that many items share costs no more than another.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WordHash, in_small_batches, ngram_hashes, saved
+from .shared import WordHash, hot_keys, in_small_batches, ngram_hashes, salted, saved, small
 
 WINDOW, GRAM = 10, 5
-#: Words of all test items up to which they are sent to every task (8 bytes a
-#: word and about as much for fingerprints); above it the fingerprints are
-#: joined by a shuffle.
+#: Words of all test items up to which they are sent to every task (about 30
+#: bytes a word); above it windows are joined by a shuffle.
 ITEM_WORDS = 4_000_000
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -51,59 +53,106 @@ def kept_positions(grams: np.ndarray, w: int) -> np.ndarray:
     return np.unique(at)
 
 
+def _least(grams: np.ndarray, w: int) -> np.ndarray:
+    """The least hash of every ``w`` in a row."""
+    out = grams[: len(grams) - w + 1].copy()
+    for i in range(1, w):
+        np.minimum(out, grams[i : i + len(out)], out=out)
+    return out
+
+
+def _near(positions: np.ndarray, w: int, n: int) -> np.ndarray:
+    """The starts below ``n`` of windows of ``w`` grams that hold a position."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, np.maximum(positions - w + 1, 0), 1)
+    np.add.at(edges, np.minimum(positions + 1, n), -1)
+    return np.flatnonzero(np.cumsum(edges)[:n] > 0)
+
+
+def _marked(starts: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Which of ``n`` words lie in a run of ``size`` from one of ``starts``."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + size, -1)
+    return np.cumsum(edges)[:n] > 0
+
+
 class Items:
-    """Test items as word hashes, with their fingerprints and short items."""
+    """The windows of test items: fingerprints, and for each class of equal
+    windows the set of its items."""
 
     def __init__(self, items: list[tuple[int | None, np.ndarray]], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
         self.names = [name for name, _ in items]
-        self.words = [w for _, w in items]
-        prints: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for k, w in enumerate(self.words):
+        prints, windows, short = [], ([], []), {}
+        for k, (_, w) in enumerate(items):
             if len(w) >= window:
-                grams = ngram_hashes(w, gram)
-                for p in kept_positions(grams, window - gram + 1):
-                    prints[int(grams[p])].append((k, int(p)))
-            elif len(w):
-                self.short.setdefault(len(w), {}).setdefault(int(ngram_hashes(w, len(w))[0]), []).append(k)
-        self.prints = dict(prints)
-        self.sorted = np.array(sorted(prints), np.uint64)
-        self.sorted_short = {n: np.array(sorted(by), np.uint64) for n, by in self.short.items()}
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, set[int]]:
-        """Which words lie in a window of an item, and the items found."""
-        hit, found = np.zeros(len(words), bool), set()
-        if len(words) >= self.window and len(self.sorted):
-            grams = ngram_hashes(words, self.gram)
-            met = np.flatnonzero(_among(grams, self.sorted))
+                prints.append(_least(ngram_hashes(w, gram), window - gram + 1))
+            if len(w):
+                size = min(len(w), window)
+                hashes, owners = windows if size == window else short.setdefault(size, ([], []))
+                own = np.unique(ngram_hashes(w, size))
+                hashes.append(own)
+                owners.append(np.full(len(own), k, np.int32))
+        self.prints = np.unique(np.concatenate(prints)) if prints else np.empty(0, np.uint64)
+        self.sets: list[tuple[int, ...]] = [(k,) for k in range(len(items))]
+        known: dict[tuple[int, ...], int] = {}
+        self.windows = self._classes(*windows, known)
+        self.short = {size: self._classes(*s, known) for size, s in sorted(short.items())}
+        self.told: dict[bytes, tuple[int, str]] = {}
+
+    def _classes(self, hashes: list[np.ndarray], owners: list[np.ndarray], known: dict[tuple[int, ...], int]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes in order, and the set of each."""
+        if not hashes:
+            return np.empty(0, np.uint64), np.empty(0, np.int32)
+        h, k = np.concatenate(hashes), np.concatenate(owners)
+        order = np.lexsort((k, h))
+        h, k = h[order], k[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sets = k[first]
+        ends = np.append(first[1:], len(h))
+        for i in np.flatnonzero(ends - first > 1):
+            own = tuple(k[first[i] : ends[i]].tolist())
+            if own not in known:
+                known[own] = len(self.sets)
+                self.sets.append(own)
+            sets[i] = known[own]
+        return h[first], sets
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words lie in a window of an item, and the sets found."""
+        n, hit, found = len(words), np.zeros(len(words), bool), []
+        if n >= self.window and len(self.prints):
+            grams, w = ngram_hashes(words, self.gram), self.window - self.gram + 1
+            met = np.flatnonzero(_among(grams, self.prints))
             if len(met):
-                kept = kept_positions(grams, self.window - self.gram + 1)
-                self._extend(words, grams, np.intersect1d(met, kept), hit, found)
-        for n, by in self.short.items():
-            grams = ngram_hashes(words, n)
-            for p in np.flatnonzero(_among(grams, self.sorted_short[n])):
-                hit[p : p + n] = True
-                found.update(by[int(grams[p])])
-        return hit, found
-
-    def _extend(self, words: np.ndarray, grams: np.ndarray, positions: np.ndarray, hit: np.ndarray, found: set[int]) -> None:
-        reached: dict[tuple[int, int], int] = {}
-        for p in map(int, positions):
-            for k, q in self.prints[int(grams[p])]:
-                if reached.get((k, p - q), -1) >= p:
-                    continue  # inside a run that is known
-                item = self.words[k]
-                before = min(p, q)
-                same = words[p - before : p][::-1] == item[q - before : q][::-1]
-                left = before if same.all() else int(same.argmin())
-                after = min(len(words) - p, len(item) - q)
-                same = words[p : p + after] == item[q : q + after]
-                right = after if same.all() else int(same.argmin())
-                reached[k, p - q] = p + right - 1
-                if left + right >= self.window:
-                    hit[p - left : p + right] = True
-                    found.add(k)
+                met = np.intersect1d(met, kept_positions(grams, w))
+                starts = _near(met, w, n - self.window + 1)
+                self._look(words, self.window, starts, *self.windows, hit, found)
+        for size, classes in self.short.items():
+            self._look(words, size, np.arange(max(0, n - size + 1)), *classes, hit, found)
+        return hit, np.unique(np.concatenate(found)) if found else np.empty(0, np.int32)
+
+    @staticmethod
+    def _look(words: np.ndarray, size: int, starts: np.ndarray, hashes: np.ndarray, sets: np.ndarray, hit: np.ndarray, found: list[np.ndarray]) -> None:
+        if not len(starts):
+            return
+        own = ngram_hashes(words, size)[starts]
+        same = _among(own, hashes)
+        if same.any():
+            hit |= _marked(starts[same], size, len(words))
+            found.append(np.unique(sets[np.searchsorted(hashes, own[same])]))
+
+    def listed(self, sets: np.ndarray) -> tuple[int, str]:
+        """The count of the named items of these sets, and their digest; told
+        again from memory, as common passages come with the same sets."""
+        key = sets.tobytes()
+        if key not in self.told:
+            names = {str(self.names[k]) for s in sets.tolist() for k in self.sets[s] if self.names[k] is not None}
+            if len(self.told) >= 10_000:
+                self.told.clear()
+            self.told[key] = len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        return self.told[key]
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -115,17 +164,14 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _row(n: int, hit: int, names: set[str]) -> tuple:
-    return n, hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), hit > 0
-
-
 def _judge(items: Items):
     def judge(texts: pd.Series) -> pd.DataFrame:
         words, rows = WordHash(), []
         for text in texts:
             h = words.of(item_words(text))
-            hit, found = items.hits(h)
-            rows.append(_row(len(h), int(hit.sum()), {str(items.names[k]) for k in found if items.names[k] is not None}))
+            hit, sets = items.hits(h)
+            n = int(hit.sum())
+            rows.append((len(h), n, *items.listed(sets), n > 0))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     return F.pandas_udf(judge, RESULT)
@@ -143,8 +189,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null or empty text has no words, an item without words no window.  Rows of
     one item id are one item; an item with a null id marks words but isn't
-    counted or listed.  Null or repeated document ids change nothing; further
-    columns are not read.  An empty benchmark finds nothing.
+    counted or listed.  Null or repeated document ids change nothing; very long
+    texts are read whole; further columns are not read.  An empty benchmark
+    finds nothing; empty ``docs``: no rows.
     """
     in_small_batches(docs.sparkSession)
     name = "_found"
@@ -162,62 +209,95 @@ def _fit_in_memory(items: DataFrame, limit: int) -> bool:
     return (items.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) <= 2 * limit
 
 
-def _joined(rows: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The same for a benchmark of any size: fingerprints meet in a shuffled
-    join, then each document and item that met are compared.  A document that
-    meets many items is dealt by (document, item), and only the marked
-    positions come together again, one row a run.  ``rows`` are saved ones of
-    ``doc_id, text, row``; the key ``row`` of each is returned with it."""
-    items = saved(items.select(F.expr("uuid()").alias("key"), "item", "text"), "decontaminate-items")
-    lengths = [r.n for r in items.select(_count("text").alias("n")).filter(f"n > 0 AND n < {window}").distinct().collect()]  # below ``window`` different ones
-
-    def prints(texts: pd.Series, whole: bool) -> pd.Series:
+def _windows_of(whole: bool, window: int, gram: int, lengths: list[int]):
+    """UDF: of an item's text all windows, as ``(print, hash)``; of a document's
+    those of a short item's length, with their start.  A window's print is its
+    least gram, of a short one its length."""
+
+    def run(texts: pd.Series) -> pd.Series:
         words, out = WordHash(), []
         for text in texts:
             h = words.of(item_words(text))
-            got = []
-            if len(h) >= window:
-                grams = ngram_hashes(h, gram)
-                got.append(grams[kept_positions(grams, window - gram + 1)])
-            if whole:
-                got += [ngram_hashes(h, len(h))] if 0 < len(h) < window else []
+            if whole and len(h) >= window:
+                prints = _least(ngram_hashes(h, gram), window - gram + 1)
+                parts = [(prints, ngram_hashes(h, window))]
             else:
-                got += [ngram_hashes(h, n) for n in lengths]
-            out.append(np.unique(np.concatenate(got)).view(np.int64) if got else np.empty(0, np.int64))
+                sizes = [len(h)] if whole and len(h) else [] if whole else [n for n in lengths if n <= len(h)]
+                parts = [(np.full(len(h) - n + 1, n, np.uint64), ngram_hashes(h, n)) for n in sizes]
+            out.append([{"print": int(p), "hash": int(x), "start": i} for prints, hashes in parts for i, (p, x) in enumerate(zip(prints.view(np.int64), hashes.view(np.int64), strict=True))])
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<struct<print:long,hash:long,start:long>>")
+
+
+def _prints_of(window: int, gram: int):
+    """UDF: the kept grams of a text and their positions."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        words, out = WordHash(), []
+        for text in texts:
+            h = words.of(item_words(text))
+            grams = ngram_hashes(h, gram) if len(h) >= window else np.empty(0, np.uint64)
+            at = kept_positions(grams, window - gram + 1)
+            out.append([{"print": int(p), "at": int(i)} for p, i in zip(grams[at].view(np.int64), at, strict=True)])
         return pd.Series(out, dtype=object)
 
-    of_docs, of_items = _udf(prints, False), _udf(prints, True)
-    met = rows.select("row", F.explode(of_docs("text")).alias("print")).join(items.select("key", F.explode(of_items("text")).alias("print")), "print")
-    met = saved(met.select("row", "key").distinct(), "decontaminate-met")
+    return F.pandas_udf(run, "array<struct<print:long,at:long>>")
+
 
-    def runs(docs_: pd.Series, texts: pd.Series) -> pd.Series:
+def _windows_near(window: int, gram: int):
+    """UDF: of a text the windows that hold one of the positions met."""
+
+    def run(texts: pd.Series, positions: pd.Series) -> pd.Series:
         words, out = WordHash(), []
-        for doc, text in zip(docs_, texts, strict=True):
-            hit, _ = Items([(0, words.of(item_words(text)))], window, gram).hits(words.of(item_words(doc)))
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            out.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
+        for text, at in zip(texts, positions, strict=True):
+            h, w = words.of(item_words(text)), window - gram + 1
+            starts = _near(np.array(at, np.int64), w, len(h) - window + 1)
+            prints, hashes = _least(ngram_hashes(h, gram), w)[starts].view(np.int64), ngram_hashes(h, window)[starts].view(np.int64)
+            out.append([{"print": int(p), "hash": int(x), "start": int(i)} for p, x, i in zip(prints, hashes, starts, strict=True)])
         return pd.Series(out, dtype=object)
 
-    compare = F.pandas_udf(runs, "array<struct<start:long,end:long>>")
-    pairs = met.join(rows.select("row", F.col("text").alias("doc")), "row").join(items, "key")
-    pairs = saved(pairs.select("row", "item", compare("doc", "text").alias("runs")).filter("size(runs) > 0"), "decontaminate-runs")
-    spans = pairs.select("row", F.explode("runs").alias("x")).select("row", "x.start", "x.end").distinct()
-    before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    covered = F.coalesce(F.max("end").over(before), F.lit(0))
-    hits = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", covered))).groupBy("row").agg(F.sum("new").alias("n_hit"))
-    names = pairs.filter("item IS NOT NULL").select("row", F.col("item").cast("string").alias("item")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("names"))
-    out = rows.select("row", "doc_id", _count("text").alias("n_words")).join(hits, "row", "left").join(names, "row", "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    empty = F.array().cast("array<string>")
-    listed = F.coalesce("names", empty)
-    return out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return F.pandas_udf(run, "array<struct<print:long,hash:long,start:long>>")
 
 
-def _udf(prints, whole: bool):
-    def run(texts: pd.Series) -> pd.Series:
-        return prints(texts, whole)
+def _joined(rows: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The same for a benchmark of any size: fingerprints meet in a shuffled
+    join, and of the documents that met one the windows around it are looked up
+    among the classes of item windows.  ``rows`` are saved ones of ``doc_id,
+    text, row``; the key ``row`` of each is returned with it."""
+    key = ["print", "hash"]
+    own = items.select("item", F.explode(_windows_of(True, window, gram, [])("text")).alias("x")).select("item", "x.print", "x.hash")
+    names = F.sort_array(F.collect_set(F.col("item").cast("string")))
+    classes = own.groupBy(*key).agg(names.alias("names")).withColumn("set", F.md5(F.to_json("names")))
+    classes = saved(classes, "decontaminate-windows")
+    sets = classes.select("set", "names").dropDuplicates(["set"])
+    lengths = [r[0] for r in classes.filter(f"print > 0 AND print < {window}").select("print").distinct().collect()]  # below ``window`` different ones
+
+    prints = classes.select("print").distinct()
+    met = rows.select("row", F.explode(_prints_of(window, gram)("text")).alias("x")).select("row", "x.print", "x.at").join(prints, "print")
+    met = met.groupBy("row").agg(F.collect_set("at").alias("at"))
+    near = rows.join(met, "row").select("row", F.explode(_windows_near(window, gram)("text", "at")).alias("x"))
+    if lengths:
+        near = near.union(rows.select("row", F.explode(_windows_of(False, window, gram, lengths)("text")).alias("x")))
+    near = saved(near.select("row", "x.print", "x.hash", "x.start"), "decontaminate-near")
+    hot = hot_keys(near.groupBy(*key).agg(F.count("*").alias("c")), key, near.count())
+    size = F.when(F.col("print").isin(lengths), F.col("print")).otherwise(window) if lengths else F.lit(window)
+    hits = salted(near, classes.select(*key, "set"), key, hot, "row").select("row", "start", (F.col("start") + size).alias("end"), "set")
+    hits = saved(hits.distinct(), "decontaminate-hits")
 
-    return F.pandas_udf(run, "array<long>")
+    before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.max("end").over(before), F.lit(0))
+    spans = hits.select("row", "start", "end").distinct()
+    spans = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", covered))).groupBy("row").agg(F.sum("new").alias("n_hit"))
+    # rows with the same sets have the same list of items, made once
+    found = saved(hits.groupBy("row").agg(F.sort_array(F.collect_set("set")).alias("sets")).withColumn("of", F.md5(F.to_json("sets"))), "decontaminate-sets")
+    each = found.select("of", "sets").dropDuplicates(["of"]).select("of", F.explode("sets").alias("set"))
+    listed = each.join(sets, "set").groupBy("of").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+    listed = small(saved(listed.select("of", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256")), "decontaminate-lists"))
+    out = rows.select("row", "doc_id", _count("text").alias("n_words")).join(spans, "row", "left").join(found.select("row", "of").join(listed, "of"), "row", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    nothing = F.sha2(F.lit(""), 256)
+    return out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", nothing).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def _count(text: str) -> Column:
@@ -229,7 +309,8 @@ def _count(text: str) -> Column:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_words_limit: int = ITEM_WORDS) -> DataFrame:
     """The rows of ``docs`` without any window of ``benchmark``, with all their
-    columns.  Each row is judged by its own text, whatever its id."""
+    columns.  Each row is judged by its own text, whatever its id; rows without
+    words stay, as do repeated ones."""
     in_small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").alias("item"), F.col("text").cast("string").alias("text"))
     if _fit_in_memory(items, item_words_limit):
