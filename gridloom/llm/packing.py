@@ -79,13 +79,14 @@ class Pool:
 
 def cheapest(pool: Pool, length: int, capacities: tuple[int, ...]) -> int:
     """The bin size to open for a piece: that of the least cost for a token in
-    the trials, with the bin as small as its contents then allow; the smaller of
-    equals.  The pieces of that trial are promised to the bin."""
+    the trials, with the bin as small as its contents then allow; the larger of
+    equals, whose spare room takes what finds no place elsewhere and is given
+    back at the end.  The pieces of that trial are promised to the bin."""
     best = None
     for c in capacities[bisect_left(capacities, length) :]:
         used, taken = pool.filling(length, c)
         per_token = cost(capacities[bisect_left(capacities, used)]) / used
-        if best is None or per_token < best[0]:
+        if best is None or per_token <= best[0]:
             best = per_token, c, taken
     pool.promise(best[2])
     return best[1]
