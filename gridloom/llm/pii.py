@@ -35,7 +35,7 @@ LEAST_SCORE = 6.0
 
 # Base patterns: fixed values.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # no match begins within a run of digits, so these go unread
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -480,8 +480,8 @@ def all_spans(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
     for text, proposed in zip(texts, model_spans(texts, model), strict=True):
         base = base_spans(text)
         if proposed and base:
-            taken = sorted((a, b) for a, _, b in base)
-            proposed = [s for s in proposed if not any(a < s[2] and s[0] < b for a, b in taken)]
+            touched = _touching(_merged([(a, b) for a, _, b in base]))
+            proposed = [s for s in proposed if not touched(s[0], s[2])]
         out.append((base, sorted(base + proposed)))
     return out
 
@@ -499,8 +499,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     comma-joined; code points, end exclusive) and ``spans``, so written, of
     base and model.
 
-    Null text is empty: no spans.  Null or repeated ids change nothing; further
-    columns are not read.
+    Null text is empty: no spans.  Texts of any length are read whole, as are
+    spans.  Null or repeated ids change nothing; further columns are not read.
+    Empty input: no rows.
     """
     in_small_batches(docs.sparkSession)
     model = model or trained()

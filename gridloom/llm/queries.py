@@ -46,7 +46,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets(_table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    words = secrets.vocabulary_words(public_tokenizers.path("byte_bpe_50k.json"))
+    return secrets.secrets(_table(spark, sf_dir, "documents"), words=words)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

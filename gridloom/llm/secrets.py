@@ -5,6 +5,10 @@ hexadecimal strings.  The method goes by what a value would take to guess: a
 dynamic program cuts it into words, dates, repeats, keyboard walks and
 brute-force spans at the least total cost, and a value that stands in a
 credential context and costs ``LEAST_BITS`` or more is a secret too.
+
+Words come from a list by rank, which callers give; from the same list a model
+of letter triples says how well a run of letters reads, so that a word of the
+language that is not in the list costs less than random letters.
 """
 
 from __future__ import annotations
@@ -12,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +37,10 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Names of credentials that the base pattern lacks, and values after them.
 CONTEXT_NAMES = ("pwd", "passphrase", "credential", "auth", "bearer", "private", "access", "signature", "session", "pin", "pass", *NAMES)
-CONTEXT = re.compile(
-    r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,20}[_-]){0,4}(?:pwd|passphrase|credentials?|auth|authorization|bearer|private_?key|access_?key|signature|session_?(?:id|key)|pin|pass|password|passwd|secret|token|api_?key)"
-    r"""(?:[_-][A-Za-z0-9]{1,20}){0,4}["']?(?:\x20{0,4}(?:[:=]|=>|:=|\x20is\x20)\x20{0,4}|\x20(?=bearer\x20)|(?<=bearer)\x20)["']?([^\s"'`,;<>(){}\[\]]{8,})""",
+#: Names with a value after "is", or after "bearer" and a space.
+SPOKEN = re.compile(
+    r"(?<![A-Za-z0-9])(?:pwd|passphrase|credentials?|auth|authorization|bearer|private[_-]?key|access[_-]?key|signature|session[_-]?(?:id|key)|pin|pass|password|passwd|secret|token|api[_-]?key)"
+    r"""["']?(?:\x20+is\x20+|(?<=bearer)\x20+)["']?([^\s"'`,;<>(){}\[\]]{8,})""",
     re.IGNORECASE | re.ASCII,
 )
 
@@ -43,14 +50,12 @@ VALUE = re.compile(r"""\x20*["']?([^\s"'`,;<>(){}\[\]]{8,})""", re.ASCII)
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 NAME = re.compile(r"_(?:pwd|passphrase|credentials?|auth|authorization|bearer|private_?key|access_?key|signature|session_?(?:id|key)|pin|pass|password|passwd|secret|token|api_?key)_")
 
-#: Words by rank: the more common, the sooner guessed.
+#: Words that passwords are made of, the most common first.
 WORDS = (
     "password letmein welcome admin login master dragon monkey shadow sunshine princess football baseball secret token key test demo user root example default changeme hello "
     "love money summer winter spring autumn monday friday january february march april june july august september october november december the and for you this that with "
     "pass word public private server client secure access service system database backup temp sample dummy none null true false value string your here"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
 LEET = str.maketrans("013457@$!", "oieastasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
@@ -67,42 +72,119 @@ def _alphabet(value: str) -> float:
     return math.log2(size + 32 * (not value.isalnum()) or 1)
 
 
-def guess_bits(value: str) -> float:
-    """Log2 of the guesses for the cheapest cut of ``value`` into spans.
-
-    One pass over its ends: ``best[j]`` is the least cost of the first ``j``
-    characters.
-    """
-    n, lower = len(value), value.lower()
-    plain = lower.translate(LEET)
-    per = _alphabet(value)
-    spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, bits)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = RANK.get(lower[i:j]) or RANK.get(plain[i:j])
-            if rank:
-                changed = (value[i:j] != lower[i:j]) + 2 * (lower[i:j] != plain[i:j] and lower[i:j] not in RANK)
-                spans[j].append((i, math.log2(rank) + 1 + changed))
-        if m := DATE.match(value, i):
-            spans[m.end()].append((i, math.log2(365 * 120) if m.end() - i > 4 else math.log2(120)))
-    i = 0
-    while i < n:  # keyboard walks: neighbours on a row, one way or the other
-        j, way = i, 0
-        while j + 1 < n and (a := PLACE.get(lower[j])) and (b := PLACE.get(lower[j + 1])) and a[0] == b[0] and abs(d := b[1] - a[1]) == 1 and way in (0, d):
-            way, j = d, j + 1
-        if j - i >= 2:
-            for end in range(i + 3, j + 2):
-                spans[end].append((i, math.log2(94) + 1 + math.log2(end - i)))
-        i = max(j, i + 1)
-    best = [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1] + per
-        for i, bits in spans[j]:
-            best[j] = min(best[j], best[i] + bits + 1)  # a bit to tell the kind
-        for unit in range(1, min(8, j // 2) + 1):  # repeats of what stands before
-            if value[j - unit : j] == value[j - 2 * unit : j - unit]:
-                best[j] = min(best[j], best[j - unit] + 1 + (0 if j < 3 * unit else 0.2))
-    return best[n]
+#: Bits that tell the kind of a span, and that begin a run of letters.
+KIND, LETTERS = 1.0, 2.0
+#: Mean bits of a letter below which a run reads like a word.
+WORD_LIKE = 4.8
+LONGEST_UNIT = 8
+
+
+class Guesser:
+    """Guess costs by a list of words, the most common first."""
+
+    def __init__(self, words: list[str] = WORDS):
+        self.rank: dict[str, int] = {}
+        for w in [*WORDS, *words]:
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+        counts = np.full((27, 27, 26), 0.05)  # letters after the two before; 26: none
+        for w in self.rank:
+            at = [26, 26, *(ord(c) - 97 for c in w if "a" <= c <= "z")]
+            for x, y, z in zip(at, at[1:], at[2:], strict=False):
+                counts[x, y, z] += 1
+        self.letters = np.log2(counts.sum(axis=2, keepdims=True) / counts).tolist()
+
+    def letter(self, lower: str, i: int, first: bool = False) -> float:
+        """Bits of the letter at ``i`` after the two characters before it."""
+        at = lambda j: ord(lower[j]) - 97 if j >= 0 and "a" <= lower[j] <= "z" else 26
+        x, y = (26, 26) if first else (at(i - 2), at(i - 1))
+        return self.letters[x][y][at(i)]
+
+    def word(self, value: str) -> float | None:
+        """Bits of a known word, in any case and with digits for letters."""
+        lower = value.lower()
+        plain = lower.translate(LEET)
+        rank = self.rank.get(lower) or self.rank.get(plain)
+        if not rank or len(value) < 3:
+            return None
+        return math.log2(rank) + 1 + (value != lower) + 2 * (lower not in self.rank)
+
+    def spans(self, value: str) -> list[list[tuple[int, float]]]:
+        """Words, dates and keyboard walks by where they end: (start, bits)."""
+        n, lower = len(value), value.lower()
+        out: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(i + 3, min(n, i + self.longest) + 1):
+                bits = self.word(value[i:j])
+                if bits is not None:
+                    out[j].append((i, bits))
+            if m := DATE.match(value, i):
+                out[m.end()].append((i, math.log2(365 * 120) if m.end() - i > 4 else math.log2(120)))
+        i = 0
+        while i < n:  # neighbours on a row of keys, one way or the other
+            j, way = i, 0
+            while j + 1 < n and (a := PLACE.get(lower[j])) and (b := PLACE.get(lower[j + 1])) and a[0] == b[0] and abs(d := b[1] - a[1]) == 1 and way in (0, d):
+                way, j = d, j + 1
+            if j - i >= 2:
+                for end in range(i + 3, j + 2):
+                    out[end].append((i, math.log2(94) + 1 + math.log2(end - i)))
+            i = max(j, i + 1)
+        return out
+
+    def bits(self, value: str) -> float:
+        """Log2 of the guesses for the cheapest cut of ``value`` into spans.
+
+        One pass over its ends: ``best[j]`` is the least cost of the first ``j``
+        characters, and ``run[j]`` if they end in a run of letters.  A unit may
+        be told to repeat once, or as often as it does.
+        """
+        n, lower, per = len(value), value.lower(), _alphabet(value)
+        spans, caps = self.spans(value), value.isupper()
+        best, run = [0.0] * (n + 1), [math.inf] * (n + 1)
+        repeats = [[0] * (n + 1) for _ in range(LONGEST_UNIT + 1)]
+        for j in range(1, n + 1):
+            c = value[j - 1]
+            if c.isascii() and c.isalpha():
+                going = run[j - 1] + self.letter(lower, j - 1) if c.islower() or caps else math.inf
+                run[j] = min(going, best[j - 1] + LETTERS + self.letter(lower, j - 1, True))
+            best[j] = min(best[j - 1] + per, run[j])
+            for i, bits in spans[j]:
+                best[j] = min(best[j], best[i] + bits + KIND)
+            for unit in range(1, min(LONGEST_UNIT, j // 2) + 1):
+                if value[j - unit : j] == value[j - 2 * unit : j - unit]:
+                    times = repeats[unit][j] = repeats[unit][j - unit] + 1
+                    best[j] = min(best[j], best[j - unit] + KIND, best[j - times * unit] + KIND + math.log2(times))
+        return best[n]
+
+    def plain(self, value: str) -> bool:
+        """No secret though it may cost enough: neither digit nor inner capital,
+        and either a name of several parts, or what reads like one word of some
+        language and isn't made of known words."""
+        if any(map(str.isdigit, value)) or (any(map(str.isupper, value[1:])) and any(map(str.islower, value))):
+            return False
+        if not (value.isascii() and value.isalpha()):
+            return True
+        lower = value.lower()
+        mean = sum(self.letter(lower, i) for i in range(len(lower))) / len(lower)
+        return mean < WORD_LIKE and not self.known_words(lower)
+
+    def known_words(self, lower: str) -> bool:
+        """Whether all of it is known words of four letters or more."""
+        good = [True] + [False] * len(lower)
+        for j in range(4, len(lower) + 1):
+            good[j] = any(good[i] and lower[i:j] in self.rank for i in range(max(0, j - self.longest), j - 3))
+        return good[-1]
+
+
+def vocabulary_words(tokenizer_path: str) -> list[str]:
+    """The words of a public byte-level vocabulary by its order, which goes by
+    how often they occur: tokens of a space and three letters or more."""
+    from tokenizers import Tokenizer
+
+    space = "\u0120"  # how such vocabularies write a space
+    ids = Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=False)
+    words = (t[1:].lower() for t in sorted(ids, key=ids.get) if t[0] == space)
+    return list(dict.fromkeys(w for w in words if len(w) >= 3 and w.isascii() and w.isalpha()))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -117,20 +199,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def all_spans(text: str) -> tuple[list, list]:
+def all_spans(text: str, guesser: Guesser) -> tuple[list, list]:
     """The base spans; and those with the guessed values that touch none."""
     base = base_spans(text)
     lower = text.lower()
     if not any(map(lower.__contains__, CONTEXT_NAMES)):
         return base, base
-    more = []
-    values = {m.span(1) for m in CONTEXT.finditer(text)}
-    taken = {a for a, _ in values}
-    values |= {span for span in _set_values(text) if span[0] not in taken}
-    for a, b in sorted(values):
+    values = {a: b for a, b in _set_values(text)}
+    values = {m.start(1): m.end(1) for m in SPOKEN.finditer(text)} | values
+    ends, reach = [], -1  # of base spans by start, how far they and all before them reach
+    for _, _, e in base:
+        reach = max(reach, e)
+        ends.append(reach)
+    starts, more, done = [s for s, _, _ in base], [], 0
+    for a, b in sorted(values.items()):
         b -= len(text[a:b]) - len(text[a:b].rstrip(".:!?"))
-        if b - a >= 8 and not any(s < b and a < e for s, _, e in base) and guess_bits(text[a:b]) >= LEAST_BITS and _mixed(text[a:b]):
+        i = bisect_left(starts, b)
+        if a < done or b - a < 8 or (i and ends[i - 1] > a):
+            continue
+        if guesser.bits(text[a:b]) >= LEAST_BITS and not guesser.plain(text[a:b]):
             more.append((a, 3, b))
+            done = b
     return base, sorted(base + more)
 
 
@@ -151,18 +240,14 @@ def _set_values(text: str):
         parts = "_".join(NAME_PART.findall(name)).lower()
         if NAME.search(f"_{parts}_") or NAME.search("_" + name.lower().replace("-", "_") + "_"):
             if v := VALUE.match(text, at):
-                yield v.span(1)
-                at = v.end()
+                if v.group(1).lower() != "bearer":
+                    yield v.span(1)
+                    at = v.end()
 
 
 _IN_NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-")
 
 
-def _mixed(value: str) -> bool:
-    """Not a plain word of some language: has a digit or an inner capital."""
-    return any(map(str.isdigit, value)) or any(map(str.isupper, value[1:])) and any(map(str.islower, value))
-
-
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -170,24 +255,27 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def _find(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        base, spans = all_spans(text or "")
-        counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
-        rows.append((*counts, hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-
-
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: list[str] = WORDS) -> DataFrame:
     """One row for each row of ``docs``: the id, the base spans counted by kind,
     ``base_sha256`` of ``kind:start:end`` of each (by start, then kind,
     comma-joined; code points, end exclusive) and ``spans``, so written, of the
-    base patterns and the guessed values.
+    base patterns and the guessed values.  ``words`` are those known to
+    guessers, the most common first.
 
-    Null text is empty: no spans.  Null or repeated ids change nothing; further
-    columns are not read.
+    Null text is empty: no spans.  Texts and values of any length are read
+    whole.  Null or repeated ids change nothing; further columns are not read.
+    Empty input: no rows.
     """
     in_small_batches(docs.sparkSession)
-    got = F.pandas_udf(_find, RESULT)(F.col(text_col).cast("string"))
+    guesser = Guesser(words)
+
+    def find(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            base, spans = all_spans(text or "", guesser)
+            counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
+            rows.append((*counts, hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+
+    got = F.pandas_udf(find, RESULT)(F.col(text_col).cast("string"))
     return docs.select(F.col(id_col).alias("doc_id"), got.alias("_found")).select("doc_id", "_found.*")

@@ -3,8 +3,11 @@
 import base64
 import hashlib
 import io
+import itertools
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -267,6 +270,41 @@ def test_redaction(spark, model):
     assert dict(tuple(r) for r in got.collect()) == {1: "a [EMAIL] b [IP]", 2: None}
 
 
+def test_viterbi_equals_all_tag_sequences():
+    tagger = pii.Tagger(hidden=3, seed=4)
+    tagger.p["trans"] = np.random.default_rng(2).standard_normal((len(pii.TAGS), len(pii.TAGS))).astype(np.float32)
+    x = np.random.default_rng(3).integers(0, pii.CLASSES, (3, 4))
+    tags, e = tagger.decode(x)
+    for row, scores in zip(tags, e, strict=True):
+        total = lambda y: sum(scores[t, k] for t, k in enumerate(y)) + sum(tagger.p["trans"][a, b] for a, b in itertools.pairwise(y))
+        best = max(itertools.product(range(len(pii.TAGS)), repeat=4), key=total)
+        assert total(row.tolist()) == pytest.approx(total(best), abs=1e-4)
+
+
+def test_reconciliation_equals_all_subsets():
+    rng = random.Random(15)
+    for _ in range(60):
+        spans = [(a, a + rng.randrange(1, 9), rng.randrange(4), rng.randrange(1, 50) / 4) for a in (rng.randrange(20) for _ in range(rng.randrange(0, 8)))]
+        apart = lambda own: all(x[1] <= y[0] for x, y in itertools.pairwise(sorted(own)))
+        best = max(sum(s[3] for s in own) for n in range(len(spans) + 1) for own in itertools.combinations(spans, n) if apart(own))
+        chosen = pii._best(spans)
+        score = {}
+        for a, b, kind, value in spans:
+            score[a, kind, b] = max(value, score.get((a, kind, b), 0))
+        assert apart([(a, b) for a, _, b in chosen]) and sum(score[s] for s in chosen) == best
+
+
+def test_long_runs_take_linear_time(guesser):
+    for text in ("1" * 400_000, "1." * 200_000, "@" * 200_000, "+1(" * 100_000, "a.b@c" * 50_000):
+        began = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - began < 5
+    for text in ("token " * 50_000, "password = " * 40_000, "auth" + " " * 200_000 + "is", "pwd=" + "a1" * 2_000):
+        began = time.perf_counter()
+        secrets.all_spans(text, guesser)
+        assert time.perf_counter() - began < 8
+
+
 def test_reconciliation_takes_the_best_set():
     assert pii._best([(0, 10, 0, 3.0), (8, 12, 1, 4.0), (12, 20, 2, 1.0), (0, 8, 3, 2.0), (8, 12, 1, 2.0)]) == [(0, 3, 8), (8, 1, 12), (12, 2, 20)]
 
@@ -428,26 +466,85 @@ def test_secret_base_equals_brute_force(spark):
     assert len(got) == len(rows) and secrets.secrets(frame(spark, [])).count() == 0
 
 
-def test_guess_costs():
-    bits = secrets.guess_bits
+@pytest.fixture(scope="module")
+def guesser():
+    import public_tokenizers
+
+    return secrets.Guesser(secrets.vocabulary_words(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def bits_by_force(g, value):
+    """The least cost over all cuts of ``value``, each span costed by itself."""
+    lower, per = value.lower(), secrets._alphabet(value)
+
+    def costs(i, j):
+        span = value[i:j]
+        yield per * (j - i)
+        if span.isascii() and span.isalpha() and (span[1:].islower() or len(span) == 1 or value.isupper()):
+            yield secrets.LETTERS + g.letter(lower, i, True) + sum(g.letter(lower, t) for t in range(i + 1, j))
+        low = span.lower()
+        known = low if low in g.rank else low.translate(secrets.LEET)
+        if known in g.rank and j - i >= 3:
+            yield 1 + math.log2(g.rank[known]) + 1 + (span != low) + 2 * (known != low)
+        m = secrets.DATE.match(value, i)
+        if m and m.end() == j:
+            yield 1 + math.log2(365 * 120 if j - i > 4 else 120)
+        for row in secrets.ROWS:
+            whole = any(low in way for way in (row, row[::-1]))
+            longer = i and any(value[i - 1 : i + 2].lower() in way for way in (row, row[::-1]))  # a walk begins where it does
+            if j - i >= 3 and whole and not longer:
+                yield 1 + math.log2(94) + 1 + math.log2(j - i)
+        for unit in range(1, 9):
+            if i >= unit and (j - i) % unit == 0 and span == value[i - unit : i] * ((j - i) // unit):
+                times = (j - i) // unit
+                further = i >= 2 * unit and value[i - 2 * unit : i - unit] == value[i - unit : i]
+                if times == 1 or not further:
+                    yield 1 + math.log2(times)
+
+    def cheapest(i):
+        if i == len(value):
+            return 0.0
+        return min(c + cheapest(j) for j in range(i + 1, len(value) + 1) for c in costs(i, j))
+
+    return cheapest(0)
+
+
+def test_guess_costs_equal_all_cuts(guesser):
+    rng = random.Random(14)
+    parts = ["pass", "P4ss", "love", "abab", "xx", "qwe", "123", "2024", "20240105", "Zq", "k", "-", "THE", "lkj"]
+    values = ["".join(rng.choices(parts, k=rng.randrange(1, 5)))[:9] for _ in range(60)] + ["aaaaaaaa", "Password", "CORRECT", "asdfgfds"]
+    for v in values:
+        assert guesser.bits(v) == pytest.approx(bits_by_force(guesser, v)), v
+
+
+def test_guess_costs(guesser):
+    bits = guesser.bits
     assert bits("password1") < bits("S3cretmonkey") < 40 < bits("xK9$mQ2v7Lp0w")
     assert max(map(bits, ("qwertyuiop", "2024-01-05", "aaaaaaaaaaaa", "abcabcabcabc"))) < 20 and bits("") == 0
+    assert bits("a" * 5000) < 25 and bits("CorrectHorseBatteryStaple") < 70 < bits("CuzqpvtHrwzeBxtkqryStvple")
+    assert bits("documentation") < secrets.LEAST_BITS and guesser.plain("Benutzername") and guesser.plain("some-setting-of-a-service")
+    assert not guesser.plain("qzkvxwjhgtbnmrd") and not guesser.plain("correcthorsebatterystaple")
+
+
+def guessed(text, guesser):
+    return [text[a:b] for a, k, b in secrets.all_spans(text, guesser)[1] if k == 3]
 
 
-def test_guessed_values_in_context():
-    text = "db_pwd = xK9mQ2v7Lp0wZ4 and pwd = sunshine2020 and Authorization: Bearer q8Zt5Lw2Xc9Vb1Nm, not qK9mQ2v7Lp0wZ4."
-    assert [text[a:b] for a, k, b in secrets.all_spans(text)[1]] == ["xK9mQ2v7Lp0wZ4", "q8Zt5Lw2Xc9Vb1Nm"]
+def test_guessed_values_in_context(guesser):
+    text = "db_pwd = xK9mQ2v7Lp0wZ4 and pwd = sunshine2020 and Authorization: Bearer q8Zt5Lw2Xc9Vb1Nm, not qK9mQ2v7Lp0wZ4. The pin is Zk4Qw9Xv2Lm7Tp, my passphrase:  'qzkvxwjhgtbnmrd'"
+    assert guessed(text, guesser) == ["xK9mQ2v7Lp0wZ4", "q8Zt5Lw2Xc9Vb1Nm", "Zk4Qw9Xv2Lm7Tp", "qzkvxwjhgtbnmrd"]
 
 
 @pytest.mark.parametrize("setting", ["db_pwd            =      {}", "token_for_the_new_billing_service_of_all = {}", "dbPwd = {}", "userPassphrase: {}", "signature_" + "of_" * 50 + "x={}"])
-def test_guessed_values_after_any_name(setting):
+def test_guessed_values_after_any_name(guesser, setting):
     value = "xK9mQ2v7Lp0wZ4"
     text = "so " + setting.format(value) + " and tokenizer = qK9mQ2v7Lp0wZ4."
-    assert [text[a:b] for a, k, b in secrets.all_spans(text)[1] if k == 3] == [value]
+    assert guessed(text, guesser) == [value]
 
 
-def test_guess_costs_count_all_of_a_value():
-    assert secrets.guess_bits("a" * 300 + "xK9mQ2v7Lp0wZ4") > secrets.guess_bits("a" * 300) + 40
+def test_guess_costs_count_all_of_a_value(guesser):
+    assert guesser.bits("a" * 300 + "xK9mQ2v7Lp0wZ4") > guesser.bits("a" * 300) + 40
+    assert guessed("db_pwd = " + "Password" * 40 + "xK9mQ2v7Lp0wZ4 ", guesser) == ["Password" * 40 + "xK9mQ2v7Lp0wZ4"]
 
 
 # --------------------------------------------------------------------- packing
