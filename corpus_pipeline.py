@@ -16,34 +16,67 @@ from gridloom.llm.shared import saved, small
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality rules or the isolation forest reject.  The forest
-    is fitted on the labelled rows among ``docs``."""
+    is fitted on the labelled rows among ``docs``.
+
+    Null or empty text has no words, so it goes; a null id or null in another
+    column changes nothing; repeated rows are judged alike; very long texts are
+    read whole; without labels the base rules alone decide.
+    """
     verdict = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.kept_documents(docs, verdict)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the least id.  What has
-    no id can't be named, so it stays.  The ids that go are broadcast if there
-    are few of them; else the join shuffles."""
-    gone = near_dedup.near_duplicates(docs).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone_id")).distinct()
-    gone = small(saved(gone, "near-copies"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """Keeps one row of each group of near copies: that of the least id.
+
+    Rows without an id go by a hash of their text, beyond all ids, so of their
+    copies one stays at most, too, and none if a row with an id is alike.  Of
+    repeated rows of one id one stays.  Rows without words have no copies, but
+    repeated ones of one id are one row all the same.  The ids that go are
+    broadcast if there are few of them; else the join shuffles.
+    """
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    beyond = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), beyond))
+    told = saved(near_dedup.near_duplicates(keyed, id_col=key).select(F.col("doc_id").alias(key), "kept"), "near-copies")
+    gone = saved(told.filter("NOT kept").select(key).distinct(), "near-copies-gone")
+    again = saved(told.filter("kept").groupBy(key).count().filter("count > 1").select(key), "near-copies-again")
+    left = keyed.join(small(gone), key, "left_anti")
+    if not again.isEmpty():
+        again = small(again)
+        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key]))
+    return left.select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item.
+
+    Each row is judged by its own text, whatever its id; null and empty texts
+    stay; very long ones are read whole; an empty benchmark drops nothing.
+    """
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets; ``n_chars`` follows."""
+    """Replaces personal data by its kind in brackets; ``n_chars`` follows.
+
+    Every row stays; null text stays null (and its ``n_chars`` becomes null);
+    very long texts are read whole.
+    """
     out = docs.withColumn("text", pii.redacted(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' byte-level tokens into training sequences: one row
-    for each piece of a document."""
+    for each piece of a document.
+
+    Null or empty text is the one token that ends a document; null ids and
+    repeated rows are packed as any others; very long texts are cut into pieces.
+    """
     return packing.pack(packing.byte_tokens(docs.select("doc_id", "text")))
 
 
