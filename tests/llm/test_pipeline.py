@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, and the registered queries."""
 
+import random
 import re
 
 import pytest
@@ -8,6 +9,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from gridloom.llm import decontaminate, near_dedup, packing, pii, quality
+from gridloom.llm.shared import WordHash
+
+from . import test_operators as ops
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -73,6 +77,88 @@ def test_stages_take_odd_rows(spark, sf_dir, tmp_path):
                     assert got.columns == docs.columns
 
 
+def pieces_by_force(docs):
+    """The bins of (id, text) rows, all in one group."""
+    pieces, largest = [], packing.CAPACITIES[-1]
+    for d, t in docs:
+        n = len((t or "").encode()) + 1
+        pieces += [(d, k, k * largest, min(largest, n - k * largest)) for k in range(-(-n // largest))]
+    pieces.sort(key=lambda p: (-p[3], p[0], p[2]))
+    got = ops.packed_by_force([p[3] for p in pieces], packing.CAPACITIES)
+    return sorted((*p, b, c, o) for p, (b, o, c) in zip(pieces, got, strict=True))
+
+
+def score_by_walk(forest, x):
+    """Each tree walked node by node."""
+    total = 0.0
+    for feature, cut, depth in zip(forest.feature, forest.cut, forest.depth, strict=True):
+        i = 0
+        while feature[i] >= 0:
+            i = 2 * i + 1 if x[feature[i]] < cut[i] else 2 * i + 2
+        total += depth[i]
+    return 2.0 ** (-total / len(forest.feature) / forest.average_path(forest.rows))
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(3, 8)))
+    prose = lambda n: [word() for _ in range(n)]
+    items = [(f"i{k}", " ".join(prose(14))) for k in range(6)]
+    rows = []
+    for i in range(60):
+        own = prose(rng.choice([20, 90, 150]))
+        if i % 7 == 0:
+            own[40:40] = rng.choice(items)[1].split()[2:13]
+        if i % 5 == 0:
+            own.insert(30 % len(own), rng.choice(["me.and@mail.example.org", "10.1.2.33", "4111 1111 1111 1111", "+1 (212) 555-0187"]))
+        if i % 9 == 0:
+            own = [w + "##%%" for w in own]
+        rows.append((i, " ".join(own)))
+        if i % 4 == 0:
+            rows.append((100 + i, " ".join([*own[:-2], word()])))
+    rows += [(500, rows[1][1]), (500, rows[1][1]), (600, None), (601, "")]
+    labels = [(i, int("##" not in (t or ""))) for i, t in rows if i < 90]
+    table = lambda name, data, schema: spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    table("documents", [(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table("labels", labels, "doc_id long, quality int")
+    table("benchmark", items, "item_id string, text string")
+
+    verdict = quality.fit(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = []
+    for i, t in rows:
+        n, *_, repeated = ops.counts_by_force(t)
+        if n >= 50 and 100 * repeated <= 50 * n and score_by_walk(verdict.forest, quality.text_statistics(t, WordHash())[1]) <= verdict.threshold + 1e-12:
+            kept.append((i, t))
+    assert 0 < len(kept) < len(rows)
+    groups = ops.components_by_force(kept)
+    single = {i: t for i, t in kept if groups[i][2]}
+    assert len(single) < len(kept)
+    clean = [(r[0], single[r[0]]) for r in ops.contaminated_by_force(sorted(single.items()), items) if not r[-1]]
+    assert 0 < len(clean) < len(single)
+    model, redacted = pii.trained(), []
+    for i, t in clean:
+        spans = ops.base_by_force(t)
+        spans += [s for s in pii.model_spans([t], model)[0] if not any(a < s[2] and s[0] < b for a, _, b in spans)]
+        parts, end = [], 0
+        for a, kind, b in sorted(spans):
+            if a >= end:
+                parts += [t[end:a], f"[{pii.KINDS[kind].upper()}]"]
+            end = max(end, b)
+        redacted.append((i, "".join([*parts, t[end:]])))
+    assert redacted != clean
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == pieces_by_force(redacted)
+
+
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    rows = [(7, text(1)), (7, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (4, text(3)), (9, None), (9, None), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, _key string")
+    got = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    want = [(7, text(1)), (None, text(2)), (3, text(3)), (9, None), (None, None), (8, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_each_operator_has_one_query():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
