@@ -41,7 +41,20 @@ def envelope(g: Column) -> Column:
     """``struct<xmin, ymin, xmax, ymax>``; null for a null or empty geometry."""
     xs = F.transform(F.flatten(g["rings"]), lambda v: v["x"])
     ys = F.transform(F.flatten(g["rings"]), lambda v: v["y"])
-    return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+    names = ("xmin", "ymin", "xmax", "ymax")
+    box = lambda *values: F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True)))
+    return F.when(g["type"] == "POINT", box(x_of(g), y_of(g), x_of(g), y_of(g))).otherwise(box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
+
+
+def is_rectangle(g: Column) -> Column:
+    """Whether a geometry is a rectangle with sides along the axes."""
+    r = g["rings"][0]
+    same = lambda axis, *pairs: [r[i][axis] == r[j][axis] for i, j in pairs]
+    upright = same("x", (0, 1), (2, 3)) + same("y", (1, 2), (3, 0))
+    flat = same("y", (0, 1), (2, 3)) + same("x", (1, 2), (3, 0))
+    every = lambda tests: tests[0] & tests[1] & tests[2] & tests[3]
+    wide = (r[0]["x"] != r[2]["x"]) & (r[0]["y"] != r[2]["y"])
+    return F.coalesce(F.when((g["type"] == "POLYGON") & (F.size(g["rings"]) == 1) & (F.size(r) == 5), wide & (every(upright) | every(flat))), F.lit(False))
 
 
 def edges(ring: Column) -> Column:

@@ -1,9 +1,10 @@
 """Adjacency of polygons and of points.
 
-The array forms give each geometry a weight for every geometry, so their size is
-the square of the count whatever the plan; they are for zones and grid cells.
-``polygon_neighbours`` gives the neighbours alone, by a tiled join, and is what
-large inputs should use.
+The forms for all pairs give each geometry a weight for every geometry, so their
+size is the square of the count whatever the plan; they are for zones and grid
+cells.  Where most weights are 0, geometries meet in a tiled join and the zeros
+are filled in by id.  ``polygon_neighbours`` gives the neighbours alone, and is
+what large inputs should use.
 """
 
 from __future__ import annotations
@@ -37,20 +38,31 @@ def _decay(pairs: DataFrame, d: Column, bandwidth: float | None) -> DataFrame:
     return far.select("id", "nbr_id", F.when(F.col("d") == 0, 1.0).otherwise(F.exp(F.try_divide(-(F.col("d") * F.col("d")), F.col("bw") * F.col("bw")))).alias("weight"))
 
 
+def _filled(df: DataFrame, geo_id: str, near: DataFrame, zero: Column) -> DataFrame:
+    """``near(id, nbr_id, weight)`` with ``zero`` for all other pairs of ids."""
+    ids = df.select(F.col(geo_id).alias("id"))
+    every = df.agg(F.sort_array(F.collect_set(geo_id))).scalar()
+    of = near.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("nbr_id", "weight"))).alias("near"))
+    rows = ids.join(of, "id", "left").withColumn("nbr_id", F.explode(every))
+    return rows.select("id", "nbr_id", F.coalesce(F.try_element_at("near", F.col("nbr_id")), zero).alias("weight"))
+
+
 def polygon_weights(df: DataFrame, geo_id: str, geometry: str, adjacency_type: AdjacencyType = AdjacencyType.BINARY, bandwidth: float | None = None) -> DataFrame:
     """``id, nbr_id, weight`` for all pairs."""
-    pairs = _pairs(df, geo_id, geometry)
+    kind = AdjacencyType(adjacency_type)
     g, h, same = F.col("g1"), F.col("g2"), F.col("id") == F.col("nbr_id")
-    match AdjacencyType(adjacency_type):
+    match kind:
         case AdjacencyType.BINARY:
-            return pairs.select("id", "nbr_id", F.when(~same & G.polygons_intersect(g, h), 1).otherwise(0).cast("long").alias("weight"))
+            near = polygon_neighbours(df, geo_id, geometry).withColumn("weight", F.lit(1).cast("long"))
+            return _filled(df, geo_id, near, F.lit(0).cast("long"))
         case AdjacencyType.EXPONENTIAL_CENTROID_DISTANCE:
-            return _decay(pairs, G.distance(G.centroid(g), G.centroid(h)), bandwidth)
+            return _decay(_pairs(df, geo_id, geometry), G.distance(G.centroid(g), G.centroid(h)), bandwidth)
         case AdjacencyType.EXPONENTIAL_DISTANCE:
-            return _decay(pairs, G.polygon_distance(g, h), bandwidth)
+            return _decay(_pairs(df, geo_id, geometry), G.polygon_distance(g, h), bandwidth)
         case AdjacencyType.COMMON_BORDER_RATIO:
             share = F.try_divide(G.shared_border(g, h), G.length(g))
-            return pairs.select("id", "nbr_id", F.when(same, 1.0).otherwise(share).alias("weight"))
+            near = _meeting(df, geo_id, geometry).select("id", "nbr_id", F.when(same, 1.0).otherwise(share).alias("weight"))
+            return _filled(df, geo_id, near, F.when(same, 1.0).otherwise(0.0))
 
 
 ARRAY_NAMES = {
@@ -77,8 +89,14 @@ def get_points_adjacency(df: DataFrame, geo_id: str, geometry: str, bandwidth: f
     return _arrays(point_weights(df, geo_id, geometry, bandwidth), "exponential_distances")
 
 
-def polygon_neighbours(df: DataFrame, geo_id: str, geometry: str) -> DataFrame:
-    """``id, nbr_id`` of polygons that share a point, each pair both ways."""
+def _meeting(df: DataFrame, geo_id: str, geometry: str) -> DataFrame:
+    """``id, g1, nbr_id, g2`` of polygons that share a point, each pair both ways
+    and each polygon with itself."""
     a = df.select(F.col(geo_id).alias("id"), F.col(geometry).alias("g1"))
     b = df.select(F.col(geo_id).alias("nbr_id"), F.col(geometry).alias("g2"))
-    return spatial_join(a, b, "g1", "g2", GeoRelationship.INTERSECTS).filter("id <> nbr_id").select("id", "nbr_id")
+    return spatial_join(a, b, "g1", "g2", GeoRelationship.INTERSECTS)
+
+
+def polygon_neighbours(df: DataFrame, geo_id: str, geometry: str) -> DataFrame:
+    """``id, nbr_id`` of polygons that share a point, each pair both ways."""
+    return _meeting(df, geo_id, geometry).filter("id <> nbr_id").select("id", "nbr_id")

@@ -2,9 +2,13 @@
 
 Both sides are dealt to the tiles that their envelopes overlap and joined on
 the tile, an equi-join that Spark can shuffle, broadcast or split where it is
-skewed; exact predicates refine the pairs.  A pair that shares several tiles is
-kept in the one with the lower left corner of what the envelopes have in common,
-so nothing needs to be made distinct.
+skewed; exact predicates refine the pairs.  Tiles come in levels, each twice as
+wide as the one below, and a geometry belongs to the level whose tiles are just
+as large as it is, so it has four tiles at most whatever the others' sizes; a
+pair meets on the level of its larger geometry, to which the smaller one is
+dealt too.  A pair that shares several tiles is kept in the one with the lower
+left corner of what the envelopes have in common, so nothing needs to be made
+distinct.
 """
 
 from __future__ import annotations
@@ -66,37 +70,103 @@ def related(g: Column, h: Column, relation: GeoRelationship) -> Column:
     return call[GeoRelationship(relation)](g, h)
 
 
-def _span(low: Column, high: Column, size: Column) -> Column:
-    return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
+#: Tiles of the lowest level on a side of the box.
+FINEST = 1 << 16
 
 
-def _tiled(df: DataFrame, geometry: str, side: str, size: Column) -> DataFrame:
+def _frame(df: DataFrame, geometry: str) -> dict[str, float] | None:
+    """The box of all geometries and the size of its finest tiles (six numbers);
+    None if there is no geometry."""
+    e = G.envelope(F.col(geometry))
+    box = df.agg(F.min(e["xmin"]).alias("xmin"), F.min(e["ymin"]).alias("ymin"), F.max(e["xmax"]).alias("xmax"), F.max(e["ymax"]).alias("ymax")).first().asDict()
+    if box["xmin"] is None:
+        return None
+    return box | {"w": (box["xmax"] - box["xmin"]) / FINEST or 1.0, "h": (box["ymax"] - box["ymin"]) / FINEST or 1.0}
+
+
+def _leveled(df: DataFrame, geometry: str, side: str, frame: dict[str, float]) -> tuple[DataFrame, list[int]]:
+    """``df`` where it overlaps the frame's box, with the envelope, the level,
+    and whether it is a rectangle; and the levels in use, some forty at most."""
     e = f"_e{side}"
-    own = df.filter(F.col(geometry).isNotNull()).withColumn(e, G.envelope(F.col(geometry))).withColumn(f"_s{side}", size)
-    own = own.withColumn("_tx", F.explode(_span(F.col(f"{e}.xmin"), F.col(f"{e}.xmax"), F.col(f"_s{side}.w"))))
-    return own.withColumn("_ty", F.explode(_span(F.col(f"{e}.ymin"), F.col(f"{e}.ymax"), F.col(f"_s{side}.h"))))
+    edge = lambda c: F.col(f"{e}.{c}")
+    own = df.filter(F.col(geometry).isNotNull()).withColumn(e, G.envelope(F.col(geometry)))
+    own = own.filter((edge("xmin") <= frame["xmax"]) & (edge("xmax") >= frame["xmin"]) & (edge("ymin") <= frame["ymax"]) & (edge("ymax") >= frame["ymin"]))
+    extent = F.greatest((edge("xmax") - edge("xmin")) / frame["w"], (edge("ymax") - edge("ymin")) / frame["h"])
+    level = F.when(extent > 1, F.least(F.ceil(F.log2(extent)), F.lit(40))).otherwise(0).cast("int")
+    own = own.withColumns({f"_l{side}": level, f"_q{side}": G.is_rectangle(F.col(geometry))})
+    return own, sorted(r[0] for r in own.select(f"_l{side}").distinct().collect())
 
 
-def tile_size(df: DataFrame, geometry: str) -> Column:
-    """``struct<w, h>``: the mean extent of the geometries, as a scalar subquery;
-    1 where they have none."""
-    e = G.envelope(F.col(geometry))
-    mean = lambda hi, lo: F.coalesce(F.nullif(F.avg(e[hi] - e[lo]), F.lit(0.0)), F.lit(1.0))
-    return df.agg(F.struct(mean("xmax", "xmin").alias("w"), mean("ymax", "ymin").alias("h"))).scalar()
+def _tile(v: Column, low: float, size: float, level: Column) -> Column:
+    return F.floor((v - low) / (size * F.pow(F.lit(2.0), level))).cast("long")
+
+
+def _dealt(df: DataFrame, side: str, frame: dict[str, float], roles: Column) -> DataFrame:
+    """A row for each tile of each ``struct<role, level>`` in ``roles``."""
+    e = f"_e{side}"
+    out = df.withColumn("_r", F.explode(roles)).withColumns({"_role": F.col("_r.role"), "_level": F.col("_r.level")}).drop("_r")
+    for axis, size, name in (("x", "w", "_tx"), ("y", "h", "_ty")):
+        at = lambda end, axis=axis, size=size: _tile(F.col(f"{e}.{axis}{end}"), frame[f"{axis}min"], frame[size], F.col("_level"))
+        out = out.withColumn(name, F.explode(F.sequence(at("min"), at("max"))))
+    return out
+
+
+def _strictly(x: str, y: str) -> Column:
+    """Whether the insides of two envelopes meet."""
+    return F.expr(f"{x}.xmin < {y}.xmax AND {y}.xmin < {x}.xmax AND {x}.ymin < {y}.ymax AND {y}.ymin < {x}.ymax")
+
+
+def _within(x: str, y: str) -> Column:
+    """Whether envelope ``x`` lies in ``y``, the edge included."""
+    return F.expr(f"{x}.xmin >= {y}.xmin AND {x}.xmax <= {y}.xmax AND {x}.ymin >= {y}.ymin AND {x}.ymax <= {y}.ymax")
+
+
+def _tested(geometry1: str, geometry2: str, relation: GeoRelationship) -> Column:
+    """The predicate of a pair whose envelopes meet; of rectangles, and of points
+    with them, by the envelopes alone."""
+    kind = lambda g: F.col(g)["type"]
+    q1, q2, p1, p2 = F.col("_q1"), F.col("_q2"), kind(geometry1) == "POINT", kind(geometry2) == "POINT"
+    boxes = (q1 & (q2 | p2)) | (q2 & p1)
+    exact = related(F.col(geometry1), F.col(geometry2), relation)
+    match relation:
+        case GeoRelationship.INTERSECTS:
+            return boxes | exact
+        case GeoRelationship.TOUCHES:
+            return F.when(boxes, ~_strictly("_e1", "_e2")).otherwise(exact)
+        case GeoRelationship.CONTAINS:
+            return F.when(q1 & p2, _strictly("_e1", "_e2")).when(q1 & (kind(geometry2) == "POLYGON"), _within("_e2", "_e1")).otherwise(exact)
+        case GeoRelationship.WITHIN:
+            return F.when(q2 & p1, _strictly("_e1", "_e2")).when(q2 & (kind(geometry1) == "POLYGON"), _within("_e1", "_e2")).otherwise(exact)
 
 
 def spatial_join(left: DataFrame, right: DataFrame, geometry1: str, geometry2: str, relation: GeoRelationship) -> DataFrame:
     """The pairs of rows with ``geometry1`` in ``relation`` to ``geometry2``, all
-    columns of both; rows without a geometry have none.  Tiles are as large as
-    the mean geometry of the side whose are extended (the left one, or else the
-    right)."""
-    size = tile_size(right if GeoRelationship(relation) is GeoRelationship.WITHIN else left, geometry1 if GeoRelationship(relation) is not GeoRelationship.WITHIN else geometry2)
-    a, b = _tiled(left, geometry1, "1", size), _tiled(right, geometry2, "2", size)
-    met = a.join(b, ["_tx", "_ty"])
-    corner = (F.floor(F.greatest("_e1.xmin", "_e2.xmin") / F.col("_s1.w")) == F.col("_tx")) & (F.floor(F.greatest("_e1.ymin", "_e2.ymin") / F.col("_s1.h")) == F.col("_ty"))
-    overlap = (F.col("_e1.xmin") <= F.col("_e2.xmax")) & (F.col("_e2.xmin") <= F.col("_e1.xmax")) & (F.col("_e1.ymin") <= F.col("_e2.ymax")) & (F.col("_e2.ymin") <= F.col("_e1.ymax"))
-    met = met.filter(corner & overlap & related(F.col(geometry1), F.col(geometry2), relation))
-    return met.drop("_tx", "_ty", "_e1", "_e2", "_s1", "_s2")
+    columns of both; rows without a geometry have none.
+
+    The box of the containing side (of the left one in general) sets the tiles;
+    what lies outside it is dropped before anything is shuffled.
+    """
+    relation = GeoRelationship(relation)
+    frame = _frame(right, geometry2) if relation is GeoRelationship.WITHIN else _frame(left, geometry1)
+    if frame is None:
+        return left.join(right, F.lit(False))
+    (a, levels1), (b, levels2) = _leveled(left, geometry1, "1", frame), _leveled(right, geometry2, "2", frame)
+    role = lambda r, level: F.struct(F.lit(r).alias("role"), level.alias("level"))
+
+    def roles(own: Column, other: list[int], mine: int, theirs: int, meets) -> Column:
+        """Role 0: the left geometry is as large or larger; 1: the right one is."""
+        up = [F.when(meets(F.lit(v), own), role(theirs, F.lit(v))) for v in other]
+        return F.filter(F.array(role(mine, own), *up), lambda r: r.isNotNull())
+
+    a = _dealt(a, "1", frame, roles(F.col("_l1"), [v for v in levels2 if v > min(levels1, default=0)], 0, 1, lambda v, own: v > own)).drop("_l1")
+    larger = max(levels2, default=0) > min(levels1, default=0)  # some right geometry is larger than some left one
+    upper = roles(F.col("_l2"), [v for v in levels1 if v >= min(levels2, default=0)], 1, 0, lambda v, own: v >= own)
+    b = _dealt(b, "2", frame, upper if larger else F.filter(upper, lambda r: r["role"] == 0)).drop("_l2")
+    met = a.join(b, ["_role", "_level", "_tx", "_ty"])
+    at = lambda axis, size: _tile(F.greatest(f"_e1.{axis}min", f"_e2.{axis}min"), frame[f"{axis}min"], frame[size], F.col("_level"))
+    overlap = F.expr("_e1.xmin <= _e2.xmax AND _e2.xmin <= _e1.xmax AND _e1.ymin <= _e2.ymax AND _e2.ymin <= _e1.ymax")
+    met = met.filter(overlap & (at("x", "w") == F.col("_tx")) & (at("y", "h") == F.col("_ty")) & _tested(geometry1, geometry2, relation))
+    return met.drop("_role", "_level", "_tx", "_ty", "_e1", "_e2", "_q1", "_q2")
 
 
 def aggregate_st_dfs(

@@ -194,15 +194,19 @@ query("points_in_grid", f"WITH p AS (SELECT event_id, value AS x, user_id::DOUBL
     lambda s, d: spatial_join.points_in_grid(events(s, d), "geometry", None, 10, 16).select("event_id", "cell_id")
 )
 
-_TWO = f"WITH a AS ({_cells_sql(_box(0, 0, 8, 8), 8, 8)}), b AS ({_cells_sql(_box(1, 1, 5, 3), 8, 8)}) SELECT a.cell_id AS id1, b.cell_id AS id2 FROM a, b WHERE "
+# a box around each event, of a size that goes by its id, against the grid over all events
+_TWO = f"""WITH a AS ({_cells_sql(_EVENT_BOX, 8, 8)}), b AS (SELECT event_id, value - r AS xmin, user_id - r AS ymin, value + r AS xmax, user_id + r AS ymax
+  FROM (SELECT *, (event_id % 40)::DOUBLE / 4 AS r FROM events) WHERE r > 0) SELECT a.cell_id AS id1, b.event_id AS id2 FROM a, b WHERE """
 _CLOSED = "a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax"
 _OPEN = "a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax"
 
 
 def _relation(kind: GeoRelationship) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        a = grid.generate_grid_cells([[0, 0], [8, 8]], 8, spark=spark).toDF("id1", "g1")
-        b = grid.generate_grid_cells([[1, 1], [5, 3]], 8, spark=spark).toDF("id2", "g2")
+        a = grid.generate_grid_cells(events(spark, sf_dir), 8).toDF("id1", "g1")
+        r = (F.col("event_id") % 40).cast("double") / 4
+        x, y = F.col("value"), F.col("user_id").cast("double")
+        b = table(spark, sf_dir, "events").filter(r > 0).select(F.col("event_id").alias("id2"), G.rectangle(x - r, y - r, x + r, y + r).alias("g2"))
         if kind is GeoRelationship.WITHIN:
             return spatial_join.spatial_join(b, a, "g2", "g1", kind).select("id1", "id2")
         return spatial_join.spatial_join(a, b, "g1", "g2", kind).select("id1", "id2")
@@ -214,6 +218,30 @@ _HOLDS = "a.xmin <= b.xmin AND b.xmax <= a.xmax AND a.ymin <= b.ymin AND b.ymax
 for _kind, _where in ((GeoRelationship.CONTAINS, _HOLDS), (GeoRelationship.WITHIN, _HOLDS), (GeoRelationship.INTERSECTS, _CLOSED), (GeoRelationship.TOUCHES, f"{_CLOSED} AND NOT ({_OPEN})")):
     query(f"rel_{_kind.value}", _TWO + _where)(_relation(_kind))
 
+
+def _diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diamond around each supplier, of a size that goes by its nation."""
+    r = (F.col("s_nationkey") % 5 + 1) * 16.0
+    x, y = F.floor(F.col("s_acctbal") / 16).cast("double"), F.col("s_nationkey") * 16.0
+    corners = [(x - r, y), (x, y + r), (x + r, y), (x, y - r), (x - r, y)]
+    ring = F.array(*(G.vertex(px, py) for px, py in corners))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.struct(F.lit("POLYGON").alias("type"), F.array(ring).alias("rings")).alias("diamond"))
+
+
+_DIAMONDS = "d AS (SELECT s_suppkey, floor(s_acctbal / 16)::DOUBLE AS cx, s_nationkey * 16.0::DOUBLE AS cy, (s_nationkey % 5 + 1) * 16.0::DOUBLE AS r FROM supplier)"
+for _name, _kind, _test in (("contains", GeoRelationship.CONTAINS, "<"), ("intersects", GeoRelationship.INTERSECTS, "<="), ("touches", GeoRelationship.TOUCHES, "=")):
+    query(
+        f"general_{_name}_points",
+        f"WITH {_DIAMONDS}, p AS (SELECT c_custkey, floor(c_acctbal / 16)::DOUBLE AS x, c_nationkey * 16.0::DOUBLE AS y FROM customer) SELECT s_suppkey, c_custkey FROM d, p WHERE abs(x - cx) + abs(y - cy) {_test} r",
+    )(
+        lambda s, d, kind=_kind: spatial_join.spatial_join(
+            _diamonds(s, d), table(s, d, "customer").select("c_custkey", G.point(F.floor(F.col("c_acctbal") / 16).cast("double"), F.col("c_nationkey") * 16.0).alias("p")), "diamond", "p", kind
+        ).select("s_suppkey", "c_custkey")
+    )
+query("general_intersects", f"WITH {_DIAMONDS} SELECT a.s_suppkey AS id, b.s_suppkey AS nbr_id FROM d a, d b WHERE a.s_suppkey <> b.s_suppkey AND abs(a.cx - b.cx) + abs(a.cy - b.cy) <= a.r + b.r")(
+    lambda s, d: adjacency.polygon_neighbours(_diamonds(s, d), "s_suppkey", "diamond")
+)
+
 # ------------------------------------------------------------------- adjacency
 
 _ADJ = f"WITH a AS ({_cells_sql(_box(0, 0, 4, 8), 4, 4)}), b AS (SELECT * FROM a) SELECT a.cell_id AS id, b.cell_id AS nbr_id, "
