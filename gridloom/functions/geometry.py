@@ -2,7 +2,9 @@
 
 A geometry is ``struct<type, rings>``: a point has one ring of one vertex, a
 line one ring, a polygon its shell and holes, closed (the last vertex is the
-first).  All functions here are native expressions.
+first).  MULTIPOINT and MULTILINESTRING have a ring for each part; the rings of
+a MULTIPOLYGON are those of its polygons, shells counterclockwise and each
+followed by its holes, clockwise.  All functions here are native expressions.
 """
 
 from __future__ import annotations
@@ -80,10 +82,22 @@ def _cross(e: Column) -> Column:
     return e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
 
 
+def _twice_area(r: Column) -> Column:
+    """With the sign of the ring's direction: above 0 if counterclockwise."""
+    return _sum(F.transform(edges(r), _cross))
+
+
 def area(g: Column) -> Column:
-    """The shell's less the holes'."""
-    by_ring = F.transform(g["rings"], lambda r: F.abs(_sum(F.transform(edges(r), _cross))) / 2)
-    return F.when(F.size(by_ring) > 0, 2 * by_ring[0] - _sum(by_ring))
+    """The shells' less the holes'; 0 without rings that enclose anything."""
+    by_ring = F.transform(g["rings"], lambda r: F.abs(_twice_area(r)) / 2)
+    many = _sum(F.transform(g["rings"], _twice_area)) / 2
+    return F.when(g["type"] == "MULTIPOLYGON", many).when(F.size(by_ring) > 0, 2 * by_ring[0] - _sum(by_ring))
+
+
+def multipolygon(parts: Column) -> Column:
+    """From polygons, each an array of its shell and holes, in any direction."""
+    turned = lambda r, i: F.when((_twice_area(r) < 0) == (i == 0), F.reverse(r)).otherwise(r)
+    return F.struct(F.lit("MULTIPOLYGON").alias("type"), F.flatten(F.transform(parts, lambda p: F.transform(p, turned))).alias("rings"))
 
 
 def centroid(g: Column) -> Column:
@@ -184,23 +198,36 @@ def shared_border(g: Column, h: Column) -> Column:
 
 
 def from_wkt(text: Column) -> Column:
-    """POINT, LINESTRING and POLYGON texts; null for anything else."""
+    """POINT, LINESTRING, POLYGON and their MULTI kinds; null for anything else."""
     clean = F.upper(F.trim(text))
-    kind = F.regexp_extract(clean, r"^(POINT|LINESTRING|POLYGON)\s*\(", 1)
+    kind = F.regexp_extract(clean, r"^((?:MULTI)?(?:POINT|LINESTRING|POLYGON))\s*\(", 1)
     body = F.regexp_replace(F.regexp_replace(clean, r"^[A-Z]+\s*\(+\s*", ""), r"\s*\)+$", "")
     numbers = lambda pair: F.split(F.trim(pair), r"\s+")
     to_vertex = lambda pair: F.struct(F.try_element_at(numbers(pair), F.lit(1)).try_cast("double").alias("x"), F.try_element_at(numbers(pair), F.lit(2)).try_cast("double").alias("y"))
-    rings = F.transform(F.split(body, r"\)\s*,\s*\("), lambda r: F.transform(F.split(r, ","), to_vertex))
-    sound = ~F.exists(F.flatten(rings), lambda v: v["x"].isNull() | v["y"].isNull())
-    return F.when((kind != "") & sound, F.struct(kind.alias("type"), rings.alias("rings")))
+    ring = lambda r: F.transform(F.split(r, ","), to_vertex)
+    split_rings = lambda b: F.transform(F.split(b, r"\)\s*,\s*\("), ring)
+    # the points of a MULTIPOINT stand with or without brackets
+    points = F.transform(F.split(F.regexp_replace(body, r"[()]", " "), ","), lambda p: F.array(to_vertex(p)))
+    parts = F.transform(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), split_rings)
+    made = (
+        F.when(kind == "MULTIPOLYGON", multipolygon(parts))
+        .when(kind == "MULTIPOINT", F.struct(kind.alias("type"), points.alias("rings")))
+        .when(kind != "", F.struct(kind.alias("type"), split_rings(body).alias("rings")))
+    )
+    return F.when(~F.exists(F.flatten(made["rings"]), lambda v: v["x"].isNull() | v["y"].isNull()), made)
 
 
 def to_wkt(g: Column) -> Column:
-    text = lambda v: F.concat(v["x"].cast("string"), F.lit(" "), v["y"].cast("string"))
-    ring = lambda r: F.concat_ws(", ", F.transform(r, text))
-    single = F.concat(g["type"], F.lit(" ("), ring(g["rings"][0]), F.lit(")"))
-    many = F.concat(F.lit("POLYGON ("), F.concat_ws(", ", F.transform(g["rings"], lambda r: F.concat(F.lit("("), ring(r), F.lit(")")))), F.lit(")"))
-    return F.when(g["type"] == "POLYGON", many).otherwise(single)
+    vertex_ = lambda v: F.concat(v["x"].cast("string"), F.lit(" "), v["y"].cast("string"))
+    ring = lambda r: F.concat(F.lit("("), F.concat_ws(", ", F.transform(r, vertex_)), F.lit(")"))
+    rings = F.concat_ws(", ", F.transform(g["rings"], ring))
+    # a counterclockwise ring begins the next polygon
+    polygons = F.aggregate(
+        g["rings"], F.lit(""), lambda s, r: F.concat(s, F.when(s == "", "(").when(_twice_area(r) > 0, "), (").otherwise(", "), ring(r)), lambda s: F.concat(s, F.lit(")"))
+    )
+    body = F.when(g["type"] == "MULTIPOLYGON", polygons).otherwise(rings)
+    single = g["type"].isin("POINT", "LINESTRING")
+    return F.when(single, F.concat(g["type"], F.lit(" "), rings)).otherwise(F.concat(g["type"], F.lit(" ("), body, F.lit(")")))
 
 
 #: Radius of the sphere of EPSG:3857, in metres (a fixed value).

@@ -11,14 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..enums import AdjacencyType, AggregationType, GeoRelationship
+from ..enums import AdjacencyType, AggregationType, GeoFileType, GeoRelationship
 from ..functions import bands as B
 from ..functions import geometry as G
 from ..functions import indices as I
 from ..functions import temporal as T
 from ..functions import texture
 from ..operators import adapter, adjacency, datasets, grid, spatial_join, tensor
-from ..sources import tiff
+from ..scratch import shared_folder
+from ..sources import readers, tiff, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -355,6 +356,42 @@ query("raster_add_band", _long_sql(f"list_concat({_b(0)}, {_b(3)}, d[17:64])"))(
 )
 query("raster_bands_selected", _long_sql(f"list_concat({_b(3)}, {_b(1)})"))(lambda s, d: _long(_images(s, d).select("vec_id", tiff.array_from_binary(tiff.encoded(F.col("r")), [3, 1]).alias("v")), "v"))
 
+
+
+@query("geotiff_files", _long_sql("d"))
+def geotiff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to files and read back."""
+    four, folder = F.lit(4), shared_folder(spark, "geotiff")
+    own = rasters(spark, sf_dir).select(F.concat(F.lit("/all/"), "vec_id").alias("origin"), four.alias("width"), four.alias("height"), "nBands", "data")
+    writers.write_geotiff_image_with_array_data(own, folder).write.format("noop").mode("overwrite").save()
+    name = F.regexp_extract("origin", "([0-9]+)[.]tiff$", 1).cast("long")
+    return _long(readers.load_geotiff_image_as_array_data(folder, spark=spark).select(name.alias("vec_id"), F.col("data").alias("v")), "v")
+
+
+def _polygon_files(name: str, read: Callable[[SparkSession, str, DataFrame], DataFrame]) -> None:
+    """Cells of the grid over all events, written and read back."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _corners(read(spark, shared_folder(spark, name), grid.generate_grid_cells(events(spark, sf_dir), 8, 6)))
+
+    query(name, _cells_sql(_EVENT_BOX, 8, 6))(run)
+
+
+def _by_wkt(spark: SparkSession, folder: str, cells: DataFrame) -> DataFrame:
+    writers.write_geometries(cells, "geometry", folder)
+    return readers.load_geo_data(folder, GeoFileType.WKT_FILE, spark).select(F.col("_c1").cast("int").alias("cell_id"), "geometry")
+
+
+def _by_geojson(spark: SparkSession, folder: str, cells: DataFrame) -> DataFrame:
+    ring = F.transform("geometry.rings", lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"])))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("cell_id").alias("properties"), F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")).alias("geometry"))
+    cells.select(F.to_json(feature).alias("value")).write.text(folder)
+    return readers.load_geo_data(folder, GeoFileType.JSON_FILE, spark).select(F.col("properties")["cell_id"].cast("int").alias("cell_id"), "geometry")
+
+
+_polygon_files("wkt_files", _by_wkt)
+_polygon_files("geojson_files", _by_geojson)
+
 # ------------------------------------------------------ dense tables, samples
 
 _STEPS_T, _SIDE_N = 120, 8

@@ -49,49 +49,89 @@ _JSON = "struct<type:string,properties:map<string,string>,geometry:struct<type:s
 
 
 def _geojson(spark: SparkSession, path: str) -> DataFrame:
-    """One feature a line, or collections over several lines."""
-    texts = spark.read.text(path, wholetext=True)
-    whole = F.from_json("value", f"struct<type:string,features:array<{_JSON}>>")
-    lines = F.transform(F.filter(F.split("value", "\n"), lambda x: F.length(F.trim(x)) > 0), lambda x: F.from_json(x, _JSON))
-    is_collection = F.get_json_object("value", "$.type") == "FeatureCollection"
-    features = F.when(is_collection & (F.size(whole["features"]) >= 0), whole["features"]).otherwise(lines)
-    each = texts.select(F.explode(features).alias("f"))
-    numbers = lambda t: F.transform(F.from_json(t, "array<double>"), lambda v: v)
-    point = F.from_json("f.geometry.coordinates", "array<double>")
-    polygon = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
-    line = F.from_json("f.geometry.coordinates", "array<array<double>>")
-    to_ring = lambda r: F.transform(r, lambda v: F.struct(v[0].alias("x"), v[1].alias("y")))
+    """One feature a line, read by line; or collections, a file each.  Which of
+    both a file is shows in its lines: in the first form each is a feature."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).filter(F.length(F.trim("value")) > 0)
+    feature = F.get_json_object("value", "$.type") == "Feature"
+    by_file = lines.groupBy("file").agg(F.min(F.coalesce(feature, F.lit(False))).alias("by_line"))
+    each = lines.filter(feature).select(F.from_json("value", _JSON).alias("f"), "file").join(by_file.filter("by_line"), "file").select("f")
+    if not by_file.filter("NOT by_line").isEmpty():
+        whole = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file")).join(by_file.filter("NOT by_line"), "file")
+        features = F.from_json("value", f"struct<type:string,features:array<{_JSON}>>")["features"]
+        each = each.unionByName(whole.select(F.explode(features).alias("f")))
+    read = lambda depth: F.from_json("f.geometry.coordinates", "array<" * depth + "double" + ">" * depth)
+    at = lambda v: F.struct(v[0].alias("x"), v[1].alias("y"))
+    ring = lambda r: F.transform(r, at)
     kind = F.upper("f.geometry.type")
-    rings = F.when(kind == "POINT", F.array(F.array(F.struct(point[0].alias("x"), point[1].alias("y"))))).when(kind == "LINESTRING", F.array(to_ring(line))).when(kind == "POLYGON", F.transform(polygon, to_ring))
-    return each.select(F.struct(kind.alias("type"), rings.alias("rings")).alias("geometry"), F.col("f.properties").alias("properties"))
+    rings = (
+        F.when(kind == "POINT", F.array(F.array(at(read(1)))))
+        .when(kind == "LINESTRING", F.array(ring(read(2))))
+        .when(kind == "MULTIPOINT", F.transform(read(2), lambda v: F.array(at(v))))
+        .when(kind.isin("POLYGON", "MULTILINESTRING"), F.transform(read(3), ring))
+        .when(kind == "MULTIPOLYGON", G.multipolygon(F.transform(read(4), lambda p: F.transform(p, ring)))["rings"])
+    )
+    geometry = F.when(rings.isNotNull(), F.struct(kind.alias("type"), rings.alias("rings")))
+    return each.select(geometry.alias("geometry"), F.col("f.properties").alias("properties"))
+
+
+_WKB_KINDS = {1: "POINT", 2: "LINESTRING", 3: "POLYGON", 4: "MULTIPOINT", 5: "MULTILINESTRING", 6: "MULTIPOLYGON"}
+
+
+def _twice_area(ring: list[dict]) -> float:
+    return sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(ring, ring[1:], strict=False))
+
+
+def _turned(ring: list[dict], shell: bool) -> list[dict]:
+    """Shells counterclockwise, holes clockwise."""
+    return ring[::-1] if (_twice_area(ring) < 0) == shell else ring
 
 
 def _wkb(data: bytes | None) -> dict | None:
-    """A point, line or polygon of well-known binary."""
+    """A geometry of well-known binary, plain (with dimensions by thousands) or
+    extended (with flags for Z, M and a reference system); x and y are kept.
+    None for empty or cut-off data and for collections."""
     if not data:
         return None
-    order = "<" if data[0] else ">"
-    kind = struct.unpack_from(order + "I", data, 1)[0] & 0xFF
-    at = 5
-
-    def vertices(n: int) -> list[dict]:
-        nonlocal at
-        values = struct.unpack_from(f"{order}{2 * n}d", data, at)
-        at += 16 * n
-        return [{"x": values[i], "y": values[i + 1]} for i in range(0, 2 * n, 2)]
-
-    def count() -> int:
-        nonlocal at
-        at += 4
-        return struct.unpack_from(order + "I", data, at - 4)[0]
-
-    if kind == 1:
-        return {"type": "POINT", "rings": [vertices(1)]}
-    if kind == 2:
-        return {"type": "LINESTRING", "rings": [vertices(count())]}
-    if kind == 3:
-        return {"type": "POLYGON", "rings": [vertices(count()) for _ in range(count())]}
-    return None
+    try:
+        return _Wkb(data).geometry()
+    except (struct.error, KeyError):
+        return None
+
+
+class _Wkb:
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def take(self, form: str) -> tuple:
+        out = struct.unpack_from(form, self.data, self.at)
+        self.at += struct.calcsize(form)
+        return out
+
+    def geometry(self) -> dict:
+        order = "<" if self.take("B")[0] else ">"
+        code = self.take(order + "I")[0]
+        wide = bool(code & 0x80000000) + bool(code & 0x40000000)
+        if code & 0x20000000:
+            self.take(order + "I")  # the reference system
+        code &= 0x0FFFFFFF
+        size = 2 + (wide or {0: 0, 1: 1, 2: 1, 3: 2}[code // 1000])
+        kind = _WKB_KINDS[code % 1000]
+
+        def vertices(n: int) -> list[dict]:
+            values = self.take(f"{order}{size * n}d")
+            return [{"x": values[i], "y": values[i + 1]} for i in range(0, size * n, size)]
+
+        count = lambda: self.take(order + "I")[0]
+        if kind == "POINT":
+            rings = [vertices(1)]
+        elif kind == "LINESTRING":
+            rings = [vertices(count())]
+        elif kind == "POLYGON":
+            rings = [vertices(count()) for _ in range(count())]
+        else:
+            parts = [self.geometry()["rings"] for _ in range(count())]
+            rings = [_turned(r, i == 0) if kind == "MULTIPOLYGON" else r for p in parts for i, r in enumerate(p)]
+        return {"type": kind, "rings": rings}
 
 
 def from_wkb(data: Column) -> Column:
@@ -118,14 +158,37 @@ def _shapes(content: bytes) -> list[dict | None]:
             starts = [*struct.unpack_from(f"<{parts}i", record, 44), points]
             xy = struct.unpack_from(f"<{2 * points}d", record, 44 + 4 * parts)
             rings = [[{"x": xy[2 * i], "y": xy[2 * i + 1]} for i in range(a, b)] for a, b in zip(starts, starts[1:], strict=False)]
-            out.append({"type": "POLYGON" if kind % 10 == 5 else "LINESTRING", "rings": rings})
+            out.append(_polygons(rings) if kind % 10 == 5 else {"type": "LINESTRING" if len(rings) == 1 else "MULTILINESTRING", "rings": rings})
+        elif kind in (8, 18, 28):
+            n = struct.unpack_from("<i", record, 36)[0]
+            xy = struct.unpack_from(f"<{2 * n}d", record, 40)
+            out.append({"type": "MULTIPOINT", "rings": [[{"x": xy[2 * i], "y": xy[2 * i + 1]}] for i in range(n)]})
         else:
             out.append(None)
     return out
 
 
-def _attributes(content: bytes) -> list[dict[str, str]]:
-    """The rows of a .dbf file as texts."""
+def _polygons(rings: list[list[dict]]) -> dict:
+    """Rings of a shapefile's polygon: clockwise ones are shells, the others
+    holes of the shell that they lie in."""
+    shells = [[r] for r in rings if _twice_area(r) <= 0] or [[r] for r in rings[:1]]
+    for hole in (r for r in rings if _twice_area(r) > 0 and [r] not in shells):
+        next((s for s in shells if _inside(hole[0], s[0])), shells[0]).append(hole)
+    if len(shells) == 1:
+        return {"type": "POLYGON", "rings": shells[0]}
+    return {"type": "MULTIPOLYGON", "rings": [_turned(r, i == 0) for s in shells for i, r in enumerate(s)]}
+
+
+def _inside(v: dict, ring: list[dict]) -> bool:
+    odd = False
+    for a, b in zip(ring, ring[1:], strict=False):
+        if (a["y"] > v["y"]) != (b["y"] > v["y"]) and v["x"] < a["x"] + (v["y"] - a["y"]) * (b["x"] - a["x"]) / (b["y"] - a["y"]):
+            odd = not odd
+    return odd
+
+
+def _attributes(content: bytes) -> list[dict[str, str] | None]:
+    """The rows of a .dbf file as texts; None for those marked as deleted."""
     n, head, size = struct.unpack_from("<IHH", content, 4)
     fields, at = [], 32
     while content[at] != 0x0D:
@@ -137,7 +200,7 @@ def _attributes(content: bytes) -> list[dict[str, str]]:
         for name, width in fields:
             row[name] = content[place : place + width].decode("latin-1").strip()
             place += width
-        out.append(row)
+        out.append(None if content[head + i * size : head + i * size + 1] == b"*" else row)
     return out
 
 
@@ -152,7 +215,7 @@ def _shapefile(spark: SparkSession, path: str) -> DataFrame:
         for s, d in zip(shp, dbf, strict=True):
             shapes = _shapes(s)
             attributes = _attributes(d) if d else [{}] * len(shapes)
-            rows.append([{"geometry": g, "properties": a} for g, a in zip(shapes, attributes, strict=False)])
+            rows.append([{"geometry": g, "properties": a} for g, a in zip(shapes, attributes, strict=False) if a is not None])
         return pd.Series(rows)
 
     got = F.pandas_udf(parse, f"array<struct<geometry:{G.GEOMETRY},properties:map<string,string>>>")
@@ -168,14 +231,17 @@ def load_geotiff_image_as_binary_data(path: str, spark: SparkSession | None = No
 
 
 def load_geotiff_image_as_array_data(path: str, options: dict[str, str] | None = None, spark: SparkSession | None = None) -> DataFrame:
-    """``origin, geometry, height, width, data, nBands``; ``dropInvalid`` leaves
-    out what can't be read.  The geometry is the image's rectangle in pixels."""
-    options = {k.lower(): str(v).lower() for k, v in (options or {}).items()}
-    rows = load_geotiff_image_as_binary_data(path, spark).select(F.col("path").alias("origin"), tiff.decoded(F.col("content")).alias("r"))
-    if options.get("dropinvalid") == "true":
+    """``origin, geometry, height, width, data, nBands``.  The geometry is the
+    image's rectangle: in its reference system if the file says where it lies,
+    else in pixels.  Options: ``dropInvalid`` leaves out what can't be read;
+    ``readFromCRS`` and ``readToCRS`` transform the geometry."""
+    options = {k.lower(): str(v) for k, v in (options or {}).items()}
+    rows = load_geotiff_image_as_binary_data(path, spark).select(F.col("path").alias("origin"), tiff.placed(F.col("content")).alias("r"))
+    if options.get("dropinvalid", "").lower() == "true":
         rows = rows.filter("r.width IS NOT NULL")
-    zero = F.lit(0.0)
-    shape = G.rectangle(zero, zero, F.col("r.width").cast("double"), F.col("r.height").cast("double"))
+    shape = G.rectangle(F.col("r.xmin"), F.col("r.ymin"), F.col("r.xmax"), F.col("r.ymax"))
+    if options.get("readtocrs"):
+        shape = G.transform_crs(shape, options.get("readfromcrs", "EPSG:4326"), options["readtocrs"])
     return rows.select("origin", shape.alias("geometry"), "r.height", "r.width", "r.data", F.col("r.nBands").alias("nBands"))
 
 

@@ -1,5 +1,6 @@
-"""TIFF images as columns: uncompressed or deflated strips, any count of bands
-of equal type, interleaved or band after band."""
+"""TIFF images as columns: strips or tiles, uncompressed, deflated or LZW, with
+or without differencing, any count of bands of equal type, interleaved or band
+after band, and the place that GeoTIFF tags give an image."""
 
 from __future__ import annotations
 
@@ -31,23 +32,92 @@ def _tags(data: bytes, order: str) -> dict[int, tuple]:
     return out
 
 
+def _unlzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, the highest bit first; 256 starts a
+    table and 257 ends the data."""
+    first = [bytes([i]) for i in range(256)] + [b"", b""]
+    out, table, last, width, bits, held = bytearray(), list(first), b"", 9, 0, 0
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits
+        held &= (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = list(first), 9, b""
+            continue
+        if code > len(table) or (code == len(table) and not last):
+            raise ValueError("broken LZW data")
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return bytes(out)
+
+
+_UNPACKED = {1: bytes, 5: _unlzw, 8: zlib.decompress, 32946: zlib.decompress}
+
+
+def _block(raw: bytes, kind: np.dtype, shape: tuple[int, int, int], predictor: int) -> np.ndarray:
+    """The pixels of a strip or tile as (row, column, sample)."""
+    rows, columns, samples = shape
+    if predictor == 3:  # bytes of a row by significance, differenced
+        width = columns * samples
+        by = np.frombuffer(raw, np.uint8, rows * width * kind.itemsize).reshape(rows, -1)
+        by = np.cumsum(by.reshape(rows, -1, samples), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, width)
+        return np.ascontiguousarray(by.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(shape)
+    pixels = np.frombuffer(raw, kind, rows * columns * samples).reshape(shape)
+    return np.cumsum(pixels, axis=1, dtype=pixels.dtype.newbyteorder("=")) if predictor == 2 else pixels
+
+
 def read_tiff(data: bytes) -> np.ndarray:
     """The pixels as (band, row, column)."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
     t = _tags(data, order)
     width, height, bands = t[256][0], t[257][0], t.get(277, (1,))[0]
-    compression, planar = t.get(259, (1,))[0], t.get(284, (1,))[0]
-    if compression not in (1, 8, 32946) or 273 not in t:
-        raise ValueError("only uncompressed and deflated strips are read")
+    unpack, planar, predictor = _UNPACKED.get(t.get(259, (1,))[0]), t.get(284, (1,))[0], t.get(317, (1,))[0]
+    if unpack is None or predictor not in (1, 2, 3):
+        raise ValueError("a compression that is not read")
     kind = np.dtype(f"{order}{_KINDS[t.get(339, (1,))[0]]}{t[258][0] // 8}")
-    parts = [data[a : a + n] for a, n in zip(t[273], t[279], strict=True)]
-    raw = b"".join(parts if compression == 1 else map(zlib.decompress, parts))
-    pixels = np.frombuffer(raw, kind, width * height * bands)
-    return pixels.reshape(bands, height, width) if planar == 2 else pixels.reshape(height, width, bands).transpose(2, 0, 1)
+    tiled = 322 in t
+    columns, rows = (t[322][0], t[323][0]) if tiled else (width, min(t.get(278, (height,))[0], height))
+    across, down = -(-width // columns), -(-height // rows)
+    samples, planes = (1, bands) if planar == 2 else (bands, 1)
+    out = np.zeros((planes * samples, height, width), kind.newbyteorder("="))
+    offsets, sizes = (t[324], t[325]) if tiled else (t[273], t[279])
+    for i, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
+        plane, place = divmod(i, across * down)
+        y, x = place // across * rows, place % across * columns
+        shape = (rows if tiled else min(rows, height - y), columns, samples)
+        block = _block(unpack(data[at : at + size]), kind, shape, predictor)[: height - y, : width - x]
+        out[plane * samples : (plane + 1) * samples, y : y + block.shape[0], x : x + block.shape[1]] = block.transpose(2, 0, 1)
+    return out
 
 
-def write_tiff(pixels: np.ndarray) -> bytes:
-    """Doubles of (band, row, column) in one strip a band."""
+def box(data: bytes, width: int, height: int) -> tuple[float, float, float, float]:
+    """``xmin, ymin, xmax, ymax`` of an image by its GeoTIFF tags: a scale and a
+    tie point, or a transformation; in pixels if it has neither."""
+    t = _tags(data, {b"II": "<", b"MM": ">"}[data[:2]])
+    if 34264 in t and len(t[34264]) >= 8:
+        m = t[34264]
+        corners = [(m[0] * i + m[1] * j + m[3], m[4] * i + m[5] * j + m[7]) for i in (0, width) for j in (0, height)]
+    elif 33550 in t and 33922 in t:
+        (sx, sy), (i, j, _, x, y) = t[33550][:2], t[33922][:5]
+        corners = [(x - i * sx, y + j * sy), (x + (width - i) * sx, y - (height - j) * sy)]
+    else:
+        corners = [(0.0, 0.0), (float(width), float(height))]
+    xs, ys = zip(*corners, strict=True)
+    return min(xs), min(ys), max(xs), max(ys)
+
+
+def write_tiff(pixels: np.ndarray, place: tuple[float, float, float, float] | None = None) -> bytes:
+    """Doubles of (band, row, column) in one strip a band; ``place`` is the box
+    of the image."""
     bands, height, width = pixels.shape
     raw = np.ascontiguousarray(pixels, "<f8").tobytes()
     size = width * height * 8
@@ -55,21 +125,47 @@ def write_tiff(pixels: np.ndarray) -> bytes:
     after = 8 + len(raw)
     extra = b""
 
-    def entry(tag: int, kind: int, values: list[int]) -> bytes:
+    def entry(tag: int, kind: int, values: list) -> bytes:
         nonlocal extra
         packed = struct.pack(f"<{len(values)}{_CODES[kind]}", *values)
         if len(packed) > 4:
-            place = struct.pack("<I", after + len(extra))
+            at = struct.pack("<I", after + len(extra))
             extra += packed + b"\0" * (len(packed) % 2)
         else:
-            place = packed.ljust(4, b"\0")
-        return struct.pack("<HHI", tag, kind, len(values)) + place
+            at = packed.ljust(4, b"\0")
+        return struct.pack("<HHI", tag, kind, len(values)) + at
 
     tags = [(256, 4, [width]), (257, 4, [height]), (258, 3, [64] * bands), (259, 3, [1]), (262, 3, [1]), (273, 4, offsets), (277, 3, [bands]), (278, 4, [height]), (279, 4, [size] * bands), (284, 3, [2]), (339, 3, [3] * bands)]
+    if place is not None:
+        xmin, ymin, xmax, ymax = place
+        tags += [(33550, 12, [(xmax - xmin) / width, (ymax - ymin) / height, 0.0]), (33922, 12, [0.0, 0.0, 0.0, xmin, ymax, 0.0])]
     entries = b"".join(entry(*t) for t in tags)
     return b"II*\0" + struct.pack("<I", after + len(extra)) + raw + extra + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0"
 
 
+PLACED = "struct<width:int,height:int,nBands:int,data:array<double>,xmin:double,ymin:double,xmax:double,ymax:double>"
+
+
+def placed(content: Column) -> Column:
+    """As ``decoded``, with the box of the image."""
+
+    def parse(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in values:
+            try:
+                p = read_tiff(v)
+                rows.append((p.shape[2], p.shape[1], p.shape[0], p.astype(np.float64).ravel(), *box(v, p.shape[2], p.shape[1])))
+            except _UNREADABLE:
+                rows.append((None,) * 8)
+        frame = pd.DataFrame(rows, columns=["width", "height", "nBands", "data", "xmin", "ymin", "xmax", "ymax"])
+        return frame.astype({c: "Int32" for c in ("width", "height", "nBands")})
+
+    return F.pandas_udf(parse, PLACED)(content)
+
+
+_UNREADABLE = (ValueError, KeyError, TypeError, IndexError, struct.error, zlib.error)
+
+
 def decoded(content: Column) -> Column:
     """``struct<width, height, nBands, data>``, its fields null for what is no
     image that can be read."""
@@ -80,7 +176,7 @@ def decoded(content: Column) -> Column:
             try:
                 p = read_tiff(v)
                 rows.append((p.shape[2], p.shape[1], p.shape[0], p.astype(np.float64).ravel()))
-            except (ValueError, KeyError, TypeError, struct.error, zlib.error):
+            except _UNREADABLE:
                 rows.append((None, None, None, None))
         frame = pd.DataFrame(rows, columns=["width", "height", "nBands", "data"])
         return frame.astype({c: "Int32" for c in ("width", "height", "nBands")})
@@ -88,16 +184,19 @@ def decoded(content: Column) -> Column:
     return F.pandas_udf(parse, RASTER)(content)
 
 
-def encoded(raster: Column) -> Column:
-    """TIFF bytes of a raster struct; null for a null raster."""
+def encoded(raster: Column, place: Column | None = None) -> Column:
+    """TIFF bytes of a raster struct, with the place of its ``struct<xmin, ymin,
+    xmax, ymax>`` if there is one; null for a null raster."""
 
-    def pack(values: pd.DataFrame) -> pd.Series:
+    def pack(values: pd.DataFrame, places: pd.DataFrame) -> pd.Series:
         out = []
-        for w, h, n, d in zip(values["width"], values["height"], values["nBands"], values["data"], strict=True):
-            out.append(None if d is None else write_tiff(np.asarray(d, np.float64).reshape(int(n), int(h), int(w))))
+        for w, h, n, d, *box_ in zip(*(values[c] for c in ("width", "height", "nBands", "data")), *(places[c] for c in ("xmin", "ymin", "xmax", "ymax")), strict=True):
+            where = None if pd.isna(box_[0]) else tuple(box_)
+            out.append(None if d is None else write_tiff(np.asarray(d, np.float64).reshape(int(n), int(h), int(w)), where))
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(pack, "binary")(raster)
+    nowhere = F.struct(*(F.lit(None).cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    return F.pandas_udf(pack, "binary")(raster, nowhere if place is None else place)
 
 
 def raster(width: Column, height: Column, n_bands: Column, data: Column) -> Column:

@@ -9,17 +9,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidParameters
 from ..functions import geometry as G
+from ..scratch import qualified, saved
 from . import tiff
 
 
 def write_geotiff_image_with_binary_data(
-    df: DataFrame, destination: str, content: str = "content", path: str = "path", extension: str = ".tiff", num_partitions: int = 0
+    df: DataFrame, destination: str, content: str = "content", path: str = "path", extension: str = ".tiff", num_partitions: int = 0, mode: str = "overwrite"
 ) -> DataFrame:
     """Writes each row's bytes to a file named like the last part of its path,
-    and returns ``path, length`` of the files.  Tasks write under a name of
-    their own and move it, so repeating one leaves the same files."""
-    rows = df.select(F.element_at(F.split(path, "/"), -1).alias("name"), F.col(content).alias("content"))
+    and returns ``path, length`` of the files.
+
+    Rows whose last parts are equal get the name with a hash of the whole path,
+    so none replaces another.  ``mode``: ``overwrite`` empties the folder first,
+    ``append`` adds to it, ``error`` stops if there are files.  Tasks write under
+    a name of their own and move it, so repeating one leaves the same files.
+    """
+    spark = df.sparkSession
+    target = qualified(spark, destination)
+    _prepared(spark, target, mode)
+    rows = df.select(F.col(path).cast("string").alias("origin"), F.col(content).alias("content"))
+    stem = F.regexp_replace(F.element_at(F.split("origin", "/"), -1), "[.][^.]*$", "")
+    rows = rows.withColumn("stem", stem)
+    shared = saved(rows.select("stem", "origin").distinct().groupBy("stem").count().filter("count > 1").select("stem", F.lit(True).alias("shared")), "file-names")
+    name = F.when(F.col("shared"), F.concat_ws("-", "stem", F.substring(F.md5("origin"), 1, 12))).otherwise(F.col("stem"))
+    rows = rows.join(shared, "stem", "left").select(F.concat(name, F.lit(extension)).alias("name"), "content")
     rows = rows.coalesce(num_partitions) if num_partitions > 0 else rows
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -27,32 +42,47 @@ def write_geotiff_image_with_binary_data(
 
         from pyarrow import fs
 
-        if re.match(r"[a-z][a-z0-9+.-]*:", destination):
-            system, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", destination))
-        else:
-            system, base = fs.LocalFileSystem(), destination
-        system.create_dir(base, recursive=True)
+        system, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", target))
         for frame in frames:
             out = []
             for name, data in zip(frame["name"], frame["content"], strict=True):
-                target = f"{base}/{re.sub(r'[.][^.]*$', '', name)}{extension}"
                 held = f"{base}/_{uuid.uuid4().hex}"
                 with system.open_output_stream(held, compression=None) as stream:
                     stream.write(data)
-                system.move(held, target)
-                out.append((target, len(data)))
+                system.move(held, f"{base}/{name}")
+                out.append((f"{base}/{name}", len(data)))
             yield pd.DataFrame(out, columns=["path", "length"])
 
     return rows.mapInPandas(write, "path string, length long")
 
 
+def _prepared(spark, target: str, mode: str) -> None:
+    """The folder as ``mode`` wants it."""
+    if mode not in ("overwrite", "append", "error"):
+        raise InvalidParameters(f"no mode {mode!r}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(place) and len(system.listStatus(place)):
+        if mode == "error":
+            raise InvalidParameters(f"{target} has files")
+        if mode == "overwrite":
+            system.delete(place, True)
+    system.mkdirs(place)
+
+
 def write_geotiff_image_with_array_data(
-    df: DataFrame, destination: str, origin: str = "origin", width: str = "width", height: str = "height", n_bands: str = "nBands", data: str = "data", extension: str = ".tiff", num_partitions: int = 0
+    df: DataFrame, destination: str, origin: str = "origin", width: str = "width", height: str = "height", n_bands: str = "nBands", data: str = "data", extension: str = ".tiff", num_partitions: int = 0,
+    geometry: str | None = None, from_crs: str | None = None, to_crs: str | None = None, mode: str = "overwrite",
 ) -> DataFrame:
-    """Encodes each row's array and writes it like the function above."""
+    """Encodes each row's array and writes it like the function above; with
+    ``geometry`` (transformed, if asked for) the file says where the image lies."""
     r = tiff.raster(F.col(width), F.col(height), F.col(n_bands), F.col(data))
-    rows = df.select(F.col(origin).alias("path"), tiff.encoded(r).alias("content"))
-    return write_geotiff_image_with_binary_data(rows, destination, "content", "path", extension, num_partitions)
+    place = None
+    if geometry is not None:
+        g = F.col(geometry)
+        place = G.envelope(G.transform_crs(g, from_crs, to_crs) if from_crs and to_crs else g)
+    rows = df.select(F.col(origin).alias("path"), tiff.encoded(r, place).alias("content"))
+    return write_geotiff_image_with_binary_data(rows, destination, "content", "path", extension, num_partitions, mode)
 
 
 def write_geometries(df: DataFrame, geometry: str, destination: str, mode: str = "overwrite") -> None:

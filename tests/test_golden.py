@@ -148,6 +148,132 @@ def test_geometry_files(spark, tmp_path):
     assert row.properties == {"NAME": "abc"} and row.geometry.rings[0][0].x == 7.0
 
 
+def test_wkb_dialects():
+    import struct
+
+    point, line = readers._wkb(struct.pack("<BIIdd", 1, 0x20000001, 4326, 3.0, 4.0)), struct.pack(">BII6d", 0, 0x80000002, 2, 1, 2, 9, 3, 4, 9)
+    assert point == {"type": "POINT", "rings": [[{"x": 3.0, "y": 4.0}]]}
+    assert [[v["x"], v["y"]] for v in readers._wkb(line)["rings"][0]] == [[1, 2], [3, 4]]
+    assert [[v["x"], v["y"]] for v in readers._wkb(struct.pack("<BII8d", 1, 3002, 2, 1, 2, 9, 8, 3, 4, 9, 8))["rings"][0]] == [[1, 2], [3, 4]]
+    ring = lambda *xy: struct.pack(f"<I{len(xy)}d", len(xy) // 2, *xy)
+    square = struct.pack("<BII", 1, 3, 1) + ring(0, 0, 0, 2, 2, 2, 2, 0, 0, 0)  # clockwise
+    multi = struct.pack("<BII", 1, 6, 2) + square + square
+    got = readers._wkb(multi)
+    assert got["type"] == "MULTIPOLYGON" and [readers._twice_area(r) for r in got["rings"]] == [8.0, 8.0]
+    assert readers._wkb(b"") is None and readers._wkb(multi[:-3]) is None and readers._wkb(struct.pack("<BII", 1, 7, 0)) is None
+
+
+def test_multi_kinds(spark):
+    texts = ["MULTIPOLYGON (((0 0, 0 2, 2 2, 2 0, 0 0), (0.5 0.5, 1.5 0.5, 1.5 1.5, 0.5 1.5, 0.5 0.5)), ((5 5, 6 5, 6 6, 5 6, 5 5)))", "MULTIPOINT ((1 2), (3 4))", "MULTIPOINT (1 2, 3 4)", "MULTILINESTRING ((0 0, 3 4), (1 1, 1 2))"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("g", geometry.from_wkt(F.col("t")))
+    g = F.col("g")
+    many, *rest = rows.orderBy("i").select(geometry.area(g).alias("area"), geometry.length(g).alias("length"), F.size(g["rings"]).alias("n"), *(geometry.contains_point(g, F.lit(x), F.lit(y)).alias(n) for n, x, y in (("a", 0.2, 0.2), ("b", 1.0, 1.0), ("c", 5.5, 5.5)))).collect()
+    assert (many.area, many.n, many.a, many.b, many.c) == (4.0, 3, True, False, True)
+    assert [r.n for r in rest] == [2, 2, 2] and rest[2].length == 6.0
+    assert rows.select((geometry.from_wkt(geometry.to_wkt(g)) == g).alias("same")).filter("NOT same").count() == 0
+
+
+def test_shapefile_parts_and_deleted_rows(spark, tmp_path):
+    import struct
+
+    def polygon(*rings):
+        points = [v for r in rings for v in r]
+        starts = [sum(len(r) // 2 for r in rings[:i]) for i in range(len(rings))]
+        return struct.pack(f"<i4d2i{len(rings)}i{len(points)}d", 5, 0, 0, 9, 9, len(rings), len(points) // 2, *starts, *points)
+
+    outer, hole, other = (0, 0, 0, 4, 4, 4, 4, 0, 0, 0), (1, 1, 2, 1, 2, 2, 1, 2, 1, 1), (6, 6, 6, 7, 7, 7, 7, 6, 6, 6)
+    bodies = [polygon(outer, other, hole), polygon(outer, hole), polygon(outer)]
+    (tmp_path / "a.shp").write_bytes(bytes(100) + b"".join(struct.pack(">ii", i + 1, len(b) // 2) + b for i, b in enumerate(bodies)))
+    field = b"NAME".ljust(11, b"\0") + b"C" + bytes(4) + bytes([3]) + bytes(15)
+    (tmp_path / "a.dbf").write_bytes(struct.pack("<BBBBIHH20x", 3, 1, 1, 1, 3, 32 + 32 + 1, 4) + field + b"\x0d" + b" abc" + b" def" + b"*ghi")
+    got = readers.load_geo_data(str(tmp_path), GeoFileType.SHAPE_FILE, spark)
+    assert sorted(map(tuple, got.select(F.col("properties")["NAME"], "geometry.type", geometry.area(F.col("geometry"))).collect())) == [("abc", "MULTIPOLYGON", 16.0), ("def", "POLYGON", 15.0)]
+
+
+def lzw(data):
+    """TIFF's LZW, for the reader's test."""
+    table, bits, out = {bytes([i]): i for i in range(256)}, [], bytearray()
+    put = lambda code, width: bits.extend(f"{code:0{width}b}")
+    put(256, 9)
+    size, held = 258, b""
+    width = lambda: 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+    for i in range(len(data)):
+        c = data[i : i + 1]
+        if held + c in table:
+            held += c
+            continue
+        put(table[held], width())
+        table[held + c] = size
+        size += 1
+        if size == 4094:
+            put(256, 12)
+            table, size = {bytes([i]): i for i in range(256)}, 258
+        held = c
+    put(table[held], width())
+    size += 1
+    put(257, width())
+    bits.extend("0" * (-len(bits) % 8))
+    for i in range(0, len(bits), 8):
+        out.append(int("".join(bits[i : i + 8]), 2))
+    return bytes(out)
+
+
+@pytest.mark.parametrize("compression", [1, 5, 8])
+@pytest.mark.parametrize("predictor", [1, 2, 3])
+@pytest.mark.parametrize("tiled", [False, True])
+def test_tiff_layouts(compression, predictor, tiled):
+    import struct
+    import zlib
+
+    kind = np.dtype("<f4") if predictor == 3 else np.dtype("<u2")
+    pixels = (np.random.default_rng(0).integers(0, 60, (3, 37, 29)) * 7).astype(kind)
+    rows, columns = (16, 16) if tiled else (10, 29)
+    blocks = []
+    for y in range(0, 37, rows):
+        for x in range(0, 29, columns):
+            part = pixels[:, y : y + rows, x : x + columns].transpose(1, 2, 0)
+            if tiled:
+                part = np.pad(part, ((0, rows - part.shape[0]), (0, columns - part.shape[1]), (0, 0)))
+            if predictor == 2:
+                part = np.diff(part, axis=1, prepend=kind.type(0))
+            raw = np.ascontiguousarray(part).tobytes()
+            if predictor == 3:
+                by = np.ascontiguousarray(part).astype(">f4").view(np.uint8).reshape(part.shape[0], -1, 4).transpose(0, 2, 1).reshape(part.shape[0], -1, 3)
+                raw = np.diff(by, axis=1, prepend=np.uint8(0)).astype(np.uint8).tobytes()
+            blocks.append({1: bytes, 5: lzw, 8: zlib.compress}[compression](raw))
+    body, offsets = b"", []
+    for b in blocks:
+        offsets.append(8 + len(body))
+        body += b
+    tags = [(256, 4, [29]), (257, 4, [37]), (258, 3, [kind.itemsize * 8] * 3), (259, 3, [compression]), (277, 3, [3]), (284, 3, [1]), (317, 3, [predictor]), (339, 3, [3 if predictor == 3 else 1] * 3)]
+    tags += [(322, 4, [16]), (323, 4, [16]), (324, 4, offsets), (325, 4, list(map(len, blocks)))] if tiled else [(273, 4, offsets), (278, 4, [10]), (279, 4, list(map(len, blocks)))]
+    entries, extra, after = b"", b"", 8 + len(body)
+    for tag, code, values in sorted(tags):
+        packed = struct.pack(f"<{len(values)}{'H' if code == 3 else 'I'}", *values)
+        place = packed.ljust(4, b"\0") if len(packed) <= 4 else struct.pack("<I", after + len(extra))
+        extra += packed if len(packed) > 4 else b""
+        entries += struct.pack("<HHI", tag, code, len(values)) + place
+    data = b"II*\0" + struct.pack("<I", after + len(extra)) + body + extra + struct.pack("<H", len(tags)) + entries + bytes(4)
+    assert (tiff.read_tiff(data) == pixels).all()
+
+
+def test_raster_sink_modes_and_places(spark, tmp_path):
+    rows = spark.createDataFrame([("/a/x.tif", 2, 2, 1, [1.0, 2.0, 3.0, 4.0]), ("/b/x.tif", 2, 2, 1, [5.0, 6.0, 7.0, 8.0])], "origin string, width int, height int, nBands int, data array<double>")
+    placed = rows.withColumn("geometry", geometry.rectangle(*(F.lit(float(v)) for v in (10, 20, 14, 26))))
+    out = str(tmp_path / "out")
+    writers.write_geotiff_image_with_array_data(placed, out, geometry="geometry").collect()
+    got = readers.load_geotiff_image_as_array_data(out, spark=spark)
+    assert sorted(r.data[0] for r in got.collect()) == [1.0, 5.0]  # two files in spite of one name
+    e = geometry.envelope(F.col("geometry"))
+    assert got.select(e["xmin"], e["ymin"], e["xmax"], e["ymax"]).distinct().collect() == [(10.0, 20.0, 14.0, 26.0)]
+    writers.write_geotiff_image_with_array_data(rows.limit(1), out, mode="append", extension=".tif").collect()
+    assert readers.load_geotiff_image_as_binary_data(out, spark).count() == 3
+    with pytest.raises(InvalidParameters):
+        writers.write_geotiff_image_with_array_data(rows, out, mode="error")
+    writers.write_geotiff_image_with_array_data(rows.limit(1), out).collect()
+    assert readers.load_geotiff_image_as_binary_data(out, spark).count() == 1
+
+
 def test_arrays_from_files(spark, tmp_path):
     frames = np.arange(24.0).reshape(4, 2, 3)
     np.save(tmp_path / "a.npy", frames)
