@@ -790,7 +790,8 @@ def test_winnowing_keeps_a_hash_of_every_window():
 
 
 def test_scratch_goes_to_the_shared_folder(spark):
-    from gridloom.llm.shared import shared_folder
+    from gridloom.llm.shared import qualified, shared_folder
 
+    first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    assert shared_folder(spark, "x").startswith(named) and shared_folder(spark, "x") != shared_folder(spark, "x")
+    assert first.startswith(qualified(spark, named)) and first != second and first.startswith("file:")
