@@ -279,12 +279,16 @@ TRANSFORMS = {("epsg:4326", "epsg:3857"): to_web_mercator, ("epsg:3857", "epsg:4
 
 
 def transform_crs(g: Column, source: str, target: str) -> Column:
-    """The geometry in another reference system."""
+    """The geometry in another reference system, by way of longitude and
+    latitude: EPSG:4326, 4269, 3857, 2263, the zones 326zz and 327zz, and the
+    zones 269zz.  WGS 84 and GRS 80 are taken for the same datum."""
     from ..errors import InvalidParameters
+    from .projections import degrees_of, of_degrees
 
     if source.lower() == target.lower():
         return g
-    change = TRANSFORMS.get((source.lower(), target.lower()))
-    if change is None:
+    there, back = degrees_of(source.lower()), of_degrees(target.lower())
+    if there is None or back is None:
         raise InvalidParameters(f"no transform from {source} to {target}")
-    return F.struct(g["type"].alias("type"), F.transform(g["rings"], lambda r: F.transform(r, change)).alias("rings"))
+    ring = lambda r: F.transform(F.transform(r, there), back)
+    return F.struct(g["type"].alias("type"), F.transform(g["rings"], ring).alias("rings"))

@@ -95,6 +95,17 @@ def rdd_to_df(rdd, schema) -> DataFrame:
     return get_session().createDataFrame(rdd, schema)
 
 
+def df_to_spatial_rdd(df: DataFrame, geometry: str):
+    """An RDD of ``(geometry, the other columns)``."""
+    return df.rdd.map(lambda r: (r[geometry], tuple(v for k, v in r.asDict(False).items() if k != geometry)))
+
+
+def rdd_to_spatial_df(rdd, columns: str = "") -> DataFrame:
+    """``geometry`` and the other columns (a DDL text) of such an RDD."""
+    schema = f"geometry {G.GEOMETRY}" + (f", {columns}" if columns else "")
+    return rdd_to_df(rdd.map(lambda r: (r[0], *r[1])), schema)
+
+
 def transform_crs(df: DataFrame, geometry: str, source: str, target: str) -> DataFrame:
     """``df`` with the geometry in another reference system."""
     return df.withColumn(geometry, G.transform_crs(F.col(geometry), source, target))
@@ -119,3 +130,8 @@ def map_layer(polygons: DataFrame, cells: DataFrame, cell_id: str, feature: str,
     ring = F.transform(F.col(geometry)["rings"], lambda r: F.transform(r, lambda v: F.array(v["x"], v["y"])))
     shape = F.to_json(F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")))
     return rows.select(cell_id, shape.alias("geojson"), "feature", (F.col("feature") / F.coalesce(most, F.lit(1.0))).alias("height"))
+
+
+def st_map_layer(polygons: DataFrame, cells: DataFrame, timestep: int, temporal_id: str, cell_id: str, feature: str, geometry: str = "geometry") -> DataFrame:
+    """The layer of one time step."""
+    return map_layer(polygons, cells.filter(F.col(temporal_id) == timestep), cell_id, feature, geometry)

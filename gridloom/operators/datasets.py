@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidParameters
+from ..functions import indices, texture
+from ..functions.bands import band
+
 
 def class_labels(df: DataFrame, col_label: str) -> DataFrame:
     """``label, label_id``: the distinct labels in ascending order, from 0; null
@@ -85,3 +91,38 @@ def channels_first(data: Column, height: int, width: int, n_bands: int) -> Colum
     """Pixels of interleaved bands, band after band."""
     size = height * width
     return F.transform(F.sequence(F.lit(0), F.lit(size * n_bands - 1)), lambda i: data[(i % size) * n_bands + F.floor(i / size).cast("int")])
+
+
+#: Feature -> the spectral index whose mean it is.
+MEAN_FEATURES = {**{f"mean_{name}": name for name in indices.INDEX_BANDS}, "mean_builtup_index": "ndbi"}
+
+
+def image_levels(data: Column, n_bands: int, red: int, green: int, blue: int) -> Column:
+    """The eight gray levels of an image, its visible bands scaled to 0 to 255
+    by their greatest value."""
+    visible = [band(data, n_bands, b) for b in (red, green, blue)]
+    unit = F.array_max(F.concat(*visible)) / 255.0
+    scaled = [F.transform(v, lambda p: F.floor(F.try_divide(p, unit)).cast("double")) for v in visible]
+    return indices.digitized(indices.gray(*scaled))
+
+
+def image_features(
+    df: DataFrame, id_col: str, data: str, n_bands: int, height: int, width: int, bands: dict[str, int], features: list[str], callbacks: dict[str, Callable[[Column], Column]] | None = None
+) -> DataFrame:
+    """``df`` with a column for each feature: a texture of the gray levels, the
+    mean of a spectral index (``mean_ndvi`` ...), or what a callback makes of the
+    column of gray levels; callbacks come first.  ``bands`` says where each named
+    band is.  Only textures need a shuffle, by ``id_col``, which must be unique."""
+    callbacks = callbacks or {}
+    own = {f.lower(): f for f in features if f not in callbacks}
+    unknown = [f for f in own if f not in MEAN_FEATURES and f not in texture.FEATURES]
+    if unknown:
+        raise InvalidParameters(f"no callback for {', '.join(unknown)}")
+    levels = image_levels(F.col(data), n_bands, *(bands[b] for b in ("red", "green", "blue")))
+    rows = df.withColumn("_levels", levels)
+    means = {f: indices.mean_index(indices.spectral_index(MEAN_FEATURES[k], F.col(data), n_bands, bands)) for k, f in own.items() if k in MEAN_FEATURES}
+    rows = rows.withColumns({**means, **{f: callbacks[f](F.col("_levels")) for f in features if f in callbacks}})
+    textures = [F.col(k).alias(f) for k, f in own.items() if k in texture.FEATURES]
+    if textures:
+        rows = rows.join(texture.glcm_features(rows, id_col, "_levels", height, width).select(id_col, *textures), id_col, "left")
+    return rows.drop("_levels")

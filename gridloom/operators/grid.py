@@ -48,6 +48,11 @@ def generate_grid_cells(source: DataFrame | list[list[float]], partitions_x: int
     return cells.select("cell_id", G.rectangle(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))).alias("geometry"))
 
 
+def get_grid_cell_polygons(df: DataFrame, geometry: str, partitions_x: int, partitions_y: int) -> DataFrame:
+    """The cells over the envelope of ``df``, by ``cell_id``."""
+    return generate_grid_cells(df, partitions_x, partitions_y, geometry).orderBy("cell_id")
+
+
 def decimals(x: Column) -> Column:
     """Decimal places of a number as it is written, one at least."""
     digits = F.rtrim(F.split(x.cast("decimal(38,18)").cast("string"), "[.]")[1], F.lit("0"))

@@ -17,7 +17,7 @@ from ..functions import geometry as G
 from ..functions import indices as I
 from ..functions import temporal as T
 from ..functions import texture
-from ..operators import adapter, adjacency, datasets, grid, spatial_join, tensor
+from ..operators import adapter, adjacency, datasets, grid, spatial_join, tensor, traffic
 from ..scratch import shared_folder
 from ..sources import readers, tiff, writers
 
@@ -602,3 +602,97 @@ def wkt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = G.to_wkt(G.point(F.col("s_acctbal"), F.col("s_nationkey").cast("double")))
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("wkt")).select("s_suppkey", G.from_wkt(F.col("wkt")).alias("g"))
     return rows.select("s_suppkey", G.x_of(F.col("g")).alias("x"), G.y_of(F.col("g")).alias("y"))
+
+
+# ------------------------------------------------------------ traffic samples
+
+query("scaled_planes", _long_sql("list_transform(range(1, 65), lambda k: d[k] / nullif(list_max(d[(k - 1) // 16 * 16 + 1 : (k - 1) // 16 * 16 + 16]), 0))", "q"))(
+    lambda s, d: _long(rasters(s, d, True).select("vec_id", traffic.scaled_planes(F.col("data"), 4).alias("v")), "v")
+)
+
+
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as trips between cells of 8 x 8, by their keys."""
+    key, to = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 240) % 64
+    trips = table(spark, sf_dir, "orders").select(
+        (key % _STEPS_T).alias("t"), (F.floor(key / _STEPS_T) % 2).alias("k"), F.floor(F.col("o_custkey") % 64 / 8).alias("h"), (F.col("o_custkey") % 8).alias("w"), F.floor(to / 8).alias("to_h"), (to % 8).alias("to_w")
+    )
+    return trips.groupBy(*trips.columns).agg(F.count("*").alias("n"))
+
+
+_FLOWS = f"""flows AS (SELECT o_orderkey % {_STEPS_T} AS t, o_orderkey // {_STEPS_T} % 2 AS k, o_custkey % 64 // 8 AS h, o_custkey % 8 AS w, o_orderkey // 240 % 64 // 8 AS to_h, o_orderkey // 240 % 8 AS to_w FROM orders),
+near AS (SELECT * FROM flows WHERE abs(to_h - h) <= 1 AND abs(to_w - w) <= 1),
+channels AS (SELECT t, h, w, pos::INTEGER AS pos, channel::INTEGER AS channel, count(*)::DOUBLE AS n FROM (
+  SELECT t + k AS t, h, w, (to_h - h + 1) * 3 + to_w - w + 1 AS pos, 2 * k AS channel FROM near
+  UNION ALL SELECT t + k, to_h, to_w, (h - to_h + 1) * 3 + w - to_w + 1, 2 * k + 1 FROM near) GROUP BY ALL)"""
+query("flow_channels", f"WITH {_FLOWS} SELECT * FROM channels")(lambda s, d: traffic.flow_channels(_flows(s, d), 1))
+_BACK = "CASE WHEN p < 3 THEN 4 * (3 - p) ELSE 5 - p END"
+query("cell_history", f"{_SPARSE} SELECT s.t, c // 8 AS h, c % 8 AS w, p::INTEGER AS pos, f AS value FROM range(12, {_STEPS_T + 1}) s(t), range(5) r(p) JOIN dense d ON d.t = s.t - ({_BACK})")(
+    lambda s, d: traffic.cell_history(_dense(s, d), "_id_timestep", ["aggregated_feature"], 4, 3, 2).select("t", "h", "w", F.posexplode("history").alias("pos", "value"))
+)
+
+
+@query(
+    "forecast_samples",
+    f"""{_SPARSE}, {_FLOWS}, past AS (SELECT s.t, c, sum((p + 1) * f) AS x FROM range(12, {_STEPS_T + 1}) s(t), range(5) r(p) JOIN dense d ON d.t = s.t - ({_BACK}) GROUP BY ALL),
+near_by AS (SELECT a.t, a.c, sum((p + 1) * coalesce(b.f, 0)) AS image, sum((p + 6) * coalesce(b.f, 0)) AS x FROM dense a, range(9) r(p)
+  LEFT JOIN dense b ON b.t = a.t AND b.c // 8 = a.c // 8 + p // 3 - 1 AND b.c % 8 = a.c % 8 + p % 3 - 1 GROUP BY ALL),
+moved AS (SELECT t, h * 8 + w AS c, sum((pos * 4 + channel + 1) * n) AS flow FROM channels GROUP BY ALL),
+o AS (SELECT 'short' AS part, 0 AS a, i, 2 - i AS back FROM range(2) r(i) UNION ALL SELECT 'long', a, i, (2 - a) * 4 + 1 - i FROM range(2) q(a), range(3) r(i))
+SELECT s.t, p.c // 8 AS h, p.c % 8 AS w, part, a::INTEGER AS a, o.i::INTEGER AS i, p.x + n.x AS x, image, coalesce(flow, 0.0) AS flow, l.f AS label
+FROM range(23, {_STEPS_T}) s(t), o JOIN past p ON p.t = s.t - back JOIN near_by n ON n.t = p.t AND n.c = p.c LEFT JOIN moved m ON m.t = p.t AND m.c = p.c JOIN dense l ON l.t = s.t AND l.c = p.c""",
+)
+def forecast_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays as sums of values times places, so that every place counts."""
+    got = traffic.forecast_samples(_dense(spark, sf_dir), _flows(spark, sf_dir), "_id_timestep", ["aggregated_feature"], _STEPS_T, 8, 8, 4, 2, 2, 3, 3, 2, 1, 1)
+    parts = F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).alias("s")) for p in ("short", "long")))
+    each = got.select("t", "h", "w", F.element_at("label", 1).alias("label"), F.explode(parts).alias("p")).select("t", "h", "w", "label", "p.part", F.explode("p.s").alias("s"))
+    weighed = lambda c: F.aggregate(F.transform(F.col(c), lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return each.select("t", "h", "w", "label", "part", "s.a", "s.i", *(weighed(f"s.{c}").alias(c) for c in ("x", "image", "flow")))
+
+
+# ------------------------------------------------- image features, zones, layers
+
+_SCALED = "list_transform(range(1, 49), lambda k: floor(d[k] / (list_max(d[1:48]) / 255.0::DOUBLE)))"
+_NEAR = "SELECT a.vec_id, avg((a.v - b.v) * (a.v - b.v)) AS c FROM e a JOIN e b ON b.vec_id = a.vec_id AND b.p // 4 = a.p // 4 + {} AND b.p % 4 = a.p % 4 + {} GROUP BY a.vec_id"
+
+
+@query(
+    "image_features",
+    f"""{_R}, m AS (SELECT vec_id, list_transform(d, lambda v: v + 128) AS d FROM q), z AS (SELECT vec_id, d, {_SCALED} AS s FROM m),
+v AS (SELECT vec_id, d, list_transform(range(1, 17), lambda k: floor((round_even((0.299::DOUBLE * s[k] + 0.587::DOUBLE * s[16 + k]) + 0.114::DOUBLE * s[32 + k], 0)) / 32)::INTEGER) AS l FROM z),
+e AS (SELECT vec_id, unnest(range(16)) AS p, unnest(l) AS v FROM v)
+SELECT vec_id, {_ROUND.format("list_sum(l) / 16.0::DOUBLE")} AS own, {_ROUND.format("list_sum(list_transform(range(1, 17), lambda k: (d[48 + k] - d[k]) / (CASE WHEN d[48 + k] + d[k] = 0 THEN 1e-12 ELSE d[48 + k] + d[k] END))) / 16")} AS mean_ndvi,
+  {_ROUND.format("(x.c + y.c + z.c) / 3")} AS contrast FROM v JOIN ({_NEAR.format(0, 1)}) x USING (vec_id) JOIN ({_NEAR.format(1, 1)}) y USING (vec_id) JOIN ({_NEAR.format(1, 0)}) z USING (vec_id)""",
+)
+def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = rasters(spark, sf_dir, True).select("vec_id", F.transform("data", lambda v: v + 128).alias("data"))
+    got = datasets.image_features(images, "vec_id", "data", 4, 4, 4, {"red": 0, "green": 1, "blue": 2, "nir": 3}, ["contrast", "mean_ndvi", "own"], {"own": I.mean_index})
+    return got.select("vec_id", *(r6(c).alias(c) for c in ("own", "mean_ndvi", "contrast")))
+
+
+@query("st_map_layer", f"{_SPARSE}, n AS (SELECT c, f FROM dense WHERE t = 5) SELECT c::INTEGER AS cell_id, f AS feature, f / (SELECT greatest(1.0, max(f)) FROM n) AS height FROM n")
+def st_map_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid.get_grid_cell_polygons(events(spark, sf_dir), "geometry", 8, 8)
+    return adapter.st_map_layer(cells, _sparse(spark, sf_dir), 5, "_id_timestep", "cell_id", "aggregated_feature").drop("geojson")
+
+
+# the series of a zone with the numbers of WGS 84, to a millimetre
+_ZONE_N = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+_ZONE_E = 2 * _ZONE_N**0.5 / (1 + _ZONE_N)
+_ZONE_SIZE = 0.9996 * 6378137.0 * (1 + _ZONE_N**2 / 4 + _ZONE_N**4 / 64) / (1 + _ZONE_N)
+_ZONE_C = [_ZONE_N / 2 - 2 * _ZONE_N**2 / 3 + 5 * _ZONE_N**3 / 16, 13 * _ZONE_N**2 / 48 - 3 * _ZONE_N**3 / 5, 61 * _ZONE_N**3 / 240]
+_ZONE_SUM = lambda f, g: " + ".join(f"{c!r}::DOUBLE * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, c in enumerate(_ZONE_C, 1))
+
+
+@query(
+    "crs_zone",
+    f"""WITH d AS (SELECT s_suppkey, sin(radians(s_acctbal / 200)) AS s, radians(s_nationkey / 10.0::DOUBLE) AS l FROM supplier),
+t AS (SELECT s_suppkey, l, sinh(atanh(s) - {_ZONE_E!r}::DOUBLE * atanh({_ZONE_E!r}::DOUBLE * s)) AS t FROM d), p AS (SELECT s_suppkey, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT s_suppkey, floor((500000 + {_ZONE_SIZE!r}::DOUBLE * (eta + {_ZONE_SUM("cos", "sinh")})) * 1000 + 0.5) / 1000 AS east, floor({_ZONE_SIZE!r}::DOUBLE * (xi + {_ZONE_SUM("sin", "cosh")}) * 1000 + 0.5) / 1000 AS north FROM p""",
+)
+def crs_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "supplier").select("s_suppkey", G.point(F.lit(-75.0) + F.col("s_nationkey") / 10, F.col("s_acctbal") / 200).alias("geometry"))
+    moved = adapter.transform_crs(points, "geometry", "EPSG:4326", "EPSG:32618")
+    mm = lambda c: F.floor(c * 1000 + 0.5) / 1000
+    return moved.select("s_suppkey", mm(G.x_of(F.col("geometry"))).alias("east"), mm(G.y_of(F.col("geometry"))).alias("north"))

@@ -313,3 +313,35 @@ def bands_from_folders(folders: dict[str, str], mask_folder: str | None = None,
         mask = one(mask_folder).select("name", F.transform("data", lambda v: F.when(v == mask_value, 1).otherwise(0)).alias("label"))
         out = out.join(mask, "name")
     return out
+
+
+def load_image_table(csv_path: str, image_path: str, origin: str, label: str, features: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
+    """``origin, data, nBands, height, width``, the label and the features (all
+    other columns, as doubles) of images that a CSV file with a header lists; rows
+    and files meet by their whole path, and a row without a file is left out."""
+    session = get_session(spark)
+    rows = session.read.option("header", "true").csv(csv_path)
+    features = features if features is not None else [c for c in rows.columns if c not in (origin, label)]
+    listed = rows.select(F.col(f"`{origin}`").alias("origin"), F.col(f"`{label}`").alias(label), *(F.col(f"`{c}`").try_cast("double").alias(c) for c in features))
+    images = load_geotiff_image_as_array_data(image_path, spark=session).select(_bare(F.col("origin")).alias("_path"), "data", "nBands", "height", "width")
+    return listed.withColumn("_path", _bare(F.col("origin"))).join(images, "_path").drop("_path")
+
+
+def _bare(path: Column) -> Column:
+    """A path without the scheme of local files."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def load_pixel_csv(path: str, height: int, width: int, n_bands: int, spark: SparkSession | None = None) -> DataFrame:
+    """``data`` of a CSV file without a header: a line is an image, its pixels row
+    by row with all bands of a pixel together; bands come out one after another."""
+    from ..operators.datasets import channels_first
+
+    lines = get_session(spark).read.text(path)
+    return lines.select(channels_first(F.split("value", ",").cast("array<double>"), height, width, n_bands).alias("data"))
+
+
+def load_one_hot_csv(path: str, spark: SparkSession | None = None) -> DataFrame:
+    """``label`` of a CSV file without a header: the place of each line's greatest value."""
+    values = F.split("value", ",").cast("array<double>")
+    return get_session(spark).read.text(path).select((F.array_position(values, F.array_max(values)) - 1).alias("label"))
