@@ -88,8 +88,12 @@ def forecast_samples(
     array of ``a`` (day), ``i`` (step), ``x`` (history and the square of
     ``reach``), ``image`` (the square of ``image_reach``) and ``flow``.
     """
-    x = cell_history(dense, temporal_id, columns, day, days, last).join(_patch(dense, temporal_id, columns, height, width, reach, "near"), CELL)
-    features = x.join(_patch(dense, temporal_id, columns, height, width, image_reach, "image"), CELL).join(local_flows(flows, image_reach), CELL, "left")
+    features = cell_history(dense, temporal_id, columns, day, days, last).join(_patch(dense, temporal_id, columns, height, width, image_reach, "image"), CELL)
+    if reach == image_reach:
+        features = features.withColumn("near", F.col("image"))
+    else:
+        features = features.join(_patch(dense, temporal_id, columns, height, width, reach, "near"), CELL)
+    features = features.join(local_flows(flows, image_reach), CELL, "left")
     none = F.array_repeat(F.lit(0.0), (2 * image_reach + 1) ** 2 * 4)
     features = features.select(F.col("t").alias("at"), "h", "w", F.concat("history", "near").alias("x"), "image", F.coalesce("flow", none).alias("flow"))
 
