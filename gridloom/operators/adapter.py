@@ -135,3 +135,37 @@ def map_layer(polygons: DataFrame, cells: DataFrame, cell_id: str, feature: str,
 def st_map_layer(polygons: DataFrame, cells: DataFrame, timestep: int, temporal_id: str, cell_id: str, feature: str, geometry: str = "geometry") -> DataFrame:
     """The layer of one time step."""
     return map_layer(polygons, cells.filter(F.col(temporal_id) == timestep), cell_id, feature, geometry)
+
+
+#: Metres of a degree of latitude, and of one of longitude at the equator.
+DEGREE = 111_320.0
+
+
+def hexagon_layer(df: DataFrame, latitude: str, longitude: str, radius: float = 1000.0, fraction: float = 1.0, seed: int | None = None) -> DataFrame:
+    """What a map of hexagons draws: ``q, r, latitude, longitude, points`` of each
+    hexagon that has points, and ``mid_latitude, mid_longitude``, the middle of
+    the bounds of all rows, where the map looks.
+
+    Hexagons stand on a corner, ``radius`` metres from centre to corner, on a
+    plane that touches at that middle; (0, 0) lies on it.  Points are a sample of
+    ``fraction`` of the rows; rows without a coordinate are none.
+    """
+    rows = df.select(F.col(latitude).cast("double").alias("y"), F.col(longitude).cast("double").alias("x")).dropna()
+    middle = rows.agg(F.struct(((F.min("y") + F.max("y")) / 2).alias("y"), ((F.min("x") + F.max("x")) / 2).alias("x")).alias("m"))
+    own = (rows.sample(fraction, seed) if fraction < 1 else rows).withColumn("m", middle.scalar())
+    wide = F.lit(DEGREE) * F.cos(F.radians("m.y"))
+    own = own.select("m", ((F.col("x") - F.col("m.x")) * wide / radius).alias("x"), ((F.col("y") - F.col("m.y")) * DEGREE / radius).alias("y"))
+    # of the three coordinates, which add up to 0, the one most off gives way
+    own = own.withColumns({"q": F.sqrt(F.lit(3.0)) / 3 * F.col("x") - F.col("y") / 3, "r": F.col("y") * 2 / 3})
+    own = own.withColumn("s", -F.col("q") - F.col("r")).withColumns({f"n{c}": F.floor(F.col(c) + 0.5) for c in "qr"} | {"ns": F.floor(-F.col("q") - F.col("r") + 0.5)})
+    off = {c: F.abs(F.col(f"n{c}") - F.col(c)) for c in "qrs"}
+    worst_q = (off["q"] > off["r"]) & (off["q"] > off["s"])
+    q = F.when(worst_q, -F.col("nr") - F.col("ns")).otherwise(F.col("nq"))
+    r = F.when(~worst_q & (off["r"] > off["s"]), -F.col("nq") - F.col("ns")).otherwise(F.col("nr"))
+    counted = own.groupBy(q.alias("q"), r.alias("r")).agg(F.count("*").alias("points"), F.first("m").alias("m"))
+    east = F.sqrt(F.lit(3.0)) * (F.col("q") + F.col("r") / 2) * radius
+    north = F.col("r") * 1.5 * radius
+    return counted.select(
+        "q", "r", (F.col("m.y") + north / DEGREE).alias("latitude"), (F.col("m.x") + F.try_divide(east, wide)).alias("longitude"), "points",
+        F.col("m.y").alias("mid_latitude"), F.col("m.x").alias("mid_longitude"),
+    )

@@ -17,7 +17,7 @@ from ..functions import geometry as G
 from ..functions import indices as I
 from ..functions import temporal as T
 from ..functions import texture
-from ..operators import adapter, adjacency, datasets, grid, spatial_join, tensor, traffic
+from ..operators import adapter, adjacency, datasets, grid, spatial_join, tensor, traffic, weather
 from ..scratch import shared_folder
 from ..sources import readers, tiff, writers
 
@@ -677,6 +677,31 @@ def st_map_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapter.st_map_layer(cells, _sparse(spark, sf_dir), 5, "_id_timestep", "cell_id", "aggregated_feature").drop("geojson")
 
 
+query(
+    "weather_field",
+    """WITH s AS (SELECT l_shipdate, l_linenumber, l_quantity, max(l_extendedprice)::DOUBLE AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT dense_rank() OVER (ORDER BY l_shipdate) - 1 AS t, dense_rank() OVER (ORDER BY l_linenumber) - 1 AS h, dense_rank() OVER (ORDER BY l_quantity) - 1 AS w, v AS value FROM s""",
+)(lambda s, d: weather.field_frames(table(s, d, "lineitem"), "l_extendedprice", "l_shipdate", "l_linenumber", "l_quantity", "l_returnflag", "R"))
+query("weather_shape", "SELECT count(DISTINCT l_shipdate) AS timesteps, count(DISTINCT l_linenumber) AS height, count(DISTINCT l_quantity) AS width FROM lineitem")(
+    lambda s, d: weather.field_shape(weather.field_frames(table(s, d, "lineitem"), "l_extendedprice", "l_shipdate", "l_linenumber", "l_quantity"))
+)
+
+
+@query(
+    "hexagon_layer",
+    f"""WITH p AS (SELECT c_acctbal::DOUBLE / 100 AS x, c_nationkey::DOUBLE AS y FROM customer), m AS (SELECT (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my FROM p),
+u AS (SELECT mx, my, (x - mx) * (111320.0::DOUBLE * cos(radians(my))) / 200000 AS x, (y - my) * 111320.0::DOUBLE / 200000 AS y FROM p, m),
+a AS (SELECT mx, my, sqrt(3.0::DOUBLE) / 3 * x - y / 3 AS q, y * 2 / 3 AS r FROM u), b AS (SELECT *, -q - r AS s, floor(q + 0.5::DOUBLE) AS nq, floor(r + 0.5::DOUBLE) AS nr, floor(-q - r + 0.5::DOUBLE) AS ns FROM a),
+c AS (SELECT *, abs(nq - q) AS oq, abs(nr - r) AS o_r, abs(ns - s) AS os FROM b),
+h AS (SELECT (CASE WHEN oq > o_r AND oq > os THEN -nr - ns ELSE nq END)::BIGINT AS q, (CASE WHEN NOT (oq > o_r AND oq > os) AND o_r > os THEN -nq - ns ELSE nr END)::BIGINT AS r, mx, my FROM c),
+g AS (SELECT q, r, count(*) AS points, any_value(mx) AS mid_longitude, any_value(my) AS mid_latitude FROM h GROUP BY q, r)
+SELECT q, r, points, {_ROUND.format("(mid_latitude + r * 1.5::DOUBLE * 200000 / 111320)")} AS latitude, {_ROUND.format("(mid_longitude + sqrt(3.0::DOUBLE) * (q + r / 2.0::DOUBLE) * 200000 / (111320 * cos(radians(mid_latitude))))")} AS longitude, mid_latitude, mid_longitude FROM g""",
+)
+def hexagon_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select((F.col("c_acctbal").cast("double") / 100).alias("x"), F.col("c_nationkey").alias("y"))
+    return adapter.hexagon_layer(rows, "y", "x", 200_000.0).withColumns({c: r6(c) for c in ("latitude", "longitude")})
+
+
 # the series of a zone with the numbers of WGS 84, to a millimetre
 _ZONE_N = 1 / 298.257223563 / (2 - 1 / 298.257223563)
 _ZONE_E = 2 * _ZONE_N**0.5 / (1 + _ZONE_N)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gridloom.errors import InvalidParameters
 from gridloom.functions import geometry as G
 from gridloom.functions import projections
-from gridloom.operators import adapter, datasets, traffic
+from gridloom.operators import adapter, datasets, traffic, weather
 from gridloom.sources import readers, tiff
 
 
@@ -84,3 +84,35 @@ def test_image_table(spark, tmp_path):
     (tmp_path / "list.csv").write_text(f"path,kind,a,b\n{tmp_path}/one.tif,wood,0.5,2\n{tmp_path}/gone.tif,wood,1,1\n")
     rows = readers.load_image_table(str(tmp_path / "list.csv"), f"{tmp_path}/*.tif", "path", "kind", spark=spark).collect()
     assert [(r.kind, r.a, r.b, r.data) for r in rows] == [("wood", 0.5, 2.0, [1.0, 2.0, 3.0, 4.0])]
+
+
+def test_weather_variable_on_a_level(spark):
+    rows = [("b", 10, 0.5, 850, 3.0), ("a", 10, 0.5, 850, 1.0), ("a", -10, 0.5, 850, None), ("a", 50, 0.5, 500, 9.0), (None, 10, 0.5, 850, 7.0), ("b", 10, 0.5, 850, 2.0)]
+    df = spark.createDataFrame(rows, "time string, latitude int, longitude double, level int, t double")
+    frames = weather.variable_frames(df, "temperature")
+    assert sorted(map(tuple, frames.collect())) == [(0, 0, 0, None), (0, 1, 0, 1.0), (1, 1, 0, 3.0)]
+    assert tuple(weather.field_shape(frames).first()) == (2, 2, 1)
+
+
+def test_weather_without_rows(spark):
+    df = spark.createDataFrame([], "time string, latitude int, longitude double, tp double")
+    frames = weather.variable_frames(df, "total_precipitation")
+    assert frames.count() == 0 and tuple(weather.field_shape(frames).first()) == (0, 0, 0)
+
+
+def test_every_point_is_in_its_nearest_hexagon(spark):
+    import math
+    import random
+
+    draw = random.Random(5)
+    points = [(draw.uniform(40.5, 40.9), draw.uniform(-74.2, -73.7)) for _ in range(300)]
+    got = adapter.hexagon_layer(spark.createDataFrame([*points, (None, 1.0)], "lat double, lon double"), "lat", "lon", 3000.0).collect()
+    wide = math.cos(math.radians(got[0].mid_latitude))
+    count = dict.fromkeys(((h.q, h.r) for h in got), 0)
+    for y, x in points:
+        near = min(got, key=lambda h: math.hypot((x - h.longitude) * wide, y - h.latitude))
+        assert math.hypot((x - near.longitude) * wide, y - near.latitude) * adapter.DEGREE <= 3000.001
+        count[near.q, near.r] += 1
+    assert count == {(h.q, h.r): h.points for h in got}
+    ys = [y for y, _ in points]
+    assert got[0].mid_latitude == (min(ys) + max(ys)) / 2
