@@ -5,6 +5,9 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +49,43 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    _note(out)
     return out
 
 
+#: The tables saved so far in the innermost ``steps`` block.
+_noted: ContextVar[list[DataFrame] | None] = ContextVar("noted", default=None)
+
+
+def _note(df: DataFrame) -> None:
+    noted = _noted.get()
+    if noted is not None:
+        noted.append(df)
+
+
+@contextmanager
+def steps() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """At the end of the block the tables that were saved in it are removed, but
+    for those given to the function that it yields.  What leaves the block must
+    not read the others any more.  Blocks may stand in one another."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    token = _noted.set(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _noted.reset(token)
+        places = {df._saved_at for df in kept}
+        discard(*(df for df in made if df._saved_at not in places))
+        for df in kept:
+            _note(df)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes the files of ``saved`` tables that nothing reads any more."""
     for df in tables:
