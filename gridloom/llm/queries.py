@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, secrets, tokens, warc
+from . import audit, decontaminate, infill, mixing, packing, pii, quality, secrets, tokens, warc
 from .licenses import TEMPLATES, licenses
 from .near_dedup import near_duplicates
 from .sharding import sharded
@@ -64,6 +64,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents")).drop("source")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_licenses": op2_licenses,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_decontaminate": op10_decontaminate,
+    "op11_mixing": op11_mixing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: DuckDB.  Words are split on the six ASCII space characters.
@@ -161,4 +176,71 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 FROM p LEFT JOIN f USING (d)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_licenses": _licence_sql(), "op6_warc": OP6_SQL, "op10_decontaminate": OP10_SQL}
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS n, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+-- of the sources by bound per weight, the first ones are full
+o AS (SELECT *, 2 * n AS bound,
+  coalesce(sum(2 * n) OVER before, 0) AS full_before, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS w_left,
+  1.5::DOUBLE * (sum(n) OVER ())::DOUBLE AS budget
+  FROM s WINDOW before AS (ORDER BY n::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT budget - full_before::DOUBLE AS share, w_left::DOUBLE AS w_left FROM o WHERE (budget - full_before::DOUBLE) * w / w_left::DOUBLE <= bound ORDER BY full_before, w_left DESC LIMIT 1),
+t AS (SELECT source, n, w, budget, CASE WHEN e.share IS NULL OR e.share * w / e.w_left > bound THEN bound::DOUBLE ELSE e.share * w / e.w_left END AS target
+  FROM o LEFT JOIN e ON true),
+q AS (SELECT c.*, t.n, t.w, t.target, t.budget, t.source IS NULL AS last,
+  ('0x' || substr(sha256(concat_ws(':', '1', coalesce(c.doc_id::VARCHAR, 'null'), size, copy)), 1, 15))::BIGINT AS h
+  FROM c JOIN t ON t.source IS NOT DISTINCT FROM c.source),
+u AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size, copy ROWS UNBOUNDED PRECEDING) AS until FROM q),
+f AS (SELECT u.*, turn, (turn * n + until)::DOUBLE / w AS finish FROM u, (VALUES (0), (1)) v(turn)),
+m AS (SELECT *, sum(size) OVER (ORDER BY finish, last, source, turn, h, doc_id NULLS FIRST, size, copy ROWS UNBOUNDED PRECEDING) AS spent FROM f)
+SELECT doc_id, size, any_value(n) AS source_size, any_value(target) AS target,
+  coalesce(sum(size) FILTER (spent <= budget), 0)::BIGINT AS taken
+FROM m GROUP BY doc_id, source, size, copy
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+    sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+k AS (SELECT doc_id, t, n, [('0x' || substr(h, i * 8 + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+    WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, substr(t, 1, low) AS prefix, substr(t, low + 1, high - low) AS middle, substr(t, high + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p
+"""
+
+#: Every document in every order, step by step.
+OP13_SQL = r"""
+WITH RECURSIVE letters(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(o) AS (SELECT '' UNION ALL SELECT o || f FROM orders, letters WHERE NOT contains(o, f)),
+steps AS (SELECT o, i AS step, l.f, l.b, coalesce((SELECT sum(b) FROM letters p WHERE contains(substr(o, 1, i - 1), p.f)), 0)::INT AS before
+  FROM orders, range(1, 6) r(i), letters l WHERE length(o) = 5 AND l.f = substr(o, i, 1)),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+told AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+  + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask
+  FROM d JOIN firsts USING (t) LEFT JOIN told USING (doc_id)),
+h AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+r AS (SELECT part, o, step, f,
+  coalesce(sum(n) FILTER (mask & (before | b) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & b > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & b > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = b), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & b > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & b > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM h, steps GROUP BY part, o, step, f)
+SELECT part, o AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op2_licenses": _licence_sql(), "op6_warc": OP6_SQL, "op10_decontaminate": OP10_SQL, "op11_mixing": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_filter_audit": OP13_SQL}

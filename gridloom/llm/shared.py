@@ -8,9 +8,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import discard, qualified, saved, shared_folder
+from ..scratch import discard, qualified, saved, shared_folder, steps
 
-__all__ = ["BROADCAST_ROWS", "WordHash", "copies_numbered", "discard", "hot_keys", "in_small_batches", "mixed", "ngram_hashes", "qualified", "salted", "saved", "shared_folder", "small"]
+__all__ = ["BROADCAST_ROWS", "WordHash", "copies_numbered", "discard", "hot_keys", "in_small_batches", "mixed", "ngram_hashes", "qualified", "salted", "saved", "shared_folder", "small", "steps"]
 
 #: Rows of ids that may be broadcast (8 bytes each); above it joins shuffle.
 BROADCAST_ROWS = 1_000_000
