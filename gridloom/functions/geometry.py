@@ -112,67 +112,25 @@ def centroid(g: Column) -> Column:
     return vertex(F.coalesce(cx, mx), F.coalesce(cy, my))
 
 
-def _orientation(a: Column, b: Column, c: Column) -> Column:
-    return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
-
-
-def _on_edge(e: Column, x: Column, y: Column) -> Column:
-    a, b = e["a"], e["b"]
-    flat = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
-    return flat & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
-
-
-def on_boundary(g: Column, x: Column, y: Column) -> Column:
-    return F.exists(all_edges(g), lambda e: _on_edge(e, x, y))
-
-
-def _crossings_odd(g: Column, x: Column, y: Column) -> Column:
-    def crosses(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        at = a["x"] + F.try_divide((y - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"])
-        return ((a["y"] > y) != (b["y"] > y)) & (x < at)
-
-    return F.size(F.filter(all_edges(g), crosses)) % 2 == 1
+#: Of a polygon ``{g}`` and a point ``{x}, {y}``, in SQL: whether the point is on
+#: the boundary; in the interior; in either.
+_EDGES = "flatten(transform({g}.rings, r -> zip_with(slice(r, 1, greatest(size(r) - 1, 0)), slice(r, 2, greatest(size(r) - 1, 0)), (a, b) -> struct(a AS a, b AS b))))"
+ON_BOUNDARY = (
+    f"exists({_EDGES}, e -> (e.b.x - e.a.x) * ({{y}} - e.a.y) = (e.b.y - e.a.y) * ({{x}} - e.a.x)"
+    " AND {x} BETWEEN least(e.a.x, e.b.x) AND greatest(e.a.x, e.b.x) AND {y} BETWEEN least(e.a.y, e.b.y) AND greatest(e.a.y, e.b.y))"
+)
+_CROSSINGS_ODD = f"size(filter({_EDGES}, e -> (e.a.y > {{y}}) <> (e.b.y > {{y}}) AND {{x}} < e.a.x + try_divide(({{y}} - e.a.y) * (e.b.x - e.a.x), e.b.y - e.a.y))) % 2 = 1"
+CONTAINS_POINT = f"({_CROSSINGS_ODD} AND NOT {ON_BOUNDARY})"
+COVERS_POINT = f"({_CROSSINGS_ODD} OR {ON_BOUNDARY})"
 
 
 def contains_point(g: Column, x: Column, y: Column) -> Column:
     """Whether a polygon's interior holds the point; the boundary doesn't count."""
-    return _crossings_odd(g, x, y) & ~on_boundary(g, x, y)
-
-
-def covers_point(g: Column, x: Column, y: Column) -> Column:
-    """Interior or boundary."""
-    return _crossings_odd(g, x, y) | on_boundary(g, x, y)
-
-
-def _edges_meet(e: Column, f: Column) -> Column:
-    o1, o2 = _orientation(e["a"], e["b"], f["a"]), _orientation(e["a"], e["b"], f["b"])
-    o3, o4 = _orientation(f["a"], f["b"], e["a"]), _orientation(f["a"], f["b"], e["b"])
-    proper = (o1 * o2 < 0) & (o3 * o4 < 0)
-    touch = _on_edge(e, f["a"]["x"], f["a"]["y"]) | _on_edge(e, f["b"]["x"], f["b"]["y"]) | _on_edge(f, e["a"]["x"], e["a"]["y"]) | _on_edge(f, e["b"]["x"], e["b"]["y"])
-    return proper | touch
-
-
-def polygons_intersect(g: Column, h: Column) -> Column:
-    """Whether two polygons share a point."""
-    a, b = g["rings"][0][0], h["rings"][0][0]
-    edge = F.exists(all_edges(g), lambda e: F.exists(all_edges(h), lambda f: _edges_meet(e, f)))
-    return edge | covers_point(g, b["x"], b["y"]) | covers_point(h, a["x"], a["y"])
-
-
-def _to_edge(e: Column, v: Column) -> Column:
-    a, b = e["a"], e["b"]
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    t = F.coalesce(F.try_divide((v["x"] - a["x"]) * dx + (v["y"] - a["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    px, py = v["x"] - (a["x"] + t * dx), v["y"] - (a["y"] + t * dy)
-    return F.sqrt(px * px + py * py)
-
-
-def polygon_distance(g: Column, h: Column) -> Column:
-    """The least distance; 0 if they share a point."""
-    one = lambda p, q: F.array_min(F.transform(all_edges(p), lambda e: F.array_min(F.transform(F.flatten(q["rings"]), lambda v: _to_edge(e, v)))))
-    return F.when(polygons_intersect(g, h), 0.0).otherwise(F.least(one(g, h), one(h, g)))
+    flat = lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) == (e["b"]["y"] - e["a"]["y"]) * (x - e["a"]["x"])
+    between = lambda e, v, c: v.between(F.least(e["a"][c], e["b"][c]), F.greatest(e["a"][c], e["b"][c]))
+    at = lambda e: e["a"]["x"] + F.try_divide((y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]), e["b"]["y"] - e["a"]["y"])
+    odd = F.size(F.filter(all_edges(g), lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < at(e)))) % 2 == 1
+    return odd & ~F.exists(all_edges(g), lambda e: flat(e) & between(e, x, "x") & between(e, y, "y"))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -181,22 +139,6 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def shared_border(g: Column, h: Column) -> Column:
-    """The length of the boundary that two polygons with disjoint interiors share."""
-
-    def common(e: Column, f: Column) -> Column:
-        a, b = e["a"], e["b"]
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        size = F.sqrt(dx * dx + dy * dy)
-        along = lambda v: F.try_divide((v["x"] - a["x"]) * dx + (v["y"] - a["y"]) * dy, size)
-        flat = (_orientation(a, b, f["a"]) == 0) & (_orientation(a, b, f["b"]) == 0)
-        low = F.greatest(F.lit(0.0), F.least(along(f["a"]), along(f["b"])))
-        high = F.least(size, F.greatest(along(f["a"]), along(f["b"])))
-        return F.when(flat & (high > low), high - low).otherwise(0.0)
-
-    return _sum(F.transform(all_edges(g), lambda e: _sum(F.transform(all_edges(h), lambda f: common(e, f)))))
-
-
 def from_wkt(text: Column) -> Column:
     """POINT, LINESTRING, POLYGON and their MULTI kinds; null for anything else."""
     clean = F.upper(F.trim(text))

@@ -1,12 +1,18 @@
 """Gray-level co-occurrence features of images.
 
 Pixel pairs at distance 1 along an angle are counted both ways and divided by
-their total.  Images are rows with an array of levels; the pairs of one image
-are formed inside its row, so nothing is shuffled but the counts of levels.
+their total.  An image is a row with an array of levels; its pairs are counted
+in that row, in one pass of numpy over Arrow batches, so nothing is shuffled and
+the plan doesn't grow with the image.  An image that is null, holds a null or
+has another number of pixels has no features.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,43 +21,73 @@ STEPS = {"0": (0, 1), "45": (1, 1), "90": (1, 0)}
 FEATURES = ["contrast", "dissimilarity", "homogeneity", "asm", "energy", "correlation"]
 
 
-def pairs(levels: Column, height: int, width: int, angle: str) -> Column:
-    """The array of level pairs ``(i, j)`` along an angle, one way."""
+def matrix(levels: np.ndarray, angle: str) -> tuple[np.ndarray, np.ndarray]:
+    """The levels that occur in a two-dimensional image, and the share of each
+    pair of them along an angle."""
     dr, dc = STEPS[angle]
-    cells = [(r * width + c, (r + dr) * width + c + dc) for r in range(height - dr) for c in range(width - dc)]
-    at = F.array(*(F.lit(a) for a, _ in cells))
-    to = F.array(*(F.lit(b) for _, b in cells))
-    return F.zip_with(at, to, lambda a, b: F.struct(levels[a].alias("i"), levels[b].alias("j")))
+    height, width = levels.shape
+    values, place = np.unique(levels, return_inverse=True)
+    place = place.reshape(levels.shape)
+    at, to = place[: height - dr, : width - dc], place[dr:, dc:]
+    n = len(values)
+    counts = np.bincount((at * n + to).ravel(), minlength=n * n).reshape(n, n)
+    return values, (counts + counts.T) / max(2 * at.size, 1)
+
+
+def features(levels: np.ndarray) -> list[float]:
+    """``FEATURES`` of one image: means over the angles 0, 45 and 90 degrees (for
+    ``asm``: 45 and 90).  Correlation is 1 for an image of one level."""
+    per = []
+    for angle in STEPS:
+        v, p = matrix(levels, angle)
+        i, j = v[:, None], v[None, :]
+        d, mean = i - j, float((p * i).sum())  # symmetric, so both margins are alike
+        variance = float((p * i * i).sum()) - mean * mean
+        asm = float((p * p).sum())
+        correlation = 1.0 if variance < 1e-15 else (float((p * i * j).sum()) - mean * mean) / variance
+        per.append([float((p * d * d).sum()), float((p * abs(d)).sum()), float((p / (1 + d * d)).sum()), asm, asm**0.5, correlation])
+    means = np.mean(per, axis=0).tolist()
+    means[FEATURES.index("asm")] = (per[1][3] + per[2][3]) / 2
+    return means
+
+
+def _per_image(of: Callable[[np.ndarray], object], height: int, width: int, made: pa.DataType, name: str):
+    @F.arrow_udf(name)
+    def each(images: pa.Array) -> pa.Array:
+        flat = images.values.to_numpy(zero_copy_only=False).astype(float)
+        ends, valid = images.offsets.to_numpy(), images.is_valid().to_pylist()
+        out = []
+        for ok, low, high in zip(valid, ends[:-1], ends[1:], strict=True):
+            image = flat[low:high]
+            whole = ok and len(image) == height * width and not np.isnan(image).any()
+            out.append(of(image.reshape(height, width)) if whole else None)
+        return pa.array(out, made)
+
+    return each
 
 
 def cooccurrence(df: DataFrame, id_col: str, levels: str, height: int, width: int, angles: tuple[str, ...] = ("0", "45", "90")) -> DataFrame:
     """``(id, angle, i, j, p)``: the share of each pair of levels."""
-    per = F.array(*(F.struct(F.lit(a).alias("angle"), pairs(F.col(levels), height, width, a).alias("pairs")) for a in angles))
-    each = df.select(id_col, F.explode(per).alias("x")).select(id_col, "x.angle", F.explode("x.pairs").alias("p"))
-    both = each.select(id_col, "angle", F.explode(F.array(F.col("p"), F.struct(F.col("p.j").alias("i"), F.col("p.i").alias("j")))).alias("p"))
-    counts = both.groupBy(id_col, "angle", "p.i", "p.j").agg(F.count("*").alias("n"))
-    totals = {a: 2 * (height - STEPS[a][0]) * (width - STEPS[a][1]) for a in angles}
-    total = F.coalesce(*(F.when(F.col("angle") == a, F.lit(float(n))) for a, n in totals.items()))
-    return counts.select(id_col, "angle", "i", "j", (F.col("n") / total).alias("p"))
+
+    def shares(image: np.ndarray) -> list[dict[str, object]]:
+        out = []
+        for angle in angles:
+            v, p = matrix(image, angle)
+            out += [{"angle": angle, "i": v[r], "j": v[c], "p": p[r, c]} for r, c in zip(*np.nonzero(p), strict=True)]
+        return out
+
+    made = pa.list_(pa.struct([("angle", pa.string()), ("i", pa.float64()), ("j", pa.float64()), ("p", pa.float64())]))
+    each = _per_image(shares, height, width, made, "array<struct<angle:string,i:double,j:double,p:double>>")
+    return df.select(id_col, F.explode(each(F.col(levels))).alias("x")).select(id_col, "x.*")
+
+
+def image_textures(levels: Column, height: int, width: int) -> Column:
+    """``FEATURES`` of a column of images, as a struct."""
+    made = pa.struct([(f, pa.float64()) for f in FEATURES])
+    each = _per_image(lambda image: dict(zip(FEATURES, features(image), strict=True)), height, width, made, ", ".join(f"{f} double" for f in FEATURES))
+    return each(levels)
 
 
 def glcm_features(df: DataFrame, id_col: str, levels: str, height: int, width: int) -> DataFrame:
-    """``(id, feature...)``: means over the angles 0, 45 and 90 degrees (for
-    ``asm``: 45 and 90).  Correlation is 1 for an image of one level."""
-    p, i, j = F.col("p"), F.col("i"), F.col("j")
-    glcm = cooccurrence(df, id_col, levels, height, width)
-    # the matrix is symmetric, so both margins are alike
-    per = glcm.groupBy(id_col, "angle").agg(
-        F.sum(p * (i - j) * (i - j)).alias("contrast"),
-        F.sum(p * F.abs(i - j)).alias("dissimilarity"),
-        F.sum(p / (1 + (i - j) * (i - j))).alias("homogeneity"),
-        F.sum(p * p).alias("asm"),
-        F.sum(p * i).alias("mean"),
-        F.sum(p * i * i).alias("square"),
-        F.sum(p * i * j).alias("product"),
-    )
-    variance = F.col("square") - F.col("mean") * F.col("mean")
-    correlation = F.when(variance < 1e-15, 1.0).otherwise((F.col("product") - F.col("mean") * F.col("mean")) / variance)
-    per = per.withColumns({"energy": F.sqrt("asm"), "correlation": correlation})
-    asm = F.avg(F.when(F.col("angle") != "0", F.col("asm"))).alias("asm")
-    return per.groupBy(id_col).agg(*(asm if f == "asm" else F.avg(f).alias(f) for f in FEATURES))
+    """``(id, feature...)`` of each image."""
+    return df.select(id_col, image_textures(F.col(levels), height, width).alias("x")).select(id_col, "x.*")

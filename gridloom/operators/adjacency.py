@@ -3,18 +3,24 @@
 The forms for all pairs give each geometry a weight for every geometry, so their
 size is the square of the count whatever the plan; they are for zones and grid
 cells.  Where most weights are 0, geometries meet in a tiled join and the zeros
-are filled in by id.  ``polygon_neighbours`` gives the neighbours alone, and is
-what large inputs should use.
+are filled in by id.  ``polygon_neighbours``, ``border_shares`` and
+``near_weights`` give only the pairs that matter, from tiled joins, and are what
+large inputs should use.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..enums import AdjacencyType, GeoRelationship
+from ..errors import InvalidParameters
 from ..functions import geometry as G
-from .spatial_join import spatial_join
+from ..functions.relate import common_length, distance_between
+from .extent import diameter
+from .spatial_join import distance_join, spatial_join
 
 
 def _pairs(df: DataFrame, geo_id: str, geometry: str) -> DataFrame:
@@ -29,13 +35,19 @@ def _arrays(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.groupBy("id").agg(each.alias(name)).orderBy("id")
 
 
-def _decay(pairs: DataFrame, d: Column, bandwidth: float | None) -> DataFrame:
-    """exp(-d d / (bw bw)); the bandwidth is the greatest distance if not given
-    (or 0); equal places have weight 1."""
-    far = pairs.withColumn("d", d)
-    bw = F.lit(float(bandwidth)) if bandwidth else far.agg(F.max("d")).scalar()
-    far = far.withColumn("bw", bw)
-    return far.select("id", "nbr_id", F.when(F.col("d") == 0, 1.0).otherwise(F.exp(F.try_divide(-(F.col("d") * F.col("d")), F.col("bw") * F.col("bw")))).alias("weight"))
+def _weight(d: Column, bw: Column) -> Column:
+    """exp(-d d / (bw bw)); equal places have weight 1."""
+    return F.when(d == 0, 1.0).otherwise(F.exp(F.try_divide(-(d * d), bw * bw)))
+
+
+def _decay(pairs: DataFrame, d: Column, bandwidth: Column) -> DataFrame:
+    far = pairs.withColumns({"d": d, "bw": bandwidth})
+    return far.select("id", "nbr_id", _weight(F.col("d"), F.col("bw")).alias("weight"))
+
+
+def _bandwidth(given: float | None, df: DataFrame, place: Column) -> Column:
+    """The given one, or (for none or 0) the greatest distance of two places."""
+    return F.lit(float(given)) if given else diameter(df, place)
 
 
 def _filled(df: DataFrame, geo_id: str, near: DataFrame, zero: Column) -> DataFrame:
@@ -56,13 +68,12 @@ def polygon_weights(df: DataFrame, geo_id: str, geometry: str, adjacency_type: A
             near = polygon_neighbours(df, geo_id, geometry).withColumn("weight", F.lit(1).cast("long"))
             return _filled(df, geo_id, near, F.lit(0).cast("long"))
         case AdjacencyType.EXPONENTIAL_CENTROID_DISTANCE:
-            return _decay(_pairs(df, geo_id, geometry), G.distance(G.centroid(g), G.centroid(h)), bandwidth)
+            return _decay(_pairs(df, geo_id, geometry), G.distance(G.centroid(g), G.centroid(h)), _bandwidth(bandwidth, df, G.centroid(F.col(geometry))))
         case AdjacencyType.EXPONENTIAL_DISTANCE:
-            return _decay(_pairs(df, geo_id, geometry), G.polygon_distance(g, h), bandwidth)
+            far = _pairs(df, geo_id, geometry).select("id", "nbr_id", distance_between(g, h).alias("d"))
+            return _decay(far, F.col("d"), F.lit(float(bandwidth)) if bandwidth else far.agg(F.max("d")).scalar())
         case AdjacencyType.COMMON_BORDER_RATIO:
-            share = F.try_divide(G.shared_border(g, h), G.length(g))
-            near = _meeting(df, geo_id, geometry).select("id", "nbr_id", F.when(same, 1.0).otherwise(share).alias("weight"))
-            return _filled(df, geo_id, near, F.when(same, 1.0).otherwise(0.0))
+            return _filled(df, geo_id, border_shares(df, geo_id, geometry), F.when(same, 1.0).otherwise(0.0))
 
 
 ARRAY_NAMES = {
@@ -81,8 +92,8 @@ def get_polygons_adjacency(df: DataFrame, geo_id: str, geometry: str, adjacency_
 
 def point_weights(df: DataFrame, geo_id: str, geometry: str, bandwidth: float | None = None) -> DataFrame:
     """``id, nbr_id, weight`` for all pairs of points, each with itself too."""
-    pairs = _pairs(df, geo_id, geometry)
-    return _decay(pairs, G.distance(F.col("g1")["rings"][0][0], F.col("g2")["rings"][0][0]), bandwidth)
+    first = lambda g: F.col(g)["rings"][0][0]
+    return _decay(_pairs(df, geo_id, geometry), G.distance(first("g1"), first("g2")), _bandwidth(bandwidth, df, first(geometry)))
 
 
 def get_points_adjacency(df: DataFrame, geo_id: str, geometry: str, bandwidth: float | None = None) -> DataFrame:
@@ -97,6 +108,28 @@ def _meeting(df: DataFrame, geo_id: str, geometry: str) -> DataFrame:
     return spatial_join(a, b, "g1", "g2", GeoRelationship.INTERSECTS)
 
 
+def border_shares(df: DataFrame, geo_id: str, geometry: str) -> DataFrame:
+    """``id, nbr_id, weight`` of polygons that share a point: the length of what
+    they have in common (of a common area its boundary) over that of the first."""
+    share = F.try_divide(F.col("common"), G.length(F.col("g1")))
+    met = _meeting(df, geo_id, geometry).withColumn("common", common_length(F.col("g1"), F.col("g2")))
+    return met.select("id", "nbr_id", F.when(F.col("id") == F.col("nbr_id"), 1.0).otherwise(share).alias("weight"))
+
+
+def near_weights(df: DataFrame, geo_id: str, geometry: str, bandwidth: float | None = None, least: float = 0.5) -> DataFrame:
+    """``id, nbr_id, weight`` of the pairs of points whose exponential weight is
+    at least ``least``: those of ``point_weights``, from a join within the radius
+    at which the weight falls to it."""
+    if not 0 < least <= 1:
+        raise InvalidParameters("the least weight is above 0 and at most 1")
+    a = df.select(F.col(geo_id).alias("id"), F.col(geometry).alias("g1"))
+    b = df.select(F.col(geo_id).alias("nbr_id"), F.col(geometry).alias("g2"))
+    bw = _bandwidth(bandwidth, df, F.col(geometry)["rings"][0][0])
+    reach = math.sqrt(-math.log(least)) * (1 + 1e-9)  # beyond rounding; the weight itself decides
+    met = distance_join(a, b, "g1", "g2", bw * reach, "d").withColumn("bw", bw)
+    return met.select("id", "nbr_id", _weight(F.col("d"), F.col("bw")).alias("weight")).filter(F.col("weight") >= least)
+
+
 def polygon_neighbours(df: DataFrame, geo_id: str, geometry: str) -> DataFrame:
     """``id, nbr_id`` of polygons that share a point, each pair both ways."""
     return _meeting(df, geo_id, geometry).filter("id <> nbr_id").select("id", "nbr_id")

@@ -112,7 +112,7 @@ def image_features(
     """``df`` with a column for each feature: a texture of the gray levels, the
     mean of a spectral index (``mean_ndvi`` ...), or what a callback makes of the
     column of gray levels; callbacks come first.  ``bands`` says where each named
-    band is.  Only textures need a shuffle, by ``id_col``, which must be unique."""
+    band is.  Nothing is shuffled; ``id_col`` is kept for callers that pass it."""
     callbacks = callbacks or {}
     own = {f.lower(): f for f in features if f not in callbacks}
     unknown = [f for f in own if f not in MEAN_FEATURES and f not in texture.FEATURES]
@@ -122,7 +122,7 @@ def image_features(
     rows = df.withColumn("_levels", levels)
     means = {f: indices.mean_index(indices.spectral_index(MEAN_FEATURES[k], F.col(data), n_bands, bands)) for k, f in own.items() if k in MEAN_FEATURES}
     rows = rows.withColumns({**means, **{f: callbacks[f](F.col("_levels")) for f in features if f in callbacks}})
-    textures = [F.col(k).alias(f) for k, f in own.items() if k in texture.FEATURES]
+    textures = {f: F.col("_textures")[k] for k, f in own.items() if k in texture.FEATURES}
     if textures:
-        rows = rows.join(texture.glcm_features(rows, id_col, "_levels", height, width).select(id_col, *textures), id_col, "left")
-    return rows.drop("_levels")
+        rows = rows.withColumn("_textures", texture.image_textures(F.col("_levels"), height, width)).withColumns(textures)
+    return rows.drop("_levels", "_textures")

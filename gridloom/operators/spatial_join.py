@@ -17,126 +17,100 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..enums import AggregationType, GeoRelationship
+from ..errors import InvalidParameters
 from ..functions import geometry as G
+from ..functions.relate import distance_between, related
 from .grid import aggregates
 
 
-def _proper_crossing(g: Column, h: Column) -> Column:
-    def crosses(e: Column, f: Column) -> Column:
-        o = G._orientation
-        return (o(e["a"], e["b"], f["a"]) * o(e["a"], e["b"], f["b"]) < 0) & (o(f["a"], f["b"], e["a"]) * o(f["a"], f["b"], e["b"]) < 0)
-
-    return F.exists(G.all_edges(g), lambda e: F.exists(G.all_edges(h), lambda f: crosses(e, f)))
-
-
-def _inner_points(g: Column) -> Column:
-    """Vertices, middles of edges and centroid: one of them is inside another
-    polygon if the interiors meet without a proper crossing."""
-    middles = F.transform(G.all_edges(g), lambda e: G.vertex((e["a"]["x"] + e["b"]["x"]) / 2, (e["a"]["y"] + e["b"]["y"]) / 2))
-    return F.concat(F.flatten(g["rings"]), middles, F.array(G.centroid(g)))
-
-
-def interiors_meet(g: Column, h: Column) -> Column:
-    inside = lambda p, q: F.exists(_inner_points(q), lambda v: G.contains_point(p, v["x"], v["y"]))
-    return _proper_crossing(g, h) | inside(g, h) | inside(h, g)
-
-
-def _contains(g: Column, h: Column) -> Column:
-    polygon = F.forall(F.flatten(h["rings"]), lambda v: G.covers_point(g, v["x"], v["y"])) & ~_proper_crossing(g, h)
-    return F.when(h["type"] == "POINT", G.contains_point(g, G.x_of(h), G.y_of(h))).otherwise(polygon)
-
-
-def _intersects(g: Column, h: Column) -> Column:
-    return (
-        F.when((g["type"] == "POINT") & (h["type"] == "POINT"), (G.x_of(g) == G.x_of(h)) & (G.y_of(g) == G.y_of(h)))
-        .when(h["type"] == "POINT", G.covers_point(g, G.x_of(h), G.y_of(h)))
-        .when(g["type"] == "POINT", G.covers_point(h, G.x_of(g), G.y_of(g)))
-        .otherwise(G.polygons_intersect(g, h))
-    )
-
-
-def _touches(g: Column, h: Column) -> Column:
-    return (
-        F.when((g["type"] == "POINT") & (h["type"] == "POINT"), F.lit(False))
-        .when(h["type"] == "POINT", G.on_boundary(g, G.x_of(h), G.y_of(h)))
-        .when(g["type"] == "POINT", G.on_boundary(h, G.x_of(g), G.y_of(g)))
-        .otherwise(G.polygons_intersect(g, h) & ~interiors_meet(g, h))
-    )
-
-
-def related(g: Column, h: Column, relation: GeoRelationship) -> Column:
-    """Whether geometry ``g`` stands in ``relation`` to ``h``."""
-    call = {GeoRelationship.CONTAINS: _contains, GeoRelationship.INTERSECTS: _intersects, GeoRelationship.TOUCHES: _touches, GeoRelationship.WITHIN: lambda a, b: _contains(b, a)}
-    return call[GeoRelationship(relation)](g, h)
-
-
 #: Tiles of the lowest level on a side of the box.
 FINEST = 1 << 16
 
+#: Kinds of geometries: what their envelopes alone, or native expressions, decide.
+POINT, BOX, AREA, OTHER = range(4)
 
-def _frame(df: DataFrame, geometry: str) -> dict[str, float] | None:
-    """The box of all geometries and the size of its finest tiles (six numbers);
-    None if there is no geometry."""
-    e = G.envelope(F.col(geometry))
-    box = df.agg(F.min(e["xmin"]).alias("xmin"), F.min(e["ymin"]).alias("ymin"), F.max(e["xmax"]).alias("xmax"), F.max(e["ymax"]).alias("ymax")).first().asDict()
-    if box["xmin"] is None:
-        return None
-    return box | {"w": (box["xmax"] - box["xmin"]) / FINEST or 1.0, "h": (box["ymax"] - box["ymin"]) / FINEST or 1.0}
 
-
-def _leveled(df: DataFrame, geometry: str, side: str, frame: dict[str, float]) -> tuple[DataFrame, list[int]]:
-    """``df`` where it overlaps the frame's box, with the envelope, the level,
-    and whether it is a rectangle; and the levels in use, some forty at most."""
-    e = f"_e{side}"
-    edge = lambda c: F.col(f"{e}.{c}")
-    own = df.filter(F.col(geometry).isNotNull()).withColumn(e, G.envelope(F.col(geometry)))
-    own = own.filter((edge("xmin") <= frame["xmax"]) & (edge("xmax") >= frame["xmin"]) & (edge("ymin") <= frame["ymax"]) & (edge("ymax") >= frame["ymin"]))
-    extent = F.greatest((edge("xmax") - edge("xmin")) / frame["w"], (edge("ymax") - edge("ymin")) / frame["h"])
-    level = F.when(extent > 1, F.least(F.ceil(F.log2(extent)), F.lit(40))).otherwise(0).cast("int")
-    own = own.withColumns({f"_l{side}": level, f"_q{side}": G.is_rectangle(F.col(geometry))})
-    return own, sorted(r[0] for r in own.select(f"_l{side}").distinct().collect())
+def _sized(df: DataFrame, geometry: str, grown: Column | None) -> DataFrame:
+    """``df`` with ``_s``: the envelope, grown by a margin, the kind, and the
+    powers of two that the envelope's sides don't exceed."""
+    g, margin = f"`{geometry}`", F.lit(0.0) if grown is None else grown
+    kind = f"CASE WHEN {g}.type = 'POINT' THEN {POINT} WHEN _s.q THEN {BOX} WHEN {g}.type IN ('POLYGON', 'MULTIPOLYGON') THEN {AREA} ELSE {OTHER} END"
+    power = "coalesce(ceil(log2(nullif(_s.e.{0}max - _s.e.{0}min, 0D))), -1100)::int AS {0}"
+    # generators, as filters on what they make are not moved below them, where each would make the geometry anew
+    made = F.explode(F.array(F.struct(G.envelope(F.col(geometry)).alias("e"), G.is_rectangle(F.col(geometry)).alias("q"), margin.alias("m"))))
+    rows = df.filter(f"{g} IS NOT NULL").select("*", made.alias("_s"))
+    rows = rows.withColumn("_s", F.expr(f"struct(struct(_s.e.xmin - _s.m AS xmin, _s.e.ymin - _s.m AS ymin, _s.e.xmax + _s.m AS xmax, _s.e.ymax + _s.m AS ymax) AS e, {kind} AS k)"))
+    return rows.withColumn("_s", F.expr(f"struct(_s.e AS e, _s.k AS k, {power.format('x')}, {power.format('y')})"))
 
 
-def _tile(v: Column, low: float, size: float, level: Column) -> Column:
-    return F.floor((v - low) / (size * F.pow(F.lit(2.0), level))).cast("long")
+def _summary(sized: DataFrame) -> Column:
+    """The box of all geometries, the powers of two of its finest tiles' sides,
+    and the sizes that occur (some hundreds at most), as one value of the plan."""
+    corners = ["xmin", "ymin", "xmax", "ymax"]
+    box = sized.agg(*(F.expr(f"{c[1:]}(_s.e.{c}) AS {c}") for c in corners), F.expr("collect_set(struct(_s.x AS x, _s.y AS y)) AS sizes"))
+    finest = f"coalesce(floor(log2(nullif(({{0}}max - {{0}}min) / {FINEST}, 0D))), 0)::int AS {{0}}"
+    return box.select(F.expr(f"struct({', '.join(corners)}, {finest.format('x')}, {finest.format('y')}, sizes)")).scalar()
 
 
-def _dealt(df: DataFrame, side: str, frame: dict[str, float], roles: Column) -> DataFrame:
-    """A row for each tile of each ``struct<role, level>`` in ``roles``."""
-    e = f"_e{side}"
-    out = df.withColumn("_r", F.explode(roles)).withColumns({"_role": F.col("_r.role"), "_level": F.col("_r.level")}).drop("_r")
-    for axis, size, name in (("x", "w", "_tx"), ("y", "h", "_ty")):
-        at = lambda end, axis=axis, size=size: _tile(F.col(f"{e}.{axis}{end}"), frame[f"{axis}min"], frame[size], F.col("_level"))
-        out = out.withColumn(name, F.explode(F.sequence(at("min"), at("max"))))
-    return out
+def _tile(v: str, axis: str) -> str:
+    return f"floor(({v} - _f.{axis}min) / pow(2D, _r.level + _f.{axis}))::bigint"
 
 
-def _strictly(x: str, y: str) -> Column:
-    """Whether the insides of two envelopes meet."""
-    return F.expr(f"{x}.xmin < {y}.xmax AND {y}.xmin < {x}.xmax AND {x}.ymin < {y}.ymax AND {y}.ymin < {x}.ymax")
-
-
-def _within(x: str, y: str) -> Column:
-    """Whether envelope ``x`` lies in ``y``, the edge included."""
-    return F.expr(f"{x}.xmin >= {y}.xmin AND {x}.xmax <= {y}.xmax AND {x}.ymin >= {y}.ymin AND {x}.ymax <= {y}.ymax")
-
-
-def _tested(geometry1: str, geometry2: str, relation: GeoRelationship) -> Column:
-    """The predicate of a pair whose envelopes meet; of rectangles, and of points
-    with them, by the envelopes alone."""
-    kind = lambda g: F.col(g)["type"]
-    q1, q2, p1, p2 = F.col("_q1"), F.col("_q2"), kind(geometry1) == "POINT", kind(geometry2) == "POINT"
-    boxes = (q1 & (q2 | p2)) | (q2 & p1)
-    exact = related(F.col(geometry1), F.col(geometry2), relation)
-    match relation:
-        case GeoRelationship.INTERSECTS:
-            return boxes | exact
-        case GeoRelationship.TOUCHES:
-            return F.when(boxes, ~_strictly("_e1", "_e2")).otherwise(exact)
-        case GeoRelationship.CONTAINS:
-            return F.when(q1 & p2, _strictly("_e1", "_e2")).when(q1 & (kind(geometry2) == "POLYGON"), _within("_e2", "_e1")).otherwise(exact)
-        case GeoRelationship.WITHIN:
-            return F.when(q2 & p1, _strictly("_e1", "_e2")).when(q2 & (kind(geometry1) == "POLYGON"), _within("_e1", "_e2")).otherwise(exact)
+def _dealt(sized: DataFrame, side: str, frame: Column, other: Column, upper: str) -> DataFrame:
+    """A row for each tile of each role.  Role 0: the left geometry is as large
+    or larger; 1: the right one is.  A geometry stands on its own level, if the
+    other side has smaller ones, and on the levels of the other side's larger
+    ones (``upper`` compares them with its own)."""
+    own = [f"`{c}`" for c in sized.columns if c != "_s"]
+    mine = 0 if side == "1" else 1
+    e = f"_e{side}"
+    rows = sized.select(*own, F.col("_s.e").alias(e), F.col("_s.k").alias(f"_k{side}"), frame.alias("_f"), other.alias("_o"), "_s")
+    rows = rows.filter(f"{e}.xmin <= _f.xmax AND {e}.xmax >= _f.xmin AND {e}.ymin <= _f.ymax AND {e}.ymax >= _f.ymin")
+    level = "greatest({0}.x - _f.x, {0}.y - _f.y, 0)"
+    rows = rows.selectExpr(*own, e, f"_k{side}", "_f", f"{level.format('_s')} AS _l", f"array_distinct(transform(_o.sizes, s -> {level.format('s')})) AS _o")
+    alone = f"filter(array(struct({mine} AS role, _l AS level)), r -> exists(_o, v -> NOT v {upper} _l))"
+    raised = f"transform(filter(_o, v -> v {upper} _l), v -> struct({1 - mine} AS role, v AS level))"
+    rows = rows.selectExpr(*own, e, f"_k{side}", "_f", f"explode(concat({alone}, {raised})) AS _r")
+    across = lambda axis: f"explode(sequence({_tile(f'{e}.{axis}min', axis)}, {_tile(f'{e}.{axis}max', axis)})) AS _t{axis}"
+    rows = rows.selectExpr("*", across("x")).selectExpr("*", across("y"))
+    return rows if mine == 0 else rows.drop("_f")
+
+
+#: Whether the insides of two envelopes meet; whether one lies in the other.
+_STRICTLY = "(_e1.xmin < _e2.xmax AND _e2.xmin < _e1.xmax AND _e1.ymin < _e2.ymax AND _e2.ymin < _e1.ymax)"
+_WITHIN = "({0}.xmin >= {1}.xmin AND {0}.xmax <= {1}.xmax AND {0}.ymin >= {1}.ymin AND {0}.ymax <= {1}.ymax)"
+
+
+def _simple(geometry1: str, geometry2: str, relation: GeoRelationship) -> str:
+    """The predicate of a pair whose envelopes meet, if envelopes decide it or a
+    point is one of the two; else null."""
+    contains, within = relation is GeoRelationship.CONTAINS, relation is GeoRelationship.WITHIN
+    in_box = lambda p, q: f"CASE WHEN _k{q} = {POINT} THEN {_STRICTLY} WHEN _k{p} = {POINT} THEN false ELSE {_WITHIN.format(f'_e{q}', f'_e{p}')} END"
+    boxes = {GeoRelationship.INTERSECTS: "true", GeoRelationship.TOUCHES: f"NOT {_STRICTLY}", GeoRelationship.CONTAINS: in_box(1, 2), GeoRelationship.WITHIN: in_box(2, 1)}[relation]
+    two_points = str(relation is not GeoRelationship.TOUCHES).lower()  # their envelopes meet
+    at_point = {GeoRelationship.INTERSECTS: G.COVERS_POINT, GeoRelationship.TOUCHES: G.ON_BOUNDARY}.get(relation, G.CONTAINS_POINT)
+    test = lambda area, point: at_point.format(g=f"`{area}`", x=f"`{point}`.rings[0][0].x", y=f"`{point}`.rings[0][0].y")
+    return f"""CASE WHEN _k1 = {POINT} AND _k2 = {POINT} THEN {two_points} WHEN _k1 <= {BOX} AND _k2 <= {BOX} THEN {boxes}
+      WHEN _k1 = {AREA} AND _k2 = {POINT} THEN {"false" if within else test(geometry1, geometry2)}
+      WHEN _k1 = {POINT} AND _k2 = {AREA} THEN {"false" if contains else test(geometry2, geometry1)} END"""
+
+
+def _met(left: DataFrame, right: DataFrame, geometry1: str, geometry2: str, by_right: bool, grown: Column | None = None) -> DataFrame:
+    """The pairs whose envelopes share a point, those of the left side grown by a
+    margin, with the envelopes and kinds; each pair once.  The box of one side
+    sets the tiles."""
+    a, b = _sized(left, geometry1, grown), _sized(right, geometry2, None)
+    summary1, summary2 = _summary(a), _summary(b)
+    frame = summary2 if by_right else summary1
+    a = _dealt(a, "1", frame, summary2, ">")
+    b = _dealt(b, "2", frame, summary1, ">=")
+    met = a.join(b, ["_r", "_tx", "_ty"])
+    overlap = "_e1.xmin <= _e2.xmax AND _e2.xmin <= _e1.xmax AND _e1.ymin <= _e2.ymax AND _e2.ymin <= _e1.ymax"
+    corner = " AND ".join(f"{_tile(f'greatest(_e1.{c}min, _e2.{c}min)', c)} = _t{c}" for c in "xy")
+    return met.filter(f"{overlap} AND {corner}").drop("_r", "_tx", "_ty", "_f")
+
+
+_HELPERS = ("_e1", "_e2", "_k1", "_k2")
 
 
 def spatial_join(left: DataFrame, right: DataFrame, geometry1: str, geometry2: str, relation: GeoRelationship) -> DataFrame:
@@ -144,29 +118,34 @@ def spatial_join(left: DataFrame, right: DataFrame, geometry1: str, geometry2: s
     columns of both; rows without a geometry have none.
 
     The box of the containing side (of the left one in general) sets the tiles;
-    what lies outside it is dropped before anything is shuffled.
+    what lies outside it is dropped before anything is shuffled.  Box and levels
+    are values of the plan, so nothing runs before the result is asked for.
+    Rectangles and points are decided by native expressions, any other pair by
+    noding (``functions.relate``).
     """
     relation = GeoRelationship(relation)
-    frame = _frame(right, geometry2) if relation is GeoRelationship.WITHIN else _frame(left, geometry1)
-    if frame is None:
-        return left.join(right, F.lit(False))
-    (a, levels1), (b, levels2) = _leveled(left, geometry1, "1", frame), _leveled(right, geometry2, "2", frame)
-    role = lambda r, level: F.struct(F.lit(r).alias("role"), level.alias("level"))
-
-    def roles(own: Column, other: list[int], mine: int, theirs: int, meets) -> Column:
-        """Role 0: the left geometry is as large or larger; 1: the right one is."""
-        up = [F.when(meets(F.lit(v), own), role(theirs, F.lit(v))) for v in other]
-        return F.filter(F.array(role(mine, own), *up), lambda r: r.isNotNull())
-
-    a = _dealt(a, "1", frame, roles(F.col("_l1"), [v for v in levels2 if v > min(levels1, default=0)], 0, 1, lambda v, own: v > own)).drop("_l1")
-    larger = max(levels2, default=0) > min(levels1, default=0)  # some right geometry is larger than some left one
-    upper = roles(F.col("_l2"), [v for v in levels1 if v >= min(levels2, default=0)], 1, 0, lambda v, own: v >= own)
-    b = _dealt(b, "2", frame, upper if larger else F.filter(upper, lambda r: r["role"] == 0)).drop("_l2")
-    met = a.join(b, ["_role", "_level", "_tx", "_ty"])
-    at = lambda axis, size: _tile(F.greatest(f"_e1.{axis}min", f"_e2.{axis}min"), frame[f"{axis}min"], frame[size], F.col("_level"))
-    overlap = F.expr("_e1.xmin <= _e2.xmax AND _e2.xmin <= _e1.xmax AND _e1.ymin <= _e2.ymax AND _e2.ymin <= _e1.ymax")
-    met = met.filter(overlap & (at("x", "w") == F.col("_tx")) & (at("y", "h") == F.col("_ty")) & _tested(geometry1, geometry2, relation))
-    return met.drop("_role", "_level", "_tx", "_ty", "_e1", "_e2", "_q1", "_q2")
+    met = _met(left, right, geometry1, geometry2, relation is GeoRelationship.WITHIN)
+    general = f"NOT (_k1 <= {BOX} AND _k2 <= {BOX} OR greatest(_k1, _k2) = {AREA} AND least(_k1, _k2) = {POINT})"
+    only = lambda g: F.expr(f"CASE WHEN {general} THEN `{g}` END")
+    met = met.withColumn("_x", related(only(geometry1), only(geometry2), relation.value))
+    return met.filter(f"CASE WHEN {general} THEN _x ELSE {_simple(geometry1, geometry2, relation)} END").drop("_x", *_HELPERS)
+
+
+def distance_join(left: DataFrame, right: DataFrame, geometry1: str, geometry2: str, radius: float | Column, name: str = "distance") -> DataFrame:
+    """The pairs of rows whose geometries are at most ``radius`` apart, with the
+    distance.  Envelopes of the left side, grown by the radius, meet the right
+    one's on the tiles, so no product is formed.  The radius may be a value of the
+    plan, such as a scalar subquery."""
+    if not isinstance(radius, Column):
+        if not radius >= 0:
+            raise InvalidParameters("the radius is a number from 0")
+        radius = F.lit(float(radius))
+    met = _met(left, right, geometry1, geometry2, True, radius)
+    points = (F.col("_k1") == POINT) & (F.col("_k2") == POINT)
+    exact = distance_between(F.when(~points, F.col(geometry1)), F.when(~points, F.col(geometry2)))
+    met = met.withColumn("_x", exact)
+    of_points = G.distance(F.col(geometry1)["rings"][0][0], F.col(geometry2)["rings"][0][0])
+    return met.withColumn(name, F.when(points, of_points).otherwise(F.col("_x"))).filter(F.col(name) <= radius).drop("_x", *_HELPERS)
 
 
 def aggregate_st_dfs(

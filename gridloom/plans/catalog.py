@@ -18,6 +18,7 @@ from ..functions import indices as I
 from ..functions import temporal as T
 from ..functions import texture
 from ..operators import adapter, adjacency, datasets, grid, spatial_join, tensor, traffic, weather
+from ..operators.extent import greatest_distance
 from ..scratch import shared_folder
 from ..sources import readers, tiff, writers
 
@@ -152,14 +153,22 @@ def _cells_sql(box: str, px: int, py: int) -> str:
   x0 + (x1 - x0) / {px} * (k % {px} + 1) AS xmax, y0 + (y1 - y0) / {py} * (k // {px} + 1) AS ymax FROM range({px * py}) r(k), {box}"""
 
 
-def _box(x0: float, y0: float, x1: float, y1: float) -> str:
-    return f"(SELECT {x0}::DOUBLE AS x0, {y0}::DOUBLE AS y0, {x1}::DOUBLE AS x1, {y1}::DOUBLE AS y1)"
-
-
 _EVENT_BOX = "(SELECT min(value)::DOUBLE AS x0, min(user_id)::DOUBLE AS y0, max(value)::DOUBLE AS x1, max(user_id)::DOUBLE AS y1 FROM events)"
 query("grid_cells_df", _cells_sql(_EVENT_BOX, 8, 6))(lambda s, d: _corners(grid.generate_grid_cells(events(s, d), 8, 6)))
-query("grid_cells_boundary", _cells_sql(_box(-3, 2, 5, 9), 7, 3))(lambda s, d: _corners(grid.generate_grid_cells([[-3, 2], [5, 9]], 7, 3, spark=s)))
-query("grid_cells_square", _cells_sql(_box(0, 0, 2, 2), 2, 2))(lambda s, d: _corners(grid.generate_grid_cells([[0, 0], [2, 2]], 2, spark=s)))
+
+
+def _boundary(df: DataFrame, x: str, y: str) -> list[list[float]]:
+    """The corners of all rows' box: one row."""
+    return [list(r) for r in df.agg(F.struct(F.min(x), F.min(y)), F.struct(F.max(x), F.max(y))).first()]
+
+
+_ORDER_BOX = "(SELECT min(l_quantity)::DOUBLE AS x0, min(l_extendedprice)::DOUBLE AS y0, max(l_quantity)::DOUBLE AS x1, max(l_extendedprice)::DOUBLE AS y1 FROM lineitem)"
+query("grid_cells_boundary", _cells_sql(_ORDER_BOX, 7, 3))(
+    lambda s, d: _corners(grid.generate_grid_cells(_boundary(table(s, d, "lineitem"), "l_quantity", "l_extendedprice"), 7, 3, spark=s))
+)
+query("grid_cells_square", _cells_sql(_ORDER_BOX.replace("l_extendedprice", "l_discount"), 9, 9))(
+    lambda s, d: _corners(grid.generate_grid_cells(_boundary(table(s, d, "lineitem"), "l_quantity", "l_discount"), 9, spark=s))
+)
 query("spatial_points", "SELECT event_id, value AS x, user_id::DOUBLE AS y FROM events")(lambda s, d: events(s, d).select("event_id", G.x_of(F.col("geometry")).alias("x"), G.y_of(F.col("geometry")).alias("y")))
 
 # --------------------------------------------------------------- spatial joins
@@ -243,29 +252,126 @@ query("general_intersects", f"WITH {_DIAMONDS} SELECT a.s_suppkey AS id, b.s_sup
     lambda s, d: adjacency.polygon_neighbours(_diamonds(s, d), "s_suppkey", "diamond")
 )
 
+# polygons with notches, holes and parts, made of cells and slanted by a linear
+# map, so that no rectangle is left; SQL compares their cells
+_CELLS = {
+    0: [(0, 0), (1, 0), (2, 0), (0, 1), (2, 1), (0, 2), (2, 2)],
+    1: [(0, 0), (1, 0), (2, 0), (0, 1), (2, 1), (0, 2), (1, 2), (2, 2)],
+    2: [(0, 0), (1, 0), (0, 1)],
+    3: [(0, 0)],
+    4: [(0, 0), (2, 2)],
+}
+_RINGS = {
+    0: [[[(0, 0), (3, 0), (3, 3), (2, 3), (2, 1), (1, 1), (1, 3), (0, 3)]]],
+    1: [[[(0, 0), (3, 0), (3, 3), (0, 3)], [(1, 1), (2, 1), (2, 2), (1, 2)]]],
+    2: [[[(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)]]],
+    3: [[[(0, 0), (1, 0), (1, 1), (0, 1)]]],
+    4: [[[(0, 0), (1, 0), (1, 1), (0, 1)]], [[(2, 2), (3, 2), (3, 3), (2, 3)]]],
+}
+
+
+def _shaped(kind: Column, x: Column, y: Column, size: Column) -> Column:
+    def corner(i: int, j: int) -> Column:
+        cx, cy = x + i * size, y + j * size
+        return G.vertex(2 * cx + cy, cy - cx)
+
+    def polygon(parts: list[list[list[tuple[int, int]]]]) -> Column:
+        rings = F.array(*(F.array(*(F.array(*(corner(*c) for c in [*r, r[0]])) for r in p)) for p in parts))
+        return G.multipolygon(rings) if len(parts) > 1 else F.struct(F.lit("POLYGON").alias("type"), rings[0].alias("rings"))
+
+    return F.coalesce(*(F.when(kind == k, polygon(parts)) for k, parts in _RINGS.items()))
+
+
+def _shapes_of(spark: SparkSession, sf_dir: str, name: str, key: str, prefix: str, largest: int) -> DataFrame:
+    k, n = F.col(key), F.col(f"{prefix}_nationkey")
+    x, y = F.floor(F.col(f"{prefix}_acctbal") / 16).cast("double"), n * 4.0 + k % 4
+    return table(spark, sf_dir, name).select(key, _shaped(k % 5, x, y, (k % largest + 1).cast("double")).alias(f"{prefix}_shape"))
+
+
+def _cells_of(name: str, key: str, prefix: str, largest: int) -> str:
+    listed = ", ".join(f"({k}, {i}, {j})" for k, cells in _CELLS.items() for i, j in cells)
+    return f"""(SELECT {key} AS id, x + i * n + u AS x, y + j * n + v AS y FROM (SELECT {key}, {key} % 5 AS kind, floor({prefix}_acctbal / 16)::BIGINT AS x,
+  {prefix}_nationkey * 4 + {key} % 4 AS y, {key} % {largest} + 1 AS n FROM {name}) JOIN (VALUES {listed}) c(kind, i, j) USING (kind), range({largest}) a(u), range({largest}) b(v) WHERE u < n AND v < n)"""
+
+
+_SHAPE_CTES = f"""WITH a AS {_cells_of("supplier", "s_suppkey", "s", 7)}, b AS {_cells_of("customer", "c_custkey", "c", 3)},
+na AS (SELECT id, count(*) AS n FROM a GROUP BY id), nb AS (SELECT id, count(*) AS n FROM b GROUP BY id),
+common AS (SELECT a.id AS s_suppkey, b.id AS c_custkey, count(*) AS n FROM a JOIN b USING (x, y) GROUP BY ALL),
+pa AS (SELECT DISTINCT id, x + dx AS x, y + dy AS y FROM a, range(2) p(dx), range(2) q(dy)), pb AS (SELECT DISTINCT id, x + dx AS x, y + dy AS y FROM b, range(2) p(dx), range(2) q(dy)),
+met AS (SELECT DISTINCT pa.id AS s_suppkey, pb.id AS c_custkey FROM pa JOIN pb USING (x, y))
+SELECT s_suppkey, c_custkey FROM """
+_SHAPE_SQL = {
+    GeoRelationship.CONTAINS: "common JOIN nb ON nb.id = c_custkey AND nb.n = common.n",
+    GeoRelationship.WITHIN: "common JOIN na ON na.id = s_suppkey AND na.n = common.n",
+    GeoRelationship.INTERSECTS: "met",
+    GeoRelationship.TOUCHES: "met ANTI JOIN common USING (s_suppkey, c_custkey)",
+}
+for _kind, _rest in _SHAPE_SQL.items():
+    query(f"shapes_{_kind.value}", _SHAPE_CTES + _rest)(
+        lambda s, d, kind=_kind: spatial_join.spatial_join(
+            _shapes_of(s, d, "supplier", "s_suppkey", "s", 7), _shapes_of(s, d, "customer", "c_custkey", "c", 3), "s_shape", "c_shape", kind
+        ).select("s_suppkey", "c_custkey")
+    )
+
 # ------------------------------------------------------------------- adjacency
 
-_ADJ = f"WITH a AS ({_cells_sql(_box(0, 0, 4, 8), 4, 4)}), b AS (SELECT * FROM a) SELECT a.cell_id AS id, b.cell_id AS nbr_id, "
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box around each supplier, wider or higher by its nation."""
+    w, h = (F.col("s_nationkey") % 7 + 1) * 4.0, (F.col("s_nationkey") % 3 + 1) * 8.0
+    x, y = F.floor(F.col("s_acctbal") / 16).cast("double"), F.col("s_nationkey") * 4.0
+    return table(spark, sf_dir, "supplier").select("s_suppkey", G.rectangle(x, y, x + w, y + h).alias("box"))
+
+
+_ADJ = """WITH a AS (SELECT s_suppkey, x AS xmin, y AS ymin, x + w AS xmax, y + h AS ymax, w, h FROM (SELECT s_suppkey, floor(s_acctbal / 16)::DOUBLE AS x,
+  s_nationkey * 4.0::DOUBLE AS y, (s_nationkey % 7 + 1) * 4.0::DOUBLE AS w, (s_nationkey % 3 + 1) * 8.0::DOUBLE AS h FROM supplier)), b AS (SELECT * FROM a)
+SELECT a.s_suppkey AS id, b.s_suppkey AS nbr_id, """
 _CD = "sqrt(pow((a.xmin + a.xmax - b.xmin - b.xmax) / 2, 2) + pow((a.ymin + a.ymax - b.ymin - b.ymax) / 2, 2))"
 _RD = "sqrt(pow(greatest(0, a.xmin - b.xmax, b.xmin - a.xmax), 2) + pow(greatest(0, a.ymin - b.ymax, b.ymin - a.ymax), 2))"
-_SIDE = "CASE WHEN {c} THEN (CASE WHEN a.xmax = b.xmin OR b.xmax = a.xmin THEN greatest(0, least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) ELSE 0 END + CASE WHEN a.ymax = b.ymin OR b.ymax = a.ymin THEN greatest(0, least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) ELSE 0 END) ELSE 0 END".format(c=_CLOSED)
+_IX, _IY = "(least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin))", "(least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin))"
+_COMMON = f"(CASE WHEN {_IX} < 0 OR {_IY} < 0 THEN 0 WHEN {_IX} > 0 AND {_IY} > 0 THEN 2 * ({_IX} + {_IY}) ELSE {_IX} + {_IY} END)"
+_SHARE = f"CASE WHEN a.s_suppkey = b.s_suppkey THEN 1.0::DOUBLE ELSE floor({_COMMON} / (2 * (a.w + a.h)) * 1e6 + 0.5) / 1e6 END AS weight"
 
 
 def _adjacent(kind: AdjacencyType) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cells = grid.generate_grid_cells([[0, 0], [4, 8]], 4, spark=spark)
-        out = adjacency.polygon_weights(cells, "cell_id", "geometry", kind)
+        out = adjacency.polygon_weights(_boxes(spark, sf_dir), "s_suppkey", "box", kind)
         return out if kind is AdjacencyType.BINARY else out.withColumn("weight", r6("weight"))
 
     return run
 
 
 _DECAY = "FROM (SELECT id, nbr_id, floor(exp(-d * d / (max(d) OVER () * max(d) OVER ())) * 1e6 + 0.5) / 1e6 AS weight"
-query("adj_binary", f"{_ADJ} (a.cell_id <> b.cell_id AND {_CLOSED})::BIGINT AS weight FROM a, b")(_adjacent(AdjacencyType.BINARY))
+query("adj_binary", f"{_ADJ} (a.s_suppkey <> b.s_suppkey AND {_CLOSED})::BIGINT AS weight FROM a, b")(_adjacent(AdjacencyType.BINARY))
 query("adj_exp_centroid", f"SELECT * {_DECAY} FROM ({_ADJ} {_CD} AS d FROM a, b))")(_adjacent(AdjacencyType.EXPONENTIAL_CENTROID_DISTANCE))
 query("adj_exp_dist", f"SELECT * {_DECAY} FROM ({_ADJ} {_RD} AS d FROM a, b))")(_adjacent(AdjacencyType.EXPONENTIAL_DISTANCE))
-query("adj_border_ratio", f"{_ADJ} CASE WHEN a.cell_id = b.cell_id THEN 1.0::DOUBLE ELSE floor(({_SIDE}) / 6.0::DOUBLE * 1e6 + 0.5) / 1e6 END AS weight FROM a, b")(_adjacent(AdjacencyType.COMMON_BORDER_RATIO))
-query("adj_neighbours", f"{_ADJ[:-2]} FROM a, b WHERE a.cell_id <> b.cell_id AND {_CLOSED}")(lambda s, d: adjacency.polygon_neighbours(grid.generate_grid_cells([[0, 0], [4, 8]], 4, spark=s), "cell_id", "geometry"))
+query("adj_border_ratio", f"{_ADJ} {_SHARE} FROM a, b")(_adjacent(AdjacencyType.COMMON_BORDER_RATIO))
+query("adj_border_shares", f"{_ADJ} {_SHARE} FROM a, b WHERE {_CLOSED}")(lambda s, d: adjacency.border_shares(_boxes(s, d), "s_suppkey", "box").withColumn("weight", r6("weight")))
+query("adj_neighbours", f"{_ADJ[:-2]} FROM a, b WHERE a.s_suppkey <> b.s_suppkey AND {_CLOSED}")(lambda s, d: adjacency.polygon_neighbours(_boxes(s, d), "s_suppkey", "box"))
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.add_spatial_points(table(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal", "geometry").select("c_custkey", "geometry")
+
+
+_PAIRS_D = "SELECT a.c_custkey AS id, b.c_custkey AS nbr_id, sqrt(pow(a.c_acctbal - b.c_acctbal, 2) + pow(a.c_nationkey - b.c_nationkey, 2)) AS d FROM customer a, customer b"
+query("adj_near_points", f"SELECT id, nbr_id, floor(w * 1e6 + 0.5) / 1e6 AS weight FROM (SELECT id, nbr_id, exp(-d * d / (bw * bw)) AS w FROM (SELECT *, max(d) OVER () AS bw FROM ({_PAIRS_D}))) WHERE w >= 0.999999")(
+    lambda s, d: adjacency.near_weights(_customers(s, d), "c_custkey", "geometry", least=0.999999).withColumn("weight", r6("weight"))
+)
+query("farthest_points", f"SELECT floor(max(d) * 1e6 + 0.5) / 1e6 AS d FROM ({_PAIRS_D})")(
+    lambda s, d: greatest_distance(_customers(s, d), F.col("geometry")["rings"][0][0]).select(r6("d").alias("d"))
+)
+query(
+    "distance_pairs",
+    f"""{_ADJ[: _ADJ.index("SELECT a.s_suppkey")]}, d AS (SELECT s_suppkey, c_custkey, sqrt(pow(greatest(0, xmin - x, x - xmax), 2) + pow(greatest(0, ymin - y, y - ymax), 2)) AS d
+  FROM a, (SELECT c_custkey, floor(c_acctbal / 16)::DOUBLE AS x, c_nationkey * 4.0::DOUBLE AS y FROM customer))
+SELECT s_suppkey, c_custkey, floor(d * 1e6 + 0.5) / 1e6 AS d FROM d WHERE d <= 5""",
+)(
+    lambda s, d: spatial_join.distance_join(
+        _boxes(s, d), table(s, d, "customer").select("c_custkey", G.point(F.floor(F.col("c_acctbal") / 16).cast("double"), F.col("c_nationkey") * 4.0).alias("p")), "box", "p", 5.0, "d"
+    ).select("s_suppkey", "c_custkey", r6("d").alias("d"))
+)
 query(
     "adj_points",
     "SELECT id, nbr_id, floor(exp(-d * d / (bw * bw)) * 1e6 + 0.5) / 1e6 AS weight FROM (SELECT *, max(d) OVER () AS bw FROM (SELECT a.s_suppkey AS id, b.s_suppkey AS nbr_id, sqrt(pow(a.s_acctbal - b.s_acctbal, 2) + pow(a.s_nationkey - b.s_nationkey, 2)) AS d FROM supplier a, supplier b))",
@@ -457,9 +563,13 @@ def periodical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(got, ["x_closeness", "x_period", "x_trend"])
 
 
-@query("time_one_hot", f"SELECT t, p::INTEGER AS pos, (CASE WHEN p < 24 THEN p = t % 24 ELSE p - 24 = (t // 24) % 7 END)::INTEGER::DOUBLE AS value FROM range({_STEPS_T}) s(t), range(31) r(p)")
+@query(
+    "time_one_hot",
+    "WITH s AS (SELECT event_id, floor(epoch(ts))::BIGINT // 3600 AS t FROM events) SELECT event_id, p::INTEGER AS pos, (CASE WHEN p < 24 THEN p = t % 24 ELSE p - 24 = (t // 24) % 7 END)::INTEGER::DOUBLE AS value FROM s, range(31) r(p)",
+)
 def time_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(_STEPS_T).select(F.col("id").alias("t"), F.posexplode(tensor.time_one_hot(F.col("id"))).alias("pos", "value"))
+    hour = F.floor(T.unix_seconds(table(spark, sf_dir, "events"), "ts") / 3600)
+    return table(spark, sf_dir, "events").select("event_id", F.posexplode(tensor.time_one_hot(hour)).alias("pos", "value"))
 
 
 @query(
