@@ -405,6 +405,30 @@ def test_quality_verdict_and_edges(spark):
     assert quality.quality(frame(spark, []), none).count() == 0
 
 
+def test_quality_forests_see_repetition(spark, sf_dir):
+    """Texts of ordinary characters that repeat words and lines more than good
+    ones do, and half of the labels held out."""
+    table = lambda name: spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/{name}.parquet")
+    rows = table("documents").join(table("labels"), "doc_id").orderBy("doc_id").collect()
+    words = WordHash()
+    counts, x = map(np.array, zip(*(quality.text_statistics(r.text, words) for r in rows), strict=True))
+    good, passed = np.array([r.quality == 1 for r in rows]), (counts[:, 0] >= 50) & (100 * counts[:, 4] <= 50 * counts[:, 0])
+    junk = []
+    for r in [r for r, g, p in zip(rows, good, passed, strict=True) if g and p][:100]:
+        own = r.text.split()[:300]
+        made = " ".join(own + own[: len(own) // 4]) + "\nthis line stands here again" * 4
+        c, f = quality.text_statistics(made, words)
+        if c[0] >= 50 and 100 * c[4] <= 50 * c[0]:  # else the base rules see to it
+            junk.append(f)
+    assert len(junk) >= 80
+    for half in (0, 1):
+        own = np.arange(len(rows)) % 2 == half
+        verdict = quality.fitted(x[own], good[own], passed[own])
+        rejected = verdict.anomalies(x)
+        assert verdict.anomalies(np.array(junk)).mean() >= 0.95
+        assert rejected[~own & ~good & passed].mean() >= 0.9 and rejected[~own & good & passed].mean() <= 0.01
+
+
 def test_isolation_forest_isolates():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(500, 3)), [[9, 9, 9]]])
