@@ -7,11 +7,11 @@ rows are written as Parquet and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, near_dedup, packing, pii, quality
-from gridloom.llm.shared import saved, small
+from gridloom.llm.shared import discard, saved, small, steps
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,28 +26,48 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs, verdict)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies: that of the least id.
+def _hash(seed: int, *parts: Column) -> Column:
+    return F.xxhash64(F.lit(seed), *parts)
+
 
-    Rows without an id go by a hash of their text, beyond all ids, so of their
-    copies one stays at most, too, and none if a row with an id is alike.  Of
-    repeated rows of one id one stays.  Rows without words have no copies, but
-    repeated ones of one id are one row all the same.  The ids that go are
-    broadcast if there are few of them; else the join shuffles.
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of near copies: that of the least id, or of
+    the least hash among several of that id or if none has an id.
+
+    A document is a row's id and text, so rows of one id and different texts are
+    documents of their own and none is lost.  Of rows of one id and text that
+    with the least hash of its columns stays.  Rows without words (null and
+    empty text) have no copies, but repeated ones are one row all the same.
+    What goes is broadcast if it is little; else the join shuffles.
     """
-    key = "_key"
-    while key in docs.columns:
-        key += "_"
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    beyond = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2)
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), beyond))
-    told = saved(near_dedup.near_duplicates(keyed, id_col=key).select(F.col("doc_id").alias(key), "kept"), "near-copies")
-    gone = saved(told.filter("NOT kept").select(key).distinct(), "near-copies-gone")
-    again = saved(told.filter("kept").groupBy(key).count().filter("count > 1").select(key), "near-copies-again")
+    names = []
+    for name in ("_document", "_row", "_again"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    key, row, again = names
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    keyed = docs.withColumn(key, _hash(0, doc_id, text.isNull(), text))
+    with steps() as keep:
+        seed = 1
+        while True:  # two documents of one key get others
+            every = keyed.select(key, doc_id.alias("id"), _hash(-1, text.isNull(), text).alias("check"), F.xxhash64(*docs.columns).alias(row))
+            every = saved(every.groupBy(key, "id", "check").agg(F.min(row).alias(row), F.count("*").alias("c")), "near-documents")
+            clash = saved(every.groupBy(key).count().filter("count > 1").select(key, F.lit(True).alias(again)), "near-clashes")
+            if clash.isEmpty():
+                break
+            keyed = keyed.join(small(keep(clash)), key, "left").withColumn(key, F.when(F.col(again), _hash(seed, doc_id, text.isNull(), text)).otherwise(F.col(key))).drop(again)
+            seed += 1
+        told = near_dedup.near_duplicates(keyed, id_col=key).select(F.col("doc_id").alias(key), "component_id").distinct()
+        told = saved(every.join(told, key), "near-copies")
+        first = told.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", key)).alias("first"))
+        gone = keep(saved(told.select(key).join(first.select(f"first.{key}"), key, "left_anti"), "near-copies-gone"))
+        repeated = keep(saved(told.filter("c > 1").select(key, row).join(gone, key, "left_anti"), "near-copies-again"))
     left = keyed.join(small(gone), key, "left_anti")
-    if not again.isEmpty():
-        again = small(again)
-        left = left.join(again, key, "left_anti").unionByName(left.join(again, key, "left_semi").dropDuplicates([key]))
+    if not repeated.isEmpty():
+        one = small(repeated)
+        alike = left.withColumn(row, F.xxhash64(*docs.columns)).join(one, [key, row], "left_semi").dropDuplicates([key])  # these are equal
+        left = left.join(one.select(key), key, "left_anti").unionByName(alike.drop(row))
     return left.select(docs.columns)
 
 
@@ -94,8 +114,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage wrote goes when the next one
+    has written its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        with steps() as keep:
+            after = keep(saved(stage(spark, docs, sf_dir), f"stage-{name}"))
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
