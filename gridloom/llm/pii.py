@@ -2,20 +2,25 @@
 
 The base patterns find what is written as it should be.  A bidirectional LSTM
 over character classes with a linear-chain CRF on top, trained here from
-labelled spans, adds what is written otherwise.  A span that the model may add
-holds ``@`` or a digit, so only the text around such characters is decoded, in
-windows that overlap by half.  A span that a window's edge cuts is read again in
-a wider window, until it is whole, so no length or position is lost; spans that
-several windows propose are reconciled over the whole text by the set of
-non-overlapping spans with the greatest total score.
+labelled spans (``train_tagger`` made the weights in ``tagger.npz``), adds what
+is written otherwise.  A span that the model may add
+holds ``@``, or is a number: groups of digits with three characters at most
+between them, ten digits or four groups in all.  So only the text around such
+places is decoded, in windows that overlap by half; a number is shorter than
+that overlap.  An address that a window's edge cuts is read again in a wider
+window, until it is whole, so no length or position is lost; spans that several
+windows propose are reconciled over the whole text by the set of non-overlapping
+spans with the greatest total score.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
 from bisect import bisect_left, bisect_right
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -116,7 +121,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """A BiLSTM over character classes and a CRF over ``TAGS``, in numpy."""
 
-    def __init__(self, hidden: int = 20, seed: int = 7):
+    def __init__(self, hidden: int = 32, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.hidden = hidden
         normal = lambda *shape: (rng.standard_normal(shape) * 0.25).astype(np.float32)
@@ -188,22 +193,25 @@ class Tagger:
             g |= {f"x{d}": dx, f"h{d}": dh, f"b{d}": db}
         return loss, g
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 48, rate: float = 0.015, seed: int = 3) -> list[float]:
-        """Adam over shuffled batches; the mean loss of each epoch."""
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 96, rate: float = 0.02, seed: int = 3) -> list[float]:
+        """Adam over shuffled batches, the rate falling to nothing; the mean loss
+        of each epoch."""
         rng, step, losses = np.random.default_rng(seed), 0, []
+        steps = epochs * -(-len(x) // batch)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         for _ in range(epochs):
             order, total = rng.permutation(len(x)), []
             for a in range(0, len(x), batch):
                 step += 1
+                now = rate * (1 + math.cos(math.pi * step / (steps + 1))) / 2
                 loss, g = self.gradients(x[order[a : a + batch]], y[order[a : a + batch]])
                 norm = np.sqrt(sum(float((w * w).sum()) for w in g.values()))
                 for k, w in g.items():
                     w = w * min(1.0, 5.0 / max(norm, 1e-9))
                     m[k] = 0.9 * m[k] + 0.1 * w
                     v[k] = 0.999 * v[k] + 0.001 * w * w
-                    self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
                 total.append(loss)
             losses.append(float(np.mean(total)))
         return losses
@@ -258,9 +266,15 @@ def _example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]
         a, b, c = digits(3), digits(3), digits(4)
         return pick([f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{digits(2)} {a} {b} {c}"])
 
+    def table() -> str:
+        return pick([" ", " ", ", ", "  ", "\n", "\t"]).join(digits(rng.integers(1, pick([2, 4, 6]))).lstrip("0") or "0" for _ in range(rng.integers(4, 14)))
+
     def none() -> str:
         hexed = "".join(pick("0123456789abcdef") for _ in range(rng.integers(12, 41)))
-        return pick([digits(rng.integers(1, 9)), f"{rng.integers(1900, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", f"{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}", f"{digits(2)}%", f'token = "{hexed}"', f"password={hexed}", f"AKIA{hexed[:16].upper()}", f"@{word()}", f"{digits(2)}.{digits(3)},{digits(2)}"])
+        return pick([digits(rng.integers(1, 9)), f"{rng.integers(1900, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", f"{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}", f"{digits(2)}%", f'token = "{hexed}"', f"password={hexed}", f"AKIA{hexed[:16].upper()}", f"@{word()}", f"{digits(2)}.{digits(3)},{digits(2)}",
+            f"{digits(1)}.{digits(1)}.{digits(1)}-{digits(1)}", f"v{digits(1)}.{digits(2)}.{digits(1)}", f"{rng.integers(10, 29)}-{rng.integers(10, 13)}-{rng.integers(1900, 2030)}", f"{digits(4)}-{digits(4)}",
+            f"{digits(1)}-{digits(2)}-{digits(2)}", f"{digits(3)}-{digits(4)}", f"{digits(2)} {digits(3)}", f"{word()}-{digits(3)}-{digits(4)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"{word()} @ {word()}", table(), table(), table(),
+            f"{digits(2)}:{digits(2)}:{digits(2)} {digits(3)} {digits(5)}"])
 
     text, spans = "", []
     for _ in range(rng.integers(8, 22)):
@@ -295,24 +309,46 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(xs), np.array(ys)
 
 
+#: Made by ``python -m gridloom.llm.train_tagger``.
+WEIGHTS = Path(__file__).with_name("tagger.npz")
+
+
 @functools.cache
-def trained(texts: int = 800, epochs: int = 5) -> Tagger:
-    """The tagger, trained once in a process, always from the same spans."""
-    model = Tagger()
-    model.train(*labelled(texts, 1), epochs=epochs)
+def trained() -> Tagger:
+    """The tagger with the weights of ``WEIGHTS``, read on the driver and sent
+    with the tasks (some 30,000 numbers)."""
+    with np.load(WEIGHTS) as stored:
+        model = Tagger(hidden=len(stored["hf"]))
+        model.p = {k: stored[k].astype(np.float32) for k in model.p}
     return model
 
 
 # ------------------------------------------------------------ global decoding
 
-_TRIGGER = re.compile("[@0-9]")
+#: Groups of digits with little between them, of which a number is made; a group
+#: of more digits than any number has stands between two runs.
+_RUN = re.compile(r"(?<![0-9])[0-9]{1,19}(?![0-9])(?:[\s.()+-]{1,3}[0-9]{1,19}(?![0-9]))*")
+_NUMBER = re.compile(rf"[+(]{{0,2}}{_RUN.pattern}\)?")
+_GROUP = re.compile("[0-9]+")
+_FOUR = re.compile(r"[0-9]+(?:\s?[.-]\s?[0-9]+){3}")
+
+
+def _triggers(text: str) -> list[tuple[int, int]]:
+    """Each ``@``, and the runs of digits that can hold a number: ten digits, or
+    the four groups of an address."""
+    out = [(m.start(), m.end()) for m in re.finditer("@", text)]
+    for m in _RUN.finditer(text):
+        groups = _GROUP.findall(m.group())
+        if len(groups) >= 4 or sum(map(len, groups)) >= 10:
+            out.append(m.span())
+    return out
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
-    """What to decode: ``REACH`` around each trigger, long runs in windows of
+    """What to decode: ``REACH`` around each trigger, long ones in windows of
     ``PIECE`` that overlap by half."""
     out = []
-    for a, b in _merged([(max(0, m.start() - REACH), min(len(text), m.end() + REACH)) for m in _TRIGGER.finditer(text)]):
+    for a, b in _merged([(max(0, a - REACH), min(len(text), b + REACH)) for a, b in _triggers(text)]):
         out += [(c, min(b, c + PIECE)) for c in range(a, max(a + 1, b - PIECE // 2), PIECE // 2)]
     return out
 
@@ -360,11 +396,15 @@ def model_spans(texts: list[str], model: Tagger, cells: int = 1 << 15) -> list[l
                     a, b = start + first, min(start + end, stop)
                     if a >= stop:
                         continue
-                    if a == start > 0 or b == stop < len(texts[k]):
-                        cut.setdefault(k, []).append((a, b))
-                        continue
-                    whole.setdefault(k, []).append((a, b))
+                    left, right = a == start > 0, b == stop < len(texts[k])
+                    if kind == 0:
+                        if left or right:
+                            cut.setdefault(k, []).append((a, b))
+                            continue
+                        whole.setdefault(k, []).append((a, b))
                     for c, d in _values(texts[k], a, b, kind):
+                        if (left and c == a) or (right and d == b):
+                            continue  # numbers are short, so another window has it whole
                         score = float(margin[i, np.arange(c - start, d - start), tags[i, c - start : d - start]].sum())
                         if score >= LEAST_SCORE:
                             found[k].append((c, d, kind, score))
@@ -446,8 +486,14 @@ def _plausible(value: str, kind: int) -> bool:
     """Holds what no value of its kind lacks."""
     if kind == 0:
         return "@" in value and "." in value
+    if not _NUMBER.fullmatch(value):
+        return False
     n = len(_digits(value))
-    return 4 <= n <= 12 if kind == 1 else 14 <= n <= 19 and luhn(_digits(value)) if kind == 2 else 10 <= n <= 15
+    if kind == 1:
+        return n <= 12 and _FOUR.fullmatch(value) is not None
+    if kind == 2:
+        return 14 <= n <= 19 and luhn(_digits(value))
+    return 10 <= n <= 15 and (value.startswith(("+", "(", "00")) or "-" in value or "." in value)
 
 
 def _best(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
