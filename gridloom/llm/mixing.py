@@ -8,8 +8,10 @@ weights, a source that has run out leaves its share to the others, and what
 comes before the budget is spent is the mix.
 
 Sums along a source's queue take two steps, so no task holds a source: the
-digest deals each source's documents into buckets of about ``BUCKET_ROWS``, the
-buckets' sums are added up in order, and rows are summed within their bucket.
+digest deals each source's documents into buckets, the buckets' sums are added
+up in order, and rows are summed within their bucket.  There are as many buckets
+as the square root of the rows, so neither a bucket nor the list of a source's
+buckets grows faster than that.
 Likewise over the sorted mix: ranges first, then the one range in which the
 budget ends.  Order, and so the result, depends on the rows alone.
 
@@ -35,7 +37,6 @@ from .shared import BROADCAST_ROWS, copies_numbered, hot_keys, salted, saved, sm
 #: Weights of the sources in turn, the budget as a share of all words, and how
 #: often a document is taken at most (fixed values).
 WEIGHTS, SHARE, TIMES = (3, 1, 2), 1.5, 2
-BUCKET_ROWS = 1 << 14
 #: Bits of a document's place in the shuffle.
 BITS = 60
 
@@ -68,12 +69,12 @@ def targets(counted: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         left, weight, full = budget - turn.bounds, turn.weight or 1, above
 
 
-def queued(counted: DataFrame, sources: DataFrame, seed: int = 1, bucket_rows: int = BUCKET_ROWS, limit: int = BROADCAST_ROWS) -> DataFrame:
+def queued(counted: DataFrame, sources: DataFrame, seed: int = 1, bits: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A row for each document with its source's columns, its place ``h`` in the
     shuffle, and ``until``: the words of its source's queue up to its end."""
     keys = ["no_source", "source"]
     n = sources.agg(F.sum("copies").alias("n")).first().n or 0
-    bits = max(0, (n // bucket_rows).bit_length())
+    bits = n.bit_length() // 2 if bits is None else bits
     rows = copies_numbered(counted, F.lit(0), F.col("copies"), "copy").drop("copies")
     key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size"), F.col("copy"))
     rows = rows.withColumn("h", F.conv(F.substring(F.sha2(key, 256), 1, BITS // 4), 16, 10).cast("long"))
@@ -83,7 +84,7 @@ def queued(counted: DataFrame, sources: DataFrame, seed: int = 1, bucket_rows: i
         rows = salted(rows, sources.drop("copies"), keys, hot_keys(sources.select(*keys, F.col("copies").alias("c")), keys, n), "h")
     rows = saved(rows.withColumn("bucket", F.shiftright("h", BITS - bits)), "mix-documents")
     buckets = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
-    ahead = F.sum("words").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row for some 16,000 documents
+    ahead = F.sum("words").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row a bucket
     buckets = saved(buckets.select("rank", "bucket", F.coalesce(ahead, F.lit(0)).alias("ahead")), "mix-buckets")
     within = F.sum("size").over(Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, 0))
     out = rows.join(small(buckets, limit), ["rank", "bucket"]).withColumn("until", F.col("ahead") + within)
