@@ -4,11 +4,14 @@ The base patterns find assignments to well-known names, access keys and long
 hexadecimal strings.  The method goes by what a value would take to guess: a
 dynamic program cuts it into words, dates, repeats, keyboard walks and
 brute-force spans at the least total cost, and a value that stands in a
-credential context and costs ``LEAST_BITS`` or more is a secret too.
+credential context and costs ``LEAST_BITS`` or more is a secret too: the cost
+alone decides.
 
 Words come from a list by rank, which callers give; from the same list a model
 of letter triples says how well a run of letters reads, so that a word of the
-language that is not in the list costs less than random letters.
+language that is not in the list costs less than random letters.  What divides
+the parts of a name costs little after its first time, so names made of words
+stay below the threshold.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from .shared import in_small_batches
 
 KINDS = ["assign", "access", "hex", "guess"]
 #: Guesses, as a power of two, above which a value is no password that one makes up.
-LEAST_BITS = 45.0
+LEAST_BITS = 53.0
 
 # Base patterns: fixed values.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -37,16 +40,16 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Names of credentials that the base pattern lacks, and values after them.
 CONTEXT_NAMES = ("pwd", "passphrase", "credential", "auth", "bearer", "private", "access", "signature", "session", "pin", "pass", *NAMES)
-#: Names with a value after "is", or after "bearer" and a space.
+#: What stands before a value without a separator: a name and "is", or "bearer".
 SPOKEN = re.compile(
     r"(?<![A-Za-z0-9])(?:pwd|passphrase|credentials?|auth|authorization|bearer|private[_-]?key|access[_-]?key|signature|session[_-]?(?:id|key)|pin|pass|password|passwd|secret|token|api[_-]?key)"
-    r"""["']?(?:\x20+is\x20+|(?<=bearer)\x20+)["']?([^\s"'`,;<>(){}\[\]]{8,})""",
+    r"""["']?(?:\x20+is(?=\x20)|(?<=bearer)(?=\x20))""",
     re.IGNORECASE | re.ASCII,
 )
 
 #: Separators with a value, and names of any length that stand before them.
 SEPARATOR = re.compile("=>|:=|[:=]")
-VALUE = re.compile(r"""\x20*["']?([^\s"'`,;<>(){}\[\]]{8,})""", re.ASCII)
+BARE = re.compile(r"""[^\s"'`]{8,}""")
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 NAME = re.compile(r"_(?:pwd|passphrase|credentials?|auth|authorization|bearer|private_?key|access_?key|signature|session_?(?:id|key)|pin|pass|password|passwd|secret|token|api_?key)_")
 
@@ -56,6 +59,8 @@ WORDS = (
     "love money summer winter spring autumn monday friday january february march april june july august september october november december the and for you this that with "
     "pass word public private server client secure access service system database backup temp sample dummy none null true false value string your here"
 ).split()
+#: Words of one or two letters, as parts of names.
+SHORT = frozenset("a of to in on by is my at or id it no an as do if me so up us we db io ip js os ui url".split())
 LEET = str.maketrans("013457@$!", "oieastasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
@@ -72,10 +77,10 @@ def _alphabet(value: str) -> float:
     return math.log2(size + 32 * (not value.isalnum()) or 1)
 
 
-#: Bits that tell the kind of a span, and that begin a run of letters.
-KIND, LETTERS = 1.0, 2.0
-#: Mean bits of a letter below which a run reads like a word.
-WORD_LIKE = 4.8
+#: Bits that tell the kind of a span; that begin a run of letters or digits; of
+#: a short word; of a mark at its first time and later.
+KIND, LETTERS, SHORT_WORD, MARK, AGAIN = 0.5, 2.0, 4.0, 5.0, 1.0
+DIGIT = math.log2(10)
 LONGEST_UNIT = 8
 
 
@@ -105,16 +110,21 @@ class Guesser:
         lower = value.lower()
         plain = lower.translate(LEET)
         rank = self.rank.get(lower) or self.rank.get(plain)
+        if lower in SHORT:
+            return SHORT_WORD + (value != lower)
         if not rank or len(value) < 3:
             return None
-        return math.log2(rank) + 1 + (value != lower) + 2 * (lower not in self.rank)
+        return math.log2(rank) + (value != lower) + 2 * (lower not in self.rank)
 
     def spans(self, value: str) -> list[list[tuple[int, float]]]:
         """Words, dates and keyboard walks by where they end: (start, bits)."""
         n, lower = len(value), value.lower()
         out: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        letter = [c.isascii() and c.isalpha() for c in value] + [False]
         for i in range(n):
-            for j in range(i + 3, min(n, i + self.longest) + 1):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                if j < i + 3 and (letter[j] or (i and letter[i - 1])):  # a short word is a part by itself
+                    continue
                 bits = self.word(value[i:j])
                 if bits is not None:
                     out[j].append((i, bits))
@@ -135,19 +145,27 @@ class Guesser:
         """Log2 of the guesses for the cheapest cut of ``value`` into spans.
 
         One pass over its ends: ``best[j]`` is the least cost of the first ``j``
-        characters, and ``run[j]`` if they end in a run of letters.  A unit may
-        be told to repeat once, or as often as it does.
+        characters, and ``run[j]`` if they end in a run of letters, or of digits.
+        A mark costs less once it has occurred.  A unit may be told to repeat
+        once, or as often as it does.
         """
         n, lower, per = len(value), value.lower(), _alphabet(value)
         spans, caps = self.spans(value), value.isupper()
-        best, run = [0.0] * (n + 1), [math.inf] * (n + 1)
+        best, run, seen = [0.0] + [math.inf] * n, [math.inf] * (n + 1), set()
         repeats = [[0] * (n + 1) for _ in range(LONGEST_UNIT + 1)]
         for j in range(1, n + 1):
             c = value[j - 1]
             if c.isascii() and c.isalpha():
-                going = run[j - 1] + self.letter(lower, j - 1) if c.islower() or caps else math.inf
+                after = j > 1 and value[j - 2].isascii() and value[j - 2].isalpha() and (c.islower() or caps)
+                going = run[j - 1] + self.letter(lower, j - 1) if after else math.inf
                 run[j] = min(going, best[j - 1] + LETTERS + self.letter(lower, j - 1, True))
-            best[j] = min(best[j - 1] + per, run[j])
+            elif c.isascii() and c.isdigit():
+                before = run[j - 1] if j > 1 and value[j - 2].isascii() and value[j - 2].isdigit() else math.inf
+                run[j] = min(before, best[j - 1] + LETTERS) + DIGIT
+            elif c.isascii():
+                best[j] = best[j - 1] + (AGAIN if c in seen else MARK)
+                seen.add(c)
+            best[j] = min(best[j], best[j - 1] + per, run[j])
             for i, bits in spans[j]:
                 best[j] = min(best[j], best[i] + bits + KIND)
             for unit in range(1, min(LONGEST_UNIT, j // 2) + 1):
@@ -156,25 +174,6 @@ class Guesser:
                     best[j] = min(best[j], best[j - unit] + KIND, best[j - times * unit] + KIND + math.log2(times))
         return best[n]
 
-    def plain(self, value: str) -> bool:
-        """No secret though it may cost enough: neither digit nor inner capital,
-        and either a name of several parts, or what reads like one word of some
-        language and isn't made of known words."""
-        if any(map(str.isdigit, value)) or (any(map(str.isupper, value[1:])) and any(map(str.islower, value))):
-            return False
-        if not (value.isascii() and value.isalpha()):
-            return True
-        lower = value.lower()
-        mean = sum(self.letter(lower, i) for i in range(len(lower))) / len(lower)
-        return mean < WORD_LIKE and not self.known_words(lower)
-
-    def known_words(self, lower: str) -> bool:
-        """Whether all of it is known words of four letters or more."""
-        good = [True] + [False] * len(lower)
-        for j in range(4, len(lower) + 1):
-            good[j] = any(good[i] and lower[i:j] in self.rank for i in range(max(0, j - self.longest), j - 3))
-        return good[-1]
-
 
 def vocabulary_words(tokenizer_path: str) -> list[str]:
     """The words of a public byte-level vocabulary by its order, which goes by
@@ -205,24 +204,45 @@ def all_spans(text: str, guesser: Guesser) -> tuple[list, list]:
     lower = text.lower()
     if not any(map(lower.__contains__, CONTEXT_NAMES)):
         return base, base
-    values = {a: b for a, b in _set_values(text)}
-    values = {m.start(1): m.end(1) for m in SPOKEN.finditer(text)} | values
+    values = dict(filter(None, (_value(text, m.end()) for m in SPOKEN.finditer(text)))) | dict(_set_values(text))
     ends, reach = [], -1  # of base spans by start, how far they and all before them reach
     for _, _, e in base:
         reach = max(reach, e)
         ends.append(reach)
     starts, more, done = [s for s, _, _ in base], [], 0
     for a, b in sorted(values.items()):
-        b -= len(text[a:b]) - len(text[a:b].rstrip(".:!?"))
         i = bisect_left(starts, b)
         if a < done or b - a < 8 or (i and ends[i - 1] > a):
             continue
-        if guesser.bits(text[a:b]) >= LEAST_BITS and not guesser.plain(text[a:b]):
+        if guesser.bits(text[a:b]) >= LEAST_BITS:
             more.append((a, 3, b))
             done = b
     return base, sorted(base + more)
 
 
+_PAIRS = {")": "(", "]": "[", "}": "{", ">": "<"}
+
+
+def _value(text: str, at: int) -> tuple[int, int] | None:
+    """The value after ``at`` and spaces: in quotes to the same quote on that
+    line, else to white space or a quote, less the marks that end a sentence or
+    close what opens before it."""
+    while at < len(text) and text[at] == " ":
+        at += 1
+    if text[at : at + 1] in ("'", '"', "`"):
+        end, line = text.find(text[at], at + 1), text.find("\n", at + 1)
+        at += 1
+        if end >= 0 and not 0 <= line < end:
+            return (at, end) if end - at >= 8 else None
+    m = BARE.match(text, at)
+    if not m:
+        return None
+    value = m.group()
+    while value and (value[-1] in ".,:;!?" or value.count(_PAIRS.get(value[-1], value[-1])) < value.count(value[-1])):
+        value = value[:-1]
+    return (at, at + len(value)) if len(value) >= 8 else None
+
+
 def _set_values(text: str):
     """Values after a separator whose name has a credential's among its parts,
     which ``_``, ``-`` or an inner capital divide.  From the separator to the
@@ -239,10 +259,10 @@ def _set_values(text: str):
         name, at = text[a:b], m.end()
         parts = "_".join(NAME_PART.findall(name)).lower()
         if NAME.search(f"_{parts}_") or NAME.search("_" + name.lower().replace("-", "_") + "_"):
-            if v := VALUE.match(text, at):
-                if v.group(1).lower() != "bearer":
-                    yield v.span(1)
-                    at = v.end()
+            v = _value(text, at)
+            if v and text[slice(*v)].lower() != "bearer":
+                yield v
+                at = v[1]
 
 
 _IN_NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-")

@@ -548,30 +548,37 @@ def guesser():
 def bits_by_force(g, value):
     """The least cost over all cuts of ``value``, each span costed by itself."""
     lower, per = value.lower(), secrets._alphabet(value)
+    letter = [c.isascii() and c.isalpha() for c in value] + [False]
 
     def costs(i, j):
         span = value[i:j]
         yield per * (j - i)
         if span.isascii() and span.isalpha() and (span[1:].islower() or len(span) == 1 or value.isupper()):
             yield secrets.LETTERS + g.letter(lower, i, True) + sum(g.letter(lower, t) for t in range(i + 1, j))
+        if span.isascii() and span.isdigit():
+            yield secrets.LETTERS + math.log2(10) * len(span)
+        if len(span) == 1 and span.isascii() and not span.isalnum():
+            yield secrets.AGAIN if span in value[:i] else secrets.MARK
         low = span.lower()
         known = low if low in g.rank else low.translate(secrets.LEET)
-        if known in g.rank and j - i >= 3:
-            yield 1 + math.log2(g.rank[known]) + 1 + (span != low) + 2 * (known != low)
+        if low in secrets.SHORT and (j - i > 2 or not (letter[j] or (i and letter[i - 1]))):
+            yield secrets.KIND + secrets.SHORT_WORD + (span != low)
+        elif known in g.rank and j - i >= 3:
+            yield secrets.KIND + math.log2(g.rank[known]) + (span != low) + 2 * (known != low)
         m = secrets.DATE.match(value, i)
         if m and m.end() == j:
-            yield 1 + math.log2(365 * 120 if j - i > 4 else 120)
+            yield secrets.KIND + math.log2(365 * 120 if j - i > 4 else 120)
         for row in secrets.ROWS:
             whole = any(low in way for way in (row, row[::-1]))
             longer = i and any(value[i - 1 : i + 2].lower() in way for way in (row, row[::-1]))  # a walk begins where it does
             if j - i >= 3 and whole and not longer:
-                yield 1 + math.log2(94) + 1 + math.log2(j - i)
+                yield secrets.KIND + math.log2(94) + 1 + math.log2(j - i)
         for unit in range(1, 9):
             if i >= unit and (j - i) % unit == 0 and span == value[i - unit : i] * ((j - i) // unit):
                 times = (j - i) // unit
                 further = i >= 2 * unit and value[i - 2 * unit : i - unit] == value[i - unit : i]
                 if times == 1 or not further:
-                    yield 1 + math.log2(times)
+                    yield secrets.KIND + math.log2(times)
 
     def cheapest(i):
         if i == len(value):
@@ -583,8 +590,8 @@ def bits_by_force(g, value):
 
 def test_guess_costs_equal_all_cuts(guesser):
     rng = random.Random(14)
-    parts = ["pass", "P4ss", "love", "abab", "xx", "qwe", "123", "2024", "20240105", "Zq", "k", "-", "THE", "lkj"]
-    values = ["".join(rng.choices(parts, k=rng.randrange(1, 5)))[:9] for _ in range(60)] + ["aaaaaaaa", "Password", "CORRECT", "asdfgfds"]
+    parts = ["pass", "P4ss", "love", "abab", "xx", "qwe", "123", "2024", "20240105", "Zq", "k", "-", "THE", "lkj", "of", "_", "7"]
+    values = ["".join(rng.choices(parts, k=rng.randrange(1, 5)))[:9] for _ in range(60)] + ["aaaaaaaa", "Password", "CORRECT", "asdfgfds", "a-of-b", "is7of_a"]
     for v in values:
         assert guesser.bits(v) == pytest.approx(bits_by_force(guesser, v)), v
 
@@ -594,14 +601,38 @@ def test_guess_costs(guesser):
     assert bits("password1") < bits("S3cretmonkey") < 40 < bits("xK9$mQ2v7Lp0w")
     assert max(map(bits, ("qwertyuiop", "2024-01-05", "aaaaaaaaaaaa", "abcabcabcabc"))) < 20 and bits("") == 0
     assert bits("a" * 5000) < 25 and bits("CorrectHorseBatteryStaple") < 70 < bits("CuzqpvtHrwzeBxtkqryStvple")
-    assert bits("documentation") < secrets.LEAST_BITS and guesser.plain("Benutzername") and guesser.plain("some-setting-of-a-service")
-    assert not guesser.plain("qzkvxwjhgtbnmrd") and not guesser.plain("correcthorsebatterystaple")
+
+
+#: Values that are secrets, and ordinary ones after the same names.
+SECRET_VALUES = [
+    "qzxvkj-pwmrtn-bfghwx", "xkqv!zjwp#rtlm%bqgh", "correct-horse-battery-staple-zebra", "KXQVZ-JWPRT-LMBQG-HDFSN", "xK9,mQ2v7Lp0wZ4s", "xK9(mQ2)v7Lp0wZ4",
+    "xK9mQ2v7Lp0wZ4", "q8Zt5Lw2Xc9Vb1Nm", "Zk4Qw9Xv2Lm7Tp", "qzkvxwjhgtbnmrd", "u7#kP2!vQz9d", "ghp_x8Jq2LmV0cT5nRw7Yb3KdZ", "purple7-Giraffe!tango_42-Lamp", "9f8a7c6e5d4b3a2918",
+]
+ORDINARY_VALUES = [
+    "some-setting-of-a-service", "get_current_session_identifier", "Benutzername", "read-only-for-all-users", "required", "getPassword(user)", "config.settings.password", "your-password-here",
+    "documentation", "changeme123", "password123!", "ThisIsMyPassword", "application_default_credentials", "${SECRET_TOKEN}", "https://example.com/login", "Zugangsdaten", "utilisateur",
+    "AuthenticationManager", "user.session.token", "2024-01-05T10:00:00", "qwertyuiop1234", "sunshine2020", "localhost:8080", "basic-auth-with-session", "the_name_of_the_user", "identificador", "/etc/ssl/private/server.key",
+]
 
 
 def guessed(text, guesser):
     return [text[a:b] for a, k, b in secrets.all_spans(text, guesser)[1] if k == 3]
 
 
+@pytest.mark.parametrize("setting", ["db_pwd = {} and so on", "passphrase: {}", 'userPwd="{}";', "{{auth => {}}}", "the pin is '{}'."])
+def test_secrets_and_ordinary_values(guesser, setting):
+    found = [v for v in SECRET_VALUES if guessed(setting.format(v), guesser) == [v]]
+    added = [v for v in ORDINARY_VALUES if guessed(setting.format(v), guesser)]
+    assert found == SECRET_VALUES and added == []
+
+
+def test_values_in_quotes_are_read_whole(guesser):
+    assert guessed('pwd = "walnut orbit fiction gravel mellow" # x', guesser) == ["walnut orbit fiction gravel mellow"]
+    assert guessed("passphrase: 'correct horse battery staple zebra'", guesser) == ["correct horse battery staple zebra"]
+    assert guessed('pwd = "xK9mQ2v7Lp0wZ4\nnext line', guesser) == ["xK9mQ2v7Lp0wZ4"]  # not closed on its line
+    assert guessed("f(pwd=xK9mQ2v7Lp0wZ4), pwd: xK9(mQ2)v7Lp0wZ4.", guesser) == ["xK9mQ2v7Lp0wZ4", "xK9(mQ2)v7Lp0wZ4"]
+
+
 def test_guessed_values_in_context(guesser):
     text = "db_pwd = xK9mQ2v7Lp0wZ4 and pwd = sunshine2020 and Authorization: Bearer q8Zt5Lw2Xc9Vb1Nm, not qK9mQ2v7Lp0wZ4. The pin is Zk4Qw9Xv2Lm7Tp, my passphrase:  'qzkvxwjhgtbnmrd'"
     assert guessed(text, guesser) == ["xK9mQ2v7Lp0wZ4", "q8Zt5Lw2Xc9Vb1Nm", "Zk4Qw9Xv2Lm7Tp", "qzkvxwjhgtbnmrd"]
