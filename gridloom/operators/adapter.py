@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidParameters
 from ..functions import geometry as G
 from ..scratch import saved
 
@@ -40,6 +41,17 @@ def _unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def sampled(df: DataFrame, keys: list[str], fraction: float, seed: int) -> DataFrame:
+    """The rows whose keys' digest falls below ``fraction``: about that share,
+    the same ones on every run and by any partitioning; rows of equal keys stay
+    or go together.  Null keys count as the word null."""
+    if not 0 <= fraction <= 1:
+        raise InvalidParameters("a fraction is from 0 to 1")
+    named = [F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]
+    at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *named)), 1, 12), 16, 10).cast("long")
+    return df.filter(at < int(fraction * 16**12))
+
+
 def print_schema(df: DataFrame) -> None:
     df.printSchema()
 

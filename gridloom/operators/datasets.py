@@ -44,18 +44,53 @@ def image_tensor(data: Column, n_bands: int, height: int, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: row(b, r)))
 
 
+#: Rounds of the permutation, and steps that leave its margin (see ``shuffled_place``).
+ROUNDS, STEPS_BACK = 4, 64
+
+
+def shuffled_place(index: Column, n: Column, seed: int) -> Column:
+    """The place of ``index`` in a shuffle of 0 to ``n`` - 1 that ``seed`` names:
+    a bijection that needs no sort, so any row's place is known by itself.
+
+    The index is a pair (l, r) of about the root of ``n`` each; in turn each of
+    them is moved by a digest of the other, which can be undone.  Of the few
+    pairs beyond ``n`` the permutation is gone on with until it is back; their
+    number bounds the steps, and beyond ``STEPS_BACK`` of them it takes fewer
+    with all but certainty.
+    """
+    high = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    low = F.ceil(n / high).cast("long")
+
+    def moved(value: Column, by: Column, turn: int, size: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(turn), by))
+        return (value + F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")) % size
+
+    def round_of(turn: int):
+        if turn % 2 == 0:
+            return lambda p: F.struct(moved(p["l"], p["r"], turn, high).alias("l"), p["r"].alias("r"))
+        return lambda p: F.struct(p["l"].alias("l"), moved(p["r"], p["l"], turn, low).alias("r"))
+
+    def permuted(x: Column) -> Column:
+        pair = F.struct(F.floor(x / low).cast("long").alias("l"), (x % low).alias("r"))
+        for turn in range(ROUNDS):  # in an array of one, so that each round is written once
+            pair = F.transform(F.array(pair), round_of(turn))[0]
+        return F.transform(F.array(pair), lambda p: p["l"] * low + p["r"])[0]
+
+    back = F.sequence(F.lit(1), F.least(high * low - n + 1, F.lit(STEPS_BACK)))
+    return F.aggregate(back, permuted(index), lambda x, _: F.when(x < n, x).otherwise(permuted(x)))
+
+
 def split_train_validation_test(df: DataFrame, index_col: str, validation_ratio: float, test_ratio: float, shuffle_seed: int | None = None) -> DataFrame:
     """``df`` with ``split``: contiguous ranges of an index from 0 without gaps
-    (see ``add_row_id``); with a seed, shares of a hash of it instead."""
-    n = df.agg(F.count("*")).scalar()
-    if shuffle_seed is None:
-        at = F.col(index_col)
-        first = F.floor((1 - validation_ratio - test_ratio) * n)
-        second = F.floor((1 - test_ratio) * n)
-    else:
-        at = F.pmod(F.xxhash64(F.col(index_col), F.lit(shuffle_seed)), F.lit(1_000_000)) / 1_000_000
-        first, second = F.lit(1 - validation_ratio - test_ratio), F.lit(1 - test_ratio)
-    return df.withColumn("split", F.when(at < first, "train").when(at < second, "validation").otherwise("test"))
+    (see ``add_row_id``); with a seed, of its places in a shuffle.  The parts'
+    sizes are the same either way."""
+    rows = df.withColumn("_n", df.agg(F.count("*")).scalar())
+    n, index = F.col("_n"), F.col(index_col).cast("long")
+    at = index if shuffle_seed is None else shuffled_place(index, n, shuffle_seed)
+    first = F.floor((1 - validation_ratio - test_ratio) * n)
+    second = F.floor((1 - test_ratio) * n)
+    rows = rows.withColumn("_at", at)
+    return rows.withColumn("split", F.when(F.col("_at") < first, "train").when(F.col("_at") < second, "validation").otherwise("test")).drop("_n", "_at")
 
 
 def forecast_errors(df: DataFrame, prediction: str, actual: str) -> DataFrame:

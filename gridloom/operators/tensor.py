@@ -8,7 +8,7 @@ step, so steps are spread over the cluster; arrays come at the very end.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameters
@@ -88,23 +88,42 @@ def lead_time_pairs(steps: DataFrame, lead_time: int) -> DataFrame:
     return steps.select("t", F.col("frame").alias("x_data")).join(later, "t")
 
 
-def _gathered(steps: DataFrame, starts: DataFrame, offsets: dict[str, list[int]]) -> DataFrame:
-    """For each ``t`` of ``starts`` arrays of the frames at ``t + offset``."""
-    wanted = [F.struct(F.lit(name).alias("part"), F.lit(i).alias("i"), F.lit(o).alias("o")) for name, os in offsets.items() for i, o in enumerate(os)]
-    if not wanted:
-        return starts
-    asked = starts.select("t", F.explode(F.array(*wanted)).alias("x")).select("t", "x.part", "x.i", (F.col("t") + F.col("x.o")).alias("at"))
-    met = asked.join(steps.select(F.col("t").alias("at"), "frame"), "at")
-    parts = [F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("i", "frame")))), lambda s: s["frame"]).alias(name) for name in offsets]
-    return met.groupBy("t").agg(*parts)
+#: Steps that one task makes samples for.
+BLOCK_STEPS = 256
+
+
+def _gathered(steps: DataFrame, asked: Column, offsets: dict[str, list[int]], block: int = BLOCK_STEPS) -> DataFrame:
+    """For each ``t`` that ``asked`` holds for, arrays of the frames at ``t +
+    offset``; what is missing is left out, and so is a ``t`` that has none.
+
+    Steps are dealt to blocks of ``block``; a frame goes to its own block and to
+    those whose samples reach it, so it is sent about once if blocks are longer
+    than samples, and samples are cut inside the row of a block.
+    """
+    every = [o for os in offsets.values() for o in os]
+    if not every:
+        return steps.filter(asked).select("t")
+    low, high = min([0, *every]), max([0, *every])
+    span = F.sequence(F.floor((F.col("t") - high) / block), F.floor((F.col("t") - low) / block))
+    sent = steps.select("t", "frame", asked.alias("asked"), F.explode(span).alias("block"))
+    own = F.col("asked") & (F.floor(F.col("t") / block) == F.col("block"))
+    held = sent.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("t", "frame"))).alias("m"), F.collect_list(F.when(own, F.col("t"))).alias("ts"))
+
+    def window(t: Column, os: list[int]) -> Column:
+        got = F.transform(F.array(*map(F.lit, os)).cast("array<bigint>"), lambda o: F.try_element_at("m", t + o))
+        return F.filter(got, lambda f: f.isNotNull())
+
+    samples = F.transform("ts", lambda t: F.struct(t.alias("t"), *(window(t, os).alias(name) for name, os in offsets.items())))
+    out = held.select(F.explode(samples).alias("s")).select("s.*")
+    return out.filter(sum((F.size(name) for name in offsets), F.lit(0)) > 0)
 
 
 def sequential_windows(steps: DataFrame, history_length: int, predict_length: int, temporal_size: int) -> DataFrame:
     """``t, x_data, y_data``: ``history_length`` frames from ``t`` on and the
     ``predict_length`` after them, for the first ``temporal_size - history_length
     - predict_length`` steps."""
-    starts = steps.select("t").filter(F.col("t") < temporal_size - history_length - predict_length)
-    return _gathered(steps, starts, {"x_data": list(range(history_length)), "y_data": list(range(history_length, history_length + predict_length))})
+    asked = F.col("t") < temporal_size - history_length - predict_length
+    return _gathered(steps, asked, {"x_data": list(range(history_length)), "y_data": list(range(history_length, history_length + predict_length))})
 
 
 def periodical_features(
@@ -117,9 +136,8 @@ def periodical_features(
     if skip is None:
         raise InvalidParameters("one of the lengths must be above 0")
     back = {name: [-step * i for i in range(1, n + 1)] for name, n, step in (("x_closeness", len_closeness, t_closeness), ("x_period", len_period, t_period), ("x_trend", len_trend, t_trend))}
-    starts = steps.filter(F.col("t") >= skip)
-    got = _gathered(steps, starts.select("t"), back)
-    return got.select("t", *back, time_one_hot(F.col("t"), t_period).alias("t_data")).join(starts.select("t", F.col("frame").alias("y_data")), "t")
+    got = _gathered(steps, F.col("t") >= skip, back | {"_own": [0]})
+    return got.filter(sum((F.size(name) for name in back), F.lit(0)) > 0).select("t", *back, time_one_hot(F.col("t"), t_period).alias("t_data"), F.col("_own")[0].alias("y_data"))
 
 
 def time_one_hot(t, t_period: int = 24):

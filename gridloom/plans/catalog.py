@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from ..functions import texture
 from ..operators import adapter, adjacency, datasets, grid, spatial_join, tensor, traffic, weather
 from ..operators.extent import greatest_distance
 from ..scratch import shared_folder
-from ..sources import readers, tiff, writers
+from ..sources import netcdf, readers, tiff, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -518,6 +520,39 @@ query("dense_st_grid", f"{_SPARSE} SELECT t AS _id_timestep, c // 8 AS h, c % 8
 query("dense_st", f"{_SPARSE} SELECT t AS _id_timestep, c AS cell_id, f AS aggregated_feature FROM dense")(
     lambda s, d: tensor.get_st_array(_sparse(s, d), "_id_timestep", "cell_id", ["aggregated_feature"], _STEPS_T, 64, 0)
 )
+
+
+@query("npy_shards", f"{_SPARSE} SELECT t, c AS cell, f AS value FROM dense")
+def npy_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to shards of 32 steps and read back; a shard's number is in its name."""
+    folder = shared_folder(spark, "npy-shards")
+    dense = _dense(spark, sf_dir)
+    writers.write_npy_shards(dense, {"_id_timestep": _STEPS_T, "h": _SIDE_N, "w": _SIDE_N}, ["aggregated_feature"], folder, 32).write.format("noop").mode("overwrite").save()
+    arrays = readers.load_npy(folder, spark)
+    shard = F.regexp_extract("origin", "shard-([0-9]+)", 1).cast("long")
+    each = arrays.select(shard.alias("s"), F.posexplode("data").alias("p", "value"))
+    return each.select((F.col("s") * 32 + F.floor(F.col("p") / 64)).alias("t"), (F.col("p") % 64).cast("long").alias("cell"), "value")
+
+
+@query("netcdf_fields", f"{_SPARSE} SELECT t, c // 8 AS h, c % 8 AS w, f AS value FROM dense")
+def netcdf_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames written as NetCDF files of 50 hours each, and combined again by
+    their coordinates."""
+    folder = shared_folder(spark, "netcdf")
+
+    def file(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["t", "h", "w"])
+        steps = frame["t"].unique()
+        data = frame["v"].to_numpy(float).reshape(len(steps), _SIDE_N, _SIDE_N)
+        axes = {"time": (steps, {"units": "hours since 1900-01-01 00:00:00"}), "latitude": (np.arange(_SIDE_N) * 5.625, {}), "longitude": (np.arange(_SIDE_N) * 5.625, {})}
+        return pd.DataFrame({"path": [f"part-{steps[0]}"], "content": [netcdf.encoded(axes, "v", data)]})
+
+    frames = _dense(spark, sf_dir).select(F.col("_id_timestep").alias("t"), "h", "w", F.col("aggregated_feature").alias("v"))
+    made = frames.groupBy(F.floor(F.col("t") / 50)).applyInPandas(file, "path string, content binary")
+    writers.write_geotiff_image_with_binary_data(made, folder, extension=".nc").write.format("noop").mode("overwrite").save()
+    return weather.field_frames(netcdf.load_netcdf(folder, "v", spark), "v")
+
+
 _SPATIAL = f"{_EVENTS} SELECT k AS cell_id, coalesce(n, -1.0) AS aggregated_feature FROM range(64) r(k) LEFT JOIN (SELECT cell_id, count(*)::DOUBLE AS n FROM c GROUP BY ALL) ON cell_id = k"
 query("dense_spatial", _SPATIAL)(lambda s, d: tensor.get_spatial_array(grid.get_spatial_grid_dataframe(events(s, d), "geometry", 8, 8), "cell_id", ["aggregated_feature"], 64, -1))
 query("dense_spatial_grid", f"SELECT cell_id // 8 AS h, cell_id % 8 AS w, aggregated_feature FROM ({_SPATIAL})")(
@@ -592,6 +627,28 @@ query("label_encode", "SELECT event_id AS image_data, (dense_rank() OVER (ORDER
 query("mask_threshold", f"{_R} SELECT vec_id, unnest(range(64))::INTEGER AS pos, unnest(list_transform(d, lambda v: (v >= 4)::INTEGER)) AS value FROM q")(
     lambda s, d: _long(datasets.segmentation_frame(rasters(s, d, True).select(F.col("vec_id").alias("k"), "data"), "k", "data", False, 4).toDF("vec_id", "v"), "v")
 )
+
+
+def _moved(value: str, by: str, turn: int, size: str) -> str:
+    return f"({value} + ('0x' || substr(md5('7:{turn}:' || {by}), 1, 12))::BIGINT) % {size}"
+
+
+def _permuted(source: str) -> str:
+    """One turn of the shuffle of ``datasets.shuffled_place`` with seed 7."""
+    pairs = f"(SELECT id, n, a, b, x // b AS l, x % b AS r FROM {source})"
+    for turn in range(datasets.ROUNDS):
+        l, r = (_moved("l", "r", turn, "a"), "r") if turn % 2 == 0 else ("l", _moved("r", "l", turn, "b"))
+        pairs = f"(SELECT id, n, a, b, {l} AS l, {r} AS r FROM {pairs})"
+    return f"SELECT id, n, a, b, l * b + r AS x FROM {pairs}"
+
+
+query(
+    "split_shuffled",
+    f"""WITH RECURSIVE o AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS x, count(*) OVER () AS n FROM orders),
+s AS (SELECT *, ceil(sqrt(n::DOUBLE))::BIGINT AS a, ceil(n / ceil(sqrt(n::DOUBLE)))::BIGINT AS b FROM o),
+w AS ({_permuted("s")} UNION ALL {_permuted("w WHERE x >= n")})
+SELECT id AS o_orderkey, CASE WHEN x < floor(0.7 * n) THEN 'train' WHEN x < floor(0.9 * n) THEN 'validation' ELSE 'test' END AS split FROM w WHERE x < n""",
+)(lambda s, d: datasets.split_train_validation_test(adapter.add_row_id(table(s, d, "orders").select("o_orderkey"), "i", ["o_orderkey"]), "i", 0.2, 0.1, 7).drop("i"))
 query("split_index", "SELECT o_orderkey, o_totalprice, CASE WHEN i < floor(0.7 * n) THEN 'train' WHEN i < floor(0.9 * n) THEN 'validation' ELSE 'test' END AS split FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)")(
     lambda s, d: datasets.split_train_validation_test(adapter.add_row_id(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "i", ["o_orderkey"]), "i", 0.2, 0.1).drop("i")
 )
@@ -687,7 +744,9 @@ query("top_rows", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal
     lambda s, d: s.createDataFrame(adapter.get_top_rows(table(s, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey"), 20), table(s, d, "customer").select("c_custkey", "c_acctbal").schema)
 )
 query("drop_columns", "SELECT r_regionkey FROM region")(lambda s, d: adapter.drop_columns(table(s, d, "region"), [c for c in table(s, d, "region").columns if c != "r_regionkey"]))
-query("sample_rows")(lambda s, d: table(s, d, "orders").sample(0.1, 42).select("o_orderkey"))
+query("sample_rows", f"SELECT o_orderkey FROM orders WHERE ('0x' || substr(md5('42:' || o_orderkey), 1, 12))::BIGINT < {int(0.1 * 16**12)}")(
+    lambda s, d: adapter.sampled(table(s, d, "orders"), ["o_orderkey"], 0.1, 42).select("o_orderkey")
+)
 query("cells_of_array", f"{_R} SELECT vec_id, unnest(range(64))::INTEGER AS cell, unnest(list_transform(d, lambda v: abs(v::INTEGER))) AS feature FROM q")(
     lambda s, d: adapter.get_cells_df(rasters(s, d, True), "data", "cell", "feature", keep=["vec_id"])
 )

@@ -1,10 +1,12 @@
-"""Sinks for rasters: one file for each row, or Parquet of their arrays."""
+"""Sinks for rasters, one file for each row; arrays in shards; geometries."""
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,3 +91,26 @@ def write_geometries(df: DataFrame, geometry: str, destination: str, mode: str =
     """Geometries as WKT in the first column of tab-separated files."""
     rest = [c for c in df.columns if c != geometry]
     df.select(G.to_wkt(F.col(geometry)).alias(geometry), *rest).write.mode(mode).option("delimiter", "\t").csv(destination)
+
+
+def write_npy_shards(dense: DataFrame, keys: dict[str, int], columns: list[str], destination: str, steps: int = 64, mode: str = "overwrite") -> DataFrame:
+    """A dense table as .npy files of ``steps`` of the first key each, of shape
+    (steps, the other keys' sizes, features); their order is that of their names.
+
+    ``keys`` are the sizes by name.  Each file is made and written by one task,
+    so nothing goes through the driver; returns ``path, length`` when run.
+    """
+    first, *rest = keys
+    schema = "path string, content binary"
+    sizes, n = list(keys.values()), len(str(keys[first] // steps))
+
+    def shard(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(list(keys))
+        number = int(frame[first].iloc[0]) // steps
+        block = frame[columns].to_numpy(float).reshape(-1, *sizes[1:], len(columns))
+        held = io.BytesIO()
+        np.save(held, block)
+        return pd.DataFrame({"path": [f"shard-{number:0{n}d}"], "content": [held.getvalue()]})
+
+    made = dense.select(first, *rest, *columns).groupBy(F.floor(F.col(first) / steps).alias("_shard")).applyInPandas(shard, schema)
+    return write_geotiff_image_with_binary_data(made, destination, extension=".npy", mode=mode)

@@ -10,8 +10,8 @@ def test_query_equals_sql(name, spark, sf_dir, same_rows):
     same_rows(catalog.QUERIES[name](spark, sf_dir), catalog.ORACLE_SQL[name])
 
 
-def test_all_but_sampling_have_sql():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"sample_rows"}
+def test_all_have_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
 
 def test_sampling(spark, sf_dir):
