@@ -476,6 +476,63 @@ def geotiff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(readers.load_geotiff_image_as_array_data(folder, spark=spark).select(name.alias("vec_id"), F.col("data").alias("v")), "v")
 
 
+@query("csv_table", "SELECT c_custkey::VARCHAR AS c_custkey, c_nationkey::VARCHAR AS c_nationkey FROM customer")
+def csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written with another delimiter and read as texts."""
+    folder = shared_folder(spark, "csv")
+    table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").write.option("header", "true").option("delimiter", ";").csv(folder)
+    return readers.load_data(folder, "csv", ";", "true", spark)
+
+
+def _image_files(images: DataFrame, folder: str, name: Column, data: Column, n_bands: int) -> None:
+    four = F.lit(4)
+    own = images.select(F.concat(F.lit("/"), name).alias("origin"), four.alias("width"), four.alias("height"), F.lit(n_bands).alias("nBands"), data.alias("data"))
+    writers.write_geotiff_image_with_array_data(own, folder).write.format("noop").mode("overwrite").save()
+
+
+def _image_id(path: str) -> Column:
+    return F.regexp_extract(path, "([0-9]+)[.]?(?:tiff)?$", 1).cast("long").alias("vec_id")
+
+
+@query("images_by_folder", "SELECT vec_id, CASE vec_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS category FROM embeddings")
+def images_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, own = shared_folder(spark, "by-folder"), rasters(spark, sf_dir)
+    for rest, name in enumerate(("even", "odd")):
+        _image_files(own.filter(F.col("vec_id") % 2 == rest), f"{root}/{name}", F.col("vec_id").cast("string"), F.slice("data", 1, 16), 1)
+    return readers.labelled_by_folder(readers.load_geotiff_image_as_binary_data(root, spark, recursive=True)).select(_image_id("path"), "category")
+
+
+@query("images_by_prefix", "SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'water' ELSE 'land' END AS category, (vec_id % 3 = 0)::INTEGER AS is_water FROM embeddings")
+def images_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "by-prefix")
+    kind = F.when(F.col("vec_id") % 3 == 0, "water").otherwise("land")
+    _image_files(rasters(spark, sf_dir), folder, F.concat_ws("_", kind, "vec_id"), F.slice("data", 1, 16), 1)
+    named = readers.labelled_by_prefix(readers.load_geotiff_image_as_binary_data(folder, spark))
+    return readers.labelled_by_prefix(named.withColumnRenamed("category", "own"), "water").select(_image_id("path"), F.col("own").alias("category"), F.col("category").alias("is_water"))
+
+
+@query(
+    "bands_from_folders",
+    f"""{_R} SELECT vec_id, unnest(range(48))::INTEGER AS pos, unnest(list_concat({_b(0)}, {_b(3)}, list_transform({_b(1)}, lambda v: (v = 4)::INTEGER::DOUBLE))) AS value FROM q""",
+)
+def bands_from_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two bands and a mask from a folder each; the mask's places come last."""
+    root, own = shared_folder(spark, "bands"), rasters(spark, sf_dir, True)
+    for name, i in (("red", 0), ("nir", 3), ("mask", 1)):
+        _image_files(own, f"{root}/{name}", F.concat_ws("_", F.lit(name), "vec_id"), F.slice("data", 16 * i + 1, 16), 1)
+    got = readers.bands_from_folders({n: f"{root}/{n}" for n in ("red", "nir")}, f"{root}/mask", 4, spark)
+    return got.select(_image_id("name"), F.posexplode(F.concat("data", F.transform("label", lambda v: v.cast("double")))).alias("pos", "value"))
+
+
+query("band_subset", _long_sql(f"list_concat({_b(2)}, {_b(0)})"))(lambda s, d: _long(rasters(s, d).select("vec_id", I.selected_bands(F.col("data"), 4, [2, 0]).alias("v")), "v"))
+query("image_tensor", f"{_R} SELECT vec_id, b::INTEGER AS band, h::INTEGER AS h, w::INTEGER AS w, d[b * 16 + h * 4 + w + 1]::FLOAT AS value FROM q, range(4) x(b), range(4) y(h), range(4) z(w)")(
+    lambda s, d: rasters(s, d, True)
+    .select("vec_id", F.posexplode(datasets.image_tensor(F.col("data"), 4, 4, 4)).alias("band", "rows"))
+    .select("vec_id", "band", F.posexplode("rows").alias("h", "row"))
+    .select("vec_id", "band", "h", F.posexplode("row").alias("w", "value"))
+)
+
+
 def _polygon_files(name: str, read: Callable[[SparkSession, str, DataFrame], DataFrame]) -> None:
     """Cells of the grid over all events, written and read back."""
 
@@ -752,11 +809,22 @@ query("cells_of_array", f"{_R} SELECT vec_id, unnest(range(64))::INTEGER AS cell
 )
 
 
-@query("map_layer", f"{_EVENTS}, n AS (SELECT cell_id, count(*)::DOUBLE AS f FROM c GROUP BY ALL) SELECT k::INTEGER AS cell_id, coalesce(f, 0.0) AS feature, coalesce(f, 0.0) / (SELECT greatest(1.0, max(f)) FROM n) AS height FROM range(64) r(k) LEFT JOIN n ON cell_id = k")
+def _drawn(layer: DataFrame) -> DataFrame:
+    """A layer with the corners of its polygons, read from their GeoJSON."""
+    place = F.flatten(F.from_json(F.get_json_object("geojson", "$.coordinates"), "array<array<array<double>>>"))
+    at = lambda i: F.transform(place, lambda v: v[i])
+    corners = {f"{c}{end}": (F.array_min if end == "min" else F.array_max)(at(i)) for i, c in enumerate("xy") for end in ("min", "max")}
+    return layer.withColumns(corners).drop("geojson")
+
+
+@query(
+    "map_layer",
+    f"{_EVENTS}, n AS (SELECT cell_id, count(*)::DOUBLE AS f FROM c GROUP BY ALL), g AS ({_cells_sql(_EVENT_BOX, 8, 8)}) SELECT g.*, coalesce(f, 0.0) AS feature, coalesce(f, 0.0) / (SELECT greatest(1.0, max(f)) FROM n) AS height FROM g LEFT JOIN n ON n.cell_id = g.cell_id",
+)
 def map_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = events(spark, sf_dir)
     counts = grid.get_spatial_grid_dataframe(own, "geometry", 8, 8, ordered=False)
-    return adapter.map_layer(grid.generate_grid_cells(own, 8), counts, "cell_id", "aggregated_feature").drop("geojson")
+    return _drawn(adapter.map_layer(grid.generate_grid_cells(own, 8), counts, "cell_id", "aggregated_feature"))
 
 
 @query("crs_round_trip", "SELECT s_suppkey, floor(s_acctbal / 100 * 1e6 + 0.5) / 1e6 AS lon, floor(s_nationkey::DOUBLE * 1e6 + 0.5) / 1e6 AS lat FROM supplier")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidParameters
 from ..session import get_session
+from .streams import opened
 
 #: Types by their number, tags of the header's lists (fixed values of the format).
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
@@ -106,13 +107,6 @@ class Header:
         return name, Variable([d for d, _ in own], shape, dtype, begin, math.prod(shape[1:]) * dtype.itemsize, attributes), bool(own) and own[0][1] == 0
 
 
-def _opened(path: str):
-    from pyarrow import fs
-
-    system, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    return system.open_input_file(base)
-
-
 def header_of(stream) -> Header:
     """Reads more of the file until its header is whole."""
     n = HEAD
@@ -170,7 +164,7 @@ def load_netcdf(path: str, variable: str, spark: SparkSession | None = None) ->
     one = files.orderBy("path").first()
     if one is None:
         raise InvalidParameters(f"no NetCDF files in {path}")
-    with _opened(one.path) as stream:
+    with opened(one.path) as stream:
         known = header_of(stream).variables
     if variable not in known:
         raise InvalidParameters(f"no variable {variable!r}, but {', '.join(known)}")
@@ -179,7 +173,7 @@ def load_netcdf(path: str, variable: str, spark: SparkSession | None = None) ->
     def slabs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p in frame["path"]:
-                with _opened(p) as stream:
+                with opened(p) as stream:
                     v = header_of(stream).variables.get(variable)
                 if v is None or v.dims != dims:
                     raise InvalidParameters(f"{p} has no {variable} over {', '.join(dims)}")
@@ -191,7 +185,7 @@ def load_netcdf(path: str, variable: str, spark: SparkSession | None = None) ->
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, first, count in zip(frame["path"], frame["first"], frame["count"], strict=True):
-                with _opened(p) as stream:
+                with opened(p) as stream:
                     variables = header_of(stream).variables
                     v = variables[variable]
                     block = values(stream, v, int(first), int(count))

@@ -14,6 +14,7 @@ from ..errors import InvalidParameters
 from ..functions import geometry as G
 from ..session import get_session
 from . import tiff
+from .streams import opened
 
 
 def load_parquet_data(path: str, spark: SparkSession | None = None) -> DataFrame:
@@ -204,22 +205,71 @@ def _attributes(content: bytes) -> list[dict[str, str] | None]:
     return out
 
 
+#: Bytes of a .shp that one task reads, where the file has an index.
+SHAPE_BYTES = 8 << 20
+
+
+def _runs(index: bytes, most: int) -> list[dict[str, int]]:
+    """The records of a .shx file in runs of ``most`` bytes, one at least, that
+    stand one after another in the .shp."""
+    places = np.frombuffer(index[100 : 100 + (len(index) - 100) // 8 * 8], ">i4").reshape(-1, 2).astype(np.int64) * 2
+    out: list[dict[str, int]] = []
+    for i, (begin, size) in enumerate(places.tolist()):
+        end = begin + 8 + size
+        last = out[-1] if out else None
+        if last and last["end"] == begin and end - last["begin"] <= most:
+            last["end"], last["count"] = end, last["count"] + 1
+        else:
+            out.append({"first": i, "count": 1, "begin": begin, "end": end})
+    return out
+
+
+def _attributes_of(path: str, first: int, count: int) -> list[dict[str, str] | None]:
+    """Some rows of a .dbf file: where they are follows from their size."""
+    with opened(path) as stream:
+        n, head, size = struct.unpack("<IHH", stream.read_at(8, 4))
+        count = max(0, min(count, n - first))
+        top = stream.read_at(head, 0)
+        return _attributes(top[:4] + struct.pack("<I", count) + top[8:] + stream.read_at(count * size, head + first * size))
+
+
+def _paired(shapes: list[dict | None], attributes: list[dict[str, str] | None] | None) -> list[dict[str, object]]:
+    attributes = [{}] * len(shapes) if attributes is None else attributes
+    return [{"geometry": g, "properties": a} for g, a in zip(shapes, attributes, strict=False) if a is not None]
+
+
 def _shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """Each .shp with the .dbf beside it; ``geometry`` and ``properties``."""
+    """Each .shp with the .dbf beside it; ``geometry`` and ``properties``.
+
+    With a .shx, which says where each record is, tasks read runs of records and
+    the rows that belong to them; a file without one is a row and a task.
+    """
+    kind = f"array<struct<geometry:{G.GEOMETRY},properties:map<string,string>>>"
     stem = F.regexp_replace("path", r"\.[^.]+$", "").alias("stem")
-    files = lambda kind: spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(path).select(stem, F.col("content").alias(kind))
-    both = files("shp").join(files("dbf"), "stem", "left")
+    scan = lambda ext: spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").load(path)
+    files = lambda ext: scan(ext).select(stem, F.col("content").alias(ext))
+    paths = lambda ext: scan(ext).select(stem, F.col("path").alias(ext))
 
     def parse(shp: pd.Series, dbf: pd.Series) -> pd.Series:
-        rows = []
-        for s, d in zip(shp, dbf, strict=True):
-            shapes = _shapes(s)
-            attributes = _attributes(d) if d else [{}] * len(shapes)
-            rows.append([{"geometry": g, "properties": a} for g, a in zip(shapes, attributes, strict=False) if a is not None])
-        return pd.Series(rows)
-
-    got = F.pandas_udf(parse, f"array<struct<geometry:{G.GEOMETRY},properties:map<string,string>>>")
-    return both.select(F.explode(got("shp", "dbf")).alias("r")).select("r.geometry", "r.properties")
+        return pd.Series([_paired(_shapes(s), _attributes(d) if d else None) for s, d in zip(shp, dbf, strict=True)])
+
+    def part(frame: pd.DataFrame) -> pd.Series:
+        out = []
+        for shp, dbf, first, count, begin, end in zip(*(frame[c] for c in ("shp", "dbf", "first", "count", "begin", "end")), strict=True):
+            with opened(shp) as stream:
+                shapes = _shapes(bytes(100) + stream.read_at(int(end - begin), int(begin)))
+            out.append(_paired(shapes, _attributes_of(dbf, int(first), int(count)) if dbf else None))
+        return pd.Series(out)
+
+    whole = files("shp").join(files("shx").select("stem"), "stem", "left_anti").join(files("dbf"), "stem", "left")
+    rows = whole.select(F.pandas_udf(parse, kind)("shp", "dbf").alias("r"))
+    most = SHAPE_BYTES
+    runs = F.pandas_udf(lambda index: index.map(lambda b: _runs(b, most)), "array<struct<first:long,count:long,begin:long,end:long>>")
+    told = files("shx").select("stem", F.explode(runs("shx")).alias("run")).select("stem", "run.*")
+    parts = told.join(paths("shp"), "stem").join(paths("dbf"), "stem", "left").repartition(spark.sparkContext.defaultParallelism, "stem", "first")
+    read = F.pandas_udf(part, kind)
+    rows = rows.unionByName(parts.select(read(F.struct("shp", "dbf", "first", "count", "begin", "end")).alias("r")))
+    return rows.select(F.explode("r").alias("r")).select("r.geometry", "r.properties")
 
 
 # ------------------------------------------------------------------- rasters

@@ -1,11 +1,13 @@
 """NetCDF by slabs, .npy shards, exact splits, samples and windows by blocks."""
 
+import random
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.enums import GeoFileType
 from gridloom.errors import InvalidParameters
 from gridloom.operators import adapter, datasets, tensor, weather
 from gridloom.scratch import qualified
@@ -124,3 +126,35 @@ def test_windows_by_blocks_equal_plain_ones(spark, monkeypatch, block):
     assert got == {t: (frames(range(t, t + 3)), frames(range(t + 3, t + 5))) for t in have if t < 35}
     got = {r.t: (r.x_closeness, r.x_trend, r.y_data) for r in tensor.periodical_features(steps, 2, 1, 1, 1, 5, 10).collect()}
     assert got == {t: (frames([t - 1, t - 2]), frames([t - 10]), [float(t), t + 0.5]) for t in have if t >= 10}
+
+
+def shapefile(folder, n, index):
+    """Points and squares, every seventh row deleted, in one file."""
+    rng, records, places, rows = random.Random(3), [], [], []
+    folder.mkdir()
+    for i in range(n):
+        x, y = rng.random(), rng.random()
+        if i % 3:
+            body = struct.pack("<idd", 1, x, y)
+        else:
+            ring = [(x, y), (x, y + 1), (x + 1, y + 1), (x + 1, y), (x, y)]
+            body = struct.pack("<i4d3i", 5, x, y, x + 1, y + 1, 1, 5, 0) + b"".join(struct.pack("<dd", *v) for v in ring)
+        places.append((50 + sum(map(len, records)) // 2, len(body) // 2))
+        records.append(struct.pack(">ii", i + 1, len(body) // 2) + body)
+        rows.append((b"*" if i % 7 == 0 else b" ") + f"{i:<6d}".encode())
+    (folder / "a.shp").write_bytes(bytes(100) + b"".join(records))
+    field = b"ID".ljust(11, b"\0") + b"N" + bytes(4) + bytes([6]) + bytes(15)
+    (folder / "a.dbf").write_bytes(struct.pack("<BBBBIHH20x", 3, 1, 1, 1, n, 32 + 32 + 1, 7) + field + b"\x0d" + b"".join(rows))
+    if index:
+        (folder / "a.shx").write_bytes(bytes(100) + b"".join(struct.pack(">ii", *p) for p in places))
+    return qualified_path(folder)
+
+
+def test_shapefile_by_its_index_has_the_same_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "SHAPE_BYTES", 400)
+    whole, parts = (readers.load_geo_data(shapefile(tmp_path / name, 60, name == "parts"), GeoFileType.SHAPE_FILE, spark) for name in ("whole", "parts"))
+    key = lambda df: sorted((r.properties["ID"], r.geometry.type, r.geometry.rings) for r in df.collect())
+    assert key(whole) == key(parts) and len(key(parts)) == 60 - 9
+    tasks = parts.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert tasks > 1
+    assert sum(r["count"] for r in readers._runs((tmp_path / "parts/a.shx").read_bytes(), 400)) == 60
