@@ -533,6 +533,16 @@ query("image_tensor", f"{_R} SELECT vec_id, b::INTEGER AS band, h::INTEGER AS h,
 )
 
 
+@query("geotiff_windows", _long_sql("d"))
+def geotiff_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to files and read strip by strip."""
+    folder = shared_folder(spark, "windows")
+    _image_files(rasters(spark, sf_dir), folder, F.col("vec_id").cast("string"), F.col("data"), 4)
+    each = readers.load_geotiff_windows(folder, spark).select(_image_id("origin"), "band", "y", "x", "width", F.posexplode("data").alias("i", "value"))
+    place = F.col("band") * 16 + (F.col("y") + F.floor(F.col("i") / F.col("width"))) * 4 + F.col("x") + F.col("i") % F.col("width")
+    return each.select("vec_id", place.cast("int").alias("pos"), "value")
+
+
 def _polygon_files(name: str, read: Callable[[SparkSession, str, DataFrame], DataFrame]) -> None:
     """Cells of the grid over all events, written and read back."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -295,6 +296,44 @@ def load_geotiff_image_as_array_data(path: str, options: dict[str, str] | None =
     return rows.select("origin", shape.alias("geometry"), "r.height", "r.width", "r.data", F.col("r.nBands").alias("nBands"))
 
 
+#: Bytes of pixels, as doubles, of the strips or tiles that a task reads at once.
+WINDOW_BYTES = 8 << 20
+
+
+def load_geotiff_windows(path: str, spark: SparkSession | None = None) -> DataFrame:
+    """``origin, nBands, imageHeight, imageWidth, band, y, x, height, width, data``:
+    a row for each band of each strip or tile of the images, so that one image
+    is read by many tasks and never held whole.  A file that is no such image
+    gives no rows."""
+    session, most = get_session(spark), WINDOW_BYTES
+    files = session.read.format("binaryFile").load(path).select("path")
+
+    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p in frame["path"]:
+                try:
+                    with opened(p) as stream:
+                        image = tiff.Tiff(lambda n, at, stream=stream: stream.read_at(n, at))
+                except tiff.UNREADABLE:
+                    continue
+                step = max(1, most // (8 * image.rows * image.columns * image.samples))
+                firsts = list(range(0, len(image.offsets), step))
+                yield pd.DataFrame({"path": p, "first": firsts, "count": [min(step, len(image.offsets) - f) for f in firsts]})
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for p, first, count in zip(frame["path"], frame["first"], frame["count"], strict=True):
+                with opened(p) as stream:
+                    image = tiff.Tiff(lambda n, at, stream=stream: stream.read_at(n, at))
+                    for i in range(first, first + count):
+                        band, y, x, pixels = image.block(i)
+                        rows = [(p, image.bands, image.height, image.width, band + k, y, x, *one.shape, one.astype(float).ravel()) for k, one in enumerate(pixels)]
+                        yield pd.DataFrame(rows, columns=["origin", "nBands", "imageHeight", "imageWidth", "band", "y", "x", "height", "width", "data"])
+
+    parts = files.mapInPandas(told, "path string, first long, count long").repartition(session.sparkContext.defaultParallelism, "path", "first")
+    return parts.mapInPandas(read, "origin string, nBands int, imageHeight int, imageWidth int, band int, y int, x int, height int, width int, data array<double>")
+
+
 def load_npy(path: str, spark: SparkSession | None = None) -> DataFrame:
     """``origin, shape, data`` of .npy files, the data flat in C order."""
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -18,18 +19,36 @@ _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16:
 _KINDS = {1: "u", 2: "i", 3: "f"}
 
 
-def _tags(data: bytes, order: str) -> dict[int, tuple]:
-    at = struct.unpack_from(order + "I", data, 4)[0]
+#: Gives so many bytes from an offset on.
+Read = Callable[[int, int], bytes]
+
+
+def _of(data: bytes) -> Read:
+    return lambda n, at: data[at : at + n]
+
+
+def _tags(read: Read) -> tuple[str, dict[int, tuple]]:
+    """The byte order and the tags of the first image; also of the form for
+    files of more than 4 GB."""
+    head = read(16, 0)
+    order = {b"II": "<", b"MM": ">"}[head[:2]]
+    large = struct.unpack_from(order + "H", head, 2)[0] == 43
+    count, word, at_word = ("Q", "Q", 8) if large else ("H", "I", 4)
+    at = struct.unpack_from(order + word, head, at_word)[0]
+    size, wide = struct.calcsize(f"{order}HH{word}{word}"), struct.calcsize(order + word)
+    (n,) = struct.unpack(order + count, read(struct.calcsize(order + count), at))
+    entries = read(size * n, at + struct.calcsize(order + count))
     out = {}
-    for i in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+    for i in range(n):
+        tag, kind, many = struct.unpack_from(f"{order}HH{word}", entries, size * i)
         if kind not in _CODES:
             continue
-        place = at + 10 + 12 * i
-        if _SIZES[kind] * n > 4:
-            place = struct.unpack_from(order + "I", data, place)[0]
-        out[tag] = struct.unpack_from(f"{order}{n}{_CODES[kind]}", data, place)
-    return out
+        held = entries[size * (i + 1) - wide : size * (i + 1)]
+        own = _SIZES[kind] * many
+        if own > wide:
+            held = read(own, struct.unpack(order + word, held)[0])
+        out[tag] = struct.unpack_from(f"{order}{many}{_CODES[kind]}", held)
+    return order, out
 
 
 def _unlzw(data: bytes) -> bytes:
@@ -75,34 +94,50 @@ def _block(raw: bytes, kind: np.dtype, shape: tuple[int, int, int], predictor: i
     return np.cumsum(pixels, axis=1, dtype=pixels.dtype.newbyteorder("=")) if predictor == 2 else pixels
 
 
+class Tiff:
+    """An image by its tags, whose strips or tiles are read one by one."""
+
+    def __init__(self, read: Read):
+        self.read = read
+        order, t = _tags(read)
+        self.tags, self.width, self.height, self.bands = t, t[256][0], t[257][0], t.get(277, (1,))[0]
+        self.unpack, planar, self.predictor = _UNPACKED.get(t.get(259, (1,))[0]), t.get(284, (1,))[0], t.get(317, (1,))[0]
+        if self.unpack is None or self.predictor not in (1, 2, 3):
+            raise ValueError("a compression that is not read")
+        self.kind = np.dtype(f"{order}{_KINDS[t.get(339, (1,))[0]]}{t[258][0] // 8}")
+        self.tiled = 322 in t
+        self.columns, self.rows = (t[322][0], t[323][0]) if self.tiled else (self.width, min(t.get(278, (self.height,))[0], self.height))
+        self.across, down = -(-self.width // self.columns), -(-self.height // self.rows)
+        self.samples = 1 if planar == 2 else self.bands
+        self.per_plane = self.across * down
+        self.offsets, self.sizes = (t[324], t[325]) if self.tiled else (t[273], t[279])
+
+    def block(self, i: int) -> tuple[int, int, int, np.ndarray]:
+        """The first band, row and column of a strip or tile, and its pixels as
+        (band, row, column)."""
+        plane, place = divmod(i, self.per_plane)
+        y, x = place // self.across * self.rows, place % self.across * self.columns
+        shape = (self.rows if self.tiled else min(self.rows, self.height - y), self.columns, self.samples)
+        raw = self.unpack(self.read(self.sizes[i], self.offsets[i]))
+        pixels = _block(raw, self.kind, shape, self.predictor)[: self.height - y, : self.width - x]
+        return plane * self.samples, y, x, pixels.transpose(2, 0, 1)
+
+
 def read_tiff(data: bytes) -> np.ndarray:
     """The pixels as (band, row, column)."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    t = _tags(data, order)
-    width, height, bands = t[256][0], t[257][0], t.get(277, (1,))[0]
-    unpack, planar, predictor = _UNPACKED.get(t.get(259, (1,))[0]), t.get(284, (1,))[0], t.get(317, (1,))[0]
-    if unpack is None or predictor not in (1, 2, 3):
-        raise ValueError("a compression that is not read")
-    kind = np.dtype(f"{order}{_KINDS[t.get(339, (1,))[0]]}{t[258][0] // 8}")
-    tiled = 322 in t
-    columns, rows = (t[322][0], t[323][0]) if tiled else (width, min(t.get(278, (height,))[0], height))
-    across, down = -(-width // columns), -(-height // rows)
-    samples, planes = (1, bands) if planar == 2 else (bands, 1)
-    out = np.zeros((planes * samples, height, width), kind.newbyteorder("="))
-    offsets, sizes = (t[324], t[325]) if tiled else (t[273], t[279])
-    for i, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
-        plane, place = divmod(i, across * down)
-        y, x = place // across * rows, place % across * columns
-        shape = (rows if tiled else min(rows, height - y), columns, samples)
-        block = _block(unpack(data[at : at + size]), kind, shape, predictor)[: height - y, : width - x]
-        out[plane * samples : (plane + 1) * samples, y : y + block.shape[0], x : x + block.shape[1]] = block.transpose(2, 0, 1)
+    image = Tiff(_of(data))
+    out = np.zeros((image.bands, image.height, image.width), image.kind.newbyteorder("="))
+    for i in range(len(image.offsets)):
+        band, y, x, pixels = image.block(i)
+        n, rows, columns = pixels.shape
+        out[band : band + n, y : y + rows, x : x + columns] = pixels
     return out
 
 
 def box(data: bytes, width: int, height: int) -> tuple[float, float, float, float]:
     """``xmin, ymin, xmax, ymax`` of an image by its GeoTIFF tags: a scale and a
     tie point, or a transformation; in pixels if it has neither."""
-    t = _tags(data, {b"II": "<", b"MM": ">"}[data[:2]])
+    _, t = _tags(_of(data))
     if 34264 in t and len(t[34264]) >= 8:
         m = t[34264]
         corners = [(m[0] * i + m[1] * j + m[3], m[4] * i + m[5] * j + m[7]) for i in (0, width) for j in (0, height)]
@@ -155,7 +190,7 @@ def placed(content: Column) -> Column:
             try:
                 p = read_tiff(v)
                 rows.append((p.shape[2], p.shape[1], p.shape[0], p.astype(np.float64).ravel(), *box(v, p.shape[2], p.shape[1])))
-            except _UNREADABLE:
+            except UNREADABLE:
                 rows.append((None,) * 8)
         frame = pd.DataFrame(rows, columns=["width", "height", "nBands", "data", "xmin", "ymin", "xmax", "ymax"])
         return frame.astype({c: "Int32" for c in ("width", "height", "nBands")})
@@ -163,7 +198,7 @@ def placed(content: Column) -> Column:
     return F.pandas_udf(parse, PLACED)(content)
 
 
-_UNREADABLE = (ValueError, KeyError, TypeError, IndexError, struct.error, zlib.error)
+UNREADABLE = (ValueError, KeyError, TypeError, IndexError, struct.error, zlib.error)
 
 
 def decoded(content: Column) -> Column:
@@ -176,7 +211,7 @@ def decoded(content: Column) -> Column:
             try:
                 p = read_tiff(v)
                 rows.append((p.shape[2], p.shape[1], p.shape[0], p.astype(np.float64).ravel()))
-            except _UNREADABLE:
+            except UNREADABLE:
                 rows.append((None, None, None, None))
         frame = pd.DataFrame(rows, columns=["width", "height", "nBands", "data"])
         return frame.astype({c: "Int32" for c in ("width", "height", "nBands")})

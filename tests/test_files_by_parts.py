@@ -2,6 +2,7 @@
 
 import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from gridloom.enums import GeoFileType
 from gridloom.errors import InvalidParameters
 from gridloom.operators import adapter, datasets, tensor, weather
 from gridloom.scratch import qualified
-from gridloom.sources import netcdf, readers, writers
+from gridloom.sources import netcdf, readers, tiff, writers
 
 HOURS = {"units": "hours since 1970-01-02 00:00:00"}
 
@@ -158,3 +159,45 @@ def test_shapefile_by_its_index_has_the_same_rows(spark, tmp_path, monkeypatch):
     tasks = parts.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
     assert tasks > 1
     assert sum(r["count"] for r in readers._runs((tmp_path / "parts/a.shx").read_bytes(), 400)) == 60
+
+
+def tiled(pixels, side, planar=1, large=False):
+    """A deflated TIFF of tiles of unsigned 16-bit samples, of (band, row, column)."""
+    bands, height, width = pixels.shape
+    blocks = []
+    for plane in range(bands if planar == 2 else 1):
+        for y in range(0, height, side):
+            for x in range(0, width, side):
+                tile = np.zeros((side, side, 1 if planar == 2 else bands), "<u2")
+                part = pixels[plane : plane + 1] if planar == 2 else pixels
+                part = part[:, y : y + side, x : x + side].transpose(1, 2, 0)
+                tile[: part.shape[0], : part.shape[1]] = part
+                blocks.append(zlib.compress(tile.tobytes()))
+    word, start = ("Q", 16) if large else ("I", 8)
+    offsets = [start + sum(map(len, blocks[:i])) for i in range(len(blocks))]
+    kinds, wide = {3: "H", 4: "I", 16: "Q"}, struct.calcsize("<" + word)
+    tags = [(256, 4, [width]), (257, 4, [height]), (258, 3, [16] * bands), (259, 3, [8]), (277, 3, [bands]), (284, 3, [planar]), (322, 4, [side]), (323, 4, [side]), (324, 16 if large else 4, offsets), (325, 4, list(map(len, blocks)))]
+    raw, at, entries = b"".join(blocks), start + sum(map(len, blocks)), b""
+    for tag, kind, values in tags:
+        held = struct.pack(f"<{len(values)}{kinds[kind]}", *values)
+        if len(held) > wide:
+            raw, held, at = raw + held, struct.pack("<" + word, at), at + len(held)
+        entries += struct.pack(f"<HH{word}", tag, kind, len(values)) + held.ljust(wide, b"\0")
+    head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if large else struct.pack("<2sHI", b"II", 42, at)
+    return head + raw + struct.pack("<Q" if large else "<H", len(tags)) + entries + bytes(8)
+
+
+@pytest.mark.parametrize(("planar", "large"), [(1, False), (2, False), (1, True)])
+def test_windows_of_an_image_are_the_whole_of_it(spark, tmp_path, monkeypatch, planar, large):
+    monkeypatch.setattr(readers, "WINDOW_BYTES", 20_000)
+    pixels = np.random.default_rng(1).integers(0, 60_000, (3, 150, 130)).astype("<u2")
+    content = tiled(pixels, 32, planar, large)
+    assert np.array_equal(tiff.read_tiff(content), pixels)
+    (tmp_path / "a.tiff").write_bytes(content)
+    (tmp_path / "no.tiff").write_bytes(b"no image")
+    rows = readers.load_geotiff_windows(qualified_path(tmp_path), spark).withColumn("task", F.spark_partition_id()).collect()
+    whole = np.full(pixels.shape, -1.0)
+    for r in rows:
+        assert (r.nBands, r.imageHeight, r.imageWidth) == pixels.shape and r.origin.endswith("a.tiff")
+        whole[r.band, r.y : r.y + r.height, r.x : r.x + r.width] = np.reshape(r.data, (r.height, r.width))
+    assert np.array_equal(whole, pixels) and len(rows) == 3 * 25 and len({r.task for r in rows}) > 1
