@@ -898,3 +898,33 @@ def test_scratch_goes_to_the_shared_folder(spark):
     first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     assert first.startswith(qualified(spark, named)) and first != second and first.startswith("file:")
+
+
+# ------------------------------------------------------------- very long texts
+
+
+def test_very_long_texts_alone(spark):
+    """A few hundred kilobytes in one text, and what differs only at its end."""
+    import public_tokenizers
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(5000)]
+    long = " ".join(rng.choices(words, k=40_000))
+    item = " ".join(f"bench{i}" for i in range(12))
+    rows = [(1, long), (2, long + " ende"), (3, long + " " + item), (4, "short text"), (5, long)]
+    docs = frame(spark, rows)
+    near = {r.doc_id: r for r in near_dedup.near_duplicates(docs).collect()}
+    assert [near[i].component_id for i in range(1, 6)] == [1, 1, 1, 4, 1]
+    split = long.split()
+    assert near[1].n_shingles == len({tuple(split[i : i + 5]) for i in range(40_000 - 4)})
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = {r.doc_id: r for r in tokens.round_trip(frame(spark, rows[:1] + rows[3:4]), path).collect()}
+    from tokenizers import Tokenizer
+
+    ids = [*Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids, 2]
+    assert got[1].n_tokens == len(ids) and got[1].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r.doc_id: r.n_words for r in quality.quality(docs, none).collect()} == {1: 40_000, 2: 40_001, 3: 40_012, 4: 2, 5: 40_000}
+    assert {r.doc_id: r.size for r in sharding.sharded(docs).collect()} == {i: len(t) + 1 for i, t in rows}
+    found = decontaminate.contamination(docs, spark.createDataFrame([("i", item)], "item_id string, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in found} == {1: 0, 2: 0, 3: 12, 4: 0, 5: 0}
