@@ -8,7 +8,8 @@ as large as it is, so it has four tiles at most whatever the others' sizes; a
 pair meets on the level of its larger geometry, to which the smaller one is
 dealt too.  A pair that shares several tiles is kept in the one with the lower
 left corner of what the envelopes have in common, so nothing needs to be made
-distinct.
+distinct.  Tiles of coarse levels, which are few, are cut into parts where many
+small geometries meet large ones.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .grid import aggregates
 
 #: Tiles of the lowest level on a side of the box.
 FINEST = 1 << 16
+#: Smaller geometries that a tile, or a part of one, should hold at most.
+TILE_ROWS = 1 << 17
 
 #: Kinds of geometries: what their envelopes alone, or native expressions, decide.
 POINT, BOX, AREA, OTHER = range(4)
@@ -43,36 +46,61 @@ def _sized(df: DataFrame, geometry: str, grown: Column | None) -> DataFrame:
     return rows.withColumn("_s", F.expr(f"struct(_s.e AS e, _s.k AS k, {power.format('x')}, {power.format('y')})"))
 
 
-def _summary(sized: DataFrame) -> Column:
+def _summary(sized: DataFrame) -> DataFrame:
     """The box of all geometries, the powers of two of its finest tiles' sides,
-    and the sizes that occur (some hundreds at most), as one value of the plan."""
+    and the sizes that occur (some hundreds at most) with their counts: one row."""
     corners = ["xmin", "ymin", "xmax", "ymax"]
-    box = sized.agg(*(F.expr(f"{c[1:]}(_s.e.{c}) AS {c}") for c in corners), F.expr("collect_set(struct(_s.x AS x, _s.y AS y)) AS sizes"))
+    of_size = sized.groupBy(F.col("_s.x").alias("x"), F.col("_s.y").alias("y")).agg(*(F.expr(f"{c[1:]}(_s.e.{c}) AS {c}") for c in corners), F.count("*").alias("n"))
+    box = of_size.agg(*(F.expr(f"{c[1:]}({c}) AS {c}") for c in corners), F.expr("collect_list(struct(x, y, n)) AS sizes"))
     finest = f"coalesce(floor(log2(nullif(({{0}}max - {{0}}min) / {FINEST}, 0D))), 0)::int AS {{0}}"
-    return box.select(F.expr(f"struct({', '.join(corners)}, {finest.format('x')}, {finest.format('y')}, sizes)")).scalar()
+    return box.select(F.expr(f"struct({', '.join(corners)}, {finest.format('x')}, {finest.format('y')}, sizes)").alias("s"))
+
+
+def _tiling(summary1: DataFrame, summary2: DataFrame, by_right: bool) -> Column:
+    """One value of the plan: the box of one side, the levels of each (``levels1,
+    levels2``) and ``salts``, the number of parts into which a tile of a role and
+    level is cut, where that is more than one.
+
+    A tile gets as many parts as bring the smaller geometries that meet on its
+    level, spread evenly over the box, down to ``TILE_ROWS`` each.  Larger ones
+    are repeated for each part, once for ``TILE_ROWS`` of the pairs they are in.
+    """
+    f = "b" if by_right else "a"
+    both = summary1.select(F.col("s").alias("a"), summary2.scalar().alias("b"))
+    levels = lambda side: f"transform({side}.sizes, s -> struct(greatest(s.x - {f}.x, s.y - {f}.y, 0) AS level, s.n AS n))"
+    both = both.selectExpr(f"{f} AS f", f"{levels('a')} AS a", f"{levels('b')} AS b")
+    both = both.selectExpr("f", "a", "b", "array_distinct(a.level) AS levels1", "array_distinct(b.level) AS levels2")
+    across = lambda c: f"greatest(ceil((f.{c}max - f.{c}min) / pow(2D, v + f.{c})), 1)"
+    met = lambda side, test: f"aggregate(filter({side}, s -> s.level {test} v), 0L, (t, s) -> t + s.n)"
+    parts = lambda role, own, side, test: f"transform({own}, v -> struct(struct({role} AS role, v AS level) AS k, ceil({met(side, test)} / ({across('x')} * {across('y')} * {TILE_ROWS}))::int AS n))"
+    salts = f"map_from_entries(filter(concat({parts(0, 'levels1', 'b', '<=')}, {parts(1, 'levels2', 'a', '<')}), e -> e.n > 1))"
+    return both.select(F.expr(f"struct(f.xmin, f.ymin, f.xmax, f.ymax, f.x, f.y, levels1, levels2, {salts} AS salts)")).scalar()
 
 
 def _tile(v: str, axis: str) -> str:
     return f"floor(({v} - _f.{axis}min) / pow(2D, _r.level + _f.{axis}))::bigint"
 
 
-def _dealt(sized: DataFrame, side: str, frame: Column, other: Column, upper: str) -> DataFrame:
+def _dealt(sized: DataFrame, side: str, tiling: Column, upper: str) -> DataFrame:
     """A row for each tile of each role.  Role 0: the left geometry is as large
     or larger; 1: the right one is.  A geometry stands on its own level, if the
     other side has smaller ones, and on the levels of the other side's larger
-    ones (``upper`` compares them with its own)."""
+    ones (``upper`` compares them with its own).  Where tiles have parts, the
+    smaller one is in the part that its row's hash names, the larger one in all."""
     own = [f"`{c}`" for c in sized.columns if c != "_s"]
+    hashable = [f"`{c}`" for c, kind in sized.drop("_s").dtypes if "map<" not in kind and "variant" not in kind]
     mine = 0 if side == "1" else 1
-    e = f"_e{side}"
-    rows = sized.select(*own, F.col("_s.e").alias(e), F.col("_s.k").alias(f"_k{side}"), frame.alias("_f"), other.alias("_o"), "_s")
+    e, others = f"_e{side}", f"_f.levels{2 - mine}"
+    rows = sized.select(*own, F.col("_s.e").alias(e), F.col("_s.k").alias(f"_k{side}"), tiling.alias("_f"), "_s")
     rows = rows.filter(f"{e}.xmin <= _f.xmax AND {e}.xmax >= _f.xmin AND {e}.ymin <= _f.ymax AND {e}.ymax >= _f.ymin")
-    level = "greatest({0}.x - _f.x, {0}.y - _f.y, 0)"
-    rows = rows.selectExpr(*own, e, f"_k{side}", "_f", f"{level.format('_s')} AS _l", f"array_distinct(transform(_o.sizes, s -> {level.format('s')})) AS _o")
-    alone = f"filter(array(struct({mine} AS role, _l AS level)), r -> exists(_o, v -> NOT v {upper} _l))"
-    raised = f"transform(filter(_o, v -> v {upper} _l), v -> struct({1 - mine} AS role, v AS level))"
+    rows = rows.selectExpr(*own, e, f"_k{side}", "_f", "greatest(_s.x - _f.x, _s.y - _f.y, 0) AS _l")
+    alone = f"filter(array(struct({mine} AS role, _l AS level)), r -> exists({others}, v -> NOT v {upper} _l))"
+    raised = f"transform(filter({others}, v -> v {upper} _l), v -> struct({1 - mine} AS role, v AS level))"
     rows = rows.selectExpr(*own, e, f"_k{side}", "_f", f"explode(concat({alone}, {raised})) AS _r")
+    parts = "_f.salts[_r]"
+    part = f"CASE WHEN {parts} IS NULL THEN array(0) WHEN _r.role = {mine} THEN sequence(0, {parts} - 1) ELSE array(pmod(xxhash64({', '.join(hashable)}), {parts})::int) END"
     across = lambda axis: f"explode(sequence({_tile(f'{e}.{axis}min', axis)}, {_tile(f'{e}.{axis}max', axis)})) AS _t{axis}"
-    rows = rows.selectExpr("*", across("x")).selectExpr("*", across("y"))
+    rows = rows.selectExpr("*", f"explode({part}) AS _p").selectExpr("*", across("x")).selectExpr("*", across("y"))
     return rows if mine == 0 else rows.drop("_f")
 
 
@@ -100,14 +128,12 @@ def _met(left: DataFrame, right: DataFrame, geometry1: str, geometry2: str, by_r
     margin, with the envelopes and kinds; each pair once.  The box of one side
     sets the tiles."""
     a, b = _sized(left, geometry1, grown), _sized(right, geometry2, None)
-    summary1, summary2 = _summary(a), _summary(b)
-    frame = summary2 if by_right else summary1
-    a = _dealt(a, "1", frame, summary2, ">")
-    b = _dealt(b, "2", frame, summary1, ">=")
-    met = a.join(b, ["_r", "_tx", "_ty"])
+    tiling = _tiling(_summary(a), _summary(b), by_right)
+    a, b = _dealt(a, "1", tiling, ">"), _dealt(b, "2", tiling, ">=")
+    met = a.join(b, ["_r", "_p", "_tx", "_ty"])
     overlap = "_e1.xmin <= _e2.xmax AND _e2.xmin <= _e1.xmax AND _e1.ymin <= _e2.ymax AND _e2.ymin <= _e1.ymax"
     corner = " AND ".join(f"{_tile(f'greatest(_e1.{c}min, _e2.{c}min)', c)} = _t{c}" for c in "xy")
-    return met.filter(f"{overlap} AND {corner}").drop("_r", "_tx", "_ty", "_f")
+    return met.filter(f"{overlap} AND {corner}").drop("_r", "_p", "_tx", "_ty", "_f")
 
 
 _HELPERS = ("_e1", "_e2", "_k1", "_k2")

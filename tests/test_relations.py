@@ -178,6 +178,24 @@ def test_many_points_meet_without_a_product(spark):
     assert 100_000 < near.count() < 300_000
 
 
+@pytest.mark.parametrize("relation", [GeoRelationship.CONTAINS, GeoRelationship.INTERSECTS, GeoRelationship.WITHIN])
+def test_tiles_in_parts_give_each_pair_once(spark, monkeypatch, relation):
+    rng = random.Random(4)
+    corners = [(rng.uniform(0, 60), rng.uniform(0, 60), size) for size in (40, 40, 30, 11, 3, 3, 0.5)]
+    shapes = geometries(spark, [box(x, y, x + s, y + s) for x, y, s in corners])
+    # rows that are repeated, and others at one place
+    rows, df = points(spark, 400, 8)
+    spots = df.select(F.col("id").alias("id2"), F.col("p").alias("h"))
+    spots = spots.union(spots.filter("id2 % 3 = 0")).union(spots.select("id2", F.lit(None).cast(spots.schema["h"].dataType)))
+    sides = (spots, shapes, "h", "g") if relation is GeoRelationship.WITHIN else (shapes, spots, "g", "h")
+    pairs = lambda: sorted((r.id, r.id2) for r in spatial_join.spatial_join(*sides, relation).select("id", "id2").collect())
+    inside = [(k, i) for i, px, py in rows for k, (x, y, s) in enumerate(corners) if x < px < x + s and y < py < y + s]
+    expected = sorted(inside + [(k, i) for k, i in inside if i % 3 == 0])
+    for most in (20, 1):
+        monkeypatch.setattr(spatial_join, "TILE_ROWS", most)
+        assert pairs() == expected
+
+
 def test_diameter_equals_all_pairs(spark):
     rng = random.Random(7)
     for n in (1, 2, 3, 10, 200):
