@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, licenses, near_dedup, packing, pii, quality, queries, secrets, sharding, tokens, warc
+from gridloom.llm import decontaminate, licenses, near_dedup, packing, pii, quality, queries, secrets, sharding, shared, tokens, warc
 from gridloom.llm.shared import WordHash
 
 SCHEMA = "doc_id long, text string"
@@ -885,6 +885,29 @@ def test_decontamination_judges_each_row_by_itself(spark):
         assert rows_of(clean.drop("_row")) == sorted([docs[1], docs[3], docs[4]], key=repr)
 
 
+def test_print_filter_lets_known_prints_pass_and_few_others(spark):
+    rng = np.random.default_rng(5)
+    known, strange = (rng.integers(0, 1 << 64, 3000, np.uint64) for _ in range(2))
+    bits = 1 << 17
+    rows = spark.createDataFrame([(int(v),) for v in known.view(np.int64)], "print long")
+    made = decontaminate._filter_of(rows, bits)
+    assert made.nbytes == bits // 8
+    assert decontaminate._passing(known, made, bits).all()
+    assert 0 < decontaminate._passing(strange, made, bits).mean() < 0.05
+    assert not decontaminate._passing(known, decontaminate._filter_of(rows.limit(0), bits), bits).any()
+
+
+def test_large_benchmark_with_a_frequent_passage(spark, monkeypatch):
+    # every document holds the passage, so its prints are hot
+    monkeypatch.setattr(shared, "HOT_ROWS", 20)
+    passage = " ".join(f"p{i}" for i in range(14))
+    docs = frame(spark, [(i, f"a{i} b{i} {passage} c{i} d{i}") for i in range(300)], "doc_id long, text string")
+    items = frame(spark, [(7, passage), (8, f"x {passage} y"), (9, "nothing of this is in any document of the table at all")], "item_id long, text string")
+    found = decontaminate.contamination(docs, items, item_words_limit=0).collect()
+    assert len(found) == 300
+    assert {(r.n_words, r.n_hit, r.n_items) for r in found} == {(18, 14, 2)}
+
+
 def test_winnowing_keeps_a_hash_of_every_window():
     rng = np.random.default_rng(1)
     grams = rng.integers(0, 20, 300).astype(np.uint64)
