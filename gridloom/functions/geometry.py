@@ -9,9 +9,14 @@ followed by its holes, clockwise.  All functions here are native expressions.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from .projections import Conic
+
 VERTEX = "struct<x:double,y:double>"
 GEOMETRY = f"struct<type:string,rings:array<array<{VERTEX}>>>"
 
@@ -188,48 +193,21 @@ def from_web_mercator(v: Column) -> Column:
     return vertex(F.degrees(v["x"] / WEB_RADIUS), F.degrees(y))
 
 
-#: GRS 80 and the Lambert conformal conic of EPSG:2263, in US survey feet (fixed values).
-GRS80 = (6378137.0, 1 / 298.257222101)
-NEW_YORK = {"lat0": 40.16666666666666, "lon0": -74.0, "lat1": 41.03333333333333, "lat2": 40.66666666666666, "x0": 300000.0, "unit": 0.3048006096012192}
-
-
-def from_new_york_feet(v: Column) -> Column:
-    """EPSG:2263 to longitude and latitude, by the inverse of the two-parallel
-    Lambert projection (its latitude by five fixed-point steps)."""
-    import math
-
-    a, f = GRS80
-    e = math.sqrt(2 * f - f * f)
-    t_of = lambda lat: math.tan(math.pi / 4 - lat / 2) / ((1 - e * math.sin(lat)) / (1 + e * math.sin(lat))) ** (e / 2)
-    m_of = lambda lat: math.cos(lat) / math.sqrt(1 - (e * math.sin(lat)) ** 2)
-    lat0, lat1, lat2 = (math.radians(NEW_YORK[k]) for k in ("lat0", "lat1", "lat2"))
-    n = (math.log(m_of(lat1)) - math.log(m_of(lat2))) / (math.log(t_of(lat1)) - math.log(t_of(lat2)))
-    scale = a * m_of(lat1) / (n * t_of(lat1) ** n)
-    rho0 = scale * t_of(lat0) ** n
-    x = v["x"] * NEW_YORK["unit"] - NEW_YORK["x0"]
-    y = F.lit(rho0) - v["y"] * NEW_YORK["unit"]
-    t = F.pow(F.sqrt(x * x + y * y) / scale, F.lit(1 / n))
-    lat = F.lit(math.pi / 2) - 2 * F.atan(t)
-    for _ in range(5):
-        s = F.sin(lat) * e
-        lat = F.lit(math.pi / 2) - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(e / 2)))
-    lon = F.atan2(x, y) / n + F.lit(math.radians(NEW_YORK["lon0"]))
-    return vertex(F.degrees(lon), F.degrees(lat))
-
-
-TRANSFORMS = {("epsg:4326", "epsg:3857"): to_web_mercator, ("epsg:3857", "epsg:4326"): from_web_mercator, ("epsg:2263", "epsg:4326"): from_new_york_feet}
+TRANSFORMS = {("epsg:4326", "epsg:3857"): to_web_mercator, ("epsg:3857", "epsg:4326"): from_web_mercator}
 
 
-def transform_crs(g: Column, source: str, target: str) -> Column:
+def transform_crs(g: Column, source: str | Conic, target: str | Conic) -> Column:
     """The geometry in another reference system, by way of longitude and
-    latitude: EPSG:4326, 4269, 3857, 2263, the zones 326zz and 327zz, and the
-    zones 269zz.  WGS 84 and GRS 80 are taken for the same datum."""
+    latitude: EPSG:4326, 4269, 3857, the zones 326zz, 327zz and 269zz, the conics
+    of ``projections.CONICS``, and any ``projections.Conic``.  All are taken for
+    the same datum."""
     from ..errors import InvalidParameters
     from .projections import degrees_of, of_degrees
 
-    if source.lower() == target.lower():
+    source, target = (c.lower() if isinstance(c, str) else c for c in (source, target))
+    if source == target:
         return g
-    there, back = degrees_of(source.lower()), of_degrees(target.lower())
+    there, back = degrees_of(source), of_degrees(target)
     if there is None or back is None:
         raise InvalidParameters(f"no transform from {source} to {target}")
     ring = lambda r: F.transform(F.transform(r, there), back)

@@ -1,15 +1,18 @@
-"""Transverse Mercator zones and the conic of New York, as column expressions."""
+"""Transverse Mercator zones and conformal conics, as column expressions."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import GRS80, NEW_YORK, TRANSFORMS, vertex
+from .geometry import TRANSFORMS, vertex
 
+#: Greater half axis and flattening of GRS 80 (fixed values).
+GRS80 = (6378137.0, 1 / 298.257222101)
 #: WGS 84; scale and false origin of the universal zones (fixed values).
 WGS84 = (6378137.0, 1 / 298.257223563)
 ZONE_SCALE, ZONE_EAST, ZONE_SOUTH = 0.9996, 500000.0, 10000000.0
@@ -62,22 +65,73 @@ def from_zone(v: Column, zone: int, south: bool = False, ellipsoid: tuple[float,
     return vertex(F.degrees(F.atan2(F.sinh(y), F.cos(x))) + F.lit(6.0 * zone - 183), F.degrees(lat))
 
 
-def to_new_york_feet(v: Column) -> Column:
-    """Longitude and latitude to EPSG:2263."""
-    a, f = GRS80
-    e = math.sqrt(2 * f - f * f)
-    half = lambda s: ((1 - e * s) / (1 + e * s)) ** (e / 2)
-    t_of = lambda lat: math.tan(math.pi / 4 - lat / 2) / half(math.sin(lat))
-    m_of = lambda lat: math.cos(lat) / math.sqrt(1 - (e * math.sin(lat)) ** 2)
-    lat0, lat1, lat2 = (math.radians(NEW_YORK[k]) for k in ("lat0", "lat1", "lat2"))
-    n = math.log(m_of(lat1) / m_of(lat2)) / math.log(t_of(lat1) / t_of(lat2))
-    scale = a * m_of(lat1) / (n * t_of(lat1) ** n)
+@dataclass(frozen=True)
+class Conic:
+    """A conformal conic: origin, standard parallels (equal ones for a cone that
+    touches), false origin in metres, metres in a unit, ellipsoid."""
+
+    lat0: float
+    lon0: float
+    lat1: float
+    lat2: float
+    x0: float = 0.0
+    y0: float = 0.0
+    unit: float = 1.0
+    ellipsoid: tuple[float, float] = GRS80
+
+    @property
+    def shape(self) -> tuple[float, float, float, float]:
+        """Eccentricity, the cone's constant, its scale and the origin's radius
+        (the last two below 0 for cones of the south)."""
+        a, f = self.ellipsoid
+        e = math.sqrt(2 * f - f * f)
+        shrink = lambda lat: math.tan(math.pi / 4 - lat / 2) / ((1 - e * math.sin(lat)) / (1 + e * math.sin(lat))) ** (e / 2)
+        girth = lambda lat: math.cos(lat) / math.sqrt(1 - (e * math.sin(lat)) ** 2)
+        origin, first, second = (math.radians(v) for v in (self.lat0, self.lat1, self.lat2))
+        if abs(first - second) < 1e-10:
+            n = math.sin(first)
+        else:
+            n = math.log(girth(first) / girth(second)) / math.log(shrink(first) / shrink(second))
+        scale = a * girth(first) / (n * shrink(first) ** n)
+        return e, n, scale, scale * shrink(origin) ** n
+
+
+#: New York (Long Island, in US survey feet), France, Europe, Statistics Canada,
+#: and the atlas of Canada.  Fixed values.
+CONICS = {
+    "epsg:2263": Conic(40.16666666666666, -74.0, 41.03333333333333, 40.66666666666666, 300000.0, 0.0, 0.3048006096012192),
+    "epsg:2154": Conic(46.5, 3.0, 49.0, 44.0, 700000.0, 6600000.0),
+    "epsg:3034": Conic(52.0, 10.0, 35.0, 65.0, 4000000.0, 2800000.0),
+    "epsg:3347": Conic(63.390675, -91.86666666666666, 49.0, 77.0, 6200000.0, 3000000.0),
+    "epsg:3978": Conic(49.0, -95.0, 49.0, 77.0),
+}
+
+
+def to_conic(v: Column, conic: Conic) -> Column:
+    """Longitude and latitude to the conic's plane."""
+    e, n, scale, rho0 = conic.shape
     lat = F.radians(v["y"])
     s = F.sin(lat) * e
     t = F.tan(F.lit(math.pi / 4) - lat / 2) / F.pow((1 - s) / (1 + s), F.lit(e / 2))
-    rho, theta = F.pow(t, F.lit(n)) * scale, F.radians(v["x"] - F.lit(NEW_YORK["lon0"])) * n
-    east, north = rho * F.sin(theta) + NEW_YORK["x0"], F.lit(scale * t_of(lat0) ** n) - rho * F.cos(theta)
-    return vertex(east / NEW_YORK["unit"], north / NEW_YORK["unit"])
+    # the shorter way round from the middle meridian
+    turn = F.pmod(v["x"] - F.lit(conic.lon0) + 180, F.lit(360.0)) - 180
+    rho, theta = F.pow(t, F.lit(n)) * scale, F.radians(turn) * n
+    east, north = rho * F.sin(theta) + conic.x0, F.lit(rho0) - rho * F.cos(theta) + conic.y0
+    return vertex(east / conic.unit, north / conic.unit)
+
+
+def from_conic(v: Column, conic: Conic) -> Column:
+    """The conic's plane to longitude and latitude (by five fixed-point steps)."""
+    e, n, scale, rho0 = conic.shape
+    side = math.copysign(1.0, n)
+    x, y = (v["x"] * conic.unit - conic.x0) * side, (F.lit(rho0 + conic.y0) - v["y"] * conic.unit) * side
+    t = F.pow(F.sqrt(x * x + y * y) / abs(scale), F.lit(1 / n))
+    lat = F.lit(math.pi / 2) - 2 * F.atan(t)
+    for _ in range(5):
+        s = F.sin(lat) * e
+        lat = F.lit(math.pi / 2) - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(e / 2)))
+    lon = F.degrees(F.atan2(x, y) / n) + F.lit(conic.lon0)
+    return vertex(F.pmod(lon + 180, F.lit(360.0)) - 180, F.degrees(lat))
 
 
 def _zone(code: str) -> tuple[int, bool, tuple[float, float]] | None:
@@ -91,17 +145,25 @@ def _zone(code: str) -> tuple[int, bool, tuple[float, float]] | None:
     return (zone, False, GRS80) if kind == "269" and 1 <= zone <= 23 else None
 
 
-def degrees_of(code: str) -> Callable[[Column], Column] | None:
+def _conic(system: str | Conic) -> Conic | None:
+    return system if isinstance(system, Conic) else CONICS.get(system)
+
+
+def degrees_of(system: str | Conic) -> Callable[[Column], Column] | None:
     """The transform of a reference system to longitude and latitude."""
-    if code in ("epsg:4326", "epsg:4269"):
+    if conic := _conic(system):
+        return lambda v: from_conic(v, conic)
+    if system in ("epsg:4326", "epsg:4269"):
         return lambda v: v
-    zone = _zone(code)
-    return (lambda v: from_zone(v, *zone)) if zone else TRANSFORMS.get((code, "epsg:4326"))
+    zone = _zone(system)
+    return (lambda v: from_zone(v, *zone)) if zone else TRANSFORMS.get((system, "epsg:4326"))
 
 
-def of_degrees(code: str) -> Callable[[Column], Column] | None:
+def of_degrees(system: str | Conic) -> Callable[[Column], Column] | None:
     """The transform of longitude and latitude to a reference system."""
-    if code in ("epsg:4326", "epsg:4269"):
+    if conic := _conic(system):
+        return lambda v: to_conic(v, conic)
+    if system in ("epsg:4326", "epsg:4269"):
         return lambda v: v
-    zone = _zone(code)
-    return (lambda v: to_zone(v, *zone)) if zone else to_new_york_feet if code == "epsg:2263" else TRANSFORMS.get(("epsg:4326", code))
+    zone = _zone(system)
+    return (lambda v: to_zone(v, *zone)) if zone else TRANSFORMS.get(("epsg:4326", system))

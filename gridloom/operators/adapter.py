@@ -31,6 +31,20 @@ def add_row_id(df: DataFrame, column_name: str, order_by: list[str]) -> DataFram
     return rows.join(F.broadcast(offsets), part).withColumn(column_name, F.col(before) + F.col(at)).drop(part, at, before)
 
 
+#: Values up to which one task numbers them, and their table may be broadcast.
+FEW_VALUES = 100_000
+
+
+def numbered(values: DataFrame, order_by: str, column_name: str) -> DataFrame:
+    """``values``, all different, with their places in ascending order from 0: a
+    window while they are at most ``FEW_VALUES`` (then marked for broadcast), else
+    ``add_row_id``, which keeps no range of them in one task."""
+    if values.count() > FEW_VALUES:
+        return add_row_id(values, column_name, [order_by])
+    place = F.row_number().over(Window.orderBy(order_by)) - 1
+    return F.broadcast(values.withColumn(column_name, place.cast("long")))
+
+
 def _unused(df: DataFrame, *names: str) -> list[str]:
     """The names, longer where ``df`` has such a column."""
     taken, out = {c.lower() for c in df.columns}, []

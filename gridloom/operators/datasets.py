@@ -4,32 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameters
 from ..functions import indices, texture
 from ..functions.bands import band
+from .adapter import numbered
 
 
 def class_labels(df: DataFrame, col_label: str) -> DataFrame:
     """``label, label_id``: the distinct labels in ascending order, from 0; null
-    is no label.  The window runs over the distinct labels alone."""
+    is no label."""
     distinct = df.select(F.col(col_label).alias("label")).filter("label IS NOT NULL").distinct()
-    return distinct.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("label_id"))
-
-
-#: Labels up to which their table is broadcast.
-BROADCAST_LABELS = 100_000
+    return numbered(distinct, "label", "label_id").withColumn("label_id", F.col("label_id").cast("int"))
 
 
 def classification_frame(df: DataFrame, col_data: str, col_label: str, features: str | None = None) -> DataFrame:
     """``image_data, label`` (the label's id; null for none) and the features."""
-    ids = class_labels(df, col_label)
-    if ids.count() <= BROADCAST_LABELS:
-        ids = F.broadcast(ids)
     keep = [F.col(col_data).alias("image_data"), F.col("label_id").alias("label"), *([F.col(features)] if features else [])]
-    return df.join(ids, F.col(col_label) == F.col("label"), "left").select(*keep)
+    return df.join(class_labels(df, col_label), F.col(col_label) == F.col("label"), "left").select(*keep)
 
 
 def segmentation_frame(df: DataFrame, col_data: str, col_label: str, is_label_masked: bool = True, masking_threshold: float = 255) -> DataFrame:

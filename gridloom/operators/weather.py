@@ -3,9 +3,11 @@ steps, grid rows and grid columns, for the samples of ``tensor``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .adapter import numbered
+
 #: Variable -> its name in tables of the reanalysis, and the pressure level, in
 #: hPa, of those that are given on levels.  Fixed values.
 VARIABLES = {
@@ -15,16 +17,6 @@ VARIABLES = {
     "total_cloud_cover": ("tcc", None),
     "toa_incident_solar_radiation": ("tisr", None),
 }
-#: Values of an axis up to which its numbers are broadcast.
-BROADCAST_VALUES = 100_000
-
-
-def _places(rows: DataFrame, axis: str, name: str) -> DataFrame:
-    """``axis, name``: the place of each value of ``axis``, ascending from 0.
-    The window runs over the distinct values alone."""
-    values = rows.select(axis).distinct()
-    values = values.select(axis, (F.row_number().over(Window.orderBy(axis)) - 1).cast("long").alias(name))
-    return F.broadcast(values) if values.count() <= BROADCAST_VALUES else values
 
 
 def field_frames(df: DataFrame, value: str, time: str = "time", latitude: str = "latitude", longitude: str = "longitude", level: str | None = None, at_level=None) -> DataFrame:
@@ -40,7 +32,7 @@ def field_frames(df: DataFrame, value: str, time: str = "time", latitude: str =
     rows = rows.dropna(subset=["_time", "_latitude", "_longitude"])
     frames = rows.groupBy("_time", "_latitude", "_longitude").agg(F.max("value").alias("value"))
     for axis, name in (("_time", "t"), ("_latitude", "h"), ("_longitude", "w")):
-        frames = frames.join(_places(rows, axis, name), axis)
+        frames = frames.join(numbered(rows.select(axis).distinct(), axis, name), axis)
     return frames.select("t", "h", "w", "value")
 
 

@@ -18,7 +18,7 @@ from ..functions import bands as B
 from ..functions import geometry as G
 from ..functions import indices as I
 from ..functions import temporal as T
-from ..functions import texture
+from ..functions import projections, texture
 from ..operators import adapter, adjacency, datasets, grid, spatial_join, tensor, traffic, weather
 from ..operators.extent import greatest_distance
 from ..scratch import shared_folder
@@ -968,3 +968,21 @@ def crs_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = adapter.transform_crs(points, "geometry", "EPSG:4326", "EPSG:32618")
     mm = lambda c: F.floor(c * 1000 + 0.5) / 1000
     return moved.select("s_suppkey", mm(G.x_of(F.col("geometry"))).alias("east"), mm(G.y_of(F.col("geometry"))).alias("north"))
+
+
+def _conic_sql(code: str) -> str:
+    c = projections.CONICS[code]
+    e, n, scale, rho0 = c.shape
+    return f"""
+SELECT s_suppkey, floor(1000 * ({c.x0} + rho * sin(theta)) + 0.5) / 1000 AS east, floor(1000 * ({rho0!r} - rho * cos(theta) + {c.y0}) + 0.5) / 1000 AS north
+FROM (SELECT s_suppkey, {n!r} * radians(lon - {c.lon0}) AS theta,
+        {scale!r} * pow(tan(pi() / 4 - radians(lat) / 2) / pow((1 - {e!r} * sin(radians(lat))) / (1 + {e!r} * sin(radians(lat))), {e / 2!r}), {n!r}) AS rho
+      FROM (SELECT s_suppkey, s_nationkey::DOUBLE - 5 AS lon, 45 + s_acctbal::DOUBLE / 1000 AS lat FROM supplier))"""
+
+
+@query("crs_conic", _conic_sql("epsg:3034"))
+def crs_conic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "supplier").select("s_suppkey", G.point(F.col("s_nationkey").cast("double") - 5, F.col("s_acctbal").cast("double") / 1000 + 45).alias("geometry"))
+    moved = adapter.transform_crs(points, "geometry", "EPSG:4326", "EPSG:3034")
+    mm = lambda c: F.floor(c * 1000 + 0.5) / 1000
+    return moved.select("s_suppkey", mm(G.x_of(F.col("geometry"))).alias("east"), mm(G.y_of(F.col("geometry"))).alias("north"))

@@ -25,18 +25,53 @@ def test_origin_of_a_zone_and_its_southern_half(spark):
     assert _moved(spark, 9.0, 0.0, "EPSG:4326", "EPSG:32732") == pytest.approx((500000, 10000000), abs=1e-6)
 
 
-@pytest.mark.parametrize("code", ["EPSG:32618", "EPSG:32718", "EPSG:26918", "EPSG:2263", "EPSG:3857"])
+@pytest.mark.parametrize("code", ["EPSG:32618", "EPSG:32718", "EPSG:26918", "EPSG:2263", "EPSG:2154", "EPSG:3034", "EPSG:3347", "EPSG:3978", "EPSG:3857"])
 def test_there_and_back(spark, code):
     x, y = _moved(spark, -73.9857, 40.7484, "EPSG:4326", code)
     assert (abs(x) > 1000) and _moved(spark, x, y, code, "EPSG:4326") == pytest.approx((-73.9857, 40.7484), abs=1e-8)
 
 
 def test_origin_of_new_york(spark):
-    v = projections.to_new_york_feet(G.vertex(F.lit(-74.0), F.lit(40.16666666666666)))
+    v = projections.to_conic(G.vertex(F.lit(-74.0), F.lit(40.16666666666666)), projections.CONICS["epsg:2263"])
     r = spark.range(1).select(v.alias("v")).select("v.x", "v.y").first()
     assert (r.x, r.y) == pytest.approx((300000 / 0.3048006096012192, 0), abs=1e-4)
 
 
+def test_conics_of_any_parameters(spark):
+    # the worked example of the EPSG guidance: Texas, in US survey feet, on Clarke's ellipsoid of 1866
+    foot = 1200 / 3937
+    texas = projections.Conic(27 + 50 / 60, -99.0, 28 + 23 / 60, 30 + 17 / 60, 2e6 * foot, 0.0, foot, (6378206.4, 1 / 294.97870))
+    assert _moved(spark, -96.0, 28.5, "EPSG:4326", texas) == pytest.approx((2963503.91, 254759.80), abs=0.02)
+    assert _moved(spark, 2963503.91, 254759.80, texas, "EPSG:4326") == pytest.approx((-96.0, 28.5), abs=1e-7)
+    # a cone of the south mirrors one of the north; one that touches; across the date line
+    north, south = projections.Conic(40.0, 10.0, 30.0, 50.0), projections.Conic(-40.0, 10.0, -30.0, -50.0)
+    x, y = _moved(spark, 14.0, 43.0, "EPSG:4326", north)
+    assert _moved(spark, 14.0, -43.0, "EPSG:4326", south) == pytest.approx((x, -y), abs=1e-6)
+    assert _moved(spark, x, -y, south, "EPSG:4326") == pytest.approx((14.0, -43.0), abs=1e-8)
+    one = projections.Conic(45.0, 179.0, 45.0, 45.0)
+    x, y = _moved(spark, -179.5, 45.0, "EPSG:4326", one)
+    assert 0 < x < 200_000 and _moved(spark, x, y, one, "EPSG:4326") == pytest.approx((-179.5, 45.0), abs=1e-8)
+
+
+def test_many_values_are_numbered_like_few(spark, monkeypatch):
+    values = spark.range(0, 900, 3).selectExpr("cast(id AS string) AS v")
+    few = {r.v: r.n for r in adapter.numbered(values, "v", "n").collect()}
+    monkeypatch.setattr(adapter, "FEW_VALUES", 10)
+    assert {r.v: r.n for r in adapter.numbered(values, "v", "n").collect()} == few == {v: k for k, v in enumerate(sorted(few))}
+
+
+def test_columns_types_lists_and_frames(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, s string").coalesce(1)
+    assert adapter.get_columns(df) == ["k", "s"]
+    assert adapter.get_column_types(df) == [("k", "int"), ("s", "string")]
+    assert [tuple(r) for r in adapter.get_all_rows(df)] == [(1, "a"), (2, None)]
+    assert [tuple(r) for r in adapter.get_top_rows(df, 1)] == [(1, "a")]
+    assert list(adapter.df_to_pandas(df)["k"]) == [1, 2] and list(adapter.df_to_pandas(df, ["s"]).columns) == ["s"]
+    assert list(adapter.column_to_pandas(df, "k").to_numpy().ravel()) == [1, 2]
+    assert adapter.df_to_list(df) == [[1, "a"], [2, None]] and adapter.df_to_list(df, ["s"]) == [["a"], [None]]
+    assert adapter.column_to_list(df, "s") == ["a", None]
+
+
 def test_unknown_system(spark):
     with pytest.raises(InvalidParameters):
         G.transform_crs(F.col("g"), "EPSG:4326", "EPSG:99999")
