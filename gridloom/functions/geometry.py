@@ -193,6 +193,13 @@ def from_web_mercator(v: Column) -> Column:
     return vertex(F.degrees(v["x"] / WEB_RADIUS), F.degrees(y))
 
 
+def from_new_york_feet(v: Column) -> Column:
+    """EPSG:2263 to longitude and latitude."""
+    from .projections import CONICS, from_conic
+
+    return from_conic(v, CONICS["epsg:2263"])
+
+
 TRANSFORMS = {("epsg:4326", "epsg:3857"): to_web_mercator, ("epsg:3857", "epsg:4326"): from_web_mercator}
 
 

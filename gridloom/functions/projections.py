@@ -134,6 +134,11 @@ def from_conic(v: Column, conic: Conic) -> Column:
     return vertex(F.pmod(lon + 180, F.lit(360.0)) - 180, F.degrees(lat))
 
 
+def to_new_york_feet(v: Column) -> Column:
+    """Longitude and latitude to EPSG:2263."""
+    return to_conic(v, CONICS["epsg:2263"])
+
+
 def _zone(code: str) -> tuple[int, bool, tuple[float, float]] | None:
     """Zone, southern half and ellipsoid of a code such as ``epsg:32618``."""
     digits = code.removeprefix("epsg:")
