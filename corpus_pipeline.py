@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, near_dedup, packing, pii, quality
-from gridloom.llm.shared import discard, saved, small, steps
+from gridloom.llm.shared import discard, in_small_batches, saved, small, steps
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,6 +86,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Every row stays; null text stays null (and its ``n_chars`` becomes null);
     very long texts are read whole.
     """
+    in_small_batches(spark)
     out = docs.withColumn("text", pii.redacted(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 

@@ -19,7 +19,7 @@ BROADCAST_ROWS = 1_000_000
 HOT_ROWS, HOT_SHARE = 1_000, 2_000
 
 #: Text that goes to a Python worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def in_small_batches(spark: SparkSession) -> None:

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,17 @@ def test_of_repeated_rows_the_same_stays_each_time(spark, sf_dir):
 def test_each_operator_has_one_query():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
+
+
+def test_python_workers_get_small_batches(spark):
+    """An executor holds a batch several times over for each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{64 << 20}b")
+    try:
+        corpus_pipeline.personal_data(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+        texts = spark.range(0, 40, 1, 1).select(F.expr("repeat('x', 200000)").alias("text"))
+        sizes = [r.n for r in texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(sizes) >= 8_000_000 and max(sizes) < 3 << 20
