@@ -15,6 +15,7 @@ numbers are little-endian.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import zlib
@@ -171,27 +172,45 @@ def read_documents(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 #: Memory of the pieces that a worker remembers, and the longest piece kept.
-CACHE_BYTES, PIECE_CHARS = 160 << 20, 64
+CACHE_BYTES, PIECE_CHARS = 320 << 20, 64
+#: Characters that are looked up together, and pieces that are coded together:
+#: few, as the library's own structures then stay in the processor's cache.
+BLOCK_CHARS, CODED_TOGETHER = 1 << 18, 256
 
 
 class CachedTokenizer:
-    """The ids that a byte-level BPE tokenizer gives a text, piece by piece.
+    """The ids that a byte-level BPE tokenizer gives texts, piece by piece.
 
     Such a tokenizer cuts a text before each space that a visible character
     follows, and codes the pieces by themselves; so short pieces met before need
-    no coding again.  A text with other white space after a space, or with the
+    no coding again.  A piece not met before is looked up by its parts where the
+    tokenizer's pattern cuts it further; a part of ASCII letters, which that
+    pattern and the byte level leave as they are, goes to the library's model
+    without them.  A text with other white space after a space, or with the
     string of a special token, is coded whole.
+
+    A piece stands without the space before it; ``MARK``, which no piece begins
+    with, begins one that has no space before it.
     """
 
     OTHER = re.compile(r" (?:\s|$)")
+    MARK = "\n"
+    #: What GPT-2's pattern (ByteLevel's own) cuts apart wherever it stands:
+    #: letters, marks but for the apostrophe of contractions, single line ends.
+    PART = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[!-&(-/:-@[-`{-~]+|\n(?!\\s)")
 
     def __init__(self, path: str, limit: int = CACHE_BYTES):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.words = Tokenizer.from_file(path), None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit, self.known, self.held = limit, {}, 0
+        # pieces met lately, and those before them, which come back if met again
+        self.limit, self.known, self.before, self.held = limit, {self.MARK: b""}, {}, 0
 
+        cuts = self.tokenizer.pre_tokenizer and json.loads(self.tokenizer.pre_tokenizer.__getstate__())
+        if self.tokenizer.normalizer is None and cuts and cuts["type"] == "ByteLevel" and cuts["use_regex"] and not cuts["add_prefix_space"]:
+            self.words = Tokenizer.from_file(path)
+            self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of each token: one a character of its name
         self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
@@ -199,46 +218,116 @@ class CachedTokenizer:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _coded(self, pieces: list[str]) -> dict[str, bytes]:
-        """Codes pieces in one go; their ids part where their bytes do."""
-        ids = self._whole(" " + " ".join(pieces))
+    def _has_special(self, text: str) -> bool:
+        return any(map(text.__contains__, self.special))
+
+    def _parts(self, piece: str) -> list[str]:
+        """The pieces that ``piece`` is coded by."""
+        if self.words is None:
+            return [piece]
+        word = piece.rstrip(".,;:!?")
+        if word.isascii() and word.isalpha():
+            return [word, self.MARK + piece[len(word) :]]
+        mark, body = (self.MARK, piece[1:]) if piece[0] == self.MARK else ("", piece)
+        parts = self.PART.findall(body)
+        if sum(map(len, parts)) < len(body):
+            return [piece]
+        return [mark + parts[0], *(self.MARK + p for p in parts[1:])]
+
+    def _cut(self, ids: np.ndarray, pieces: list[str], sizes: Iterable[int]) -> Iterator[tuple[str, bytes]]:
+        """``ids`` of pieces in one go; they part where their bytes do."""
         ends = np.cumsum(self.bytes[ids])
-        sizes = np.fromiter((len(p.encode("utf-8")) + 1 for p in pieces), np.int64, len(pieces))
-        cuts = np.searchsorted(ends, np.cumsum(sizes), "left") + 1
-        raw, start, out = ids.tobytes(), 0, {}
-        for p, cut in zip(pieces, cuts.tolist(), strict=True):
-            out[p] = raw[4 * start : 4 * cut]
+        cuts = np.searchsorted(ends, np.cumsum(np.fromiter(sizes, np.int64, len(pieces))), "left") + 1
+        raw, start = ids.tobytes(), 0
+        for p, cut in zip(pieces, (4 * cuts).tolist(), strict=True):
+            yield p, raw[start:cut]
             start = cut
-        return out
-
-    def _keep(self, coded: dict[str, bytes]) -> None:
-        if self.held > self.limit:
-            self.known.clear()
-            self.held = 0
-        for p, raw in coded.items():
-            if len(p) <= PIECE_CHARS:
-                self.known[p] = raw
-                self.held += 200 + 4 * len(p) + len(raw)  # both objects and their entry, at most
-
-    def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if self.OTHER.search(text) or any(map(text.__contains__, self.special)):
-            return self._whole(text)
-        first, _, rest = text.partition(" ")
-        head = self._whole(first).tobytes() if first else b""
-        pieces = rest.split(" ") if rest else []
-        known = self.known
-        try:
-            return np.frombuffer(head + b"".join(map(known.__getitem__, pieces)), np.uint32)
-        except KeyError:
-            pass
-        new, coded = [p for p in {*pieces} if p not in known], {}
-        for a in range(0, len(new), 4096):
-            coded |= self._coded(new[a : a + 4096])
-        out = np.frombuffer(head + b"".join([known.get(p) or coded[p] for p in pieces]), np.uint32)
-        self._keep(coded)
-        return out
+
+    def _coded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        words, spaced = [], []
+        for p in pieces:
+            body = p.removeprefix(self.MARK)
+            if self.words is not None and body.isascii() and body.isalpha():
+                words.append(p)
+            elif p[0] == self.MARK:
+                yield p, self._whole(body).tobytes()
+            else:
+                spaced.append(p)
+        for a in range(0, len(words), CODED_TOGETHER):
+            some = words[a : a + CODED_TOGETHER]
+            names = [p[1:] if p[0] == self.MARK else "\u0120" + p for p in some]  # the byte level's name of a space
+            ids = np.array(self.words.encode(" ".join(names), add_special_tokens=False).ids, np.uint32)
+            yield from self._cut(ids, some, map(len, names))
+        for a in range(0, len(spaced), CODED_TOGETHER):
+            some = spaced[a : a + CODED_TOGETHER]
+            text = " " + " ".join(some)
+            if self._has_special(text):  # of several pieces
+                yield from ((p, self._whole(f" {p}").tobytes()) for p in some)
+            else:
+                yield from self._cut(self._whole(text), some, (len(p.encode("utf-8")) + 1 for p in some))
+
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Makes all ``pieces`` known; returns those too long to be kept."""
+        if self.held > self.limit // 2:
+            self.known, self.before, self.held = {self.MARK: b""}, self.known, 0
+        known, before, new, composed = self.known, self.before.get, {}, []
+        for p in pieces.difference(known):
+            raw = before(p)
+            if raw is not None:
+                self._keep(p, raw)
+            elif p.isascii() and p.isalpha():
+                new[p] = None
+            else:
+                parts = self._parts(p)
+                for q in parts:
+                    if q not in known:
+                        new[q] = before(q)
+                if len(parts) > 1:
+                    composed.append((p, parts))
+        for p, raw in new.items():
+            if raw is not None:
+                self._keep(p, raw)
+        for p, raw in self._coded([p for p in new if p not in known]):
+            self._keep(p, raw)
+        for p, parts in composed:
+            self._keep(p, b"".join([known[q] for q in parts]))
+        return [p for p in (*pieces, *new) if len(p) > PIECE_CHARS] if max(map(len, pieces)) > PIECE_CHARS else []
+
+    def _keep(self, piece: str, raw: bytes) -> None:
+        self.known[piece] = raw
+        if len(piece) <= PIECE_CHARS:
+            self.held += 140 + 4 * len(piece) + len(raw)  # both objects and their entry, at most
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text.  Long texts are looked up by blocks."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        blocks, held = [], 0
+
+        def look_up() -> None:
+            long = self._learn(set().union(*(pieces for _, pieces in blocks)))
+            for k, pieces in blocks:
+                out[k].append(np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32))
+            for p in long:
+                self.known.pop(p, None)
+            blocks.clear()
+
+        for k, text in enumerate(texts):
+            if self.OTHER.search(text) or self._has_special(text):
+                out[k].append(self._whole(text))
+                continue
+            start, mark = 0, self.MARK
+            while start < len(text):
+                end = text.find(" ", start + BLOCK_CHARS)
+                end = len(text) if end < 0 else end
+                blocks.append((k, (mark + text[start:end]).split(" ")))
+                held += end - start
+                start, mark = end + 1, ""
+                if held >= BLOCK_CHARS:
+                    look_up()
+                    held = 0
+        if blocks:
+            look_up()
+        return [np.concatenate(o) if len(o) > 1 else o[0] if o else np.empty(0, np.uint32) for o in out]
 
 
 @functools.lru_cache(maxsize=1)
@@ -271,13 +360,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = cached_tokenizer(tokenizer_path)
-        each = ((id_, t) for b in batches for id_, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        each = (row for b in batches for row in zip(b.column(0).to_pylist(), coder.ids(b.column(1).to_pylist()), strict=True))
         row, file = next(each, None), 0
         while row is not None:
             with written_file(folder, "tokens", ".s8b") as (stream, path):
                 writer = Writer(stream)
                 while row is not None and writer.total < FILE_IDS:
-                    writer.add(row[0], np.append(coder.ids(row[1].as_py()), np.uint32(end_id)))
+                    writer.add(row[0], np.append(row[1], np.uint32(end_id)))
                     row = next(each, None)
                 writer.close()
             out = {"part": [TaskContext.get().partitionId()], "file": [file], "path": [path], "n_docs": [len(writer.docs)], "n_tokens": [writer.total]}

@@ -384,6 +384,26 @@ def test_token_file_blocks(monkeypatch):
         list(tokens.read_documents(b"x" * 100))
 
 
+def test_tokens_words_are_coded_once(monkeypatch):
+    """Words with marks or line ends about them are not coded again, and the ids
+    are the library's, also where the cache is small and texts go by blocks."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, sent = tokens.CachedTokenizer(path), []
+    coded = coder._coded
+    monkeypatch.setattr(coder, "_coded", lambda pieces: coded([sent.append(p) or p for p in pieces]))
+    words = ["".join(c) for c in itertools.product("qxzv", repeat=4)]
+    coder.ids([" ".join(["a", *(w + m for w in words for m in ("", ".", ",", "!?", ":"))])])
+    assert len(sent) < len(words) + 10
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 9)
+    coder, rng = tokens.CachedTokenizer(path, limit=1 << 16), random.Random(5)
+    odd = ["a", "Bc", "é", "1", "½", "'s", "n't", ".", "...", "_", "(", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u3000", "e\u0301", "日", "×", "<|endoftext|>", "😀"]
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 14))) for _ in range(2000)]
+    for text, ids in zip(texts, coder.ids(texts), strict=True):
+        assert coder.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist()
+
+
 def test_tokens_equal_the_tokenizer(spark, sf_dir):
     import public_tokenizers
     from tokenizers import Tokenizer
