@@ -151,3 +151,22 @@ def test_every_point_is_in_its_nearest_hexagon(spark):
     assert count == {(h.q, h.r): h.points for h in got}
     ys = [y for y, _ in points]
     assert got[0].mid_latitude == (min(ys) + max(ys)) / 2
+
+
+def test_large_means_are_rounded_as_doubles(spark, tmp_path):
+    """Red and near infrared cancel out in these pixels, so the index is beyond a long's millionths."""
+    import duckdb
+
+    from gridloom.functions import bands
+    from gridloom.plans import catalog
+
+    rows = [(k, [0.0] * 32 + [-v] * 16 + [v] * 16) for k, v in enumerate((0.375, 0.75, -0.75, 300.0))]
+    spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = sorted(con.sql(catalog.ORACLE_SQL["mean_index_features"]).fetchall())
+    assert expected[3][1] > 1e16
+    assert sorted(map(tuple, catalog.QUERIES["mean_index_features"](spark, str(tmp_path)).collect())) == expected
+    values = [-1e300, -2.5, -0.5, 0.5, 2.5, 2.0**53, 1e300, None]
+    got = spark.createDataFrame([(values,)], "v array<double>").select(F.transform("v", bands.floored).alias("f")).first().f
+    assert got == [-1e300, -3.0, -1.0, 0.0, 2.0, 2.0**53, 1e300, None]
