@@ -24,10 +24,16 @@ from .extent import diameter
 from .spatial_join import distance_join, related_rows
 
 
-def _pairs(df: DataFrame, geo_id: str, geometry: str) -> DataFrame:
-    a = df.select(F.col(geo_id).alias("id"), F.col(geometry).alias("g1"))
-    b = df.select(F.col(geo_id).alias("nbr_id"), F.col(geometry).alias("g2"))
-    return a.crossJoin(b)
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """To as many tasks as shuffles have: few rows, of which each gives many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _product(df: DataFrame, geo_id: str, **columns: Column) -> DataFrame:
+    """``id, nbr_id`` of all pairs, with ``columns`` of the first (``<name>1``) and
+    of the second (``<name>2``), made once a row."""
+    side = lambda name, k: df.select(F.col(geo_id).alias(name), *(c.alias(f"{n}{k}") for n, c in columns.items()))
+    return _dealt(side("id", 1)).crossJoin(F.broadcast(side("nbr_id", 2)))
 
 
 def _arrays(pairs: DataFrame, name: str) -> DataFrame:
@@ -46,6 +52,28 @@ def _decay(pairs: DataFrame, d: Column, bandwidth: Column) -> DataFrame:
     return far.select("id", "nbr_id", _weight(F.col("d"), F.col("bw")).alias("weight"))
 
 
+def _places_apart(df: DataFrame, geo_id: str, place: Column) -> tuple[DataFrame, Column]:
+    """All pairs, and the distance of their places."""
+    dx, dy = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")
+    return _product(df, geo_id, x=place["x"], y=place["y"]), F.sqrt(dx * dx + dy * dy)
+
+
+def _apart(df: DataFrame, geo_id: str, geometry: str) -> DataFrame:
+    """``id, nbr_id, d``: all pairs with their distance, of points and rectangles
+    by their envelopes, of others by their segments; null without a geometry."""
+    g = F.col(geometry)
+    rows = df.select(F.col(geo_id).alias("id"), g.alias("g"), (F.coalesce(g["type"] == "POINT", F.lit(False)) | G.is_rectangle(g)).alias("plain"))
+    plain, other = rows.filter("plain"), rows.filter("NOT plain")
+    e = G.envelope(F.col("g"))
+    boxes = _product(plain, "id", **{c: e[c] for c in ("xmin", "ymin", "xmax", "ymax")})
+    gap = lambda c: F.greatest(F.col(f"{c}min1") - F.col(f"{c}max2"), F.col(f"{c}min2") - F.col(f"{c}max1"), F.lit(0.0))
+    x, y = gap("x"), gap("y")
+    near = boxes.select("id", "nbr_id", F.sqrt(x * x + y * y).alias("d"))
+    second = lambda some: some.select(F.col("id").alias("nbr_id"), F.col("g").alias("h"))
+    mixed = [_dealt(a).crossJoin(second(b)).select("id", "nbr_id", distance_between(F.col("g"), F.col("h")).alias("d")) for a, b in ((other, rows), (plain, other))]
+    return near.unionAll(mixed[0]).unionAll(mixed[1])
+
+
 def _bandwidth(given: float | None, df: DataFrame, place: Column) -> Column:
     """The given one, or (for none or 0) the greatest distance of two places."""
     return F.lit(float(given)) if given else diameter(df, place)
@@ -55,24 +83,26 @@ def _filled(df: DataFrame, geo_id: str, near: DataFrame, zero: Column) -> DataFr
     """``near(id, nbr_id, weight)`` with ``zero`` for all other pairs of ids."""
     ids = df.select(F.col(geo_id).alias("id"))
     every = df.agg(F.sort_array(F.collect_set(geo_id))).scalar()
-    of = near.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("nbr_id", "weight"))).alias("near"))
-    rows = ids.join(of, "id", "left").withColumn("nbr_id", F.explode(every))
-    return rows.select("id", "nbr_id", F.coalesce(F.try_element_at("near", F.col("nbr_id")), zero).alias("weight"))
+    of = _dealt(ids, "id").join(_dealt(near, "id").groupBy("id").agg(F.collect_list(F.struct("nbr_id", "weight")).alias("near")), "id", "left")
+    some = of.select("id", F.explode("near").alias("n")).select("id", "n.nbr_id", "n.weight")
+    others = F.array_except(every, F.coalesce(F.col("near.nbr_id"), F.array().cast(near.select(F.array("nbr_id")).schema[0].dataType)))
+    return some.unionAll(of.select("id", F.explode(others).alias("nbr_id")).select("id", "nbr_id", zero.alias("weight")))
 
 
 def polygon_weights(df: DataFrame, geo_id: str, geometry: str, adjacency_type: AdjacencyType = AdjacencyType.BINARY, bandwidth: float | None = None) -> DataFrame:
     """``id, nbr_id, weight`` for all pairs."""
     kind = AdjacencyType(adjacency_type)
-    g, h, same = F.col("g1"), F.col("g2"), F.col("id") == F.col("nbr_id")
+    same = F.col("id") == F.col("nbr_id")
     match kind:
         case AdjacencyType.BINARY:
             near = polygon_neighbours(df, geo_id, geometry).withColumn("weight", F.lit(1).cast("long"))
             return _filled(df, geo_id, near, F.lit(0).cast("long"))
         case AdjacencyType.EXPONENTIAL_CENTROID_DISTANCE:
-            return _decay(_pairs(df, geo_id, geometry), G.distance(G.centroid(g), G.centroid(h)), _bandwidth(bandwidth, df, G.centroid(F.col(geometry))))
+            return _decay(*_places_apart(df, geo_id, G.centroid(F.col(geometry))), _bandwidth(bandwidth, df, G.centroid(F.col(geometry))))
         case AdjacencyType.EXPONENTIAL_DISTANCE:
-            far = _pairs(df, geo_id, geometry).select("id", "nbr_id", distance_between(g, h).alias("d"))
-            return _decay(far, F.col("d"), F.lit(float(bandwidth)) if bandwidth else far.agg(F.max("d")).scalar())
+            different = df.select(F.lit(0).alias("id"), F.col(geometry).alias("g")).distinct()
+            widest = F.lit(float(bandwidth)) if bandwidth else _apart(different, "id", "g").agg(F.max("d")).scalar()
+            return _decay(_apart(df, geo_id, geometry), F.col("d"), widest)
         case AdjacencyType.COMMON_BORDER_RATIO:
             return _filled(df, geo_id, border_shares(df, geo_id, geometry), F.when(same, 1.0).otherwise(0.0))
 
@@ -93,8 +123,8 @@ def get_polygons_adjacency(df: DataFrame, geo_id: str, geometry: str, adjacency_
 
 def point_weights(df: DataFrame, geo_id: str, geometry: str, bandwidth: float | None = None) -> DataFrame:
     """``id, nbr_id, weight`` for all pairs of points, each with itself too."""
-    first = lambda g: F.col(g)["rings"][0][0]
-    return _decay(_pairs(df, geo_id, geometry), G.distance(first("g1"), first("g2")), _bandwidth(bandwidth, df, first(geometry)))
+    place = F.col(geometry)["rings"][0][0]
+    return _decay(*_places_apart(df, geo_id, place), _bandwidth(bandwidth, df, place))
 
 
 def get_points_adjacency(df: DataFrame, geo_id: str, geometry: str, bandwidth: float | None = None) -> DataFrame:
